@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from linkloom.llm import chat_collapse, quality, url_filter
+from linkloom.llm import chat_collapse, decontaminate, edit_counts, packing, quality, token_store, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_token_store": token_store.query,
+        "op2_packing": packing.query,
+        "op3_decontaminate": decontaminate.query,
         "op4_quality_rules": quality.query,
         "op7_chat_collapse": chat_collapse.query,
+        "op8_edit_counts": edit_counts.query,
         "op9_url_filter": url_filter.query,
     }
 
