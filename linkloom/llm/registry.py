@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from linkloom.llm import chat_collapse, decontaminate, edit_counts, packing, quality, token_store, url_filter
+from linkloom.llm import (
+    chat_collapse,
+    decontaminate,
+    edit_counts,
+    gru_lm,
+    jaccard_join,
+    packing,
+    quality,
+    substring_dedup,
+    token_store,
+    url_filter,
+)
 
 
 def queries() -> dict:
@@ -11,9 +22,12 @@ def queries() -> dict:
         "op2_packing": packing.query,
         "op3_decontaminate": decontaminate.query,
         "op4_quality_rules": quality.query,
+        "op5_suffix_dedup": substring_dedup.query,
+        "op6_jaccard_join": jaccard_join.query,
         "op7_chat_collapse": chat_collapse.query,
         "op8_edit_counts": edit_counts.query,
         "op9_url_filter": url_filter.query,
+        "op10_gru_lm": gru_lm.query,
     }
 
 
