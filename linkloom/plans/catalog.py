@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from linkloom.plans import graph_queries, page_queries, state_queries  # noqa: F401  they register themselves
+from linkloom.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
