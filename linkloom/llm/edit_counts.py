@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.encoding import Encoder
+from linkloom.llm.encoding import encoder
 
 #: Characters of a leaf at least; it ends at the next certain cut.
 LEAF_CHARS = 512
@@ -139,8 +139,8 @@ def edited_counts(docs: DataFrame, tokenizer: str, least: int = LEAF_CHARS) -> D
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        encoder = Encoder(tokenizer)
-        count = lambda spans: [len(x) // 4 for x in encoder.ids(spans)]
+        codec = encoder(tokenizer)
+        count = lambda spans: [len(x) // 4 for x in codec.ids(spans)]
         for batch in batches:
             out = []
             for doc, text, edits, counts in zip(*(batch.column(i) for i in range(4))):
@@ -160,9 +160,9 @@ def trees(docs: DataFrame, tokenizer: str, least: int = LEAF_CHARS) -> DataFrame
     """doc_id and ``leaf_tokens``: what has to be kept of a document's tree; the leaves follow from the text."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        codec = encoder(tokenizer)
         for batch in batches:
-            counts = [[len(x) // 4 for x in encoder.ids(leaves(t.as_py() or "", least) or [""])] for t in batch.column(1)]
+            counts = [[len(x) // 4 for x in codec.ids(leaves(t.as_py() or "", least) or [""])] for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.list_(pa.int64()))], names=["doc_id", "leaf_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "doc_id long, leaf_tokens array<long>")

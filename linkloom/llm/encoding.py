@@ -14,17 +14,29 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 
-#: Entries of the cache; it is emptied beyond that, so a task's memory stays bounded.
-CACHE_ENTRIES = 300_000
+#: Entries of the cache, some 200 MB; when it is full it stays as it is, and other pieces are encoded each time.
+CACHE_ENTRIES = 700_000
 #: Longer pieces are not kept.
 CACHED_CHARS = 48
 #: Characters of text whose missing pieces are encoded together.
 GROUP_CHARS = 2_000_000
+#: Pieces that are encoded in one call.
+JOINED = 2_000
 #: Characters that Python and the tokenizers library may not both take for white space.
 DOUBTFUL = "\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 RUNS = re.compile(r"\s*\S+|\s+")
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder for a tokenizer: tasks of one worker share its cache."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class Encoder:
     """``ids(texts)`` yields each text's ids as little-endian unsigned 32-bit integers."""
 
@@ -47,6 +59,9 @@ class Encoder:
         special = "|".join(re.escape(t["content"]) for t in spec.get("added_tokens", []))
         self.whole = re.compile(f"[{DOUBTFUL}]" + (f"|{special}" if special else ""))
         self.cache: dict[str, bytes] = {}
+        # a special token cuts a text before anything else happens to it, so pieces between such tokens are encoded apart
+        marks = [t for t in spec.get("added_tokens", []) if t.get("special") and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized"))]
+        self.mark = (marks[0]["content"], marks[0]["id"]) if marks else None
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -54,20 +69,38 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
+    def _encoded_pieces(self, pieces: list[str]) -> list[bytes]:
+        """As ``_encoded``, for short pieces without special tokens: many at a time, joined by one."""
+        import numpy as np
+
+        if self.mark is None:
+            return self._encoded(pieces)
+        out: list[bytes] = []
+        for at in range(0, len(pieces), JOINED):
+            own = pieces[at : at + JOINED]
+            ids = np.asarray(self.tokenizer.encode(self.mark[0].join(own), add_special_tokens=False).ids, "<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.mark[1])).tolist(), ids.nbytes]
+            data, begin = ids.tobytes(), 0
+            if len(ends) != len(own):
+                raise ValueError("the tokenizer does not keep pieces apart")
+            for end in ends:
+                out.append(data[begin:end])
+                begin = end + 4
+        return out
+
     def _group(self, texts: list[str]) -> list[bytes]:
         if self.pieces is None:
             return self._encoded(texts)
         cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
         split = [None if self.whole.search(t) else self.pieces(t) for t in texts]
-        new = {p for s in split if s for p in s}.difference(cache)
+        new = set().union(*filter(None, split)).difference(cache)
         if new:
             missing = list(new)
-            cache.update(zip(missing, self._encoded(missing), strict=True))
+            cache.update(zip(missing, self._encoded_pieces(missing), strict=True))
         out = [self._encoded([t])[0] if s is None else b"".join([cache[p] for p in s]) for t, s in zip(texts, split, strict=True)]
+        full = len(cache) > CACHE_ENTRIES
         for p in new:
-            if len(p) > CACHED_CHARS:
+            if full or len(p) > CACHED_CHARS:
                 del cache[p]
         return out
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.encoding import Encoder
+from linkloom.llm.encoding import encoder
 
 LONGEST = 1024
 END_ID = 0
@@ -51,13 +51,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, longest: int = L
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        codec, part = encoder(tokenizer), TaskContext.get().partitionId()
         end, made = np.asarray([end_id], "<u4").tobytes(), {}
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("bucket", pa.int32())])
         rows, held = [], 0
         for batch in batches:
             texts = (t.as_py() for t in batch.column(1))
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.ids(texts), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), codec.ids(texts), strict=True):
                 ids += end
                 n, start = len(ids) // 4, 0
                 for length in piece_lengths(n, longest):
