@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import scratch_path
-from linkloom.llm.encoding import Encoder
+from linkloom.llm.encoding import encoder
 
 END_ID = 2
 SHARD_BYTES = 32_000_000
@@ -51,17 +51,23 @@ def _mixed(keys, seed: int):
     return x ^ (x >> np.uint64(31))
 
 
-def _hashes(keys, seed: int, n: int, buckets: int):
-    """Of each key: its bucket, first slot, step, fingerprint."""
+def _hashes(keys, seed: int, buckets: int):
+    """Of each key: its bucket, the hash that displacements are mixed into, its fingerprint."""
     import numpy as np
 
     a, b = _mixed(keys, seed), _mixed(keys, seed + 1)
-    return (
-        (a % np.uint64(buckets)).astype(np.int64),
-        ((a >> np.uint64(32)) % np.uint64(n)).astype(np.int64),
-        (b % np.uint64(max(n - 1, 1))).astype(np.int64) + 1,
-        (b >> np.uint64(32)).astype(np.uint32),
-    )
+    return (a % np.uint64(buckets)).astype(np.int64), b, (a >> np.uint64(32)).astype(np.uint32)
+
+
+def _slot(base, shift, n: int):
+    """The slots of hashes under displacements: each displacement draws them anew."""
+    import numpy as np
+
+    return (_mixed(base + np.asarray(shift).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 0) % np.uint64(n)).astype(np.int64)
+
+
+#: Displacements tried for a bucket before another seed is taken.
+TRIES = 1 << 20
 
 
 def build_index(keys) -> tuple[int, object, object, object]:
@@ -70,15 +76,15 @@ def build_index(keys) -> tuple[int, object, object, object]:
 
     n = len(keys)
     buckets = max(1, -(-n // KEYS_PER_BUCKET))
-    for seed in range(1, 1000):
-        bucket, first, step, mark = _hashes(keys, seed, n, buckets)
+    for seed in range(1, 100):
+        bucket, base, mark = _hashes(keys, seed, buckets)
         shift, slots = np.zeros(buckets, np.int64), np.full(n, -1, np.int64)
         free = np.ones(n, bool)
         order = np.argsort(bucket, kind="stable")
         sizes = np.bincount(bucket, minlength=buckets)
         ends = np.cumsum(sizes)
         spare, done = 0, True
-        for b in np.argsort(-sizes, kind="stable"):
+        for b in np.argsort(-sizes, kind="stable"):  # the largest first, while there is most room
             if sizes[b] == 0:
                 break
             own = order[ends[b] - sizes[b] : ends[b]]
@@ -88,20 +94,17 @@ def build_index(keys) -> tuple[int, object, object, object]:
                 shift[b], slots[own] = -spare - 1, spare
                 free[spare] = False
                 continue
-            for low in range(0, 64 * n + 64, 256):
-                tried = (first[own] + np.arange(low, low + 256)[:, None] * step[own]) % n
-                fits = free[tried].all(1)
-                for d in np.flatnonzero(fits):
-                    if len(set(tried[d].tolist())) == len(own):
-                        shift[b], slots[own] = low + d, tried[d]
-                        free[tried[d]] = False
-                        break
-                else:
-                    continue
-                break
-            else:
+            found = None
+            for low in range(0, TRIES, 128):
+                tried = _slot(base[own], np.arange(low, low + 128)[:, None], n)
+                found = next((d for d in np.flatnonzero(free[tried].all(1)) if len(set(tried[d].tolist())) == len(own)), None)
+                if found is not None:
+                    break
+            if found is None:
                 done = False
                 break
+            shift[b], slots[own] = low + found, tried[found]
+            free[slots[own]] = False
         if done:
             return seed, shift, slots, mark
     raise ValueError("no index was found; are the keys distinct?")
@@ -151,9 +154,9 @@ class ShardIndex:
         n = len(self.marks)
         if not n:
             return []
-        bucket, first, step, mark = (x[0] for x in _hashes(np.asarray([doc_id], np.int64), self.seed, n, len(self.shift)))
-        d = int(self.shift[bucket])
-        slot = -d - 1 if d < 0 else (int(first) + d * int(step)) % n
+        bucket, base, mark = _hashes(np.asarray([doc_id], np.int64), self.seed, len(self.shift))
+        mark, d = mark[0], int(self.shift[bucket[0]])
+        slot = -d - 1 if d < 0 else int(_slot(base, d, n)[0])
         if self.marks[slot] != mark:
             return []
         row = int(self.rows[slot])
@@ -174,8 +177,8 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, shard
         import numpy as np
 
         context = TaskContext.get()
-        encoder, part, attempt = Encoder(tokenizer), context.partitionId(), uuid.uuid4().hex[:12]
-        small = encoder.tokenizer.get_vocab_size(with_added_tokens=True) <= 65_536 and end_id < 65_536
+        codec, part, attempt = encoder(tokenizer), context.partitionId(), uuid.uuid4().hex[:12]
+        small = codec.tokenizer.get_vocab_size(with_added_tokens=True) <= 65_536 and end_id < 65_536
         kind, end = ("<u2" if small else "<u4"), np.asarray([end_id], "<u4").tobytes()
         width = np.dtype(kind).itemsize
         files, root = _filesystem(out)
@@ -190,7 +193,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, shard
             done.append((part, len(done), name, width, keyed[0] if keyed else None, keyed[-1] if keyed else None, len(ids_of), starts[-1]))
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.ids(t.as_py() for t in batch.column(1)), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), codec.ids(t.as_py() for t in batch.column(1)), strict=True):
                 if sink is not None and starts[-1] * width >= shard_bytes:
                     close()
                     sink, ids_of, starts = None, [], [0]
