@@ -2,55 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-import weakref
+from linkloom.scratch import new_path as scratch_path
+from linkloom.scratch import written
 
-from pyspark.sql import DataFrame, SparkSession
-
-#: Words are runs of characters other than these six, everywhere in the subpackage.
-SPACE = " \t\n\x0b\x0c\r"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import tempfile
-
-    folder = f"file://{tempfile.gettempdir()}/linkloom-scratch"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through the file system that its path names."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _remove_quietly(spark_ref, path: str) -> None:
-    spark = spark_ref()
-    if spark is not None and spark.sparkContext._jsc is not None:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone when the interpreter ends
-            pass
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the shared folder, deleted when the interpreter ends."""
-    path = f"{scratch_dir(spark)}/linkloom/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove_quietly, weakref.ref(spark), path)
-    return path
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """The rows written to the shared folder and read back: the lineage ends there, and a lost executor costs nothing."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["scratch_path", "written"]
