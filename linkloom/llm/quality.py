@@ -86,7 +86,8 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     taken = [n for n in names if n in COUNTS]
     if taken:
         raise ValueError(f"columns {taken} of the input clash with the counts; rename them first")
-    return out.select(*[F.col(hidden[n]).alias(n) for n in names], *COUNTS)
+    # a generator of one row: without it a later filter on the counts would be pushed down and multiply their expressions
+    return out.select(*[F.col(hidden[n]).alias(n) for n in names], F.inline(F.array(F.struct(*COUNTS))))
 
 
 def verdict(thresholds: Sequence[tuple[str, float | None, float | None]] = THRESHOLDS) -> tuple[Column, Column]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from linkloom.llm import (
     chat_collapse,
     decontaminate,
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_edit_counts": edit_counts.query,
         "op9_url_filter": url_filter.query,
         "op10_gru_lm": gru_lm.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
