@@ -46,7 +46,7 @@ class FileSource:
 
 def text_files(spark, folder: str) -> DataFrame:
     """(name, html) of every ``*.txt`` file of a folder."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     name = F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"(?s)^(.*)\.txt$", 1)
     return files.select(name.alias("name"), F.col("value").alias("html"))
 
