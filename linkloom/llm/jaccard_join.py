@@ -33,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.beside import beside_texts, kept_rows, numbered
 from linkloom.llm.common import written
 from linkloom.llm.components import components
-from linkloom.llm.shingles import SHINGLE, mixed, set_key, shingle_set
+from linkloom.llm.shingles import mixed, set_key, shingle_set, text_bytes
 
 THRESHOLD = 0.8
 #: Probability to miss a pair of exactly that similarity.
@@ -48,7 +49,10 @@ LINK_BITS, LEAD_BITS = 164, 200
 LEADERS = 256
 #: Classes and shingles of a block of an exact comparison.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 2_000_000
-PATHS = "path long, key long, s0 long, s1 long, s2 long, s3 long"
+#: Documents whose leaves a task holds at once, and combines before they travel.
+LOT = 2_000
+#: A class at a leaf with its sketch; or, with ``to``, a link that is settled already.
+PATHS = "path long, key long, s0 long, s1 long, s2 long, s3 long, to long"
 
 
 def runs_needed(threshold: float = THRESHOLD, miss: float = MISS, depth: int = DEPTH) -> int:
@@ -97,63 +101,135 @@ def _sketch(shingles):
     return np.packbits(2 * total > len(shingles)).view(np.int64)
 
 
-def memberships(docs: DataFrame) -> DataFrame:
-    """doc_id, key (the class; null without words), n (its shingles)."""
+class _Bucket:
+    """Leaders of one bucket, and which of them are known to hang together."""
+
+    def __init__(self, most: int):
+        import numpy as np
+
+        self.most, self.keys, self.root = most, [], []
+        self.bits = np.zeros((8, 4), np.uint64)
+
+    def _top(self, j: int) -> int:
+        while self.root[j] != j:
+            j = self.root[j]
+        return j
+
+    def add(self, key: int, bits) -> tuple[list[int], bool]:
+        """Classes to link ``key`` to, one for each part of the bucket that it resembles; whether a leader stands for it."""
+        import numpy as np
+
+        n = len(self.keys)
+        alike = 256 - np.bitwise_count(self.bits[:n] ^ bits).sum(1, dtype=np.int64) if n else np.zeros(0, np.int64)
+        parts = {}
+        for j in np.flatnonzero(alike >= LINK_BITS).tolist():
+            parts.setdefault(self._top(j), j)
+        links = [self.keys[j] for j in parts.values()]
+        tops = sorted(parts)
+        for t in tops[1:]:
+            self.root[t] = tops[0]
+        led = bool(n) and int(alike.max()) >= LEAD_BITS
+        if not led and n <= self.most:
+            if n == len(self.bits):
+                self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)])
+            self.bits[n] = bits
+            self.keys.append(key)
+            self.root.append(tops[0] if tops else n)
+        return links, led
+
+
+def memberships(texts: DataFrame) -> DataFrame:
+    """rid, doc_id, key (the class; null without words), n (its shingles)."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sizes = [], []
-            for t in batch.column(1):
-                s = shingle_set(t.as_py())
+            for t in batch.column(2):
+                s = shingle_set(text_bytes(t))
                 keys.append(set_key(s) if len(s) else None)
                 sizes.append(len(s))
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "key", "n"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=["rid", "doc_id", "key", "n"])
+
+    return texts.mapInArrow(name, "rid long, doc_id long, key long, n long")
+
+
+def _combined(paths, keys, bits, leaders: int) -> pa.RecordBatch:
+    """Rows of one batch for the exchange: at each leaf only leaders travel, the others are linked to them here."""
+    import numpy as np
+
+    order = np.argsort(paths, kind="stable")
+    ordered = paths[order]
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(paths) else np.zeros(0, np.int64)
+    ends = np.append(begins[1:], len(paths))
+    travels, links = np.ones(len(paths), bool), set()
+    for g in np.flatnonzero(ends - begins > 1):
+        own = order[begins[g] : ends[g]]
+        bucket = _Bucket(leaders)
+        for k in own.tolist():
+            found, led = bucket.add(int(keys[k]), bits[k].view(np.uint64))
+            links.update((int(keys[k]), to) for to in found)
+            travels[k] = not led
+    m = len(links)
+    a, b = (np.fromiter((x[i] for x in links), np.int64, m) for i in (0, 1))
+    sent = bits[travels]
+    columns = [pa.array(np.concatenate([paths[travels], a ^ b])), pa.array(np.concatenate([keys[travels], a]))]
+    columns += [pa.array(np.concatenate([sent[:, c], np.zeros(m, np.int64)])) for c in range(4)]
+    to = np.concatenate([np.zeros(int(travels.sum()), np.int64), b])
+    columns.append(pa.array(to, mask=np.arange(len(to)) < int(travels.sum())))
+    return pa.record_batch(columns, names=[c.split()[0] for c in PATHS.split(", ")])
+
+
+def _leaves(rows, threshold: float, leaders: int) -> Iterator[pa.RecordBatch]:
+    """From (key, shingles, nodes) of one batch, the rows of PATHS below the nodes."""
+    import numpy as np
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(name, "doc_id long, key long, n long")
+    paths, keys, sketches = [], [], []
+    for key, s, nodes in rows:
+        leaves = np.unique(_walk(s, nodes, threshold, DEPTH))
+        paths.append(leaves.view(np.int64))
+        keys.append(np.full(len(leaves), key, np.int64))
+        sketches.append(np.broadcast_to(_sketch(s), (len(leaves), 4)))
+    if paths:
+        yield _combined(np.concatenate(paths), np.concatenate(keys), np.concatenate(sketches), leaders)
 
 
-def _paths(docs: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """The leaves of each class, once for each batch of rows it occurs in."""
+def _paths(texts: DataFrame, threshold: float, miss: float, leaders: int) -> DataFrame:
+    """The leaves of each class, once for each lot of rows it occurs in."""
     runs = runs_needed(threshold, miss)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         roots = mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+        def classes(column, seen):
+            for t in column:
+                s = shingle_set(text_bytes(t))
+                if len(s) and (key := set_key(s)) not in seen:
+                    seen.add(key)
+                    yield key, s, roots
+
         for batch in batches:
-            seen, paths, keys, sketches = set(), [], [], []
-            for t in batch.column(0):
-                s = shingle_set(t.as_py())
-                if not len(s) or (key := set_key(s)) in seen:
-                    continue
-                seen.add(key)
-                leaves = np.unique(_walk(s, roots, threshold, DEPTH))
-                paths.append(leaves.view(np.int64))
-                keys.append(np.full(len(leaves), key, np.int64))
-                sketches.append(np.broadcast_to(_sketch(s), (len(leaves), 4)))
-            if paths:
-                bits = np.concatenate(sketches)
-                yield pa.record_batch([pa.array(np.concatenate(paths)), pa.array(np.concatenate(keys)), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4))], names=[c.split()[0] for c in PATHS.split(", ")])
-
-    return docs.select("text").mapInArrow(walk, PATHS)
-
-
-def _walk_on(split: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+            for at in range(0, batch.num_rows, LOT):
+                yield from _leaves(classes(batch.column(2).slice(at, LOT), set()), threshold, leaders)
+
+    return texts.mapInArrow(walk, PATHS)
+
+
+def _walk_on(split: DataFrame, members: DataFrame, texts: DataFrame, threshold: float, leaders: int) -> DataFrame:
     """Leaves further down for the classes of buckets that were too diverse."""
     nodes = split.groupBy("key").agg(F.collect_list("path").alias("nodes"))  # a few dozen paths a class
+    first = members.where("key is not null").groupBy("key").agg(F.min("rid").alias("rid"))
+    rows = beside_texts(texts, nodes.join(first, "key"), ["key", "nodes"], "split")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            for key, start, t in zip(*(batch.column(i) for i in range(3))):
-                s = shingle_set(t.as_py())
-                leaves = np.unique(_walk(s, np.asarray(start.as_py(), np.int64).view(np.uint64), threshold, DEPTH))
-                bits = _sketch(s)
-                n = len(leaves)
-                yield pa.record_batch([pa.array(leaves.view(np.int64)), pa.array(np.full(n, key.as_py(), np.int64)), *(pa.array(np.full(n, b, np.int64)) for b in bits)], names=[c.split()[0] for c in PATHS.split(", ")])
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))
+            yield from _leaves(((k, shingle_set(text_bytes(t)), np.asarray(n, np.int64).view(np.uint64)) for k, n, t in rows), threshold, leaders)
 
-    return nodes.join(texts, "key").select("key", "nodes", "text").mapInArrow(walk, PATHS)
+    return rows.mapInArrow(walk, PATHS)
 
 
 def _bucket_links(paths: DataFrame, leaders: int = LEADERS) -> DataFrame:
@@ -162,53 +238,48 @@ def _bucket_links(paths: DataFrame, leaders: int = LEADERS) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        path, lead_keys, lead_bits, members, last = None, [], [], [], None
+        path, last, bucket, members = None, None, None, []
         for batch in batches:
             names, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             bits = np.stack([batch.column(k).to_numpy() for k in range(2, 6)], 1).view(np.uint64)
-            out_a, out_b, out_s = [], [], []
-            # alone in its bucket, and the bucket whole within this batch: nothing to do
+            settled = batch.column(6).is_valid().to_numpy(zero_copy_only=False)
+            a, b, s = keys[settled].tolist(), batch.column(6).drop_null().to_pylist(), [False] * int(settled.sum())
+            # what is alone in its bucket, and the bucket whole within this batch, needs nothing
             same = np.concatenate([[path == names[0]], names[1:] == names[:-1]]) if len(names) else np.zeros(0, bool)
             busy = same.copy()
             busy[:-1] |= same[1:]
             if len(busy):
                 busy[-1] = True
-            for k in np.flatnonzero(busy):
+            for k in np.flatnonzero(busy & ~settled):
                 if names[k] != path:
-                    path, lead_keys, lead_bits, members, last = names[k], [], np.zeros((leaders + 1, 4), np.uint64), [], None
+                    path, last, bucket, members = names[k], None, _Bucket(leaders), []
                 key = int(keys[k])
                 if key == last:
                     continue  # the class came from several batches
                 last = key
-                n = len(lead_keys)
-                if n > leaders:
-                    out_a.append(key)
-                    out_b.append(int(path))
-                    out_s.append(True)
-                alike = 256 - np.bitwise_count(lead_bits[:n] ^ bits[k]).sum(1, dtype=np.int64) if n else np.zeros(0, np.int64)
-                for j in np.flatnonzero(alike >= LINK_BITS):
-                    out_a.append(key)
-                    out_b.append(lead_keys[j])
-                    out_s.append(False)
-                if n <= leaders:
+                over = len(bucket.keys) > leaders
+                found, _ = bucket.add(key, bits[k])
+                a += [key] * len(found)
+                b += found
+                s += [False] * len(found)
+                if not over:
                     members.append(key)
-                    if not n or alike.max() < LEAD_BITS:
-                        lead_bits[n] = bits[k]
-                        lead_keys.append(key)
-                        if n == leaders:  # one too many: all members so far walk on
-                            out_a += members
-                            out_b += [int(path)] * len(members)
-                            out_s += [True] * len(members)
-                            members = []
-            yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_s, pa.bool_())], names=["a", "b", "split"])
+                    over = len(bucket.keys) > leaders  # one too many: all members so far walk on
+                else:
+                    members = [key]
+                if over:
+                    a += members
+                    b += [int(path)] * len(members)
+                    s += [True] * len(members)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.bool_())], names=["a", "b", "split"])
 
     n = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return paths.repartition(n, "path").sortWithinPartitions("path", "key").mapInArrow(scan, "a long, b long, split boolean")
 
 
-def candidate_groups(docs: DataFrame, members: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, leaders: int = LEADERS) -> DataFrame:
+def candidate_groups(texts: DataFrame, members: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, leaders: int = LEADERS) -> DataFrame:
     """(node, root): classes that links of buckets connect."""
-    links, paths, texts = None, _paths(docs, threshold, miss), None
+    links, paths = None, _paths(texts, threshold, miss, leaders)
     for _ in range(8):
         found = written(_bucket_links(paths, leaders).distinct(), "links")
         part = found.where("not split").select("a", "b")
@@ -216,28 +287,23 @@ def candidate_groups(docs: DataFrame, members: DataFrame, threshold: float = THR
         split = found.where("split").select(F.col("a").alias("key"), F.col("b").alias("path"))
         if split.isEmpty():
             return components(links)
-        if texts is None:
-            first = members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-            texts = first.join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").select("key", "text")
-        paths = _walk_on(split, texts, threshold)
+        paths = _walk_on(split, members, texts, threshold, leaders)
     # what 27 levels could not tell apart is alike: link it to the least of its bucket
     rest = split.groupBy("path").agg(F.min("key").alias("b"))
     return components(links.unionByName(split.join(rest, "path").select(F.col("key").alias("a"), "b")))
 
 
-def _compare(docs: DataFrame, members: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+def _compare(texts: DataFrame, members: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """(key, links, parent, whole): for each class and block, weighted links found there and one class it is linked to."""
     classes = members.where("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n").alias("n")
+        F.min("rid").alias("rid"), F.count("*").alias("copies"), F.max("n").alias("n")
     )
     grouped = classes.join(groups.withColumnRenamed("node", "key"), "key")
     sizes = grouped.groupBy("root").agg(F.count("*").alias("g"), F.sum("n").alias("total"))
     blocks = F.ceil(F.greatest(F.col("g") / BLOCK_CLASSES, F.col("total") / BLOCK_SHINGLES)).cast("int")
     sizes = sizes.select("root", F.greatest(blocks, F.lit(1)).alias("blocks"))
     placed = grouped.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int"))
-    placed = placed.where("doc_id is not null")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    with_text = placed.join(texts, "doc_id")
+    with_text = beside_texts(texts, placed, ["root", "blocks", "own", "key", "copies"], "placed")
     spread = with_text.select(
         "root", "blocks", "own", "key", "copies", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     ).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
@@ -245,19 +311,10 @@ def _compare(docs: DataFrame, members: DataFrame, groups: DataFrame, threshold:
     def compare(table: pa.Table) -> pa.Table:
         import numpy as np
 
-        keys, own = table["key"].to_numpy(), table["own"].to_numpy()
-        first = np.unique(keys, return_index=True)[1]  # a doc_id that several rows share brings other texts along
-        sets, order = {}, []
-        for t, k in zip(table["text"], keys):
-            if int(k) not in sets:
-                s = shingle_set(t.as_py())
-                if len(s) and set_key(s) == k:
-                    sets[int(k)] = s
-        order = [k for k in first if int(keys[k]) in sets]
-        keys, own, copies = keys[order], own[order], table["copies"].to_numpy()[order]
-        cross = len(table) and table["i"][0].as_py() != table["j"][0].as_py()
-        whole = len(table) and table["blocks"][0].as_py() == 1
-        members = [sets[int(k)] for k in keys]
+        keys, own, copies = (table[c].to_numpy() for c in ("key", "own", "copies"))
+        cross = table["i"][0].as_py() != table["j"][0].as_py()
+        whole = table["blocks"][0].as_py() == 1
+        members = [shingle_set(text_bytes(t)) for t in table["text"]]
         sizes = np.asarray([len(s) for s in members], np.int64)
         parent, links = keys.copy(), np.zeros(len(keys), np.int64)
         root = list(range(len(keys)))
@@ -297,35 +354,37 @@ def _compare(docs: DataFrame, members: DataFrame, groups: DataFrame, threshold:
     return slim.groupBy("root", "i", "j").applyInArrow(compare, "key long, links long, parent long, whole boolean")
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    members = written(memberships(docs), "members")
-    groups = candidate_groups(docs, members, threshold, miss)
-    compared = written(_compare(docs, members, groups, threshold), "compared")
+def _classes(texts: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """One row per row: rid, doc_id, class_rid (the first row of its class), class_id, n_links."""
+    members = written(memberships(texts), "members")
+    groups = candidate_groups(texts, members, threshold, miss)
+    compared = written(_compare(texts, members, groups, threshold), "compared")
     links = compared.groupBy("key").agg(F.sum("links").alias("links"), F.min("parent").alias("parent"))
     apart = compared.where("not whole and parent <> key").select(F.col("key").alias("a"), F.col("parent").alias("b"))
     if not apart.isEmpty():
         joined = components(apart).select(F.col("node").alias("key"), "root")
         links = links.join(joined, "key", "left").select("key", "links", F.coalesce("root", "parent").alias("parent"))
-    classes = members.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    named = classes.where("key is not null").join(links, "key", "left").withColumn("parent", F.coalesce("parent", "key"))
-    least = named.groupBy("parent").agg(F.min("least").alias("class_id"))
-    named = named.join(least, "parent").select(
-        "key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
-    blank = members.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return members.where("key is not null").join(named, "key").select("doc_id", "class_id", "n_links").unionByName(blank)
+    # the first row: least doc_id, nulls last, then place
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    classes = members.where("key is not null").groupBy("key").agg(first.alias("first"), F.count("*").alias("copies"))
+    named = classes.join(links, "key", "left").withColumn("parent", F.coalesce("parent", "key"))
+    least = named.groupBy("parent").agg(F.min("first").alias("head"))
+    named = named.join(least, "parent").select("key", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = members.where("key is not null").join(named, "key")
+    out = out.select("rid", "doc_id", F.col("head.rid").alias("class_rid"), F.col("head.doc_id").alias("class_id"), "n_links")
+    blank = members.where("key is null")
+    return out.unionByName(blank.select("rid", "doc_id", F.col("rid").alias("class_rid"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links."""
+    return _classes(numbered(docs)[1], threshold, miss).select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """The document with the least doc_id of each class, with its own columns."""
-    named = written(jaccard_classes(docs, threshold, miss), "classes")
-    kept = named.where("doc_id = class_id or class_id is null").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    repeated = not kept.where("rows > 1").isEmpty()
-    out = docs.join(kept.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    out = out.unionByName(docs.where("doc_id is null").join(kept.where("doc_id is null").select(F.lit(1)), F.lit(True), "left_semi")) if repeated else out
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    docs, texts = numbered(docs)
+    return kept_rows(docs, _classes(texts, threshold, miss).where("rid = class_rid"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
