@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linkloom.scratch import written
@@ -40,8 +40,11 @@ def _layers(edges: DataFrame, start: DataFrame, end: object | None, max_layers:
     layers, seen = [start], start
     for _ in range(max_layers):
         step = edges.join(layers[-1].withColumnRenamed("v", "src"), "src").select(F.col("dst").alias("v")).distinct()
-        layer = written(step.join(seen, "v", "left_anti"), "layer")
-        n, met = layer.agg(F.count("*"), F.max(F.when(F.col("v") == F.lit(end), 1).otherwise(0))).first()
+        seen_of = Observation()  # counted while the layer is written; a task that runs twice does no harm to either answer
+        hit = F.max(F.when(F.col("v") == F.lit(end), 1).otherwise(0))
+        layer = step.join(seen, "v", "left_anti").observe(seen_of, F.count("*").alias("n"), hit.alias("met"))
+        layer = written(layer, "layer")
+        n, met = seen_of.get["n"], seen_of.get["met"]
         if not n:
             return layers, False
         layers.append(layer)
