@@ -269,7 +269,9 @@ def _round_1(texts: DataFrame) -> DataFrame:
             # marks go along under any rank, with a negative place
             yield _batch(names, mixed(mark[0].astype(np.uint64) + np.arange(n, dtype=np.uint64)).view(np.int64), mark[2], np.zeros(n, np.int64), mark[0], -1 - mark[1])
 
-    rows = texts.mapInArrow(emit, names)
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one exchange and one sort serve both windows
+    rows = texts.mapInArrow(emit, names).repartition(n, "rank").sortWithinPartitions("rank", "name")
     outer, inner = Window.partitionBy("rank"), Window.partitionBy("rank", "name")
     real = F.col("at") >= 0
     doc, name = F.when(real, F.col("doc")), F.when(real, F.col("name"))
