@@ -5,4 +5,19 @@ from __future__ import annotations
 from linkloom.scratch import new_path as scratch_path
 from linkloom.scratch import written
 
-__all__ = ["scratch_path", "written"]
+__all__ = ["release_memory", "scratch_path", "written"]
+
+
+def release_memory() -> None:
+    """Gives back to the system what this worker holds but no longer uses: workers live on between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not with this C library
+        pass

@@ -27,16 +27,15 @@ is larger than any. Empty tables give empty results. Extra columns pass through
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import scratch_path, written
-from linkloom.llm.shingles import mixed
+from linkloom.llm.beside import Beside, file_numbers, numbered, rids_of, write_beside
+from linkloom.llm.common import release_memory, written
+from linkloom.llm.shingles import mixed, text_bytes
 
 LENGTH = 50
 #: Bytes of an anchor, and of the strings whose least hash picks it.
@@ -46,12 +45,12 @@ PLACES = LENGTH - ANCHOR + 1
 #: Every window holds its anchor with so many bytes before it, or with so many after it.
 SIDE = (LENGTH - ANCHOR) // 2
 #: Bytes that are hashed at once; longer texts are taken in stretches of that many window starts.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
+#: Rows of a batch whose open positions are taken up together.
+RUN = 1_000
+#: Anchors that a task combines before they travel.
+LOT = 200_000
 LAST_DOC = 2**63 - 1
-#: Row number within its file: so many low bits of a row's id.
-ROW_BITS = 40
-ROWS = "rid long, doc long, text string"
-MARKS = "rid long, at long, n long"
 
 
 class _Hasher:
@@ -161,7 +160,7 @@ def _settled_here(rank, doc):
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
     for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-        yield rid, doc, (text.as_py() or "").encode("utf-8", "surrogatepass")
+        yield rid, LAST_DOC if doc is None else doc, text_bytes(text)
 
 
 def _merged(rid, at, n):
@@ -183,69 +182,6 @@ def _merged(rid, at, n):
     return rid[first], at[first], reach[last] - at[first]
 
 
-def _file_numbers(docs: DataFrame):
-    """A number for each input file, broadcast: a name for each file that the scan lists."""
-    files = sorted(r[0] for r in docs.select(F.col("_metadata.file_path")).distinct().toLocalIterator())
-    return docs.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(files)})
-
-
-def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` read from files, and its rows as (rid, doc, text): a file's number and the row's number in it."""
-    if not _has_files(docs):
-        docs = written(docs, "documents")
-    numbers = _file_numbers(docs)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of = {f: numbers.value[f] << ROW_BITS for f in batch.column(0).unique().to_pylist()}
-            rids = [of[f] + r for f, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.record_batch([pa.array(rids, pa.int64()), *batch.columns[2:]], names=["rid", *batch.schema.names[2:]])
-
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_DOC)).alias("doc")
-    rows = docs.select(F.col("_metadata.file_path"), F.col("_metadata.row_index"), doc, "text").mapInArrow(number, ROWS)
-    return docs, rows
-
-
-class Beside:
-    """What was written beside the rows of files, read by row range within a task."""
-
-    def __init__(self, path: str):
-        self.path, self.files = path, {}
-
-    def rows(self, rids: list[int]) -> pa.Table | None:
-        """The rows written for the ids of a batch (all of one or more files), sorted by rid."""
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(self.path)
-        parts = []
-        low: dict[int, list[int]] = {}
-        for r in rids:
-            k = r >> ROW_BITS
-            a = low.get(k)
-            low[k] = [r, r] if a is None else [min(a[0], r), max(a[1], r)]
-        for k, (lo, hi) in low.items():
-            folder = f"{root}/file={k}"
-            if k not in self.files:
-                found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-                self.files[k] = [f.path for f in found if f.path.endswith(".parquet")]
-            for f in self.files[k]:
-                part = pq.read_table(f, filesystem=store, filters=[("rid", ">=", lo), ("rid", "<=", hi)], use_threads=False, partitioning=None)
-                if len(part):
-                    parts.append(part)
-        return pa.concat_tables(parts).sort_by("rid") if parts else None
-
-
-def _beside(rows: DataFrame, name: str) -> str:
-    """Writes rows with a ``rid`` for Beside, in folders by file, sorted by row."""
-    path = scratch_path(rows.sparkSession, name)
-    placed = rows.withColumn("file", F.shiftright("rid", ROW_BITS))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = placed.repartition(n, "file", F.shiftright("rid", 12)).sortWithinPartitions("file", "rid")
-    placed.write.option("compression", "zstd").option("parquet.block.size", 4 << 20).partitionBy("file").parquet(path)
-    return path
-
-
 def _batch(names: str, *columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c) for c in columns], names=[c.split()[0] for c in names.split(", ")])
 
@@ -257,10 +193,20 @@ def _round_1(texts: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
-            found = [_anchors(g) for g in _stretches(_texts(batch), LENGTH - 1)]
-            if not found:
-                continue
+        def lots():
+            """Anchors in lots of bounded size."""
+            found, held = [], 0
+            for batch in batches:
+                for g in _stretches(_texts(batch), LENGTH - 1):
+                    found.append(_anchors(g))
+                    held += len(found[-1][0])
+                    if held >= LOT:
+                        yield found
+                        found, held = [], 0
+            if found:
+                yield found
+
+        for found in lots():
             rid, doc, at, rank, name = (np.concatenate(c) for c in zip(*found))
             here = _settled_here(mixed(rank * np.uint64(3) + name), doc)
             mark = _merged(rid[here], at[here], (name[here].astype(np.int64) >> 6 & 63) + LENGTH)
@@ -268,6 +214,7 @@ def _round_1(texts: DataFrame) -> DataFrame:
             yield _batch(names, rank[rest].view(np.int64), name[rest].view(np.int64), doc[rest], rid[rest], at[rest])
             # marks go along under any rank, with a negative place
             yield _batch(names, mixed(mark[0].astype(np.uint64) + np.arange(n, dtype=np.uint64)).view(np.int64), mark[2], np.zeros(n, np.int64), mark[0], -1 - mark[1])
+        release_memory()
 
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one exchange and one sort serve both windows
@@ -296,14 +243,14 @@ def _round_1(texts: DataFrame) -> DataFrame:
 
 def _round_2(texts: DataFrame, open_rows: DataFrame) -> DataFrame:
     """Written rows (kind, rid, doc, at, n, after): parts of stretches whose 39 bytes a smaller document shares."""
-    path = _beside(open_rows, "open")
+    path = write_beside(open_rows, "open")
     names = "rank long, kind int, rid long, doc long, at long, n long, after long"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         beside = Beside(path)
-        for batch, data, offsets, of, found in _with_beside(batches, beside):
+        for data, offsets, of, found in _with_beside(batches, beside):
             kind, doc, at, n, after = (found[c].to_numpy() for c in ("kind", "doc", "at", "n", "after"))
             anchor = offsets[of] + at + after
             # windows whose anchor has at most SIDE bytes before it end beyond the anchor by SIDE; the others start before it by SIDE
@@ -315,6 +262,7 @@ def _round_2(texts: DataFrame, open_rows: DataFrame) -> DataFrame:
                 rank.append(_long_hash(data, start, np.full(len(start), ANCHOR + SIDE)))
                 rows.append((kind[has], found["rid"].to_numpy()[has], doc[has], at[has] + (0 if left else split[has]), (split[has] - 1) if left else (n - split)[has], after[has] - (0 if left else split[has])))
             yield _batch(names, np.concatenate(rank).view(np.int64), *(np.concatenate(c) for c in zip(*rows)))
+        release_memory()
 
     ranked = texts.mapInArrow(emit, names)
     over = Window.partitionBy("rank")
@@ -324,14 +272,14 @@ def _round_2(texts: DataFrame, open_rows: DataFrame) -> DataFrame:
 
 def _round_3(texts: DataFrame, open_rows: DataFrame) -> DataFrame:
     """Marks (rid, at, n) of the single windows that a smaller document has."""
-    path = _beside(open_rows, "pairs")
+    path = write_beside(open_rows, "pairs")
     names = "rank long, doc long, rid long, at long"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         beside = Beside(path)
-        for batch, data, offsets, of, found in _with_beside(batches, beside):
+        for data, offsets, of, found in _with_beside(batches, beside):
             n = found["n"].to_numpy() + 1
             nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(found["at"].to_numpy(), n) + nth
@@ -343,6 +291,7 @@ def _round_3(texts: DataFrame, open_rows: DataFrame) -> DataFrame:
             rest, m = ~here, len(mark[0])
             yield _batch(names, rank[rest].view(np.int64), doc[rest], rid[rest], at[rest])
             yield _batch(names, mixed(mark[0].astype(np.uint64) + np.arange(m, dtype=np.uint64)).view(np.int64), -1 - mark[2], mark[0], mark[1])
+        release_memory()
 
     ranked = texts.mapInArrow(emit, names)
     real = F.col("doc_") >= 0
@@ -370,34 +319,36 @@ def _long_hash(data, starts, lengths):
 
 
 def _with_beside(batches, beside: Beside):
-    """Of each batch with rows beside it: the batch, its texts as one buffer, where each text starts, the text of each found row, the found rows."""
+    """Of each run of rows with rows beside them: their texts as one buffer, where each text starts, the text of each found row, the found rows."""
     import numpy as np
 
     for batch in batches:
-        rids = batch.column(0).to_numpy()
-        found = beside.rows(rids.tolist())
+        found = beside.rows(batch.column(0).to_pylist())
         if found is None:
             continue
-        order = np.argsort(rids)
-        at = np.searchsorted(rids[order], found["rid"].to_numpy())
-        at = np.minimum(at, len(rids) - 1)
-        have = rids[order][at] == found["rid"].to_numpy()
-        found, of = found.filter(pa.array(have)), order[at[have]]
-        if not len(found):
-            continue
-        parts = [d for _, _, d in _texts(batch)]
-        sizes = np.asarray([len(p) for p in parts], np.int64)
-        yield batch, np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, of, found
+        have = found["rid"].to_numpy()
+        for at in range(0, batch.num_rows, RUN):
+            run = batch.slice(at, RUN)
+            rids = run.column(0).to_numpy()
+            lo, hi = np.searchsorted(have, rids.min(), "left"), np.searchsorted(have, rids.max(), "right")
+            order = np.argsort(rids)
+            place = np.minimum(np.searchsorted(rids[order], have[lo:hi]), len(rids) - 1)
+            own = rids[order][place] == have[lo:hi]
+            if not own.any():
+                continue
+            parts = [d for _, _, d in _texts(run)]
+            sizes = np.asarray([len(p) for p in parts], np.int64)
+            yield np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, order[place[own]], found.slice(lo, hi - lo).filter(pa.array(own))
 
 
 def _marked(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     """``docs`` read from files, its numbered rows, and the folder with the marks beside them."""
-    docs, texts = _numbered(docs)
+    docs, texts = numbered(docs)
     first = _round_1(texts)
     second = _round_2(texts, first.where("kind > 0"))
     third = _round_3(texts, second)
     marks = first.where("kind = 0").select("rid", "at", "n").unionByName(third)
-    return docs, texts, _beside(marks, "marks")
+    return docs, texts, write_beside(marks, "marks")
 
 
 def _removed(batch: pa.RecordBatch, beside: Beside) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
@@ -411,6 +362,12 @@ def _removed(batch: pa.RecordBatch, beside: Beside) -> Iterator[tuple[bytes, lis
         yield data, [(int(a), int(a + k)) for a, k in zip(at[lo:hi], n[lo:hi])]
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, RUN):
+            yield batch.slice(at, RUN)
+
+
 def _rest(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     edges = [0, *(x for run in runs for x in run), len(data)]
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
@@ -422,45 +379,38 @@ def removals(docs: DataFrame) -> DataFrame:
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         beside = Beside(path)
-        for batch in batches:
-            out = list(_removed(batch, beside))
-            ids = [None if d == LAST_DOC else d for d in batch.column(1).to_pylist()]
-            spans = pa.array([[{"begin": a, "end": b} for a, b in runs] for _, runs in out], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
+        kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+        for run in _runs(batches):
+            out = list(_removed(run, beside))
+            spans = pa.array([[{"begin": a, "end": b} for a, b in runs] for _, runs in out], kind)
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array([len(d) for d, _ in out], pa.int64()), spans, pa.array([_rest(*x) for x in out], pa.binary())],
+                [run.column(1), pa.array([len(d) for d, _ in out], pa.int64()), spans, pa.array([_rest(*x) for x in out], pa.binary())],
                 names=["doc_id", "n_bytes", "spans", "kept"],
             )
+        release_memory()
 
     return texts.mapInArrow(remove, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
 
 
-def _has_files(docs: DataFrame) -> bool:
-    try:
-        docs.select("_metadata.row_index").schema  # noqa: B018  asks the analyzer
-    except AnalysisException:
-        return False
-    return True
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with what remains of each text; ``n_chars``, where there is such a column, follows it.
 
     A run may end within a character: what is left of that character goes too, so texts stay text.
     """
     docs, _, path = _marked(docs)
-    names, files = docs.columns, None
+    names = docs.columns
     inner = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)], F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
-    at, numbers = names.index("text"), _file_numbers(docs)
+    at, numbers = names.index("text"), file_numbers(docs)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         beside = Beside(path)
-        for batch in batches:
-            rids = [(numbers.value[f] << ROW_BITS) + r for f, r in zip(batch.column("f").to_pylist(), batch.column("r").to_pylist())]
+        for batch in _runs(batches):
+            rids = rids_of(batch.column("f"), batch.column("r"), numbers.value)
             own = pa.record_batch([pa.array(rids, pa.int64()), pa.array(rids, pa.int64()), batch.column(at)], names=["rid", "doc", "text"])
             kept = []
             for was, (data, runs) in zip(batch.column(at), _removed(own, beside)):
                 kept.append(_rest(data, runs).decode("utf-8", "ignore") if runs else was.as_py())
-            columns = [c for c in batch.columns[: len(names)]]
+            columns = list(batch.columns[: len(names)])
             columns[at] = pa.array(kept, pa.string())
             if "n_chars" in names:
                 k = names.index("n_chars")
