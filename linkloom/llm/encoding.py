@@ -27,20 +27,21 @@ DOUBTFUL = "\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u
 RUNS = re.compile(r"\s*\S+|\s+")
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> Encoder:
     """The process's encoder for a tokenizer: tasks of one worker share its cache."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, entries) not in _encoders:
+        _encoders[path, entries] = Encoder(path, entries)
+    return _encoders[path, entries]
 
 
 class Encoder:
     """``ids(texts)`` yields each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        self.entries = entries
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,6 +59,7 @@ class Encoder:
             self.pieces = None
         special = "|".join(re.escape(t["content"]) for t in spec.get("added_tokens", []))
         self.whole = re.compile(f"[{DOUBTFUL}]" + (f"|{special}" if special else ""))
+        self.ascii_doubts = ["\x1c", "\x1d", "\x1e", "\x1f", *(t["content"] for t in spec.get("added_tokens", []))]
         self.cache: dict[str, bytes] = {}
         # a special token cuts a text before anything else happens to it, so pieces between such tokens are encoded apart
         marks = [t for t in spec.get("added_tokens", []) if t.get("special") and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized"))]
@@ -88,20 +90,41 @@ class Encoder:
                 begin = end + 4
         return out
 
+    def _is_doubtful(self, text: str) -> bool:
+        if text.isascii():
+            return any(c in text for c in self.ascii_doubts)
+        return self.whole.search(text) is not None
+
     def _group(self, texts: list[str]) -> list[bytes]:
         if self.pieces is None:
             return self._encoded(texts)
-        cache = self.cache
-        split = [None if self.whole.search(t) else self.pieces(t) for t in texts]
-        new = set().union(*filter(None, split)).difference(cache)
-        if new:
-            missing = list(new)
-            cache.update(zip(missing, self._encoded_pieces(missing), strict=True))
-        out = [self._encoded([t])[0] if s is None else b"".join([cache[p] for p in s]) for t, s in zip(texts, split, strict=True)]
-        full = len(cache) > CACHE_ENTRIES
-        for p in new:
-            if full or len(p) > CACHED_CHARS:
-                del cache[p]
+        cache, flat, ends = self.cache, [], []
+        for t in texts:
+            if self._is_doubtful(t):
+                ends.append(None)
+            else:
+                flat += self.pieces(t)
+                ends.append(len(flat))
+        found, holes, at = list(map(cache.get, flat)), [], -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                holes.append(at)
+        except ValueError:
+            pass
+        new = list({flat[k] for k in holes})
+        made = dict(zip(new, self._encoded_pieces(new), strict=True))
+        for k in holes:
+            found[k] = made[flat[k]]
+        if len(cache) < self.entries:
+            cache.update((p, ids) for p, ids in made.items() if len(p) <= CACHED_CHARS)
+        out, begin = [], 0
+        for t, end in zip(texts, ends, strict=True):
+            if end is None:
+                out += self._encoded([t])
+            else:
+                out.append(b"".join(found[begin:end]))
+                begin = end
         return out
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
