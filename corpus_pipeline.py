@@ -14,6 +14,14 @@ from linkloom.llm import decontaminate, jaccard_join, packing, quality, substrin
 from linkloom.llm.common import written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Workers have run other stages before, so the last one keeps fewer pieces of text.
+CACHE_ENTRIES = 100_000
+#: Rows that go to a Python worker at once; workers and executors keep less of a stage when the next begins.
+BATCH_ROWS = 2_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,22 +31,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of similarity connect, the one with the least doc_id stays."""
+    _small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes and more that an earlier document has are cut out."""
+    _small_batches(spark)
     return substring_dedup.remove_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
+    _small_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of binary lengths, with their ids."""
-    return packing.pack(docs, TOKENIZER)
+    _small_batches(spark)
+    return packing.pack(docs, TOKENIZER, cache_entries=CACHE_ENTRIES)
 
 
 STAGES = [

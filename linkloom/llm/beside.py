@@ -14,10 +14,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import scratch_path, written
+from linkloom.llm.common import releasing, scratch_path, written
 
 #: Row number within its file: so many low bits of a row's id.
 ROW_BITS = 40
+#: Rows of a batch that are taken up together with what stands beside them.
+RUN = 1_000
 ROWS = "rid long, doc long, text string"
 
 
@@ -52,7 +54,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.record_batch([pa.array(rids, pa.int64()), *batch.columns[2:]], names=["rid", "doc", "text"])
 
     doc = F.col("doc_id").cast("long").alias("doc")
-    return docs, docs.select(F.col("_metadata.file_path"), F.col("_metadata.row_index"), doc, "text").mapInArrow(number, ROWS)
+    return docs, docs.select(F.col("_metadata.file_path"), F.col("_metadata.row_index"), doc, "text").mapInArrow(releasing(number), ROWS)
 
 
 class Beside:
@@ -110,7 +112,27 @@ def kept_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
             yield batch.filter(pa.array([r in wanted for r in rids], pa.bool_())).select(range(len(names)))
 
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    return inner.mapInArrow(choose, schema).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    return inner.mapInArrow(releasing(choose), schema).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def runs_with(batches: Iterator[pa.RecordBatch], beside: Beside) -> Iterator[tuple[pa.RecordBatch, object, pa.Table]]:
+    """Runs of at most RUN rows (rid first) that have rows beside them: the run, the place in it of each found row, the found rows."""
+    import numpy as np
+
+    for batch in batches:
+        found = beside.rows(batch.column(0).to_pylist())
+        if found is None:
+            continue
+        have = found["rid"].to_numpy()
+        for at in range(0, batch.num_rows, RUN):
+            run = batch.slice(at, RUN)
+            rids = run.column(0).to_numpy()
+            lo, hi = np.searchsorted(have, rids.min(), "left"), np.searchsorted(have, rids.max(), "right")
+            order = np.argsort(rids)
+            place = np.minimum(np.searchsorted(rids[order], have[lo:hi]), len(rids) - 1)
+            own = rids[order][place] == have[lo:hi]
+            if own.any():
+                yield run, order[place[own]], found.slice(lo, hi - lo).filter(pa.array(own))
 
 
 def beside_texts(texts: DataFrame, rows: DataFrame, names: list[str], name: str) -> DataFrame:
@@ -119,16 +141,8 @@ def beside_texts(texts: DataFrame, rows: DataFrame, names: list[str], name: str)
     kinds = dict(rows.dtypes)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        beside = Beside(path)
-        for batch in batches:
-            rids = batch.column(0).to_pylist()
-            found = beside.rows(rids)
-            if found is None:
-                continue
-            at = {r: k for k, r in enumerate(rids)}
-            found = found.filter(pa.array([r in at for r in found["rid"].to_pylist()], pa.bool_()))
-            own = batch.column(2).take(pa.array([at[r] for r in found["rid"].to_pylist()], pa.int64()))
-            for part in pa.table([*(found[n] for n in names), own], names=[*names, "text"]).combine_chunks().to_batches(max_chunksize=1000):
-                yield part
-
-    return texts.mapInArrow(look, ", ".join([*(f"{n} {kinds[n]}" for n in names), "text string"]))
+        for run, of, found in runs_with(batches, Beside(path)):
+            own = run.column(2).take(pa.array(of))
+            yield from pa.table([*(found[n] for n in names), own], names=[*names, "text"]).combine_chunks().to_batches()
+
+    return texts.mapInArrow(releasing(look), ", ".join([*(f"{n} {kinds[n]}" for n in names), "text string"]))

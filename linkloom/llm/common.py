@@ -5,7 +5,7 @@ from __future__ import annotations
 from linkloom.scratch import new_path as scratch_path
 from linkloom.scratch import written
 
-__all__ = ["release_memory", "scratch_path", "written"]
+__all__ = ["releasing", "scratch_path", "written"]
 
 
 def release_memory() -> None:
@@ -21,3 +21,15 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # not with this C library
         pass
+
+
+def releasing(task):
+    """A task over batches that gives its memory back when it ends."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            release_memory()
+
+    return run

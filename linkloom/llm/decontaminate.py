@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import releasing
+
 MIN_MATCH = 5
 #: Of an item's words; half of an item in runs of five words is no chance.
 THRESHOLD = 0.5
@@ -211,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                 columns = zip(*rows) if rows else [[]] * 6
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-        part = texts.mapInArrow(find, SCHEMA)
+        part = texts.mapInArrow(releasing(find), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
@@ -228,7 +230,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                 clean = [next(block.matches(t.as_py(), threshold), None) is None for t in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(releasing(keep), docs.schema)
     return docs
 
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import releasing
 from linkloom.llm.encoding import encoder
 
 #: Characters of a leaf at least; it ends at the next certain cut.
@@ -153,7 +154,7 @@ def edited_counts(docs: DataFrame, tokenizer: str, least: int = LEAF_CHARS) -> D
             columns = zip(*out) if out else [[]] * 7
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return rows.mapInArrow(apply, SCHEMA)
+    return rows.mapInArrow(releasing(apply), SCHEMA)
 
 
 def trees(docs: DataFrame, tokenizer: str, least: int = LEAF_CHARS) -> DataFrame:
@@ -165,7 +166,7 @@ def trees(docs: DataFrame, tokenizer: str, least: int = LEAF_CHARS) -> DataFrame
             counts = [[len(x) // 4 for x in codec.ids(leaves(t.as_py() or "", least) or [""])] for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.list_(pa.int64()))], names=["doc_id", "leaf_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "doc_id long, leaf_tokens array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(build), "doc_id long, leaf_tokens array<long>")
 
 
 def scripted_edits(doc_id: Column, text: Column) -> Column:

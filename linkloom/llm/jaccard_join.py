@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.beside import beside_texts, kept_rows, numbered
-from linkloom.llm.common import written
+from linkloom.llm.common import releasing, written
 from linkloom.llm.components import components
 from linkloom.llm.shingles import mixed, set_key, shingle_set, text_bytes
 
@@ -150,7 +150,7 @@ def memberships(texts: DataFrame) -> DataFrame:
                 sizes.append(len(s))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=["rid", "doc_id", "key", "n"])
 
-    return texts.mapInArrow(name, "rid long, doc_id long, key long, n long")
+    return texts.mapInArrow(releasing(name), "rid long, doc_id long, key long, n long")
 
 
 def _combined(paths, keys, bits, leaders: int) -> pa.RecordBatch:
@@ -213,7 +213,7 @@ def _paths(texts: DataFrame, threshold: float, miss: float, leaders: int) -> Dat
             for at in range(0, batch.num_rows, LOT):
                 yield from _leaves(classes(batch.column(2).slice(at, LOT), set()), threshold, leaders)
 
-    return texts.mapInArrow(walk, PATHS)
+    return texts.mapInArrow(releasing(walk), PATHS)
 
 
 def _walk_on(split: DataFrame, members: DataFrame, texts: DataFrame, threshold: float, leaders: int) -> DataFrame:
@@ -229,7 +229,7 @@ def _walk_on(split: DataFrame, members: DataFrame, texts: DataFrame, threshold:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))
             yield from _leaves(((k, shingle_set(text_bytes(t)), np.asarray(n, np.int64).view(np.uint64)) for k, n, t in rows), threshold, leaders)
 
-    return rows.mapInArrow(walk, PATHS)
+    return rows.mapInArrow(releasing(walk), PATHS)
 
 
 def _bucket_links(paths: DataFrame, leaders: int = LEADERS) -> DataFrame:
@@ -274,7 +274,7 @@ def _bucket_links(paths: DataFrame, leaders: int = LEADERS) -> DataFrame:
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.bool_())], names=["a", "b", "split"])
 
     n = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return paths.repartition(n, "path").sortWithinPartitions("path", "key").mapInArrow(scan, "a long, b long, split boolean")
+    return paths.repartition(n, "path").sortWithinPartitions("path", "key").mapInArrow(releasing(scan), "a long, b long, split boolean")
 
 
 def candidate_groups(texts: DataFrame, members: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, leaders: int = LEADERS) -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.encoding import encoder
+from linkloom.llm.common import releasing
+from linkloom.llm.encoding import CACHE_ENTRIES, encoder
 
 LONGEST = 1024
 END_ID = 0
@@ -39,9 +40,11 @@ def piece_lengths(n: int, longest: int = LONGEST) -> Iterator[int]:
             rest -= bit
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, longest: int = LONGEST) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, longest: int = LONGEST, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row per piece; ``longest`` is a power of two, ``tokenizer`` a path that every machine has.
 
+    ``cache_entries`` bounds the pieces of text whose ids a worker keeps (300 bytes each).
+
     ``sequence_id`` is bucket, partition and a count within both, from the highest
     bits down: unique, and the same when a task is run again.
     """
@@ -51,7 +54,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, longest: int = L
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        codec, part = encoder(tokenizer), TaskContext.get().partitionId()
+        codec, part = encoder(tokenizer, cache_entries), TaskContext.get().partitionId()
         end, made = np.asarray([end_id], "<u4").tobytes(), {}
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("bucket", pa.int32())])
         rows, held = [], 0
@@ -72,7 +75,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, longest: int = L
         if rows:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(cut), SCHEMA)
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.beside import Beside, file_numbers, numbered, rids_of, write_beside
-from linkloom.llm.common import release_memory, written
+from linkloom.llm.beside import RUN, Beside, file_numbers, numbered, rids_of, runs_with, write_beside
+from linkloom.llm.common import releasing, written
 from linkloom.llm.shingles import mixed, text_bytes
 
 LENGTH = 50
@@ -46,8 +46,6 @@ PLACES = LENGTH - ANCHOR + 1
 SIDE = (LENGTH - ANCHOR) // 2
 #: Bytes that are hashed at once; longer texts are taken in stretches of that many window starts.
 STRETCH = 1 << 18
-#: Rows of a batch whose open positions are taken up together.
-RUN = 1_000
 #: Anchors that a task combines before they travel.
 LOT = 200_000
 LAST_DOC = 2**63 - 1
@@ -214,11 +212,10 @@ def _round_1(texts: DataFrame) -> DataFrame:
             yield _batch(names, rank[rest].view(np.int64), name[rest].view(np.int64), doc[rest], rid[rest], at[rest])
             # marks go along under any rank, with a negative place
             yield _batch(names, mixed(mark[0].astype(np.uint64) + np.arange(n, dtype=np.uint64)).view(np.int64), mark[2], np.zeros(n, np.int64), mark[0], -1 - mark[1])
-        release_memory()
 
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one exchange and one sort serve both windows
-    rows = texts.mapInArrow(emit, names).repartition(n, "rank").sortWithinPartitions("rank", "name")
+    rows = texts.mapInArrow(releasing(emit), names).repartition(n, "rank").sortWithinPartitions("rank", "name")
     outer, inner = Window.partitionBy("rank"), Window.partitionBy("rank", "name")
     real = F.col("at") >= 0
     doc, name = F.when(real, F.col("doc")), F.when(real, F.col("name"))
@@ -262,9 +259,8 @@ def _round_2(texts: DataFrame, open_rows: DataFrame) -> DataFrame:
                 rank.append(_long_hash(data, start, np.full(len(start), ANCHOR + SIDE)))
                 rows.append((kind[has], found["rid"].to_numpy()[has], doc[has], at[has] + (0 if left else split[has]), (split[has] - 1) if left else (n - split)[has], after[has] - (0 if left else split[has])))
             yield _batch(names, np.concatenate(rank).view(np.int64), *(np.concatenate(c) for c in zip(*rows)))
-        release_memory()
 
-    ranked = texts.mapInArrow(emit, names)
+    ranked = texts.mapInArrow(releasing(emit), names)
     over = Window.partitionBy("rank")
     ranked = ranked.withColumns({"least": F.min("doc").over(over), "most": F.max("doc").over(over)}).where("least < most")
     return written(ranked.select(F.when(F.col("doc") > F.col("least"), 1).otherwise(2).alias("kind"), "rid", "doc", "at", "n", "after"), "pairs")
@@ -291,9 +287,8 @@ def _round_3(texts: DataFrame, open_rows: DataFrame) -> DataFrame:
             rest, m = ~here, len(mark[0])
             yield _batch(names, rank[rest].view(np.int64), doc[rest], rid[rest], at[rest])
             yield _batch(names, mixed(mark[0].astype(np.uint64) + np.arange(m, dtype=np.uint64)).view(np.int64), -1 - mark[2], mark[0], mark[1])
-        release_memory()
 
-    ranked = texts.mapInArrow(emit, names)
+    ranked = texts.mapInArrow(releasing(emit), names)
     real = F.col("doc_") >= 0
     # marks carry their length, negative, in place of the document
     ranked = ranked.withColumnsRenamed({"doc": "doc_"}).withColumn("doc", F.when(real, F.col("doc_")))
@@ -322,23 +317,10 @@ def _with_beside(batches, beside: Beside):
     """Of each run of rows with rows beside them: their texts as one buffer, where each text starts, the text of each found row, the found rows."""
     import numpy as np
 
-    for batch in batches:
-        found = beside.rows(batch.column(0).to_pylist())
-        if found is None:
-            continue
-        have = found["rid"].to_numpy()
-        for at in range(0, batch.num_rows, RUN):
-            run = batch.slice(at, RUN)
-            rids = run.column(0).to_numpy()
-            lo, hi = np.searchsorted(have, rids.min(), "left"), np.searchsorted(have, rids.max(), "right")
-            order = np.argsort(rids)
-            place = np.minimum(np.searchsorted(rids[order], have[lo:hi]), len(rids) - 1)
-            own = rids[order][place] == have[lo:hi]
-            if not own.any():
-                continue
-            parts = [d for _, _, d in _texts(run)]
-            sizes = np.asarray([len(p) for p in parts], np.int64)
-            yield np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, order[place[own]], found.slice(lo, hi - lo).filter(pa.array(own))
+    for run, of, found in runs_with(batches, beside):
+        parts = [d for _, _, d in _texts(run)]
+        sizes = np.asarray([len(p) for p in parts], np.int64)
+        yield np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, of, found
 
 
 def _marked(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
@@ -387,9 +369,8 @@ def removals(docs: DataFrame) -> DataFrame:
                 [run.column(1), pa.array([len(d) for d, _ in out], pa.int64()), spans, pa.array([_rest(*x) for x in out], pa.binary())],
                 names=["doc_id", "n_bytes", "spans", "kept"],
             )
-        release_memory()
 
-    return texts.mapInArrow(remove, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+    return texts.mapInArrow(releasing(remove), "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -418,7 +399,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.record_batch(columns, names=batch.schema.names[: len(names)])
 
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    out = inner.mapInArrow(remove, schema)
+    out = inner.mapInArrow(releasing(remove), schema)
     return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
 
 

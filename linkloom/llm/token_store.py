@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import scratch_path
+from linkloom.llm.common import releasing, scratch_path
 from linkloom.llm.encoding import encoder
 
 END_ID = 2
@@ -211,7 +211,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, shard
         columns = zip(*done) if done else [[] for _ in names]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    dealt.mapInArrow(store, MANIFEST).write.parquet(f"{out}/manifest")
+    dealt.mapInArrow(releasing(store), MANIFEST).write.parquet(f"{out}/manifest")
     return manifest(spark, out)
 
 
@@ -252,7 +252,7 @@ def read(spark: SparkSession, out: str) -> DataFrame:
                         )
                         row = last
 
-    return shards.repartition(n).mapInArrow(load, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.repartition(n).mapInArrow(releasing(load), "doc_id long, start long, n_tokens long, ids binary")
 
 
 class TokenStore:
