@@ -50,7 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of binary lengths, with their ids."""
     _small_batches(spark)
-    return packing.pack(docs, TOKENIZER, cache_entries=CACHE_ENTRIES)
+    return packing.pack(docs, TOKENIZER, cache_entries=CACHE_ENTRIES, keep_encoder=False)
 
 
 STAGES = [

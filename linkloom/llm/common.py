@@ -5,7 +5,11 @@ from __future__ import annotations
 from linkloom.scratch import new_path as scratch_path
 from linkloom.scratch import written
 
-__all__ = ["releasing", "scratch_path", "written"]
+__all__ = ["AT_END", "releasing", "scratch_path", "written"]
+
+
+#: Called at the end of a task: empties what a module keeps for the rows of one task.
+AT_END: list = []
 
 
 def release_memory() -> None:
@@ -15,6 +19,8 @@ def release_memory() -> None:
 
     import pyarrow as pa
 
+    for forget in AT_END:
+        forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

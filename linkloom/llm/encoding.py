@@ -37,6 +37,11 @@ def encoder(path: str, entries: int = CACHE_ENTRIES) -> Encoder:
     return _encoders[path, entries]
 
 
+def forget() -> None:
+    """Drops the process's encoders."""
+    _encoders.clear()
+
+
 class Encoder:
     """``ids(texts)`` yields each text's ids as little-endian unsigned 32-bit integers."""
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import releasing
-from linkloom.llm.encoding import CACHE_ENTRIES, encoder
+from linkloom.llm.encoding import CACHE_ENTRIES, encoder, forget
 
 LONGEST = 1024
 END_ID = 0
@@ -40,10 +40,11 @@ def piece_lengths(n: int, longest: int = LONGEST) -> Iterator[int]:
             rest -= bit
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, longest: int = LONGEST, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, longest: int = LONGEST, cache_entries: int = CACHE_ENTRIES, keep_encoder: bool = True) -> DataFrame:
     """One row per piece; ``longest`` is a power of two, ``tokenizer`` a path that every machine has.
 
-    ``cache_entries`` bounds the pieces of text whose ids a worker keeps (300 bytes each).
+    ``cache_entries`` bounds the pieces of text whose ids a worker keeps (300 bytes each);
+    without ``keep_encoder`` it drops tokenizer and cache after each task.
 
     ``sequence_id`` is bucket, partition and a count within both, from the highest
     bits down: unique, and the same when a task is run again.
@@ -74,6 +75,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, longest: int = L
                     rows, held = [], 0
         if rows:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        if not keep_encoder:
+            del codec
+            forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(cut), SCHEMA)
 

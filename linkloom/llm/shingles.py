@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from linkloom.llm.common import AT_END
+
 SHINGLE = 5
-#: Words whose hashes a task keeps.
+#: Words whose hashes a task keeps at most.
 CACHE_WORDS = 150_000
 _cache: dict[bytes, int] = {}
+AT_END.append(_cache.clear)
 
 
 def mixed(x):
