@@ -6,11 +6,12 @@ p(word) = p(symbol | history) * p(word | symbol), the latter by smoothed counts.
 network is a GRU in numpy; a symbol's probability is that of its class times that
 of the symbol in its class.
 
-Training is by truncated backpropagation: every training document gives windows of
-``WINDOW`` symbols, one of ``STRIDE`` (spread over ``ROUNDS`` passes), each with the
-state that the window before it leaves. Tasks train apart from common weights,
-which are averaged after each pass. Scoring runs over whole documents; the state is
-carried from window to window to the end.
+Training is by truncated backpropagation through ``WINDOW`` symbols. Every symbol of
+every training document is learned from once: each document belongs to one of
+``ROUNDS`` passes, and the state is carried from window to window. A document longer
+than ``PIECE`` symbols goes in pieces, each with the state that the ``WINDOW`` symbols
+before it leave. Tasks train apart from common weights, which are averaged after each
+pass. Scoring runs over whole documents; the state is carried to the end.
 
 Counts of frequent words (``BROADCAST_WORDS`` at most) are broadcast; the others'
 reach the documents by a join on the word.
@@ -25,7 +26,6 @@ from __future__ import annotations
 import heapq
 import math
 import pickle
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -41,13 +41,15 @@ FOLDS, HELD_OUT = 5, 1
 SYMBOLS, CLASS = 1024, 32
 ENDINGS, ENDING_BYTES = 256, 3
 HIDDEN, WINDOW, LANES = 24, 32, 256
-STRIDE, ROUNDS = 4, 2
+ROUNDS = 2
 BATCH, RATE, CLIP = 128, 0.08, 5.0
+#: Symbols of a document that one lane learns from one after another.
+PIECE = 64 * WINDOW
 #: Bound of a logit: far above what training reaches, far below where exp ends.
 TOP = 60.0
 #: Words whose counts each task holds (some MB).
 BROADCAST_WORDS = 60_000
-#: Words of documents that are scored together.
+#: Words of documents that are scored, or learned from, together.
 GROUP_WORDS = 2_500_000
 #: Averages of weights that come to the driver at once.
 SLOTS = 16
@@ -58,6 +60,23 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
 
 
+def pass_of(doc_id: Column) -> Column:
+    """The pass that learns from the document: one for each id, so no document is in two or in none."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(ROUNDS))
+
+
+def _keep_memory() -> None:
+    """Lets this worker use freed arrays again until the task ends, where giving back each would take a third of the time."""
+    import ctypes
+
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except AttributeError:  # not with this C library
+        return
+    for option in (-3, -1):  # arrays under 32 MB come from the heap, whose free end stays up to so much
+        mallopt(option, 32 << 20)
+
+
 def _words(text) -> list[bytes]:
     """Words of an Arrow string, A-Z in lower case; bytes split at just the six characters."""
     return text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
@@ -163,54 +182,70 @@ class Network:
         import numpy as np
 
         h, w = HIDDEN, self.w
-        out = np.empty((symbols.shape[1], len(symbols), h), np.float32)
-        for t in range(symbols.shape[1]):
-            state = state * ~begins[:, t, None]
-            x, q = w["inputs"][symbols[:, t]], state @ w["states"]
-            gates = 1 / (1 + np.exp(-(x[:, : 2 * h] + q[:, : 2 * h])))
-            z, r = gates[:, :h], gates[:, h:]
-            n = np.tanh(x[:, 2 * h :] + r * q[:, 2 * h :])
+        # lanes stand last within, so that each gate is one stretch of memory
+        x = np.ascontiguousarray(w["inputs"][symbols.T].swapaxes(1, 2))
+        turned, state = np.ascontiguousarray(w["states"].T), np.ascontiguousarray(state.T)
+        out, cleared = np.empty((len(x), h, len(symbols)), x.dtype), begins.any(0)
+        for t in range(len(x)):
+            if cleared[t]:
+                state = state * ~begins[:, t]
+            q = turned @ state
+            gates = x[t, : 2 * h] + q[: 2 * h]
+            np.exp(np.negative(gates, out=gates), out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            z, r = gates[:h], gates[h:]
+            n = r * q[2 * h :]
+            n += x[t, 2 * h :]
+            np.tanh(n, out=n)
             if keep is not None:
-                keep.append((state, z, r, n, q[:, 2 * h :]))
-            state = n + z * (state - n)
-            out[t] = state
-        return out, state
+                keep.append((state, z, r, n, q[2 * h :]))
+            after = np.subtract(state, n, out=out[t])
+            after *= z
+            after += n
+            state = after
+        return out.swapaxes(1, 2), state.T
 
     def log_probabilities(self, states, targets, gradient: bool = False):
         """Natural log of each target; with ``gradient``, also what training needs."""
         import numpy as np
 
         w = self.w
-        rows = np.arange(len(targets))
-        c, k = targets // CLASS, targets % CLASS
+        # targets by class, and a last column of ones by which biases are weights like others
+        order = np.argsort((targets // CLASS).astype(np.int16), kind="stable")
+        sorted_, rows = targets.take(order), np.arange(len(targets))
+        c, k = sorted_ // CLASS, sorted_ % CLASS
+        hs = np.ones((len(targets), HIDDEN + 1), states.dtype)
+        hs[:, :-1] = states.take(order, 0)
         # bounded instead of shifted by their maximum, and summed by a product: rows are short
-        logits = states @ w["classes"] + w["class_bias"]
+        logits = hs @ np.concatenate([w["classes"], w["class_bias"][None]])
         np.exp(np.minimum(logits, TOP, out=logits), out=logits)
         total = logits @ np.ones(logits.shape[1], logits.dtype)
-        out = np.log(logits[rows, c]) - np.log(total)
-        if gradient:
-            logits /= total[:, None]
-            logits[rows, c] -= 1
-            grads = {"classes": states.T @ logits, "class_bias": logits.sum(0), "outputs": np.zeros_like(w["outputs"]), "output_bias": np.zeros_like(w["output_bias"])}
-            back = logits @ w["classes"].T
-        order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(SYMBOLS // CLASS + 1))
-        ones = np.ones(CLASS, states.dtype)
-        for j in range(SYMBOLS // CLASS):
-            own = order[edges[j] : edges[j + 1]]
-            if not len(own):
-                continue
-            hs, at = states[own], np.arange(len(own))
-            y = hs @ w["outputs"][j] + w["output_bias"][j]
-            np.exp(np.minimum(y, TOP, out=y), out=y)
-            total = y @ ones
-            out[own] += np.log(y[at, k[own]]) - np.log(total)
-            if gradient:
-                y /= total[:, None]
-                y[at, k[own]] -= 1
-                grads["outputs"][j], grads["output_bias"][j] = hs.T @ y, y.sum(0)
-                back[own] += y @ w["outputs"][j].T
-        return (out, grads, back) if gradient else out
+        edges = np.searchsorted(c, np.arange(SYMBOLS // CLASS + 1)).tolist()
+        own = [(j, slice(lo, hi)) for j, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if lo < hi]
+        within = np.concatenate([w["outputs"], w["output_bias"][:, None]], 1)
+        y = np.empty((len(c), CLASS), np.result_type(hs, within))
+        for j, at in own:
+            np.matmul(hs[at], within[j], out=y[at])
+        np.exp(np.minimum(y, TOP, out=y), out=y)
+        total_within = y @ np.ones(CLASS, y.dtype)
+        at_class, at_symbol = rows * logits.shape[1] + c, rows * CLASS + k
+        out = np.empty(len(c), y.dtype)
+        out[order] = np.log(logits.take(at_class) / total) + np.log(y.take(at_symbol) / total_within)
+        if not gradient:
+            return out
+        logits *= (1 / total)[:, None]
+        logits.reshape(-1)[at_class] -= 1
+        y *= (1 / total_within)[:, None]
+        y.reshape(-1)[at_symbol] -= 1
+        sums, inner = hs.T @ logits, np.zeros_like(within)
+        pulled = logits @ w["classes"].T
+        for j, at in own:
+            np.matmul(hs[at].T, y[at], out=inner[j])
+            pulled[at] += y[at] @ w["outputs"][j].T
+        back = np.empty_like(pulled)
+        back[order] = pulled
+        return out, {"classes": sums[:-1], "class_bias": sums[-1], "outputs": inner[:, :-1], "output_bias": inner[:, -1]}, back
 
     def gradients(self, before, fresh, window, real):
         """Of the summed loss of windows (lanes, time + 1); ``before`` (lanes, time) leaves their states.
@@ -219,68 +254,141 @@ class Network:
         """
         import numpy as np
 
-        h = HIDDEN
         no = np.zeros(real.shape, bool)
-        _, state = self.steps(before, no, np.zeros((len(window), h), np.float32))
-        state *= ~fresh[:, None]
+        _, state = self.steps(before, no, np.zeros((len(window), HIDDEN), np.float32))
+        return self.carried(window[:, :-1], window[:, 1:], no, real, state * ~fresh[:, None])[0]
+
+    def carried(self, inputs, targets, begins, real, state):
+        """Gradients of the summed loss of lanes that ``state`` precedes, and the states they end in.
+
+        All but ``state`` are (lanes, time); ``begins`` marks inputs before which the state is cleared.
+        """
+        import numpy as np
+
+        h = HIDDEN
         kept: list = []
-        inputs, counted = window[:, :-1], real.T
-        states, _ = self.steps(inputs, no, state, kept)
-        _, grads, got = self.log_probabilities(states[counted], window[:, 1:].T[counted], gradient=True)
-        back = np.zeros_like(states)
+        counted, cleared = np.flatnonzero(real.T), begins.any(0)
+        states, after = self.steps(inputs, begins, state, kept)
+        _, grads, got = self.log_probabilities(states.reshape(-1, h).take(counted, 0), targets.T.reshape(-1).take(counted), gradient=True)
+        back = np.zeros((real.size, h), got.dtype)
         back[counted] = got
-        grads["inputs"], grads["states"] = np.zeros_like(self.w["inputs"]), np.zeros_like(self.w["states"])
-        ahead, pushed = np.zeros_like(state), np.empty((inputs.shape[1], len(window), 3 * h), state.dtype)
-        for t in range(inputs.shape[1] - 1, -1, -1):
+        back = np.ascontiguousarray(back.reshape(states.shape).swapaxes(1, 2))
+        # of the gates before their functions: by way of the inputs, and by way of the states
+        pushed = np.empty((len(back), 3 * h, len(inputs)), back.dtype)
+        pulled = np.empty_like(pushed)
+        ahead = np.zeros_like(back[0])
+        for t in range(len(back) - 1, -1, -1):
             s, z, r, n, q = kept[t]
-            d = back[t] + ahead
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (s - n) * z * (1 - z)
-            dr = dn * q * r * (1 - r)
-            pushed[t] = np.concatenate([dz, dr, dn], 1)
-            dq = np.concatenate([dz, dr, dn * r], 1)
-            grads["states"] += s.T @ dq
-            ahead = d * z + dq @ self.w["states"].T
-        symbols = inputs.T.reshape(-1)
-        order = np.argsort(symbols, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(symbols[order]) != 0]))
-        grads["inputs"][symbols[order[first]]] = np.add.reduceat(pushed.reshape(-1, 3 * h)[order], first)
-        return grads
+            dz, dr, dn, dq = pushed[t, :h], pushed[t, h : 2 * h], pushed[t, 2 * h :], pulled[t]
+            d = back[t]
+            d += ahead
+            on = d * z
+            np.subtract(1, np.multiply(n, n, out=dn), out=dn)
+            d -= on
+            dn *= d
+            np.subtract(s, n, out=dz)
+            dz *= on
+            dz *= 1 - z
+            np.multiply(dn, r, out=dq[2 * h :])
+            np.multiply(dq[2 * h :], q, out=dr)
+            dr *= 1 - r
+            dq[: 2 * h] = pushed[t, : 2 * h]
+            ahead = self.w["states"] @ dq
+            ahead += on
+            if cleared[t]:
+                ahead *= ~begins[:, t]
+        grads["states"] = (np.stack([x[0] for x in kept]) @ pulled.swapaxes(1, 2)).sum(0)
+        grads["inputs"] = _summed(pushed.swapaxes(1, 2).reshape(-1, 3 * h), inputs.T.reshape(-1), np.zeros_like(self.w["inputs"]))
+        return grads, after
+
+
+def _summed(rows, symbols, out):
+    """Adds to each symbol's row of ``out``, which has none yet, the rows that are its own."""
+    import numpy as np
+
+    order = np.argsort(symbols.astype(np.int16), kind="stable")
+    rows, symbols = rows.take(order, 0), symbols[order]
+    first = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
+    times = np.diff(np.append(first, len(symbols)))
+    few = 8  # rarer symbols all at once: their first rows, their second ones, and so on
+    for lo, n in zip(first[times > few].tolist(), times[times > few].tolist()):
+        out[symbols[lo]] = np.ones(n, rows.dtype) @ rows[lo : lo + n]
+    first, times = first[times <= few], times[times <= few]
+    for k in range(few):
+        at = first[times > k] + k
+        out[symbols[at]] += rows.take(at, 0)
+    return out
+
+
+def _dealt(sizes: list[int], lanes: int) -> list[list[int]]:
+    """Which documents each lane holds one after another, so that lanes are about equally long."""
+    load = [(0, k) for k in range(lanes)]
+    streams: list[list[int]] = [[] for _ in range(lanes)]
+    for d in sorted(range(len(sizes)), key=lambda d: -sizes[d]):
+        n, k = heapq.heappop(load)
+        streams[k].append(d)
+        heapq.heappush(load, (n + sizes[d], k))
+    return streams
 
 
 class Trainer:
-    """Adagrad on batches of windows, with the norm of a batch's gradient bounded."""
+    """Adagrad on batches of ``BATCH`` lanes by ``WINDOW`` symbols, with the norm of a batch's gradient bounded."""
 
     def __init__(self, net: Network):
         import numpy as np
 
-        self.net, self.seen, self.batch = net, 0, []
+        self.net, self.seen, self.pieces, self.held = net, 0, [], 0
         self.squares = {k: np.full_like(v, 1e-4) for k, v in net.w.items()}
 
-    def add(self, before: list[int], window: list[int]) -> None:
-        self.batch.append((before, window))
-        if len(self.batch) >= BATCH:
-            self.update()
+    def add(self, ids) -> None:
+        """A document's symbols, its end included: each is a target once."""
+        import numpy as np
+
+        sequence = np.concatenate([np.zeros(1, np.int16), ids])
+        for at in range(0, len(ids), PIECE):
+            before = min(at, WINDOW)  # inputs that only lead to the piece's first state
+            self.pieces.append((sequence[at - before : at + PIECE + 1], before))
+            self.held += len(self.pieces[-1][0])
+        if self.held >= GROUP_WORDS:
+            self.learn()
 
-    def update(self) -> None:
+    def learn(self) -> None:
+        """Learns from all pieces held; lanes hold one after another."""
         import numpy as np
 
-        rows, self.batch = self.batch, []
-        if not rows:
-            return
-        # windows begin at multiples of WINDOW, so what stands before one is a whole window or nothing
-        before, window = np.zeros((len(rows), WINDOW), np.int64), np.zeros((len(rows), WINDOW + 1), np.int64)
-        fresh, real = np.zeros(len(rows), bool), np.zeros((len(rows), WINDOW), bool)
-        for k, (b, w) in enumerate(rows):
-            fresh[k] = not b
-            if b:
-                before[k] = b
-            window[k, : len(w)] = w
-            real[k, : len(w) - 1] = True
-        n = int(real.sum())
-        if not n:
+        pieces, self.pieces, self.held = self.pieces, [], 0
+        if not pieces:
             return
-        total = self.net.gradients(before, fresh, window, real)
+        sizes = [len(p) - 1 for p, _ in pieces]
+        lanes = min(BATCH, len(pieces))
+        streams = [sorted(own) for own in _dealt(sizes, lanes)]  # in the order in which they came
+        streams.sort(key=lambda own: -sum(sizes[d] for d in own))
+        ends = np.asarray([sum(sizes[d] for d in own) for own in streams])
+        inputs, targets = (np.zeros((lanes, int(ends[0])), np.int16) for _ in range(2))
+        begins, real = (np.zeros(inputs.shape, bool) for _ in range(2))
+        for k, own in enumerate(streams):
+            at = 0
+            for d in own:
+                sequence, before = pieces[d]
+                end = at + sizes[d]
+                inputs[k, at:end], targets[k, at:end] = sequence[:-1], sequence[1:]
+                begins[k, at], real[k, at + before : end] = True, True
+                at = end
+        state = np.zeros((lanes, HIDDEN), np.float32)
+        for at in range(0, inputs.shape[1], WINDOW):
+            live = int((ends > at).sum())  # lanes end one after another, the last first
+            cut = (slice(live), slice(at, at + WINDOW))
+            n = int(real[cut].sum())
+            if n:
+                grads, state = self.net.carried(inputs[cut], targets[cut], begins[cut], real[cut], state[:live])
+                self.update(grads, n)
+            else:
+                _, state = self.net.steps(inputs[cut], begins[cut], state[:live])
+
+    def update(self, total: dict, n: int) -> None:
+        """One step by the gradients of ``n`` targets."""
+        import numpy as np
+
         norm = math.sqrt(sum(float((v * v).sum()) for v in total.values())) / n
         scale = min(1.0, CLIP / max(norm, 1e-9)) / n
         for k, v in total.items():
@@ -291,26 +399,20 @@ class Trainer:
 
 
 def _train(docs: DataFrame, vocab: Vocabulary, weights: dict, turn: int) -> dict:
-    """One pass over all training documents; the weights averaged over its tasks."""
+    """One pass over the training documents that belong to it; the weights averaged over its tasks."""
     import numpy as np
 
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((vocab, weights))  # SYMBOLS words and fewer than 200,000 numbers
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_memory()
         vocab, start = sent.value
-        trainer, table, every = Trainer(Network(weights={k: v.copy() for k, v in start.items()})), dict(vocab.word), STRIDE * ROUNDS
+        trainer, table = Trainer(Network(weights={k: v.copy() for k, v in start.items()})), dict(vocab.word)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words, drawn = _words(text), zlib.crc32(str(doc).encode(), turn)
-                last = len(words) + 1  # the sequence is an end, the words and an end; this is the second end's place
-                for w in range((turn * STRIDE + drawn) % every, -(-last // WINDOW), every):
-                    at = w * WINDOW
-                    low, high = max(at - WINDOW, 0), at + WINDOW + 1
-                    own = vocab.symbols(words[max(low - 1, 0) : min(high, last) - 1], table).tolist()
-                    own = [0] * (low == 0) + own + [0] * (high > last)
-                    trainer.add(own[: at - low], own[at - low :])
-        trainer.update()
+            for text in batch.column(0):
+                trainer.add(np.append(vocab.symbols(_words(text), table), np.int16(0)))
+        trainer.learn()
         if trainer.seen:
             blob = pickle.dumps({k: v * np.float64(trainer.seen) for k, v in trainer.net.w.items()})
             yield pa.record_batch([pa.array([TaskContext.get().partitionId() % SLOTS], pa.int32()), pa.array([trainer.seen], pa.int64()), pa.array([blob], pa.binary())], names=["slot", "seen", "blob"])
@@ -326,7 +428,7 @@ def _train(docs: DataFrame, vocab: Vocabulary, weights: dict, turn: int) -> dict
             yield pa.record_batch([pa.array([0], pa.int32()), pa.array([seen], pa.int64()), pa.array([pickle.dumps(total)], pa.binary())], names=["slot", "seen", "blob"])
 
     schema = "slot int, seen long, blob binary"
-    parts = docs.select("doc_id", "text").mapInArrow(releasing(learn), schema).repartition(SLOTS, "slot").mapInArrow(releasing(add_up), schema).collect()
+    parts = docs.where(pass_of(F.col("doc_id")) == turn).select("text").mapInArrow(releasing(learn), schema).repartition(SLOTS, "slot").mapInArrow(releasing(add_up), schema).collect()
     seen = sum(p.seen for p in parts)
     if not seen:
         return weights
@@ -361,13 +463,8 @@ def _document_logs(net: Network, docs: list):
     out = np.zeros(len(docs))
     longest, total = max(map(len, docs)), sum(map(len, docs))
     lanes = max(1, min(LANES, -(-total // longest), len(docs)))
-    load = [(0, k) for k in range(lanes)]
-    streams: list[list[int]] = [[] for _ in range(lanes)]
-    for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
-        n, k = heapq.heappop(load)
-        streams[k].append(d)
-        heapq.heappush(load, (n + len(docs[d]), k))
-    time = max(n for n, _ in load)
+    streams = _dealt([len(d) for d in docs], lanes)
+    time = max(sum(len(docs[d]) for d in own) for own in streams)
     symbols, owner, begins = np.zeros((lanes, time), np.int16), np.full((lanes, time), -1, np.int32), np.zeros((lanes, time), bool)
     for k, own in enumerate(streams):
         at = 0
@@ -407,6 +504,7 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        _keep_memory()
         vocab, weights, logs = sent.value
         net, part, nth = Network(weights=weights), TaskContext.get().partitionId(), 0
         divisor, first = vocab.divisor, vocab.first_ending

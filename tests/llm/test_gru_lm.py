@@ -107,3 +107,33 @@ def test_gradients_by_differences():
         down = loss()
         n.w[name][at] = was
         assert abs((up - down) / 2e-3 - grads[name][at]) < 0.05 * abs(grads[name][at]) + 1e-2
+
+
+def untaught(spark, docs, markers):
+    """Markers (frequent words) whose input row no pass has changed."""
+    table = documents(spark, docs)
+    counts = g.written(g.word_counts(table), "counts")
+    vocab, weights = g.fit(table, counts, g.frequent_words(counts))
+    changed = (weights["inputs"] != g.Network(vocab.counts).w["inputs"]).any(1)
+    assert all(m.encode() in vocab.word for m in markers)
+    return [m for m in markers if not changed[vocab.word[m.encode()]]]
+
+
+def test_every_window_is_learned_from(spark):
+    docs, markers = [], []
+    for d, windows in [(7 * k + 1, 20) for k in range(20)] + [(1, 150)]:  # the last one goes in pieces
+        words = []
+        for w in range(windows):
+            markers.append(f"m{len(markers)}x")
+            words += ["the"] * 15 + [markers[-1]] + ["of"] * 16
+        docs.append((d, " ".join(words)))
+    assert untaught(spark, docs, markers) == []
+
+
+def test_every_symbol_is_a_target_once():
+    trainer = g.Trainer(g.Network([5, 4, 3, 2, 1] * 10))
+    lengths = [1, 2, 31, 32, 33, g.PIECE - 1, g.PIECE, g.PIECE + 1, 3 * g.PIECE + 5]
+    for n in lengths:
+        trainer.add(np.zeros(n, np.int16))
+    trainer.learn()
+    assert trainer.seen == sum(lengths)
