@@ -137,3 +137,18 @@ def test_every_symbol_is_a_target_once():
         trainer.add(np.zeros(n, np.int16))
     trainer.learn()
     assert trainer.seen == sum(lengths)
+
+
+def test_passes_are_disjoint_for_ids_of_every_length(spark):
+    for digits in range(1, 11):
+        low = 10 ** (digits - 1)
+        ids = [low + k * max(1, 9 * low // 500) for k in range(min(500, 9 * low))]
+        table = spark.createDataFrame([(d,) for d in ids] + [(None,)], "doc_id long")
+        passes = [[r.doc_id for r in table.where(g.pass_of(F.col("doc_id")) == turn).collect()] for turn in range(g.ROUNDS)]
+        assert all(passes) and sorted(sum(passes, []), key=str) == sorted([*ids, None], key=str)
+
+
+def test_ids_of_seven_digits_lose_no_window(spark):
+    markers = [f"m{k}x" for k in range(320)]
+    docs = [(1_000_000 + 7919 * k, " ".join(" ".join(["the"] * 15 + [m] + ["of"] * 16) for m in markers[16 * k : 16 * k + 16])) for k in range(20)]
+    assert untaught(spark, docs, markers) == []
