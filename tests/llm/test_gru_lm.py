@@ -152,3 +152,8 @@ def test_ids_of_seven_digits_lose_no_window(spark):
     markers = [f"m{k}x" for k in range(320)]
     docs = [(1_000_000 + 7919 * k, " ".join(" ".join(["the"] * 15 + [m] + ["of"] * 16) for m in markers[16 * k : 16 * k + 16])) for k in range(20)]
     assert untaught(spark, docs, markers) == []
+
+
+def test_short_documents_are_learned_from(spark):
+    markers = [f"m{k}x" for k in range(300)]
+    assert untaught(spark, [(k, f"of {m} the") for k, m in enumerate(markers)], markers) == []
