@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import shlex
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
@@ -12,24 +13,61 @@ from linkloom.functions.links import normalised_title, page_url, url_path
 from linkloom.operators import crawl as crawling
 from linkloom.operators import graph, report
 from linkloom.operators.paths import path_chain
+from linkloom.operators.services import Links, Pages
 from linkloom.operators.store import GraphStore
 from linkloom.sources.fetch import FileSource, WebSource
 
 SEED = "https://en.wikipedia.org/wiki/Black_hole"
-COMMANDS = {"wiki": ["-p", "--path"], "crawler": ["start", "stop", "--start-link", "-d"], "exit": []}
+OPTIONS = {"wiki": ["-p", "--path"], "crawler": ["start", "stop", "wait", "--start-link", "-d", "--display"], "exit": []}
+
+
+class Verbs:
+    """Commands by name: found in any case, listed as they were registered."""
+
+    def __init__(self):
+        self._verbs: dict[str, tuple[Callable, list[str]]] = {}
+
+    def register(self, name: str, action: Callable, options: list[str] | None = None) -> None:
+        self._verbs[name.lower()] = (action, list(options or []))
+
+    def remove(self, name: str) -> None:
+        self._verbs.pop(name.lower(), None)
+
+    def find(self, name: str) -> Callable | None:
+        return self._verbs.get(name.lower(), (None, []))[0]
+
+    def has(self, name: str) -> bool:
+        """Whether a command has exactly this name."""
+        return name in self._verbs
+
+    def names(self) -> list[str]:
+        return list(self._verbs)
+
+    def completions(self, words: list[str]) -> list[str]:
+        """What the last word may become: a command, or an option of the command."""
+        last = words[-1] if words else ""
+        pool = self.names() if len(words) < 2 else self._verbs.get(words[0].lower(), (None, []))[1]
+        return [c for c in pool if c.startswith(last)]
 
 
 def completions(words: list[str]) -> list[str]:
-    """What the last word may become: a command, or an option of the command."""
-    last = words[-1] if words else ""
-    pool = COMMANDS if len(words) < 2 else COMMANDS.get(words[0].lower(), [])
-    return [c for c in pool if c.startswith(last)]
+    verbs = Verbs()
+    for name, options in OPTIONS.items():
+        verbs.register(name, print, options)
+    return verbs.completions(words)
 
 
 class Shell:
+    """The three verbs over one store; ``source`` and ``config`` are those of the crawls it starts."""
+
     def __init__(self, spark, folder: str, source=None, config: crawling.CrawlConfig | None = None, out=sys.stdout):
         self.spark, self.store, self.out = spark, GraphStore(spark, folder), out
-        self.source, self.config, self.running = source or WebSource(), config or crawling.CrawlConfig(), True
+        self.pages, self.source, self.config = Pages(self.store), source or WebSource(), config or crawling.CrawlConfig()
+        self.links = Links(self.store, self.config.ttl_ms)
+        self.crawl: crawling.Crawler | None = None
+        self.running, self.verbs = True, Verbs()
+        for name, options in OPTIONS.items():
+            self.verbs.register(name, getattr(self, name), options)
 
     def say(self, text: str) -> None:
         print(text, file=self.out)
@@ -38,7 +76,7 @@ class Shell:
         words = shlex.split(line)
         if not words:
             return
-        verb = {"wiki": self.wiki, "crawler": self.crawler, "exit": self.exit}.get(words[0].lower())
+        verb = self.verbs.find(words[0])
         if verb is None:
             self.say(f"Unknown command {words[0]}")
             return
@@ -53,7 +91,7 @@ class Shell:
         parser.add_argument("titles", nargs="*")
         parser.add_argument("-p", "--path", action="store_true")
         given = parser.parse_args(args)
-        pages, edges = self.store.read("pages"), self.store.read("edges")
+        pages, edges = self.pages.all(), self.store.read("edges")
         if not given.titles:
             for row in report.adjacency_listing(pages, edges).orderBy("path").toLocalIterator():
                 self.say(row.listing)
@@ -71,30 +109,49 @@ class Shell:
         elif len(found) < 2:
             self.say("A path needs two titles at least")
         else:
-            titles = {r.path: r.title for r in found}
             legs = path_chain(edges, [r.path for r in found], pages.where("is_removed").select("path"))
-            text = legs.select("leg", report.path_text(F.col("path")).alias("line")).orderBy("leg", "line")
-            shown = {}
-            for row in text.toLocalIterator():
+            lines = report.titled_paths(legs, pages).select("leg", report.path_text(F.col("path")).alias("line"))
+            shown: dict[int, list[str]] = {}
+            for row in lines.orderBy("leg", "line").toLocalIterator():
                 shown.setdefault(row.leg, []).append(row.line)
             for leg, (a, b) in enumerate(zip(found, found[1:])):
-                for line in shown.get(leg, [f"No path exists between {titles[a.path]} and {titles[b.path]}"]):
+                for line in shown.get(leg, [f"No path exists between {a.title} and {b.title}"]):
                     self.say(line)
 
     def crawler(self, args: list[str]) -> None:
+        """``start`` begins a crawl beside the shell, ``stop`` ends it between two generations, ``wait`` lets it end."""
         parser = argparse.ArgumentParser(prog="crawler")
-        parser.add_argument("action", choices=["start", "stop"])
+        parser.add_argument("action", choices=["start", "stop", "wait"])
         parser.add_argument("--start-link", default=SEED)
         parser.add_argument("-d", "--display", action="store_true")
         given = parser.parse_args(args)
         if given.action == "start":
+            if self.crawl is not None and self.crawl.running:
+                self.say("A crawl is running")
+                return
             seeds = self.spark.createDataFrame([(given.start_link,)], "url string").select(url_path(F.col("url")).alias("path"))
-            done = crawling.crawl(self.store, self.source, seeds, self.config)
-            self.say(f"{done.indexed} pages in {done.generations} generations, {done.gone} gone, {done.stashed} to try again")
+            self.crawl = crawling.Crawler(self.store, self.source, self.config)
+            self.crawl.start(seeds)
+            self.say(f"Crawl from {given.start_link}")
+            return
+        if given.action == "stop" and self.crawl is not None:
+            self.crawl.stop()
+        self.wait()
         if given.display:
             self.wiki([])
 
+    def wait(self) -> None:
+        """Until the crawl that runs has ended; says what it did."""
+        if self.crawl is None:
+            return
+        crawl, self.crawl = self.crawl, None
+        done = crawl.wait()
+        self.say(f"{done.indexed} pages in {done.generations} generations, {done.gone} gone, {done.stashed} to try again ({done.ended})")
+
     def exit(self, args: list[str]) -> None:
+        if self.crawl is not None:
+            self.crawl.stop()
+            self.wait()
         self.running = False
 
     def loop(self, lines) -> None:
@@ -117,6 +174,7 @@ def main(argv: list[str] | None = None) -> int:
     given = parser.parse_args(argv)
     shell = Shell(local_session("*"), given.store, FileSource(given.files) if given.files else None)
     shell.loop([shlex.join(given.command)] if given.command else sys.stdin)
+    shell.wait()
     return 0
 
 

@@ -91,3 +91,18 @@ def decode_locales(entries: Column) -> Column:
     """The map back; a path keeps its own colons."""
     pair = lambda e: F.struct(F.substring_index(e, ":", 1).alias("key"), F.regexp_extract(e, r"(?s)^[^:]*:(.*)$", 1).alias("value"))
     return F.map_from_entries(F.transform(entries, pair))
+
+
+def with_locale(locales: Column, lang: str, path: Column) -> Column:
+    """The map with one language set to a path, whether or not it was there."""
+    return F.map_concat(F.create_map(F.lit(lang), path), F.map_filter(locales, lambda k, v: k != lang))
+
+
+def locale_names(locales: Column) -> Column:
+    """The languages of a map, sorted."""
+    return F.array_sort(F.map_keys(locales))
+
+
+def locale_path(locales: Column, lang: str = "en") -> Column:
+    """The path in one language; null where there is none."""
+    return F.try_element_at(locales, F.lit(lang))

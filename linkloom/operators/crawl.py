@@ -1,13 +1,15 @@
 """The crawl as a loop of generations over a GraphStore.
 
 A generation fetches its frontier, routes what came back, parses the documents,
-applies creates, updates and tombstones, and admits the links that still point
-nowhere. Each generation is committed before the next begins, so a crawl can be
-stopped, or lose its driver, between any two and go on from the store.
+works out creates, updates and tombstones, and admits the links that still point
+nowhere. It looks up only what the generation touches and commits only what
+changed, before the next one begins, so a crawl can be stopped, or lose its driver,
+between any two and go on from the store.
 """
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -17,9 +19,9 @@ from pyspark.sql import functions as F
 
 from linkloom import schema
 from linkloom.functions.html import DocumentAnalyzer, analyzer, parse_documents
-from linkloom.operators import changes, graph
-from linkloom.operators.store import GraphStore
-from linkloom.scratch import written
+from linkloom.operators import changes, graph, report
+from linkloom.operators.store import Delta, GraphStore
+from linkloom.scratch import release, written
 from linkloom.sources.fetch import Source
 
 
@@ -30,9 +32,13 @@ class CrawlConfig:
     early_stop: int = -1
     #: Rows of a frontier that one generation takes; the rest waits. None: all of it.
     capacity: int | None = None
-    max_generations: int = 1_000
+    #: Generations after which the crawl stops and says so; None: it goes on until nothing is due.
+    max_generations: int | None = None
     #: Whether a page that comes back loses its tombstone.
     resurrect: bool = False
+    #: After so many created pages ``on_publish`` gets them; 0: never.
+    publish_every: int = 0
+    on_publish: Callable[[DataFrame], None] | None = None
     factory: Callable[[], DocumentAnalyzer] = analyzer
     clock: Callable[[], int] = field(default=lambda: int(time.time() * 1000))
 
@@ -40,93 +46,239 @@ class CrawlConfig:
 @dataclass
 class CrawlReport:
     generations: int = 0
+    #: Pages created or updated, unchanged ones included, and of these the created ones.
     indexed: int = 0
+    created: int = 0
     gone: int = 0
     stashed: int = 0
-    stopped_early: bool = False
+    publishes: int = 0
+    #: Why it ended: drained, early_stop, max_generations or stopped.
+    ended: str = ""
+
+    @property
+    def stopped_early(self) -> bool:
+        return self.ended == "early_stop"
 
 
 def admit(links: DataFrame, wanted: DataFrame, now_ms: int, ttl_ms: int) -> DataFrame:
     """The wanted links that are due, with their states, registered."""
-    state = changes.get_or_make_links(links, wanted)
+    state = changes.get_or_make_links(graph.pages_in(links, wanted), wanted)
     return state.where(changes.is_due(now_ms, ttl_ms)).withColumn("registered", F.lit(True))
 
 
-def _index(store: GraphStore, parsed: DataFrame, config: CrawlConfig) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Next pages, raw links and edges, and the links that point nowhere."""
-    pages, raw, edges = (store.read(t) for t in ("pages", "raw_links", "edges"))
-    good = parsed.where("error is null")
-    stored = pages.join(graph.neighbour_sets(edges).select(F.col("src").alias("path"), F.col("neighbours").alias("links")), "path", "left")
-    judged = changes.page_changes(stored, good)
-    fresh = judged.where("action = 'create' or changed")
-    top = pages.agg(F.coalesce(F.max("unique_id"), F.lit(-1))).first()[0]
-    rows = fresh.select("path", "title", "description", "is_redirect", "article_type", "locales")
-    old = rows.join(pages.select("path", "unique_id", "is_removed"), "path", "left")
-    kept = old.where("unique_id is not null")
-    made = graph.with_ids(old.where("unique_id is null").drop("is_removed"), top + 1).withColumn("is_removed", F.lit(False))
-    new_pages = kept.unionByName(made.select(*kept.columns))
-    if config.resurrect:
-        new_pages = new_pages.withColumn("is_removed", F.lit(False))
-    next_pages = changes.upsert(pages, new_pages)
-    touched = fresh.select(F.col("path").alias("src_path"))
-    next_raw = raw.join(touched, "src_path", "left_anti").unionByName(graph.explode_links(fresh)).distinct()
-    # edges follow from what pages state now, so a link that a page dropped can never come back as an edge
-    tables = {"pages": next_pages, "raw_links": next_raw, "edges": graph.resolved_edges(next_raw, next_pages)}
-    seen = good.select(F.col("path").alias("src_path"))
-    return tables, graph.dangling_links(next_raw.join(seen, "src_path", "left_semi"), next_pages)
+def _judged(store: GraphStore, good: DataFrame) -> DataFrame:
+    """Written rows of parsed pages with what the store says of each: action, changed, unique_id, is_removed."""
+    paths = good.select("path")
+    pages = graph.pages_in(store.read("pages"), paths)
+    edges = store.read("edges").join(paths.select(F.col("path").alias("src")), "src", "left_semi")
+    links = graph.neighbour_sets(edges).select(F.col("src").alias("path"), F.col("neighbours").alias("links"))
+    judged = changes.page_changes(pages.join(links, "path", "left"), good)
+    return written(judged.join(pages.select("path", "unique_id", "is_removed"), "path", "left"), "judged")
 
 
-def crawl(store: GraphStore, source: Source, seeds: DataFrame, config: CrawlConfig | None = None) -> CrawlReport:
-    """Runs generations from ``seeds`` (column path) until nothing is due, or early_stop is reached.
-
-    Seeds are fetched whatever their state; later links only when they are due.
-    """
-    config, report = config or CrawlConfig(), CrawlReport()
-    now = config.clock()
-    frontier = written(changes.get_or_make_links(store.read("links"), seeds), "frontier")
-    for _ in range(config.max_generations):
-        taken, waiting = frontier, None
-        if config.capacity is not None:
-            taken = written(frontier.orderBy("path").limit(config.capacity), "taken")
-            waiting = frontier.join(taken.select("path"), "path", "left_anti")
-        routed = written(changes.fetch_routes(source(taken)), "fetched")
+def _page_rows(store: GraphStore, judged: DataFrame, gone: DataFrame, resurrect: bool, creates: bool) -> DataFrame:
+    """The pages that this generation writes: created, changed, tombstoned and, if asked for, brought back."""
+    names = schema.PAGES.fieldNames()
+    made = judged.where("action = 'create'").withColumn("is_removed", F.lit(False)).select(*names)
+    if creates:
+        top = store.read("pages").agg(F.coalesce(F.max("unique_id"), F.lit(-1))).first()[0]
+        made = graph.with_ids(made, top + 1).select(*names)
+    back = F.col("is_removed") if resurrect else F.lit(False)
+    kept = judged.where("action = 'update'").where(F.col("changed") | back)
+    kept = kept.withColumn("is_removed", F.lit(False)) if resurrect else kept
+    stored = graph.pages_in(store.read("pages"), gone)
+    return made.unionByName(kept.select(*names)).unionByName(changes.tombstones(stored, gone).select(*names))
+
+
+def _resolved(store: GraphStore, judged: DataFrame) -> DataFrame:
+    """Written (src, dst, known, fresh): each link that a parsed page states, whether its target has a page now, whether the page is new or changed."""
+    stated = judged.select(F.col("path").alias("src"), F.explode("links").alias("dst"), (F.col("changed") | (F.col("action") == "create")).alias("fresh")).distinct()
+    known = store.read("pages").select(F.col("path").alias("dst")).unionByName(judged.where("action = 'create'").select(F.col("path").alias("dst")))
+    known = known.withColumn("known", F.lit(True))
+    return written(stated.join(known, "dst", "left").select("src", "dst", F.coalesce("known", F.lit(False)).alias("known"), "fresh"), "resolved")
+
+
+def _late(store: GraphStore, judged: DataFrame) -> DataFrame:
+    """Edges of untouched pages that had been waiting for a page that is created now."""
+    made = judged.where("action = 'create'").select(F.col("path").alias("dst_path"))
+    touched = judged.where("action = 'create' or changed").select(F.col("path").alias("src_path"))
+    waiting = store.read("raw_links").join(made, "dst_path", "left_semi").join(touched, "src_path", "left_anti")
+    return waiting.select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
+
+
+def _early(parsed: DataFrame, left: int) -> DataFrame:
+    """The first ``left`` good rows in order of path, and all others."""
+    return written(parsed.where("route = 'index'").orderBy("path").limit(max(left, 0)).unionByName(parsed.where("route <> 'index'")), "parsed")
+
+
+class Crawler:
+    """One crawl: ``run`` it here, or ``start`` it beside the caller and ``stop`` it between two generations."""
+
+    def __init__(self, store: GraphStore, source: Source, config: CrawlConfig | None = None):
+        self.store, self.source, self.config = store, source, config or CrawlConfig()
+        self.report = CrawlReport()
+        self._stop, self._thread, self._error = threading.Event(), None, None
+
+    @property
+    def running(self) -> bool:
+        return self._thread is not None and self._thread.is_alive()
+
+    def start(self, seeds: DataFrame) -> None:
+        def work():
+            try:
+                self.run(seeds)
+            except Exception as e:  # noqa: BLE001  wait() raises it where the caller is
+                self._error = e
+
+        self._thread = threading.Thread(target=work, daemon=True)
+        self._thread.start()
+
+    def stop(self) -> None:
+        """Ends the crawl after the generation that runs; what waits is free again."""
+        self._stop.set()
+
+    def wait(self) -> CrawlReport:
+        if self._thread is not None:
+            self._thread.join()
+        if self._error is not None:
+            raise self._error
+        return self.report
+
+    def run(self, seeds: DataFrame) -> CrawlReport:
+        """Generations from ``seeds`` (column path) until nothing is due, or something stops it.
+
+        Seeds are fetched whatever their state; later links only when they are due.
+        """
+        store, config, done = self.store, self.config, self.report
+        unpublished = 0
+        frontier = written(changes.get_or_make_links(graph.pages_in(store.read("links"), seeds), seeds), "frontier")
+        while True:
+            if self._stop.is_set():
+                done.ended = "stopped"
+            elif config.max_generations is not None and done.generations >= config.max_generations:
+                done.ended = "max_generations"
+            if done.ended:
+                break
+            taken, waiting = frontier, None
+            if config.capacity is not None:
+                taken = written(frontier.orderBy("path").limit(config.capacity), "taken")
+                waiting = frontier.join(taken.select("path"), "path", "left_anti")
+            created, frontier = self._generation(taken, waiting, frontier)
+            unpublished += created
+            if config.publish_every and unpublished >= config.publish_every:
+                self._publish()
+                unpublished = 0
+            if 0 <= config.early_stop <= done.indexed:
+                done.ended = "early_stop"
+            elif frontier.isEmpty():
+                done.ended = "drained"
+        if done.ended != "drained":  # what still waits is free again
+            store.commit(links=frontier.withColumn("registered", F.lit(False)))
+        release(frontier)
+        return done
+
+    def _publish(self) -> None:
+        done = self.report
+        done.publishes += 1
+        if self.config.on_publish is not None:
+            last = getattr(self, "_published", -1)
+            visits = self.store.read("visits").where((F.col("action") == "create") & (F.col("generation") > last))
+            self.config.on_publish(graph.pages_in(self.store.read("pages"), visits))
+        self._published = done.generations - 1
+
+    def _generation(self, taken: DataFrame, waiting: DataFrame | None, frontier: DataFrame) -> tuple[int, DataFrame]:
+        """One generation, committed: how many pages it created, and the next frontier."""
+        store, config, done = self.store, self.config, self.report
+        routed = written(changes.fetch_routes(self.source(taken)), "fetched")
         parsed = written(parse_documents(routed.where("route = 'parse'"), config.factory), "parsed")
+        used = [routed, parsed]
         if config.early_stop >= 0:
-            left = config.early_stop - report.indexed
-            good = parsed.where("error is null")
-            parsed = written(good.orderBy("path").limit(left).unionByName(parsed.where("error is not null")), "parsed")
-        n_good, n_bad = parsed.agg(F.count(F.when(F.col("error").isNull(), 1)), F.count("error")).first()
-        gone = routed.where("route = 'unlink'").select("path").unionByName(parsed.where("error is not null").select("path"))
-        stashed = routed.where("route = 'stash'").select("path")
-        n_gone, n_stashed = routed.agg(F.count(F.when(F.col("route") == "unlink", 1)), F.count(F.when(F.col("route") == "stash", 1))).first()
-        tables, dangling = _index(store, parsed, config)
-        tables["pages"] = changes.tombstones(tables["pages"], gone)
+            parsed = _early(parsed, config.early_stop - done.indexed)
+            used.append(parsed)
+        judged = _judged(store, parsed.where("route = 'index'").drop("error", "route"))
+        fetched = routed.where("route <> 'parse'").select("path", "route", F.col("status").alias("error"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("int").alias("worker"), F.lit(None).cast("long").alias("took_us"))
+        bad = parsed.where("route <> 'index'").select("path", "route", "error", F.lit(None).cast("string").alias("action"), "worker", "took_us")
+        seen = judged.select("path", F.lit("index").alias("route"), F.lit(None).cast("string").alias("error"), F.when(F.col("changed") | (F.col("action") == "create"), F.col("action")).otherwise("unchanged").alias("action"), "worker", "took_us")
+        visits = written(fetched.unionByName(bad).unionByName(seen), "visits")
+        tally = {(r.route, r.action): r.n for r in visits.groupBy("route", "action").agg(F.count("*").alias("n")).collect()}
+        gone = visits.where("route = 'unlink'").select("path")
+        pages = _page_rows(store, judged, gone, config.resurrect, ("index", "create") in tally)
+        resolved = _resolved(store, judged)
         now = config.clock()
-        links = changes.upsert(store.read("links"), taken)
-        visited = (
-            parsed.where("error is null").select("path", F.lit(True).alias("page_found"))
-            .unionByName(gone.unionByName(stashed).select("path", F.lit(False).alias("page_found")))
-        )
-        links = changes.mark_processed(links, visited, now)
-        admitted = admit(links, dangling.select(F.col("dst_path").alias("path")).distinct(), now, config.ttl_ms)
-        admitted = written(admitted.join(waiting.select("path"), "path", "left_anti") if waiting is not None else admitted, "admitted")
-        store.commit(**tables, links=changes.upsert(links, admitted))
-        report.generations += 1
-        report.indexed += n_good
-        report.gone += n_gone + n_bad
-        report.stashed += n_stashed
-        frontier = admitted if waiting is None else written(waiting.unionByName(admitted), "frontier")
-        if 0 <= config.early_stop <= report.indexed:
-            report.stopped_early = True
-            break
-        if frontier.isEmpty():
-            return report
-    # what still waits is free again
-    store.commit(links=changes.deregister_queued(store.read("links"), frontier))
-    return report
+        fresh = judged.where("changed or action = 'create'")
+        edges = resolved.where("known and fresh").select("src", "dst").unionByName(_late(store, judged))
+        # states of what was visited; what early stop has cut is free again
+        states = changes.mark_processed(taken, visits.select("path", (F.col("route") == "index").alias("page_found")), now)
+        states = states.join(visits.select("path", F.lit(True).alias("__seen")), "path", "left")
+        states = states.withColumn("registered", F.col("registered") & F.col("__seen").isNotNull()).drop("__seen")
+        known = changes.upsert(graph.pages_in(store.read("links"), resolved.where("not known").select(F.col("dst").alias("path"))), states)
+        admitted = admit(known, resolved.where("not known").select(F.col("dst").alias("path")).distinct(), now, config.ttl_ms)
+        if waiting is not None:
+            admitted = admitted.join(waiting.select("path"), "path", "left_anti")
+        admitted = written(admitted, "admitted")
+        store.commit(
+            pages=pages,
+            urls=fresh.select("path", "locales"),
+            raw_links=Delta(resolved.where("fresh").select(F.col("src").alias("src_path"), F.col("dst").alias("dst_path")), fresh.select(F.col("path").alias("src_path"))),
+            edges=Delta(edges, fresh.select(F.col("path").alias("src"))),
+            links=changes.upsert(states, admitted),
+            visits=visits.select("path", F.lit(done.generations).cast("long").alias("generation"), "route", "error", "action", F.lit(now).cast("long").alias("at_ms"), F.col("worker").cast("long").alias("worker"), "took_us"),
+        )
+        done.generations += 1
+        created = tally.get(("index", "create"), 0)
+        done.created += created
+        done.indexed += sum(n for (route, _), n in tally.items() if route == "index")
+        done.gone += sum(n for (route, _), n in tally.items() if route == "unlink")
+        done.stashed += sum(n for (route, _), n in tally.items() if route == "stash")
+        ahead = admitted
+        if waiting is not None:
+            ahead = written(waiting.unionByName(admitted), "frontier")
+            used += [admitted, taken]
+        release(*used, judged, visits, resolved, frontier)
+        return created, ahead
+
+
+def crawl(store: GraphStore, source: Source, seeds: DataFrame, config: CrawlConfig | None = None) -> CrawlReport:
+    """A crawl from start to end, in the caller's thread."""
+    return Crawler(store, source, config).run(seeds)
 
 
 def recrawl_due(store: GraphStore, now_ms: int, ttl_ms: int = schema.DEFAULT_TTL_MS) -> DataFrame:
     """Links whose last visit is longer ago than the ttl: seeds of the next crawl, each once."""
     stale = changes.stale_links(store.read("links"), now_ms - ttl_ms)
     return stale.where(changes.is_due(now_ms, ttl_ms)).select("path").distinct()
+
+
+class Recrawler:
+    """Visits links again as they fall due, until it is stopped."""
+
+    def __init__(self, store: GraphStore, source: Source, config: CrawlConfig | None = None, pause_s: float = 1.0):
+        self.store, self.source, self.config, self.pause_s = store, source, config or CrawlConfig(), pause_s
+        self._stop, self.cycles = threading.Event(), 0
+
+    def stop(self) -> None:
+        self._stop.set()
+
+    def run(self, cycles: int | None = None) -> int:
+        """Cycles until ``stop``, or so many; a cycle with nothing due waits. Returns how many crawls ran."""
+        ran = 0
+        while not self._stop.is_set() and (cycles is None or self.cycles < cycles):
+            self.cycles += 1
+            seeds = written(recrawl_due(self.store, self.config.clock(), self.config.ttl_ms), "due")
+            if seeds.isEmpty():
+                self._stop.wait(self.pause_s)
+            else:
+                Crawler(self.store, self.source, self.config).run(seeds)
+                ran += 1
+            release(seeds)
+        return ran
+
+
+def worker_report(store: GraphStore) -> DataFrame:
+    """Documents, total and mean microseconds of analysis for each task that parsed, and for all of them."""
+    return report.worker_report(store.read("visits").where("worker is not null"), "worker", "took_us")
+
+
+def counters(store: GraphStore) -> DataFrame:
+    """Visits of each route and action, over all crawls that the store has seen."""
+    return store.read("visits").groupBy("route", "action").agg(F.count("*").alias("n"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.scratch import written
+
 
 def explode_links(parsed: DataFrame) -> DataFrame:
     """(src_path, dst_path) from rows with an array of links."""
@@ -86,20 +88,27 @@ def union_neighbours(stored: DataFrame, cached: DataFrame) -> DataFrame:
 def resolve_titles(pages: DataFrame, arguments: DataFrame) -> DataFrame:
     """(position, title, path) for a list of titles; nothing at all if one of them is unknown.
 
-    ``arguments`` has position and title. Of several pages with a title the last written counts.
+    ``arguments`` has position and title. Of several pages with a title the last
+    written counts. Only pages with an asked title are grouped.
     """
-    wanted = arguments.join(last_by_title(pages).select("title", "path"), "title", "left")
-    misses = wanted.where("path is null").select(F.lit(1).alias("miss")).limit(1)
-    return wanted.join(F.broadcast(misses), F.lit(True), "left_anti").select("position", "title", "path")
+    asked = pages_in(pages, arguments, "title")
+    wanted = arguments.join(last_by_title(asked).select("title", "path"), "title", "left")
+    # one row over the answer, not over the pages
+    whole = wanted.agg(F.count(F.when(F.col("path").isNull(), 1)).alias("misses")).where("misses = 0")
+    return wanted.crossJoin(F.broadcast(whole)).select("position", "title", "path")
 
 
 def with_ids(pages: DataFrame, start: int = 0) -> DataFrame:
-    """Dense ids from ``start`` in order of path, without gathering all rows: counts per range partition come first."""
-    spark = pages.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pages.drop("unique_id").repartitionByRange(n, "path").sortWithinPartitions("path").withColumn("__part", F.spark_partition_id())
+    """Dense ids from ``start`` in order of path, without gathering all rows.
+
+    Rows are written once with the number of their range; counts and ranks come from
+    what was written, so both see the same ranges.
+    """
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = pages.drop("unique_id").repartitionByRange(n, "path").withColumn("__part", F.spark_partition_id())
+    dealt = written(ranged, "ranges")
     sizes = dealt.groupBy("__part").count()
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     offsets = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
     own = Window.partitionBy("__part").orderBy("path")
     numbered = dealt.withColumn("__nth", F.row_number().over(own)).join(F.broadcast(offsets), "__part")

@@ -1,24 +1,30 @@
 """All shortest paths by layer-synchronous joins.
 
 Forward, each layer is one join of the frontier with the edges and one anti-join
-with what was reached before; a layer is written to the shared folder, so plans
-stay short and a lost executor costs one layer at most. Only vertices are carried
-forward; paths are unrolled backward from the target along edges between
-neighbouring layers, one join per layer, so nothing grows but the answer.
+with the table of visited vertices. That table is one folder with a subfolder per
+layer, so it is one scan whatever its depth, plans do not grow, and a lost executor
+costs one layer at most. Only vertices are carried forward; paths are unrolled
+backward from the target, one written join per layer, so nothing grows but the
+answer. Several searches (the legs of a chain) share the layers: a column ``leg``
+tells them apart.
+
+Edges are read once per layer: pass a table, not a long plan. Frontiers come from
+small files, so Spark broadcasts them by their size and shuffles the edges only when
+a layer has grown past its limit.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.scratch import written
+from linkloom.scratch import new_path, release, written
 
 #: Between the vertices of a path as text; no path holds a line break.
 SEPARATOR = "\n"
-MAX_LAYERS = 10_000
 
 
 class ShortestPathStrategy(Protocol):
@@ -27,80 +33,160 @@ class ShortestPathStrategy(Protocol):
     def __call__(self, edges: DataFrame, start: object, end: object, removed: DataFrame | None = None) -> DataFrame: ...
 
 
-def _usable(edges: DataFrame, removed: DataFrame | None) -> DataFrame:
-    """Edges into vertices that are not removed; the start itself is not asked."""
-    edges = edges.select("src", "dst")
-    if removed is None:
-        return edges
-    return edges.join(removed.toDF("dst").distinct(), "dst", "left_anti").select("src", "dst")
-
-
-def _layers(edges: DataFrame, start: DataFrame, end: object | None, max_layers: int) -> tuple[list[DataFrame], bool]:
-    """Written layers (one column, ``v``) from the start on; whether ``end`` was met. Ends after the layer that holds it."""
-    layers, seen = [start], start
-    for _ in range(max_layers):
-        step = edges.join(layers[-1].withColumnRenamed("v", "src"), "src").select(F.col("dst").alias("v")).distinct()
-        seen_of = Observation()  # counted while the layer is written; a task that runs twice does no harm to either answer
-        hit = F.max(F.when(F.col("v") == F.lit(end), 1).otherwise(0))
-        layer = step.join(seen, "v", "left_anti").observe(seen_of, F.count("*").alias("n"), hit.alias("met"))
-        layer = written(layer, "layer")
-        n, met = seen_of.get["n"], seen_of.get["met"]
-        if not n:
-            return layers, False
-        layers.append(layer)
-        seen = seen.unionByName(layer)
-        if met:
-            return layers, True
-    return layers, False
-
-
-def bfs_layers(edges: DataFrame, start: object, removed: DataFrame | None = None, max_layers: int = MAX_LAYERS) -> DataFrame:
-    """(v, dist) for every vertex that can be reached."""
-    edges = written(_usable(edges, removed), "edges")
-    first = edges.sparkSession.range(1).select(F.lit(start).cast(edges.schema["src"].dataType).alias("v"))
-    layers, _ = _layers(edges, first, None, max_layers)
-    out = None
-    for k, layer in enumerate(layers):
-        part = layer.select("v", F.lit(k).cast("long").alias("dist"))
-        out = part if out is None else out.unionByName(part)
-    return out
+class DepthReached(RuntimeError):
+    """A search was told to end at a depth, and had not found its end there."""
+
+
+@dataclass
+class _Visited:
+    """The vertices that each leg has reached, by layer: one folder, one subfolder per layer."""
+
+    spark: SparkSession
+    path: str
+    kind: str
+
+    def add(self, layer: DataFrame, dist: int) -> None:
+        layer.select("leg", "v").write.parquet(f"{self.path}/dist={dist}")
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(f"leg int, v {self.kind}, dist int").option("basePath", self.path).parquet(self.path)
+
+    def layer(self, dist: int) -> DataFrame:
+        return self.spark.read.schema(f"leg int, v {self.kind}").parquet(f"{self.path}/dist={dist}")
+
+
+def _kind(edges: DataFrame) -> str:
+    return edges.schema["src"].dataType.simpleString()
+
+
+def _starts(edges: DataFrame, starts: list) -> DataFrame:
+    return edges.sparkSession.createDataFrame(list(enumerate(starts)), f"leg int, v {_kind(edges)}")
+
 
+def _step(edges: DataFrame, frontier: DataFrame, seen: DataFrame, removed: DataFrame | None) -> DataFrame:
+    """(leg, v) that the frontier leads to and nothing has reached; removed vertices are left out here, among few candidates."""
+    ahead = edges.select("src", "dst").join(frontier.withColumnRenamed("v", "src"), "src").select("leg", F.col("dst").alias("v")).distinct()
+    if removed is not None:
+        ahead = ahead.join(removed.toDF("v").distinct(), "v", "left_anti")
+    return ahead.join(seen.select("leg", "v"), ["leg", "v"], "left_anti").select("leg", "v")
 
-def all_shortest_paths(edges: DataFrame, start: object, end: object, removed: DataFrame | None = None, max_layers: int = MAX_LAYERS) -> DataFrame:
+
+def _is_end(ends: list) -> list[Column]:
+    """Per leg, whether a row is that leg's end."""
+    return [(F.col("leg") == k) & (F.col("v") == F.lit(end)) for k, end in enumerate(ends)]
+
+
+def _search(edges: DataFrame, starts: list, ends: list | None, removed: DataFrame | None, max_layers: int | None) -> tuple[_Visited, dict[int, int]]:
+    """Visited layers of all legs, and the layer at which each leg met its end; a leg stops after that layer.
+
+    ``ends`` None: everything that can be reached. ``max_layers`` None: until no leg
+    moves on; with a number, DepthReached is raised if a leg would go on and has an end.
+    """
+    spark = edges.sparkSession
+    visited = _Visited(spark, new_path(spark, "visited"), _kind(edges))
+    visited.add(_starts(edges, starts), 0)
+    met: dict[int, int] = {}
+    dist = 0
+    while max_layers is None or dist < max_layers:
+        frontier = visited.layer(dist)
+        if met:
+            frontier = frontier.where(~F.col("leg").isin(list(met)))
+        counted = Observation()  # counted while the layer is written; a task that runs twice does no harm to the answers
+        hits = [F.max(F.when(hit, 1).otherwise(0)).alias(f"m{k}") for k, hit in enumerate(_is_end(ends or []))]
+        # vertices of legs that go on after this layer are not known before it is written; legs that met their end end here
+        layer = _step(edges, frontier, visited.rows(), removed).observe(counted, F.count("*").alias("n"), *hits)
+        dist += 1
+        visited.add(layer, dist)
+        found = counted.get
+        if not found["n"]:
+            return visited, met
+        met |= {k: dist for k in range(len(ends or [])) if found[f"m{k}"] and k not in met}
+        if ends is not None and len(met) == len(ends):
+            return visited, met
+    if ends is not None:
+        raise DepthReached(f"{max_layers} layers did not reach every end")
+    return visited, met
+
+
+def bfs_layers(edges: DataFrame, start: object, removed: DataFrame | None = None, max_layers: int | None = None) -> DataFrame:
+    """(v, dist) for every vertex that can be reached; with ``max_layers``, those at most so many edges away."""
+    visited, _ = _search(edges, [start], None, removed, max_layers)
+    return visited.rows().select("v", F.col("dist").cast("long").alias("dist"))
+
+
+def _no_paths(edges: DataFrame, leg: bool = False) -> DataFrame:
+    return edges.sparkSession.createDataFrame([], f"{'leg long, ' if leg else ''}path array<{_kind(edges)}>")
+
+
+def _unrolled(edges: DataFrame, layer_of, ends: list, met: dict[int, int]) -> DataFrame:
+    """(leg, path): every shortest path of the legs that met their end; ``layer_of`` maps a distance to its (leg, v)."""
+    kind, spark = _kind(edges), edges.sparkSession
+    last, heads = None, None
+    for dist in range(max(met.values()), -1, -1):
+        own = [(k, end) for k, end in enumerate(ends) if met.get(k) == dist]
+        fresh = spark.createDataFrame(own, f"leg int, head {kind}").select("leg", "head", F.array("head").alias("path")) if own else None
+        if heads is not None:
+            # into the heads first: few paths, few edges; then those that come from the layer before
+            into = edges.select("src", "dst").join(heads, F.col("dst") == F.col("head")).select("leg", F.col("src").alias("v"), "path")
+            into = into.join(layer_of(dist), ["leg", "v"], "left_semi")
+            into = into.select("leg", F.col("v").alias("head"), F.concat(F.array("v"), F.col("path")).alias("path")).distinct()
+            fresh = into if fresh is None else into.unionByName(fresh)
+        heads = written(fresh, "heads")
+        release(last)
+        last = heads
+    return heads.select(F.col("leg").cast("long").alias("leg"), "path")
+
+
+def all_shortest_paths(
+    edges: DataFrame, start: object, end: object, removed: DataFrame | None = None, max_layers: int | None = None, layers: DataFrame | None = None
+) -> DataFrame:
     """Every shortest path as an array of vertices, one row each; no row where there is none.
 
     ``removed`` (one column) names vertices that a path may start at but not enter.
     A path from a vertex to itself is that vertex alone, whatever else is true of it.
+    ``layers`` are (v, dist) of an earlier search from ``start`` with the same edges
+    and ``removed`` that reached ``end``, or everything; the search is not done again then.
     """
-    spark, kind = edges.sparkSession, edges.schema["src"].dataType
-    ends = spark.range(1).select(F.lit(end).cast(kind).alias("head"))
-    paths = ends.select("head", F.array("head").alias("path"))
     if start is None or end is None:
-        return paths.where("false").select("path")
+        return _no_paths(edges)
     if start == end:
-        return paths.select("path")
-    edges = written(_usable(edges, removed), "edges")
-    first = spark.range(1).select(F.lit(start).cast(kind).alias("v"))
-    layers, met = _layers(edges, first, end, max_layers)
-    if not met:
-        return paths.where("false").select("path")
-    for layer in layers[-2::-1]:
-        # into the heads first: few paths, few edges; then those that come from the layer before
-        into = edges.join(paths, F.col("dst") == F.col("head")).select(F.col("src").alias("v"), "path").join(layer, "v", "left_semi")
-        paths = into.select(F.col("v").alias("head"), F.concat(F.array("v"), F.col("path")).alias("path"))
-    # edges may be repeated in the input; a path is one row
-    return paths.select("path").distinct()
-
-
-def path_chain(edges: DataFrame, stops: list, removed: DataFrame | None = None, strategy: ShortestPathStrategy = all_shortest_paths) -> DataFrame:
-    """(leg, path): shortest paths between each stop and the next, legs counted from 0."""
-    out = None
-    for leg, (a, b) in enumerate(zip(stops, stops[1:])):
-        part = strategy(edges, a, b, removed).select(F.lit(leg).cast("long").alias("leg"), "path")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        kind = edges.schema["src"].dataType.simpleString()
-        return edges.sparkSession.createDataFrame([], f"leg long, path array<{kind}>")
+        return edges.sparkSession.createDataFrame([([end],)], f"path array<{_kind(edges)}>")
+    if layers is not None:
+        at = layers.where(F.col("v") == F.lit(end)).agg(F.min("dist")).first()[0]
+        if at is None:
+            return _no_paths(edges)
+        one_leg = layers.select(F.lit(0).alias("leg"), "v", "dist")
+        return _unrolled(edges, lambda d: one_leg.where(F.col("dist") == d).select("leg", "v"), [end], {0: int(at)}).select("path")
+    visited, met = _search(edges, [start], [end], removed, max_layers)
+    out = _unrolled(edges, visited.layer, [end], met).select("path") if met else _no_paths(edges)
+    release(visited.path)
+    return out
+
+
+def path_chain(edges: DataFrame, stops: list, removed: DataFrame | None = None, strategy: ShortestPathStrategy | None = None) -> DataFrame:
+    """(leg, path): shortest paths between each stop and the next, legs counted from 0.
+
+    All legs are searched together, layer by layer; with a ``strategy``, one after another by it.
+    """
+    legs = list(zip(stops, stops[1:]))
+    if strategy is not None:
+        out = _no_paths(edges, leg=True)
+        for leg, (a, b) in enumerate(legs):
+            out = out.unionByName(strategy(edges, a, b, removed).select(F.lit(leg).cast("long").alias("leg"), "path"))
+        return out
+    out = _no_paths(edges, leg=True)
+    same = [(leg, [a]) for leg, (a, b) in enumerate(legs) if a is not None and a == b]
+    if same:
+        out = edges.sparkSession.createDataFrame(same, out.schema)
+    apart = [(leg, a, b) for leg, (a, b) in enumerate(legs) if a is not None and b is not None and a != b]
+    if not apart:
+        return out
+    ends = [b for _, _, b in apart]
+    visited, met = _search(edges, [a for _, a, _ in apart], ends, removed, None)
+    if met:
+        number = F.create_map(*[F.lit(x).cast("long") for k, (leg, _, _) in enumerate(apart) for x in (k, leg)])
+        out = out.unionByName(_unrolled(edges, visited.layer, ends, met).select(number[F.col("leg")].alias("leg"), "path"))
+    release(visited.path)
     return out
 
 
@@ -114,42 +200,52 @@ def paths_between_titles(edges: DataFrame, pages: DataFrame, start: str, end: st
     return strategy(edges, paths.get(start), paths.get(end), removed)
 
 
-def bidirectional_paths(edges: DataFrame, start: object, end: object, removed: DataFrame | None = None, max_layers: int = MAX_LAYERS) -> DataFrame:
+def bidirectional_paths(edges: DataFrame, start: object, end: object, removed: DataFrame | None = None, max_layers: int | None = None) -> DataFrame:
     """The same answer, searched from both ends: the smaller frontier moves on, until they meet.
 
     On graphs whose layers grow fast this visits the square root of what one
     direction visits.
     """
-    spark, kind = edges.sparkSession, edges.schema["src"].dataType
-    one = lambda x: spark.range(1).select(F.lit(x).cast(kind).alias("v"))
+    spark, kind = edges.sparkSession, _kind(edges)
     if start is None or end is None or start == end:
         return all_shortest_paths(edges, start, end, removed)
-    edges = written(_usable(edges, removed), "edges")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    sides = [[one(start)], [one(end)]]
-    seen, sizes = [one(start), one(end)], [1, 1]
-    for _ in range(max_layers):
+    if removed is not None:
+        removed = written(removed.toDF("v").distinct(), "removed")
+        if not removed.where(F.col("v") == F.lit(end)).isEmpty():
+            return _no_paths(edges)
+    # going back, the start may be left although it is removed
+    barred = [removed, None if removed is None else removed.where(F.col("v") != F.lit(start))]
+    graphs = [edges.select("src", "dst"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))]
+    sides = [_Visited(spark, new_path(spark, "visited"), kind) for _ in range(2)]
+    for side, v in zip(sides, (start, end)):
+        side.add(_starts(edges, [v]), 0)
+    depth, sizes = [0, 0], [1, 1]
+    while True:
+        if max_layers is not None and sum(depth) >= max_layers:
+            raise DepthReached(f"{max_layers} layers did not reach the end")
         s = 0 if sizes[0] <= sizes[1] else 1
-        graph = edges if s == 0 else back
-        step = graph.join(sides[s][-1].withColumnRenamed("v", "src"), "src").select(F.col("dst").alias("v")).distinct()
-        layer = written(step.join(seen[s], "v", "left_anti"), "layer")
-        meet = layer.join(sides[1 - s][-1].withColumn("other", F.lit(1)), "v", "left")
-        n, met = meet.agg(F.count("*"), F.count("other")).first()
-        if not n:
-            return one(end).where("false").select(F.array("v").alias("path"))
-        sides[s].append(layer)
-        seen[s] = seen[s].unionByName(layer)
-        sizes[s] = n
-        if met:
+        counted = Observation()
+        layer = _step(graphs[s], sides[s].layer(depth[s]), sides[s].rows(), barred[s])
+        other = sides[1 - s].layer(depth[1 - s]).withColumn("other", F.lit(1))
+        met = layer.join(other, ["leg", "v"], "left").observe(counted, F.count("*").alias("n"), F.count("other").alias("met"))
+        depth[s] += 1
+        sides[s].add(met, depth[s])
+        sizes[s] = counted.get["n"]
+        if not sizes[s]:
+            release(sides[0].path, sides[1].path, removed)
+            return _no_paths(edges)
+        if counted.get["met"]:
             break
-    else:
-        return one(end).where("false").select(F.array("v").alias("path"))
-    middle = sides[0][-1].join(sides[1][-1], "v", "left_semi")
-    paths = middle.select(F.col("v").alias("head"), F.col("v").alias("tail"), F.array("v").alias("path"))
-    for layer in sides[0][-2::-1]:
-        into = edges.join(paths, F.col("dst") == F.col("head")).select(F.col("src").alias("v"), "tail", "path").join(layer, "v", "left_semi")
-        paths = into.select(F.col("v").alias("head"), "tail", F.concat(F.array("v"), F.col("path")).alias("path"))
-    for layer in sides[1][-2::-1]:
-        onto = edges.join(paths, F.col("src") == F.col("tail")).select(F.col("dst").alias("v"), "head", "path").join(layer, "v", "left_semi")
-        paths = onto.select("head", F.col("v").alias("tail"), F.concat(F.col("path"), F.array("v")).alias("path"))
-    return paths.select("path").distinct()
+    middle = sides[0].layer(depth[0]).join(sides[1].layer(depth[1]), ["leg", "v"], "left_semi")
+    paths, last = middle.select("leg", F.col("v").alias("head"), F.col("v").alias("tail"), F.array("v").alias("path")), None
+    for s in (0, 1):
+        at, whole = ("head", lambda p: F.concat(F.array("v"), p)) if s == 0 else ("tail", lambda p: F.concat(p, F.array("v")))
+        kept = "tail" if s == 0 else "head"
+        for d in range(depth[s] - 1, -1, -1):
+            back = graphs[s].join(paths, F.col("dst") == F.col(at)).select("leg", F.col("src").alias("v"), kept, "path")
+            back = back.join(sides[s].layer(d), ["leg", "v"], "left_semi")
+            paths = written(back.select("leg", F.col("v").alias(at), kept, whole(F.col("path")).alias("path")).distinct(), "heads")
+            release(last)
+            last = paths
+    release(sides[0].path, sides[1].path, removed)
+    return paths.select("path")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.scratch import written
+
 ARROW = " -> "
 
 
@@ -18,14 +20,14 @@ def adjacency_listing(pages: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def page_card(pages: DataFrame, edges: DataFrame, url: Column) -> DataFrame:
-    """(path, card): title, URL, flags, description, type, id and the number of neighbours, a line each."""
-    degree = edges.groupBy("src").agg(F.count_distinct("dst").alias("n")).withColumnRenamed("src", "path")
-    joined = pages.join(degree, "path", "left")
+    """(path, card): title, URL, flags, description, type and id, a line each, then a line for each neighbour's title, sorted."""
+    names = pages.select(F.col("path").alias("dst"), F.col("title").alias("name"))
+    near = edges.select("src", "dst").distinct().join(names, "dst").groupBy("src").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    joined = pages.join(near.withColumnRenamed("src", "path"), "path", "left")
     flags = F.concat(F.when(F.col("is_removed"), "DELETED ").otherwise(""), F.when(F.col("is_redirect"), "REDIRECT").otherwise(""))
-    lines = F.concat_ws(
-        "\n", "title", url, F.trim(flags), "description", "article_type", F.col("unique_id").cast("string"), F.coalesce("n", F.lit(0)).cast("string")
-    )
-    return joined.select("path", lines.alias("card"))
+    lines = F.concat_ws("\n", "title", url, F.trim(flags), "description", "article_type", F.col("unique_id").cast("string"))
+    listed = F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.concat(F.lit("\n - "), n))
+    return joined.select("path", F.concat(lines, F.array_join(listed, "")).alias("card"))
 
 
 def path_text(path: Column) -> Column:
@@ -33,11 +35,26 @@ def path_text(path: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(path, lambda v: v.cast("string")), ARROW), F.lit("]"))
 
 
+def titled_paths(paths: DataFrame, pages: DataFrame) -> DataFrame:
+    """The rows of ``paths`` with titles in place of keys; a vertex without a page keeps its key.
+
+    Only vertices on paths meet the pages; paths are numbered by their own text.
+    """
+    names = [c for c in paths.columns if c != "path"]
+    keyed = paths.withColumn("__key", F.struct(*names, "path"))
+    steps = keyed.select("__key", F.posexplode("path").alias("at", "v"))
+    titles = pages.select(F.col("path").alias("v"), "title").join(steps.select("v").distinct(), "v", "left_semi")
+    named = steps.join(titles, "v", "left").select("__key", "at", F.coalesce("title", F.col("v").cast("string")).alias("title"))
+    shown = named.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("at", "title"))).alias("steps"))
+    return shown.select(*[F.col(f"__key.{n}").alias(n) for n in names], F.col("steps.title").alias("path"))
+
+
 def path_report(paths: DataFrame, start: str, end: str) -> DataFrame:
     """One line per path; one that says so where there is none."""
-    lines = paths.select(path_text(F.col("path")).alias("line"))
-    none = paths.sparkSession.range(1).select(F.lit(f"No path exists between {start} and {end}").alias("line"))
-    return lines.unionByName(none.join(lines.limit(1).select(F.lit(1).alias("x")), F.lit(True), "left_anti"))
+    lines = written(paths.select(path_text(F.col("path")).alias("line")), "lines")
+    if lines.isEmpty():
+        return paths.sparkSession.createDataFrame([(f"No path exists between {start} and {end}",)], "line string")
+    return lines
 
 
 def worker_totals(log: DataFrame, worker: str, kind: str, value: str) -> DataFrame:

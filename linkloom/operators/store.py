@@ -1,25 +1,61 @@
-"""Page, edge and link tables as numbered snapshots in a folder.
-
-A commit writes whole new snapshots and then one small file that names them, so a
-reader sees the tables of one commit, and a writer that dies leaves no trace that
-counts. One writer at a time is assumed. Old snapshots are dropped by ``vacuum``.
+"""The graph's tables in a folder: a base and deltas, named by numbered commits.
+
+A commit writes only what changed: new rows, and for tables whose rows replace
+earlier ones the keys they replace. Readers merge: a row counts unless a later part
+replaces its key. The keys of deltas are few beside the base, so the merge is a
+join that Spark broadcasts by size, and the base is not shuffled. A part that has
+grown to the size of those before it is merged with them, so there are only a
+logarithmic number of parts and each row is rewritten as often.
+
+A commit becomes visible by one small file that names its parts, written under
+another name and renamed: readers see the tables of one commit, and a writer that
+dies leaves nothing that counts. One writer at a time is assumed. ``vacuum`` drops
+what no commit needs.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkloom import schema
-from linkloom.scratch import filesystem
+from linkloom.scratch import filesystem, remove
+
+#: Tables, and the column whose values a commit's rows replace; None: rows are only added.
+TABLES = {
+    "pages": (schema.PAGES, "path"),
+    "links": (schema.LINKS, "path"),
+    "urls": (schema.URLS, "path"),
+    "raw_links": (schema.RAW_LINKS, "src_path"),
+    "edges": (schema.EDGES, "src"),
+    "visits": (schema.VISITS, None),
+}
+#: Parts of a table from which on the last ones are merged.
+PARTS = 8
+VERSION = "__v"
+
+
+@dataclass
+class Delta:
+    """Rows that a commit adds to a table, and what they replace.
+
+    ``replaced`` has the table's key column: earlier rows of these keys are gone. None:
+    the keys of ``rows`` are; ``adds`` True: nothing is.
+    """
 
-SCHEMAS = {"pages": schema.PAGES, "links": schema.LINKS, "edges": schema.EDGES, "raw_links": schema.RAW_LINKS}
+    rows: DataFrame | None = None
+    replaced: DataFrame | None = None
+    adds: bool = False
 
 
 class GraphStore:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, parts: int = PARTS):
+        self.spark, self.folder, self.parts = spark, folder.rstrip("/"), parts
 
     # -- versions -------------------------------------------------------------
 
@@ -29,59 +65,144 @@ class GraphStore:
             return []
         return sorted(int(s.getPath().getName()) for s in files.listStatus(where) if s.getPath().getName().isdigit())
 
-    def _manifest(self, version: int | None = None) -> dict[str, str]:
+    def _manifest(self, version: int | None = None) -> dict[str, list[dict]]:
+        """Per table its parts, oldest first: number, folders of rows and of replaced keys, bytes."""
         known = self.versions()
         if not known:
             return {}
-        rows = self.spark.read.text(f"{self.folder}/commits/{known[-1] if version is None else version}").collect()  # a line per table
-        return dict(r.value.split("=", 1) for r in rows)
-
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        """The table as of a commit (the last by default); empty before the first."""
-        found = self._manifest(version).get(table)
-        if found is None:
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.folder}/{found}")
-
-    def commit(self, **tables: DataFrame) -> int:
-        """Replaces the given tables together; the others stay as they are."""
-        version = (self.versions() or [-1])[-1] + 1
-        manifest = self._manifest()
-        for name, df in tables.items():
-            names = SCHEMAS[name].fieldNames()
-            df.select(*names).write.mode("overwrite").parquet(f"{self.folder}/{name}/v{version}")
-            manifest[name] = f"{name}/v{version}"
+        files, where = filesystem(self.spark, f"{self.folder}/commits/{known[-1] if version is None else version}")
+        stream = files.open(where)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text)
+
+    def _publish(self, version: int, manifest: dict) -> None:
         files, draft = filesystem(self.spark, f"{self.folder}/commits/.{version}")
         out = files.create(draft, True)
-        out.write(bytearray("\n".join(f"{k}={v}" for k, v in sorted(manifest.items())).encode()))
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
         if not files.rename(draft, filesystem(self.spark, f"{self.folder}/commits/{version}")[1]):
             raise RuntimeError(f"commit {version} was taken by another writer")
+
+    # -- reading --------------------------------------------------------------
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """The table as of a commit (the last by default); empty before the first."""
+        return self._merged(table, self._manifest(version).get(table, [])).drop(VERSION)
+
+    def _merged(self, table: str, parts: list[dict]) -> DataFrame:
+        kind, key = TABLES[table]
+        folders = [f"{self.folder}/{p['rows']}" for p in parts if p["rows"]]
+        if not folders:
+            return self.spark.createDataFrame([], kind).withColumn(VERSION, F.lit(0))
+        rows = self.spark.read.schema(f"{_ddl(kind)}, {VERSION} int").parquet(*folders)
+        # what is first cannot replace anything
+        own = [f"{self.folder}/{p['rows']}" for p in parts[1:] if p["replaces"] == "own" and p["rows"]]
+        named = [f"{self.folder}/{p['keys']}" for p in parts[1:] if p["replaces"] == "keys"]
+        keys = None
+        for where in (own, named):
+            if where:
+                found = self.spark.read.schema(f"{key} string, {VERSION} int").parquet(*where)
+                keys = found if keys is None else keys.unionByName(found)
+        if keys is None:
+            return rows
+        last = keys.groupBy(key).agg(F.max(VERSION).alias("__last"))
+        return rows.join(last, key, "left").where(F.col("__last").isNull() | (F.col(VERSION) >= F.col("__last"))).select(*kind.fieldNames(), VERSION)
+
+    # -- writing --------------------------------------------------------------
+
+    def _write(self, table: str, version: int, delta: Delta) -> dict:
+        kind, key = TABLES[table]
+        part = {"v": version, "rows": None, "keys": None, "replaces": "none"}
+        if delta.rows is not None:
+            part["rows"] = f"{table}/v{version}"
+            delta.rows.select(*kind.fieldNames(), F.lit(version).alias(VERSION)).write.mode("overwrite").parquet(f"{self.folder}/{part['rows']}")
+        if delta.replaced is not None:
+            part |= {"keys": f"{table}/k{version}", "replaces": "keys"}
+            delta.replaced.select(key).distinct().withColumn(VERSION, F.lit(version)).write.mode("overwrite").parquet(f"{self.folder}/{part['keys']}")
+        elif key is not None and not delta.adds:
+            part["replaces"] = "own"
+        part["bytes"] = sum(self._bytes(part[f]) for f in ("rows", "keys") if part[f])
+        return part
+
+    def _bytes(self, folder: str) -> int:
+        files, where = filesystem(self.spark, f"{self.folder}/{folder}")
+        return files.getContentSummary(where).getLength()
+
+    def commit(self, **deltas: Delta | DataFrame) -> int:
+        """Adds deltas to tables, all of them visible at once; a DataFrame alone replaces the rows of its own keys."""
+        version = (self.versions() or [-1])[-1] + 1
+        manifest = self._manifest()
+        changes = {name: d if isinstance(d, Delta) else Delta(d) for name, d in deltas.items()}
+        # the tables are small jobs that wait more than they work, so they are written side by side
+        with ThreadPoolExecutor(max(1, len(changes))) as pool:
+            parts = dict(zip(changes, pool.map(lambda x: self._write(x[0], version, x[1]), changes.items())))
+        for name, part in parts.items():
+            manifest[name] = self._compacted(name, version, [*manifest.get(name, []), part])
+        self._publish(version, manifest)
         return version
 
+    def _compacted(self, table: str, version: int, parts: list[dict]) -> list[dict]:
+        """The parts, the last of them merged where there are too many: from the first one that is no larger than all after it."""
+        if len(parts) <= self.parts:
+            return parts
+        after, first = parts[-1]["bytes"], len(parts) - 2
+        for k in range(len(parts) - 2, -1, -1):
+            if parts[k]["bytes"] <= 2 * after:
+                first = k
+            after += parts[k]["bytes"]
+        old = parts[first:]
+        kind, key = TABLES[table]
+        rows = self._merged(table, old).drop(VERSION)
+        keys = None
+        if key is not None and first:
+            for p in old:
+                if p["replaces"] != "none" and (p["keys"] or p["rows"]):
+                    found = self.spark.read.parquet(f"{self.folder}/{p['keys'] or p['rows']}").select(key)
+                    keys = found if keys is None else keys.unionByName(found)
+        folder = f"{table}/m{version}"
+        rows.select(*kind.fieldNames(), F.lit(version).alias(VERSION)).write.mode("overwrite").parquet(f"{self.folder}/{folder}")
+        merged = {"v": version, "rows": folder, "keys": None, "replaces": "none"}
+        if keys is not None:
+            merged |= {"keys": f"{table}/mk{version}", "replaces": "keys"}
+            keys.distinct().withColumn(VERSION, F.lit(version)).write.mode("overwrite").parquet(f"{self.folder}/{merged['keys']}")
+        merged["bytes"] = sum(self._bytes(merged[f]) for f in ("rows", "keys") if merged[f])
+        return [*parts[:first], merged]
+
     def vacuum(self, keep: int = 2) -> None:
-        """Drops snapshots that none of the last commits names."""
+        """Drops commits but the last ones, and folders that none of those names."""
         known = self.versions()
-        used = {p for v in known[-keep:] for p in self._manifest(v).values()}
+        manifests = {v: self._manifest(v) for v in known}
+        folders = lambda m: {p[f] for parts in m.values() for p in parts for f in ("rows", "keys") if p[f]}
+        used = set().union(*(folders(manifests[v]) for v in known[-keep:])) if known else set()
         for v in known[:-keep]:
-            for p in set(self._manifest(v).values()) - used:
-                files, where = filesystem(self.spark, f"{self.folder}/{p}")
-                files.delete(where, True)
+            for folder in folders(manifests[v]) - used:
+                remove(self.spark, f"{self.folder}/{folder}")
         for v in known[:-keep]:
-            files, where = filesystem(self.spark, f"{self.folder}/commits/{v}")
-            files.delete(where, True)
+            remove(self.spark, f"{self.folder}/commits/{v}")
 
     # -- staging --------------------------------------------------------------
 
     def publish(self, staged: dict[str, DataFrame], action: Callable[[dict[str, DataFrame]], None] | None = None) -> int:
-        """Drains staged tables into the store as one commit; ``action`` sees the rows before."""
-        from linkloom.operators.changes import upsert
+        """Drains staged tables into the store as one commit; ``action`` sees the rows before.
 
+        Rows of keyed tables replace those of their keys; edges and raw links that are there already are not added again.
+        """
         if action is not None:
             action(staged)
-        keys = {"pages": "path", "links": "path"}
-        merged = {
-            name: upsert(self.read(name), df, keys[name]) if name in keys else self.read(name).unionByName(df.select(*SCHEMAS[name].fieldNames())).distinct()
-            for name, df in staged.items()
-        }
-        return self.commit(**merged)
+        deltas = {}
+        for name, rows in staged.items():
+            kind, _ = TABLES[name]
+            if name in ("edges", "raw_links"):
+                names = kind.fieldNames()
+                new = rows.select(*names).distinct().join(self.read(name), names, "left_anti")
+                deltas[name] = Delta(new, adds=True)
+            else:
+                deltas[name] = Delta(rows)
+        return self.commit(**deltas)
+
+
+def _ddl(kind) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind.fields)

@@ -19,11 +19,15 @@ LINKS = _struct(path=S, link_id=S, processed=B, registered=B, page_found=B, last
 RAW_LINKS = _struct(src_path=S, dst_path=S)
 #: A directed edge between known pages.
 EDGES = _struct(src=S, dst=S)
+#: A link's paths in all languages; of several writers the last counts.
+URLS = _struct(path=S, locales=T.MapType(S, S))
+#: The crawl's log: one row per visit of a link.
+VISITS = _struct(path=S, generation=L, route=S, error=S, action=S, at_ms=L, worker=L, took_us=L)
 FETCHES = _struct(path=S, html=S, status=S)
 FIXTURES = _struct(name=S, title=S, description=S, links=T.ArrayType(S))
-#: What parsing one fetched document yields; ``error`` is null for a page.
+#: What parsing one fetched document yields; ``error`` is null for a page, ``route`` says where the row goes.
 PARSED = _struct(
-    path=S, title=S, description=S, is_redirect=B, article_type=S, locales=T.MapType(S, S), links=T.ArrayType(S), error=S
+    path=S, title=S, description=S, is_redirect=B, article_type=S, locales=T.MapType(S, S), links=T.ArrayType(S), error=S, route=S, worker=T.IntegerType(), took_us=L
 )
 
 SUCCESS, CONNECTION_ERROR, DOES_NOT_EXIST = "SUCCESS", "CONNECTION_ERROR", "DOES_NOT_EXIST"

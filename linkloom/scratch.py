@@ -3,24 +3,32 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of tables that ``written`` returned and nothing has released yet.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; a temporary one only where none is set on one machine."""
+    """The folder that the cluster names, as a full URI; a temporary one only where none is set on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import tempfile
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}/linkloom-scratch"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return qualified(spark, folder).rstrip("/")
+
 
-    folder = f"file://{tempfile.gettempdir()}/linkloom-scratch"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme: one without belongs to the cluster's default file system, not to any machine's disk."""
+    files, where = filesystem(spark, path)
+    whole = where.makeQualified(files.getUri(), files.getWorkingDirectory()).toString()
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def filesystem(spark: SparkSession, path: str):
@@ -54,4 +62,17 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows written as Parquet and read back."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[back] = path
+    return back
+
+
+def release(*tables: DataFrame | str | None) -> None:
+    """Deletes the folders behind written tables (or named folders) that no later plan reads; others are left alone."""
+    for table in tables:
+        if isinstance(table, DataFrame):
+            path = _folders.pop(table, None)
+            if path is not None:
+                remove(table.sparkSession, path)
+        elif table is not None:
+            remove(SparkSession.active(), table)

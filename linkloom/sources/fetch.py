@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from linkloom import schema
 from linkloom.functions.links import page_url
+from linkloom.scratch import qualified
 
 
 class Source(Protocol):
@@ -36,12 +37,40 @@ def _joined(frontier: DataFrame, known: DataFrame) -> DataFrame:
 
 @dataclass
 class FileSource:
-    """Pages in ``<folder>/<name>.txt``, read as whole texts by one scan and joined by name."""
+    """Pages in ``<folder>/<name>.txt``: each frontier row opens its own file where its partition lies.
+
+    Tasks open files through ``pyarrow.fs``, so only what is asked for is read. A path
+    without a name, or a file that is not there, does not exist; a file that cannot be
+    read just now is a connection error.
+    """
 
     folder: str
 
     def __call__(self, frontier: DataFrame) -> DataFrame:
-        return _joined(frontier, text_files(frontier.sparkSession, self.folder))
+        folder = qualified(frontier.sparkSession, self.folder)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyarrow import fs
+
+            files, root = fs.FileSystem.from_uri(folder)
+            for batch in batches:
+                texts, statuses = [], []
+                for name in batch.column(1).to_pylist():
+                    text, status = None, schema.DOES_NOT_EXIST
+                    if name:
+                        try:
+                            with files.open_input_stream(f"{root}/{name}.txt") as f:
+                                text, status = f.read().decode("utf-8", "replace"), schema.SUCCESS
+                        except (FileNotFoundError, ValueError):
+                            pass  # no such file, or no name that a file can have
+                        except OSError:
+                            status = schema.CONNECTION_ERROR
+                    texts.append(text)
+                    statuses.append(status)
+                yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(statuses, pa.string())], names=["path", "html", "status"])
+
+        asked = frontier.select("path").distinct().withColumn("name", page_name(F.col("path")))
+        return asked.mapInArrow(run, "path string, html string, status string")
 
 
 def text_files(spark, folder: str) -> DataFrame:

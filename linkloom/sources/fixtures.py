@@ -43,3 +43,32 @@ def write_fixtures(fixtures: DataFrame, folder: str) -> None:
         out = files.create(where, True)
         out.write(bytearray(row.html.encode()))
         out.close()
+
+
+def retitled(fixtures: DataFrame, titles: DataFrame) -> DataFrame:
+    """With other titles, by name; ``titles`` has name and title."""
+    return _changed(fixtures, titles, "title")
+
+
+def redescribed(fixtures: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """With other descriptions, by name."""
+    return _changed(fixtures, descriptions, "description")
+
+
+def _changed(fixtures: DataFrame, new: DataFrame, column: str) -> DataFrame:
+    joined = fixtures.join(new.select("name", F.col(column).alias("__new")), "name", "left")
+    return joined.withColumn(column, F.coalesce("__new", column)).select(*fixtures.columns)
+
+
+def with_links(fixtures: DataFrame, links: DataFrame) -> DataFrame:
+    """With further links (name, link); one that is there already stays single."""
+    more = links.groupBy("name").agg(F.collect_set("link").alias("__more"))
+    joined = fixtures.join(more, "name", "left")
+    return joined.withColumn("links", F.array_union("links", F.coalesce("__more", F.array().cast("array<string>")))).select(*fixtures.columns)
+
+
+def without_links(fixtures: DataFrame, links: DataFrame) -> DataFrame:
+    """Without the given links (name, link)."""
+    fewer = links.groupBy("name").agg(F.collect_set("link").alias("__fewer"))
+    joined = fixtures.join(fewer, "name", "left")
+    return joined.withColumn("links", F.array_except("links", F.coalesce("__fewer", F.array().cast("array<string>")))).select(*fixtures.columns)

@@ -75,19 +75,31 @@ def each_batch(stream: DataFrame, action: Callable[[DataFrame, int], None], chec
 def publish_stream(pages: DataFrame, store, checkpoint: str):
     """Staged pages of a stream become commits of the store, one per micro-batch.
 
-    A link that waited for a page that arrives now gains its edge in that commit:
-    edges are derived anew from what pages state, so no join state piles up.
+    ``pages`` has the columns of pages, and ``links``. A commit writes the batch and the
+    edges it completes: its own links to known pages, and links of earlier pages that
+    waited for a page of the batch. Of rows with equal path the largest unique_id
+    counts, then the largest title.
     """
-    from linkloom.operators import graph
-
-    def commit(batch: DataFrame, number: int) -> None:
-        from linkloom.operators.changes import upsert
-        from linkloom.scratch import written
+    return each_batch(pages, lambda batch, number: publish_batch(batch, store), checkpoint)
 
-        new = written(batch.dropDuplicates(["path"]), "staged")
-        known = upsert(store.read("pages"), new.select(*schema.PAGES.fieldNames()))
-        stated = store.read("raw_links").join(new.select(F.col("path").alias("src_path")), "src_path", "left_anti")
-        raw = stated.unionByName(graph.explode_links(new)).distinct()
-        store.commit(pages=known, raw_links=raw, edges=graph.resolved_edges(raw, known))
 
-    return each_batch(pages, commit, checkpoint)
+def publish_batch(batch: DataFrame, store) -> None:
+    """One micro-batch as a commit; a batch that comes again replaces its own rows by equal ones."""
+    from linkloom.operators import graph
+    from linkloom.operators.store import Delta
+    from linkloom.scratch import release, written
+
+    names = [*schema.PAGES.fieldNames(), "links"]
+    row = F.max_by(F.struct(*names), F.struct("unique_id", "title")).alias("row")
+    new = written(batch.groupBy("path").agg(row).select(*[F.col(f"row.{n}").alias(n) for n in names]), "staged")
+    own = graph.explode_links(new).distinct()
+    known = store.read("pages").select("path").unionByName(new.select("path")).distinct()
+    late = store.read("raw_links").join(new.select(F.col("path").alias("src_path")), "src_path", "left_anti")
+    late = graph.complete_edges(late, new).join(store.read("edges"), ["src", "dst"], "left_anti")
+    touched = new.select("path")
+    store.commit(
+        pages=new,
+        raw_links=Delta(own, touched.withColumnRenamed("path", "src_path")),
+        edges=Delta(graph.resolved_edges(own, known).unionByName(late), touched.withColumnRenamed("path", "src")),
+    )
+    release(new)

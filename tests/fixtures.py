@@ -1,9 +1,9 @@
 """The seven-page graph and small HTML pages that several tests use."""
 
 GRAPH = {
-    "1": ("1", "description", ["2", "3", "7"]),
-    "2": ("2", "two is a better number", ["1", "3", "7"]),
-    "3": ("3", "three is an even better number", ["4", "2", "1"]),
+    "1": ("1", "where the walk begins", ["2", "3", "7"]),
+    "2": ("2", "leads back and on", ["1", "3", "7"]),
+    "3": ("3", "the crossing of most ways", ["4", "2", "1"]),
     "4": ("4", "", ["5", "3"]),
     "5": ("5", "", ["4"]),
     "6": ("6", "", ["1"]),

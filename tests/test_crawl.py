@@ -45,7 +45,7 @@ def test_two_phases(spark, tmp_path):
     ids = [r.unique_id for r in store.read("pages").collect()]
     assert sorted(ids) == list(range(7))
 
-    graph["1"] = ("Title1", "description", ["2", "7", "8"])
+    graph["1"] = ("Title1", "where the walk begins", ["2", "7", "8"])
     graph["8"] = ("8", "eight", ["9", "2"])
     report = crawl.crawl(store, source(spark, graph), seeds(spark, "/wiki/1"), config)
     assert report.generations == 3  # 1, then 8, then 9
@@ -62,8 +62,7 @@ def test_two_phases(spark, tmp_path):
     graph["8"] = ("8", "eight", ["9", "2"])
     crawl.crawl(store, source(spark, graph), seeds(spark, "/wiki/8"), config)
     assert store.read("pages").where("path = '/wiki/8'").first().is_removed
-    config.resurrect = True
-    graph["8"] = ("8", "again", ["9", "2"])
+    config.resurrect = True  # the page is unchanged, and comes back all the same
     crawl.crawl(store, source(spark, graph), seeds(spark, "/wiki/8"), config)
     assert not store.read("pages").where("path = '/wiki/8'").first().is_removed
     store.vacuum(keep=1)
@@ -88,6 +87,110 @@ def test_early_stop_stash_and_ttl(spark, tmp_path):
     assert crawl.recrawl_due(store, 15_000, 1000).count() == 5
 
 
+def test_early_stop_frees_what_it_cuts(spark, tmp_path):
+    store = GraphStore(spark, f"file://{tmp_path}")
+    config = crawl.CrawlConfig(ttl_ms=0, early_stop=3, factory=fixture_analyzer, clock=Clock())
+    report = crawl.crawl(store, source(spark, GRAPH), seeds(spark, "/wiki/1"), config)
+    assert report.ended == "early_stop" and report.indexed == 3
+    assert store.read("links").where("registered").count() == 0
+    config.early_stop = -1
+    crawl.crawl(store, source(spark, GRAPH), seeds(spark, "/wiki/7"), config)
+    assert {r.path for r in store.read("pages").collect()} == {f"/wiki/{k}" for k in (1, 2, 3, 7, 6)}
+
+
+def test_a_generation_limit_is_reported(spark, tmp_path):
+    store = GraphStore(spark, f"file://{tmp_path}")
+    config = crawl.CrawlConfig(ttl_ms=0, max_generations=2, factory=fixture_analyzer, clock=Clock())
+    report = crawl.crawl(store, source(spark, GRAPH), seeds(spark, "/wiki/1"), config)
+    assert report.ended == "max_generations" and report.generations == 2 and store.read("links").where("registered").count() == 0
+
+
+def test_unexpected_errors_are_stashed(spark, tmp_path):
+    def factory():
+        analyze = fixture_analyzer()
+
+        def careful(path, markup):
+            if path == "/wiki/3":
+                raise RuntimeError("no memory")
+            return analyze(path, markup)
+
+        return careful
+
+    store = GraphStore(spark, f"file://{tmp_path}")
+    config = crawl.CrawlConfig(ttl_ms=1000, factory=factory, clock=Clock())
+    report = crawl.crawl(store, source(spark, GRAPH), seeds(spark, "/wiki/1"), config)
+    assert report.stashed == 1 and report.gone == 0 and report.indexed == 4
+    state = store.read("links").where("path = '/wiki/3'").first()
+    assert state.processed and not state.registered and not state.page_found
+    assert store.read("pages").where("is_removed").count() == 0
+
+
+def test_publishing_stopping_and_visiting_again(spark, tmp_path):
+    store, batches = GraphStore(spark, f"file://{tmp_path}"), []
+    config = crawl.CrawlConfig(ttl_ms=15, factory=fixture_analyzer, clock=Clock(), publish_every=3, on_publish=lambda p: batches.append({r.path[6:] for r in p.collect()}))
+    report = crawl.crawl(store, source(spark, GRAPH), seeds(spark, "/wiki/1"), config)
+    assert report.publishes == 2 and batches == [{"1", "2", "3", "7"}, {"4", "5", "6"}]
+    totals = {r.worker: r for r in crawl.worker_report(store).collect()}
+    assert totals["Total"].items == 7 and totals["Total"].total >= 0
+    assert {(r.route, r.action): r.n for r in crawl.counters(store).collect()} == {("index", "create"): 7}
+    again = crawl.Recrawler(store, source(spark, GRAPH), config, pause_s=0)
+    assert again.run(cycles=1) == 1
+    assert {(r.route, r.action): r.n for r in crawl.counters(store).collect()}[("index", "unchanged")] >= 1
+    again.stop()
+    assert again.run() == 0
+    stopped = crawl.Crawler(store, source(spark, GRAPH), config)
+    stopped.stop()
+    stopped.start(seeds(spark, "/wiki/1"))
+    assert stopped.wait().ended == "stopped" and not stopped.running
+
+
+def test_store_merges_deltas(spark, tmp_path):
+    from linkloom.operators.services import Links, Pages
+    from linkloom.operators.store import Delta
+
+    store = GraphStore(spark, f"file://{tmp_path}", parts=3)
+    page = lambda k, t: (k, int(k[1:]), t, "", False, "", False, {})
+    want = {}
+    for n in range(9):
+        rows = [page(f"p{k}", f"t{n}") for k in range(n, n + 4)]
+        want |= {r[0]: r[2] for r in rows}
+        store.commit(pages=spark.createDataFrame(rows, schema.PAGES), edges=Delta(spark.createDataFrame([(f"p{n}", f"p{k}") for k in range(n % 3)], schema.EDGES), spark.createDataFrame([(f"p{max(n - 1, 0)}",)], "src string")))
+        assert {r.path: r.title for r in store.read("pages").collect()} == want
+    # each commit clears the edges of the page before
+    assert {(r.src, r.dst) for r in store.read("edges").collect()} == {("p8", "p0"), ("p8", "p1")}
+    assert all(len(parts) <= 4 for parts in store._manifest().values())
+    store.vacuum(keep=1)
+    assert {r.path: r.title for r in store.read("pages").collect()} == want
+
+    pages, links = Pages(store), Links(store, ttl_ms=50)
+    assert pages.next_id() == 12 and pages.count() == 12 and pages.by_id(3).first().title == "t3" and pages.by_title("t8").count() == 4
+    pages.create_bare(spark.createDataFrame([page("p1", "no"), page("p20", "new")], schema.PAGES))
+    assert pages.by_path("p1").first().title == "t1" and pages.by_path("p20").first().title == "new"
+    pages.save(spark.createDataFrame([("p1", "saved", None), ("p99", "x", "y")], "path string, title string, description string"))
+    assert pages.by_path("p1").first().title == "saved" and pages.by_path("p99").count() == 0 and pages.count() == 13
+    assert {r.path for r in pages.neighbours("p8").collect()} == {"p0", "p1"}
+    pages.clear_out_edges(spark.createDataFrame([("p8",)], "path string"))
+    assert pages.neighbours("p8").count() == 0
+    asked = spark.createDataFrame([("a",), ("b",)], "path string")
+    links.create(asked)
+    links.update(links.by_path("a").withColumn("last_processed_ms", F.lit(100).cast("long")))
+    assert {r.path: r.due for r in links.due(spark.createDataFrame([("a",), ("b",), ("c",)], "path string"), 120).collect()} == {"a": False, "b": True, "c": True}
+    assert links.count() == 2 and links.by_path("c").count() == 0 and {r.path for r in links.before(100).collect()} == {"b"}
+    links.delete(spark.createDataFrame([("a",)], "path string"))
+    assert links.count() == 1 and links.by_path("a").count() == 0
+    links.put_urls(spark.createDataFrame([("a", {"en": "a"})], schema.URLS))
+    links.put_urls(spark.createDataFrame([("a", {"de": "b"})], schema.URLS))
+    assert links.urls().first().locales == {"de": "b"}
+
+
+def test_publish_drains_staging(spark, tmp_path):
+    store, seen = GraphStore(spark, f"file://{tmp_path}"), []
+    rows = spark.createDataFrame([("a", "b")], schema.EDGES)
+    for _ in range(2):
+        store.publish({"edges": rows}, lambda staged: seen.append(staged["edges"].count()))
+    assert seen == [1, 1] and store.read("edges").count() == 1
+
+
 def test_link_states(spark):
     rows = [("a", False, -1), ("b", True, -1), ("c", False, 100_000), ("d", False, 99_999), ("e", False, 150_000)]
     links = spark.createDataFrame([(p, p, False, r, False, t) for p, r, t in rows], schema.LINKS)
@@ -135,14 +238,18 @@ def test_shell(spark, tmp_path):
     out = io.StringIO()
     config = crawl.CrawlConfig(ttl_ms=0, factory=fixture_analyzer, clock=Clock())
     shell = cli.Shell(spark, f"file://{tmp_path}", source(spark, GRAPH), config, out)
-    shell.loop(["crawler start --start-link https://en.wikipedia.org/wiki/1", "wiki", "wiki 4", "wiki -p 5 7 4", "wiki -p 5", "wiki 99", "nothing", "exit", "wiki"])
+    shell.loop(["crawler start --start-link https://en.wikipedia.org/wiki/1", "crawler wait", "wiki", "wiki 4", "wiki -p 5 7 4", "wiki -p 5", "wiki 99", "nothing", "exit", "wiki"])
     text = out.getvalue()
     assert "7 pages in" in text
     assert "4\n - 3\n - 5\n" in text
     assert "https://en.wikipedia.org/wiki/4" in text
-    assert "[/wiki/5 -> /wiki/4 -> /wiki/3 -> /wiki/1 -> /wiki/7]" in text and "[/wiki/7 -> /wiki/6 -> /wiki/1 -> /wiki/3 -> /wiki/4]" in text
+    assert "[5 -> 4 -> 3 -> 1 -> 7]" in text and "[7 -> 6 -> 1 -> 3 -> 4]" in text
     assert "A path needs two titles" in text and "A page was not found" in text and "Unknown command" in text
     assert not shell.running
+    verbs = shell.verbs
+    assert verbs.find("WIKI") and verbs.has("wiki") and not verbs.has("WIKI") and verbs.names() == ["wiki", "crawler", "exit"]
+    verbs.remove("Exit")
+    assert verbs.find("exit") is None
     assert cli.completions(["cr"]) == ["crawler"] and cli.completions(["crawler", "sto"]) == ["stop"]
 
 

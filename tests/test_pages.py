@@ -59,7 +59,9 @@ ROWS = {
     "/wiki/Untitled": '<div id="mw-content-text"></div>',
     "/wiki/Null": None,
     "/wiki/Dis": '<h1 id="firstHeading">D</h1><div id="mw-content-text"><table class="a dmbox-body b"></table></div>',
-    "/wiki/BadLang": '<h1 id="firstHeading">D</h1><div id="p-lang"><li>none</li></div><div id="mw-content-text"></div>',
+    "/wiki/NoAnchor": '<h1 id="firstHeading">D</h1><div id="p-lang"><li>none</li></div><div id="mw-content-text"></div>',
+    "/wiki/BadLang": '<h1 id="firstHeading">D</h1><div id="p-lang"><li><a href="https://[bad">x</a></li></div><div id="mw-content-text"></div>',
+    "/wiki/NoUrl": '<h1 id="firstHeading">D</h1><div id="p-lang"><li><a href="/wiki/T">x</a></li></div><div id="mw-content-text"></div>',
 }
 
 
@@ -73,9 +75,30 @@ def test_analyzers(spark):
     u = got["/wiki/UK"]
     assert (u.title, u.description, u.article_type, u.is_redirect, u.links, u.locales) == ("UK", "UK redirect", "", True, ["/wiki/United_Kingdom"], {"en": "/wiki/UK"})
     assert got["/wiki/Dis"].article_type == "Disambiguation" and got["/wiki/Dis"].description == ""
-    errors = {p: r.error for p, r in got.items() if r.error}
-    assert errors.keys() == {"/wiki/NoLang", "/wiki/Red", "/wiki/Main", "/wiki/Empty", "/wiki/Untitled", "/wiki/Null", "/wiki/BadLang"}
-    assert errors["/wiki/Red"] == "Red Link" and errors["/wiki/Null"] == "no page for link"
+    assert {p: (r.route, r.error) for p, r in got.items() if r.error} == {
+        "/wiki/NoLang": ("unlink", "redirect-without-languages"),
+        "/wiki/Red": ("unlink", "robots-keep-off"),
+        "/wiki/Main": ("unlink", "front-page"),
+        "/wiki/Empty": ("unlink", "no-content"),
+        "/wiki/Untitled": ("unlink", "no-title"),
+        "/wiki/Null": ("unlink", "no-document"),
+        "/wiki/NoAnchor": ("stash", "language-without-link"),
+        "/wiki/BadLang": ("unlink", "bad-language-link"),
+        "/wiki/NoUrl": ("unlink", "bad-language-link"),
+    }
+
+
+def test_an_analyzer_that_fails_stops_no_other_document(spark):
+    def factory():
+        def analyze(path, markup):
+            if markup == "bad":
+                raise KeyError(markup)
+            return {"title": markup, "description": "", "is_redirect": False, "disambiguation": None, "locales": {}, "links": []}
+
+        return analyze
+
+    rows = parsing.parse_documents(spark.createDataFrame([("/a", "good"), ("/b", "bad")], "path string, html string"), factory).collect()
+    assert {(r.path, r.title, r.route, r.error) for r in rows} == {("/a", "good", "index", None), ("/b", None, "stash", "unexpected KeyError")}
 
 
 def test_fixture_round_trip(spark, tmp_path):
@@ -86,7 +109,7 @@ def test_fixture_round_trip(spark, tmp_path):
     pages = fixtures.as_pages(table).select(F.concat(F.lit("/wiki/"), "name").alias("path"), "html")
     parsed = {r.path: r for r in parsing.parse_documents(pages, parsing.fixture_analyzer).collect()}
     assert {p: set(r.links) for p, r in parsed.items()} == {f"/wiki/{n}": {f"/wiki/{x}" for x in v[2]} for n, v in GRAPH.items()}
-    assert parsed["/wiki/3"].description == "three is an even better number"
+    assert parsed["/wiki/3"].description == GRAPH["3"][1]
     found = fetch.FileSource(folder)(spark.createDataFrame([("/wiki/3",), ("/wiki/99",), ("x",)], "path string")).collect()
     assert {r.path: r.status for r in found} == {"/wiki/3": schema.SUCCESS, "/wiki/99": schema.DOES_NOT_EXIST, "x": schema.DOES_NOT_EXIST}
 
