@@ -34,14 +34,14 @@ def part_edges(spark, sf_dir: str) -> DataFrame:
     return lines.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst").distinct()
 
 
-def stops(edges: DataFrame) -> tuple[int, int]:
-    """The start and end that the queries use."""
+def search(edges: DataFrame) -> tuple[int, int, DataFrame]:
+    """The start and end that the queries use, and the layers of the search from the start that found them."""
     start = edges.agg(F.min("src")).first()[0]
-    layers = written(paths.bfs_layers(edges, start), "layers")
+    layers = paths.bfs_layers(edges, start)
     came = layers.select(F.col("v").alias("src"), (F.col("dist") + 1).alias("dist"))
     into = edges.join(came, "src").join(layers.withColumnRenamed("v", "dst"), ["dst", "dist"])
     tied = into.groupBy("dst", "dist").agg(F.count("*").alias("n")).where("n >= 2")
-    return start, tied.agg(F.min_by("dst", F.struct(-F.col("dist"), "dst"))).first()[0]
+    return start, tied.agg(F.min_by("dst", F.struct(-F.col("dist"), "dst"))).first()[0], layers
 
 
 def _text(found: DataFrame) -> DataFrame:
@@ -59,13 +59,15 @@ def part_edges_query(spark, sf_dir):
 @query("all_shortest_paths", _paths_sql(_TEXT))
 def all_shortest_paths(spark, sf_dir):
     edges = written(part_edges(spark, sf_dir), "edges")
-    return _text(paths.all_shortest_paths(edges, *stops(edges)))
+    start, end, layers = search(edges)
+    return _text(paths.all_shortest_paths(edges, start, end, layers=layers))
 
 
 @query("bidirectional_paths", _paths_sql(_TEXT))
 def bidirectional_paths(spark, sf_dir):
     edges = written(part_edges(spark, sf_dir), "edges")
-    return _text(paths.bidirectional_paths(edges, *stops(edges)))
+    start, end, _ = search(edges)
+    return _text(paths.bidirectional_paths(edges, start, end))
 
 
 @query(
@@ -77,11 +79,16 @@ def bfs_layers(spark, sf_dir):
     return paths.bfs_layers(edges, edges.agg(F.min("src")).first()[0])
 
 
-@query("path_display", _paths_sql("SELECT '[' || array_to_string(path, ' -> ') || ']' AS line FROM found"))
+_NAMED = """SELECT '[' || (SELECT string_agg(p_name, ' -> ' ORDER BY i) FROM (SELECT unnest(path) AS v, unnest(range(1, len(path) + 1)) AS i) JOIN part ON p_partkey = v) || ']' AS line FROM found"""
+
+
+@query("path_display", _paths_sql(_NAMED))
 def path_display(spark, sf_dir):
+    """Titles along each path; paths of equal titles are a line each."""
     edges = written(part_edges(spark, sf_dir), "edges")
-    start, end = stops(edges)
-    return report.path_report(paths.all_shortest_paths(edges, start, end), str(start), str(end))
+    start, end, _ = search(edges)
+    titles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.col("p_name").alias("title"))
+    return report.path_report(report.titled_paths(paths.all_shortest_paths(edges, start, end), titles), str(start), str(end))
 
 
 @query("shortest_path_same_vertex", f"WITH {_EDGES} SELECT CAST(min(src) AS VARCHAR) AS path, CAST(0 AS BIGINT) AS length FROM e")
@@ -153,13 +160,11 @@ def neighbour_sets(spark, sf_dir):
     return sets.select("src", F.size("neighbours").cast("long").alias("n"), F.array_join(F.transform("neighbours", lambda v: v.cast("string")), ",").alias("neighbours"))
 
 
-@query(
-    "neighbour_union",
-    f"WITH {_EDGES} SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e WHERE src % 2 = 0 UNION ALL SELECT src, dst FROM e WHERE dst % 2 = 0)",
-)
+@query("neighbour_union", f"WITH {_EDGES} SELECT src, dst FROM e UNION SELECT dst, src FROM e")
 def neighbour_union(spark, sf_dir):
+    """All edges are stored; all of them turned round are cached."""
     edges = part_edges(spark, sf_dir)
-    return graph.union_neighbours(edges.where("src % 2 = 0"), edges.where("dst % 2 = 0"))
+    return graph.union_neighbours(edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 @query(
@@ -178,69 +183,3 @@ def page_ids(spark, sf_dir):
     """Dense ids in order of path, counted per range partition."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("path"))
     return graph.with_ids(part, 100).select("p_partkey", "unique_id")
-
-
-# -- crawl over the part graph ------------------------------------------------
-
-#: Parts with p_size divisible by 7 do not exist, those by 11 cannot be reached just now.
-_STATUS = "CASE WHEN p_size % 7 = 0 THEN 'DOES_NOT_EXIST' WHEN p_size % 11 = 0 THEN 'CONNECTION_ERROR' ELSE 'SUCCESS' END"
-_CRAWL = f"""WITH RECURSIVE {_EDGES}, s AS (SELECT p_partkey AS v, {_STATUS} AS status FROM part),
-  good AS (SELECT src, dst FROM e JOIN s ON s.v = src WHERE status = 'SUCCESS'),
-  walk AS (SELECT (SELECT min(v) FROM s WHERE status = 'SUCCESS') AS v, 0 AS g UNION SELECT dst, g + 1 FROM walk JOIN good ON src = v WHERE g < 10),
-  seen AS (SELECT v, min(g) AS generation FROM walk GROUP BY v)"""
-
-
-def crawl_generations(spark, sf_dir: str) -> DataFrame:
-    """(v, generation, status): the crawl as generations of fetches, each admitted once."""
-    edges = written(part_edges(spark, sf_dir), "edges")
-    status = F.when(F.col("p_size") % 7 == 0, "DOES_NOT_EXIST").when(F.col("p_size") % 11 == 0, "CONNECTION_ERROR").otherwise("SUCCESS")
-    pages = written(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("v"), status.alias("status")), "fetches")
-    frontier = pages.where("status = 'SUCCESS'").agg(F.min("v").alias("v"))
-    seen, out = None, None
-    for generation in range(paths.MAX_LAYERS):
-        fetched = written(pages.join(frontier, "v", "left_semi"), "generation")
-        if fetched.isEmpty():
-            return out
-        part = fetched.select("v", F.lit(generation).cast("long").alias("generation"), "status")
-        out = part if out is None else out.unionByName(part)
-        seen = fetched.select("v") if seen is None else seen.unionByName(fetched.select("v"))
-        stated = edges.join(fetched.where("status = 'SUCCESS'").select(F.col("v").alias("src")), "src")
-        frontier = stated.select(F.col("dst").alias("v")).distinct().join(seen, "v", "left_anti")
-    return out
-
-
-@query("crawl_generations", f"{_CRAWL} SELECT v, CAST(generation AS BIGINT) AS generation, status FROM seen JOIN s USING (v)")
-def crawl_generations_query(spark, sf_dir):
-    return crawl_generations(spark, sf_dir)
-
-
-@query(
-    "crawl_early_stop",
-    f"{_CRAWL} SELECT v, CAST(generation AS BIGINT) AS generation FROM seen JOIN s USING (v) WHERE status = 'SUCCESS' ORDER BY generation, v LIMIT 50",
-)
-def crawl_early_stop(spark, sf_dir):
-    """The first 50 pages in order of generation and key: a stop condition, exact here."""
-    return crawl_generations(spark, sf_dir).where("status = 'SUCCESS'").select("v", "generation").orderBy("generation", "v").limit(50)
-
-
-@query(
-    "tombstones",
-    f"{_CRAWL} SELECT p_partkey, v IS NOT NULL AND status = 'DOES_NOT_EXIST' OR p_partkey % 50 = 0 AS is_removed FROM part LEFT JOIN (seen JOIN s USING (v)) ON v = p_partkey",
-)
-def tombstones(spark, sf_dir):
-    """Pages that the crawl found gone, or that were removed before."""
-    from linkloom.operators.changes import tombstones as mark
-
-    gone = crawl_generations(spark, sf_dir).where("status = 'DOES_NOT_EXIST'").select(F.col("v").alias("path"))
-    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), (F.col("p_partkey") % 50 == 0).alias("is_removed"))
-    return mark(pages, gone).select(F.col("path").alias("p_partkey"), "is_removed")
-
-
-@query(
-    "retry_classes",
-    f"{_CRAWL} SELECT CASE status WHEN 'SUCCESS' THEN 'parse' WHEN 'DOES_NOT_EXIST' THEN 'unlink' ELSE 'stash' END AS route, count(*) AS n FROM seen JOIN s USING (v) GROUP BY ALL",
-)
-def retry_classes(spark, sf_dir):
-    from linkloom.operators.changes import fetch_routes
-
-    return fetch_routes(crawl_generations(spark, sf_dir)).groupBy("route").agg(F.count("*").alias("n"))

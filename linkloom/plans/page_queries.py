@@ -246,15 +246,25 @@ def adjacency_listing(spark, sf_dir):
 @query(
     "page_card",
     f"""WITH {_WORDS}, e AS (SELECT DISTINCT r.page_id AS src, n.page_id AS dst FROM raw r JOIN named n USING (word)), p AS ({_PAGES}),
-    g AS (SELECT src, count(*) AS n FROM e GROUP BY src)
+    g AS (SELECT src, string_agg(chr(10) || ' - ' || title, '' ORDER BY title) AS lines FROM e JOIN p ON p.page_id = dst GROUP BY src)
     SELECT CAST(page_id AS VARCHAR) AS path, concat_ws(chr(10), title, 'https://en.wikipedia.org' || path,
       trim(CASE WHEN page_id % 3 = 0 THEN 'DELETED ' ELSE '' END || CASE WHEN page_id % 4 = 0 THEN 'REDIRECT' ELSE '' END),
-      '', 'Article', page_id, coalesce(n, 0)) AS card FROM p LEFT JOIN g ON g.src = page_id""",
+      '', 'Article', page_id) || coalesce(lines, '') AS card FROM p LEFT JOIN g ON g.src = page_id""",
 )
 def page_card(spark, sf_dir):
+    """Titles of neighbours stand on the card."""
     pages = raw_pages(spark, sf_dir).select(
         F.col("page_id").cast("string").alias("path"), "title", F.col("path").alias("where"), F.lit("").alias("description"), F.lit("Article").alias("article_type"),
         F.col("page_id").alias("unique_id"), (F.col("page_id") % 3 == 0).alias("is_removed"), (F.col("page_id") % 4 == 0).alias("is_redirect"),
     )
-    edges = title_graph(spark, sf_dir).select(F.col("src").cast("string").alias("src"), "dst")
+    edges = title_graph(spark, sf_dir).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
     return report.page_card(pages, edges, fn.page_url(F.col("where")))
+
+
+@query("locale_ops", "SELECT doc_id, 'en,' || 'xx' || lang AS names, '/wiki/' || doc_id AS own, '/en/' || doc_id AS english FROM documents WHERE lang IS NOT NULL")
+def locale_ops(spark, sf_dir):
+    """A map of one language gains English; languages and paths are read back."""
+    docs = table(spark, sf_dir, "documents").where("lang is not null").select("doc_id", F.concat(F.lit("xx"), "lang").alias("lang"))
+    key = F.col("doc_id").cast("string")
+    locales = fn.with_locale(F.create_map("lang", F.concat(F.lit("/wiki/"), key)), "en", F.concat(F.lit("/en/"), key))
+    return docs.select("doc_id", F.array_join(fn.locale_names(locales), ",").alias("names"), locales[F.col("lang")].alias("own"), fn.locale_path(locales).alias("english"))

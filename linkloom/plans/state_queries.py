@@ -14,19 +14,22 @@ TTL = 100_000
 
 
 def _old(spark, sf_dir) -> DataFrame:
-    """Stored snapshot: orders with an even key."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").where("o_orderkey % 2 = 0")
+    """Stored snapshot: all orders."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
 def _new(spark, sf_dir) -> DataFrame:
-    """Incoming rows: orders whose key is divisible by 3, some with another status."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
-    status = F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus"))
-    return orders.select("o_orderkey", status.alias("o_orderstatus"), "o_orderpriority")
+    """Incoming rows: urgent orders, most with another status, and all that are in progress under keys that nothing has."""
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' OR o_orderpriority IN ('1-URGENT', '2-HIGH')")
+    key = F.when(F.col("o_orderstatus") == "P", -1 - F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
+    status = F.when(F.col("o_orderpriority") == "1-URGENT", "X").otherwise(F.col("o_orderstatus"))
+    return orders.select(key.alias("o_orderkey"), status.alias("o_orderstatus"), "o_orderpriority")
 
 
-_OLD = "old AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0)"
-_NEW = "new AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0)"
+_OLD = "old AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders)"
+_NEW = """new AS (SELECT CASE WHEN o_orderstatus = 'P' THEN -1 - o_orderkey ELSE o_orderkey END AS o_orderkey,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority
+  FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority IN ('1-URGENT', '2-HIGH'))"""
 
 
 @query("upsert_pages", f"WITH {_OLD}, {_NEW} SELECT * FROM new UNION ALL SELECT * FROM old WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new)")
@@ -217,22 +220,3 @@ def worker_totals(spark, sf_dir):
 def worker_report(spark, sf_dir):
     log = _log(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
     return report.worker_report(log, "user_id", "cents").withColumn("mean", F.round("mean", 6))
-
-
-@query("wiki_parse_fixture")
-def wiki_parse_fixture(spark, sf_dir):
-    """A small article and a redirect, through the analyzer; SQL cannot express it."""
-    from linkloom.functions.html import parse_documents
-
-    article = (
-        '<html><head></head><body><h1><span class="mw-page-title-main">A title</span></h1><div id="mw-content-text"><p class="x">no</p>'
-        '<p>First <b>words</b><sup class="reference">[1]</sup> &amp; more</p><a href="/wiki/B#part">B</a><a href="/wiki/File:x.png">f</a></div>'
-        '<div id="catlinks"><a href="/wiki/Category:C">C</a></div><div id="p-lang"><ul><li><a href="https://de.wikipedia.org/wiki/Titel">de</a></li></ul></div></body></html>'
-    )
-    redirect = (
-        '<html><head></head><body><span class="mw-page-title-main">UK</span><span id="redirectsub"></span>'
-        '<div class="redirectMsg"><a href="/wiki/United_Kingdom">x</a></div><div id="p-lang"></div></body></html>'
-    )
-    rows = spark.createDataFrame([("/wiki/A", article), ("/wiki/UK", redirect), ("/wiki/None", None)], "path string, html string")
-    parsed = parse_documents(rows)
-    return parsed.select("path", "title", "description", "is_redirect", "article_type", F.array_join(F.array_sort("links"), ",").alias("links"), "error")

@@ -145,6 +145,18 @@ class WebSource:
         return asked.mapInArrow(run, "path string, html string, status string")
 
 
+@dataclass
+class RecordedSource:
+    """Replays fetches that were recorded (path, html, status); a path without a record does not exist."""
+
+    fetches: DataFrame
+
+    def __call__(self, frontier: DataFrame) -> DataFrame:
+        asked = frontier.select("path").distinct()
+        found = asked.join(self.fetches.select("path", "html", "status"), "path", "left")
+        return found.select("path", "html", F.coalesce("status", F.lit(schema.DOES_NOT_EXIST)).alias("status"))
+
+
 @dataclass
 class ScriptedSource:
     """Wraps a source with statuses that a rule decides, for tests and rehearsals."""
