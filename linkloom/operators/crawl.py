@@ -14,7 +14,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from linkloom import schema
@@ -25,6 +25,10 @@ from linkloom.scratch import release, written
 from linkloom.sources.fetch import Source
 
 
+#: Created pages up to which one task numbers them.
+FEW = 10_000
+
+
 @dataclass
 class CrawlConfig:
     ttl_ms: int = schema.DEFAULT_TTL_MS
@@ -76,13 +80,14 @@ def _judged(store: GraphStore, good: DataFrame) -> DataFrame:
     return written(judged.join(pages.select("path", "unique_id", "is_removed"), "path", "left"), "judged")
 
 
-def _page_rows(store: GraphStore, judged: DataFrame, gone: DataFrame, resurrect: bool, creates: bool) -> DataFrame:
-    """The pages that this generation writes: created, changed, tombstoned and, if asked for, brought back."""
+def _page_rows(store: GraphStore, judged: DataFrame, gone: DataFrame, resurrect: bool, creates: int, next_id: int) -> DataFrame:
+    """The pages that this generation writes: created (so many, with ids from ``next_id``), changed, tombstoned and, if asked for, brought back."""
     names = schema.PAGES.fieldNames()
     made = judged.where("action = 'create'").withColumn("is_removed", F.lit(False)).select(*names)
-    if creates:
-        top = store.read("pages").agg(F.coalesce(F.max("unique_id"), F.lit(-1))).first()[0]
-        made = graph.with_ids(made, top + 1).select(*names)
+    if creates > FEW:
+        made = graph.with_ids(made, next_id).select(*names)
+    elif creates:  # so few that one task ranks them
+        made = made.withColumn("unique_id", F.row_number().over(Window.orderBy("path")) - 1 + F.lit(next_id)).select(*names)
     back = F.col("is_removed") if resurrect else F.lit(False)
     kept = judged.where("action = 'update'").where(F.col("changed") | back)
     kept = kept.withColumn("is_removed", F.lit(False)) if resurrect else kept
@@ -151,6 +156,7 @@ class Crawler:
         """
         store, config, done = self.store, self.config, self.report
         unpublished = 0
+        self._next_id = store.read("pages").agg(F.coalesce(F.max("unique_id"), F.lit(-1))).first()[0] + 1
         frontier = written(changes.get_or_make_links(graph.pages_in(store.read("links"), seeds), seeds), "frontier")
         while True:
             if self._stop.is_set():
@@ -163,14 +169,14 @@ class Crawler:
             if config.capacity is not None:
                 taken = written(frontier.orderBy("path").limit(config.capacity), "taken")
                 waiting = frontier.join(taken.select("path"), "path", "left_anti")
-            created, frontier = self._generation(taken, waiting, frontier)
+            created, n_ahead, frontier = self._generation(taken, waiting, frontier)
             unpublished += created
             if config.publish_every and unpublished >= config.publish_every:
                 self._publish()
                 unpublished = 0
             if 0 <= config.early_stop <= done.indexed:
                 done.ended = "early_stop"
-            elif frontier.isEmpty():
+            elif not n_ahead:
                 done.ended = "drained"
         if done.ended != "drained":  # what still waits is free again
             store.commit(links=frontier.withColumn("registered", F.lit(False)))
@@ -186,8 +192,8 @@ class Crawler:
             self.config.on_publish(graph.pages_in(self.store.read("pages"), visits))
         self._published = done.generations - 1
 
-    def _generation(self, taken: DataFrame, waiting: DataFrame | None, frontier: DataFrame) -> tuple[int, DataFrame]:
-        """One generation, committed: how many pages it created, and the next frontier."""
+    def _generation(self, taken: DataFrame, waiting: DataFrame | None, frontier: DataFrame) -> tuple[int, int, DataFrame]:
+        """One generation, committed: how many pages it created, and the next frontier with its size."""
         store, config, done = self.store, self.config, self.report
         routed = written(changes.fetch_routes(self.source(taken)), "fetched")
         parsed = written(parse_documents(routed.where("route = 'parse'"), config.factory), "parsed")
@@ -199,10 +205,13 @@ class Crawler:
         fetched = routed.where("route <> 'parse'").select("path", "route", F.col("status").alias("error"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("int").alias("worker"), F.lit(None).cast("long").alias("took_us"))
         bad = parsed.where("route <> 'index'").select("path", "route", "error", F.lit(None).cast("string").alias("action"), "worker", "took_us")
         seen = judged.select("path", F.lit("index").alias("route"), F.lit(None).cast("string").alias("error"), F.when(F.col("changed") | (F.col("action") == "create"), F.col("action")).otherwise("unchanged").alias("action"), "worker", "took_us")
-        visits = written(fetched.unionByName(bad).unionByName(seen), "visits")
-        tally = {(r.route, r.action): r.n for r in visits.groupBy("route", "action").agg(F.count("*").alias("n")).collect()}
+        counted = Observation()
+        n_of = lambda name, test: F.count(F.when(F.expr(test), 1)).alias(name)
+        visits = fetched.unionByName(bad).unionByName(seen)
+        visits = written(visits.observe(counted, n_of("created", "action = 'create'"), *[n_of(r, f"route = '{r}'") for r in ("index", "unlink", "stash")]), "visits")
+        tally = counted.get
         gone = visits.where("route = 'unlink'").select("path")
-        pages = _page_rows(store, judged, gone, config.resurrect, ("index", "create") in tally)
+        pages = _page_rows(store, judged, gone, config.resurrect, tally["created"], self._next_id)
         resolved = _resolved(store, judged)
         now = config.clock()
         fresh = judged.where("changed or action = 'create'")
@@ -215,7 +224,9 @@ class Crawler:
         admitted = admit(known, resolved.where("not known").select(F.col("dst").alias("path")).distinct(), now, config.ttl_ms)
         if waiting is not None:
             admitted = admitted.join(waiting.select("path"), "path", "left_anti")
-        admitted = written(admitted, "admitted")
+        n_admitted = Observation()
+        admitted = written(admitted.observe(n_admitted, F.count("*").alias("n")), "admitted")
+        n_ahead = n_admitted.get["n"]
         store.commit(
             pages=pages,
             urls=fresh.select("path", "locales"),
@@ -225,17 +236,19 @@ class Crawler:
             visits=visits.select("path", F.lit(done.generations).cast("long").alias("generation"), "route", "error", "action", F.lit(now).cast("long").alias("at_ms"), F.col("worker").cast("long").alias("worker"), "took_us"),
         )
         done.generations += 1
-        created = tally.get(("index", "create"), 0)
-        done.created += created
-        done.indexed += sum(n for (route, _), n in tally.items() if route == "index")
-        done.gone += sum(n for (route, _), n in tally.items() if route == "unlink")
-        done.stashed += sum(n for (route, _), n in tally.items() if route == "stash")
+        self._next_id += tally["created"]
+        done.created += tally["created"]
+        done.indexed += tally["index"]
+        done.gone += tally["unlink"]
+        done.stashed += tally["stash"]
         ahead = admitted
         if waiting is not None:
-            ahead = written(waiting.unionByName(admitted), "frontier")
+            n_waiting = Observation()
+            ahead = written(waiting.unionByName(admitted).observe(n_waiting, F.count("*").alias("n")), "frontier")
+            n_ahead = n_waiting.get["n"]
             used += [admitted, taken]
         release(*used, judged, visits, resolved, frontier)
-        return created, ahead
+        return tally["created"], n_ahead, ahead
 
 
 def crawl(store: GraphStore, source: Source, seeds: DataFrame, config: CrawlConfig | None = None) -> CrawlReport:

@@ -264,7 +264,7 @@ def shell_listing(spark, sf_dir):
     f"""WITH {NATIONS}, {_TITLED}, asked AS (SELECT 0 AS nth, 'r0' AS name UNION ALL SELECT 1, 'n' || min(n_nationkey) FROM nation WHERE n_regionkey <> 0),
     c AS (SELECT nth, f.* FROM asked JOIN f USING (name)),
     x AS (SELECT nth, 0 AS part, title AS line FROM c UNION ALL SELECT nth, 1, 'https://en.wikipedia.org/wiki/' || name FROM c UNION ALL SELECT nth, 2, '' FROM c UNION ALL SELECT nth, 3, description FROM c
-      UNION ALL SELECT nth, 4, 'Article' FROM c UNION ALL SELECT nth, 6, ' - ' || g.title FROM c JOIN g ON g.src = c.name)
+      UNION ALL SELECT nth, 4, '' FROM c UNION ALL SELECT nth, 6, ' - ' || g.title FROM c JOIN g ON g.src = c.name)
     SELECT 'card' AS command, CAST(row_number() OVER (ORDER BY nth, part, line) - 1 AS BIGINT) AS n, line FROM x""",
 )
 def shell_cards(spark, sf_dir):
