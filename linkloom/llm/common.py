@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from linkloom.scratch import new_path as scratch_path
-from linkloom.scratch import written
+from linkloom.scratch import release, written
 
-__all__ = ["AT_END", "releasing", "scratch_path", "written"]
+__all__ = ["AT_END", "release", "releasing", "scratch_path", "written"]
 
 
 #: Called at the end of a task: empties what a module keeps for the rows of one task.

@@ -1,17 +1,19 @@
 """Edit-aware token counts: a segment tree per document over spans of pre-tokens.
 
 A text is cut into leaves where the tokenizer certainly cuts it: before a run of
-white space that follows other characters. Inner nodes hold the sums of characters
+white space that follows other characters; a leaf is a run of whole pre-tokens of at
+least ``LEAF_CHARS`` characters together. Inner nodes hold the sums of characters
 and tokens below them. An edit finds the leaves it touches by descending the tree,
 joins them with one leaf on either side as context, cuts and encodes that region
 again, and updates the sums on the way up; the rest of the text is never encoded
-again. A leaf's slot may come to hold several spans, or none, so the tree keeps
-its shape.
+again. A slot may come to hold several leaves, or none; once one holds more than
+``MOST_LEAVES``, the leaves are dealt anew to a tree of their own number, by the
+counts that they have, so edits at one place stay as cheap as any.
 
 Defined cases: a null text is empty and has 0 tokens. Edits beyond the end act at
 the end; a null deletion or insertion is none. A text without white space is one
-leaf. Repeated rows are handled one by one; empty tables give empty results; other
-columns are not read.
+leaf, however long. Repeated rows are handled one by one; empty tables give empty
+results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from linkloom.llm.encoding import encoder
 
 #: Characters of a leaf at least; it ends at the next certain cut.
 LEAF_CHARS = 512
+#: Leaves of a slot from which on the tree is built anew.
+MOST_LEAVES = 4
 CUT = re.compile(r"(?<=\S)(?=\s)")
 SCHEMA = "doc_id long, n_edits long, tokens_before long, tokens_after long, chars_after long, reencoded_chars long, text_crc32 long"
 EDITS = "array<struct<pos:bigint,del:bigint,ins:string>>"
@@ -52,22 +56,26 @@ class TokenTree:
         spans = leaves(text, least) or [""]
         if counts is None:
             counts = count(spans)
-        self.slots: list[list[str]] = [[s] for s in spans]
+        self._build(list(zip(spans, counts, strict=True)))
+
+    def _build(self, leaves_: list[tuple[str, int]]) -> None:
+        """A tree with a slot for each leaf (its span and tokens)."""
+        self.slots: list[list[tuple[str, int]]] = [[x] for x in leaves_]
         self.size = 1
-        while self.size < len(spans):
+        while self.size < len(leaves_):
             self.size *= 2
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for k, (s, n) in enumerate(zip(spans, counts, strict=True)):
+        for k, (s, n) in enumerate(leaves_):
             self.chars[self.size + k], self.tokens[self.size + k] = len(s), n
         for k in range(self.size - 1, 0, -1):
             self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
             self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
 
     def leaf_counts(self) -> list[int]:
-        return self.tokens[self.size : self.size + len(self.slots)]
+        return [n for slot in self.slots for _, n in slot]
 
     def text(self) -> str:
-        return "".join(s for slot in self.slots for s in slot)
+        return "".join(s for slot in self.slots for s, _ in slot)
 
     def _find(self, pos: int) -> tuple[int, int]:
         """The slot that holds character ``pos``, and the characters before it."""
@@ -86,10 +94,10 @@ class TokenTree:
             k += step
         return min(max(k, 0), len(self.slots) - 1)
 
-    def _set(self, slot: int, spans: list[str], tokens: int) -> None:
-        self.slots[slot] = spans
+    def _set(self, slot: int, own: list[tuple[str, int]]) -> None:
+        self.slots[slot] = own
         k = self.size + slot
-        chars, had = sum(map(len, spans)) - self.chars[k], tokens - self.tokens[k]
+        chars, had = sum(len(s) for s, _ in own) - self.chars[k], sum(n for _, n in own) - self.tokens[k]
         while k:
             self.chars[k] += chars
             self.tokens[k] += had
@@ -103,17 +111,18 @@ class TokenTree:
         lo, hi = self._beside(first, -1), self._beside(last, 1)
         lo, hi = min(lo, first), max(hi, last)
         start = self._start(lo)
-        old = "".join(s for slot in self.slots[lo : hi + 1] for s in slot)
+        old = "".join(s for slot in self.slots[lo : hi + 1] for s, _ in slot)
         at = pos - start
         new = old[:at] + insert + old[at + delete :]
         spans = leaves(new, self.least)
-        counts = self.count(spans) if spans else []
+        made = list(zip(spans, self.count(spans), strict=True)) if spans else []
         self.reencoded += len(new)
-        # the spans are dealt over the slots of the region, the rest to its last slot
+        # the leaves are dealt over the slots of the region, the rest to its last slot
         width = hi - lo + 1
         for k in range(width):
-            own = slice(k, k + 1) if k < width - 1 else slice(k, None)
-            self._set(lo + k, spans[own], sum(counts[own]))
+            self._set(lo + k, made[k : k + 1] if k < width - 1 else made[k:])
+        if len(self.slots[hi]) > MOST_LEAVES:
+            self._build([x for slot in self.slots for x in slot])
 
     def _start(self, slot: int) -> int:
         """Characters before a slot, by climbing."""
@@ -125,17 +134,16 @@ class TokenTree:
         return before
 
 
-def edited_counts(docs: DataFrame, tokenizer: str, least: int = LEAF_CHARS) -> DataFrame:
-    """``docs`` has doc_id, text, ``edits`` (an array of pos, del, ins, applied in order) and, where it was kept, ``leaf_tokens``.
+def edited_counts(docs: DataFrame, tokenizer: str, least: int = LEAF_CHARS, kept: str | None = None) -> DataFrame:
+    """``docs`` has doc_id, text and ``edits`` (an array of pos, del, ins, applied in order).
 
-    With ``leaf_tokens``, the counts that ``trees`` returned for the same text, only
-    the regions of edits are encoded; where it is missing or null, the text is
-    encoded once before.
+    ``kept`` names a column with what ``trees`` returned for the texts, a struct of
+    leaf_tokens and signature: only the regions of edits are encoded then. Where it is
+    null, or its signature is not that of the text, its leaves and their counts, the
+    text is encoded once before, as without it.
     """
-    kept = "leaf_tokens" in docs.columns
-    rows = docs.select(
-        F.col("doc_id").cast("long"), "text", F.col("edits").cast(EDITS).alias("edits"), (F.col("leaf_tokens") if kept else F.lit(None)).cast("array<bigint>").alias("leaf_tokens")
-    )
+    tree = F.col(f"`{kept}`") if kept else F.lit(None)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.col("edits").cast(EDITS).alias("edits"), tree.cast("struct<leaf_tokens:array<bigint>,signature:bigint>").alias("tree"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -144,8 +152,12 @@ def edited_counts(docs: DataFrame, tokenizer: str, least: int = LEAF_CHARS) -> D
         count = lambda spans: [len(x) // 4 for x in codec.ids(spans)]
         for batch in batches:
             out = []
-            for doc, text, edits, counts in zip(*(batch.column(i) for i in range(4))):
-                tree = TokenTree(text.as_py() or "", count, least, counts.as_py())
+            for doc, text, edits, was in zip(*(batch.column(i) for i in range(4))):
+                whole, was = text.as_py() or "", was.as_py()
+                counts = was["leaf_tokens"] if was else None
+                if counts is not None and was["signature"] != signature(whole, counts, least):
+                    counts = None
+                tree = TokenTree(whole, count, least, counts)
                 before, todo = tree.tokens[1], [e for e in edits.as_py() or [] if e is not None]
                 for e in todo:
                     tree.edit(e["pos"] or 0, e["del"] or 0, e["ins"] or "")
@@ -157,16 +169,25 @@ def edited_counts(docs: DataFrame, tokenizer: str, least: int = LEAF_CHARS) -> D
     return rows.mapInArrow(releasing(apply), SCHEMA)
 
 
+def signature(text: str, counts: list[int], least: int) -> int:
+    """Tells whether counts were made for this text and these leaves."""
+    import zlib
+
+    return zlib.crc32(",".join(map(str, [least, *counts])).encode(), zlib.crc32(text.encode()))
+
+
 def trees(docs: DataFrame, tokenizer: str, least: int = LEAF_CHARS) -> DataFrame:
-    """doc_id and ``leaf_tokens``: what has to be kept of a document's tree; the leaves follow from the text."""
+    """doc_id, ``leaf_tokens`` and ``signature``: what has to be kept of a document's tree; the leaves follow from the text."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(tokenizer)
         for batch in batches:
-            counts = [[len(x) // 4 for x in codec.ids(leaves(t.as_py() or "", least) or [""])] for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.list_(pa.int64()))], names=["doc_id", "leaf_tokens"])
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            counts = [[len(x) // 4 for x in codec.ids(leaves(t, least) or [""])] for t in texts]
+            signed = [signature(t, c, least) for t, c in zip(texts, counts)]
+            yield pa.record_batch([batch.column(0), pa.array(counts, pa.list_(pa.int64())), pa.array(signed, pa.int64())], names=["doc_id", "leaf_tokens", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(build), "doc_id long, leaf_tokens array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(build), "doc_id long, leaf_tokens array<long>, signature long")
 
 
 def scripted_edits(doc_id: Column, text: Column) -> Column:

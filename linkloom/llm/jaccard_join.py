@@ -9,19 +9,24 @@ leaders, the members so far that resemble no earlier leader; buckets with too ma
 leaders are split further, by walking on from their leaf. Runs are repeated until
 a pair at the threshold is missed with at most ``miss`` probability.
 
-The links found this way only say what to compare: they are closed into groups,
-and within each group all pairs of classes are compared exactly, in blocks of
-bounded size. Pairs are counted where they are found and never become rows, so a
-group of n copies costs n rows.
+The links found this way only say what to compare. They are closed into groups, and
+those are cut down before any text moves: within a group all sketches are compared
+in blocks, and only classes whose sketches are as near as those of a pair at the
+threshold stay together (``PAIR_BITS``; such a pair falls below with a probability
+under 1e-7). Within what is left all pairs of classes are compared exactly, in
+blocks of bounded size. Pairs are counted where they are found and never become
+rows, so a group of n copies costs n rows.
 
 Result: one row per document: doc_id, class_id (the least doc_id of all documents
 that links connect) and n_links (other documents of at least that similarity,
 equal ones included).
 
 Defined cases: documents without words (null, empty, blank) link to nothing.
-A text of fewer than five words is one shingle. Repeated rows and equal texts are
-linked copies. Rows with a null doc_id are compared too; they never give a class
-its name unless all of its rows are null. Other columns are not read.
+A text of fewer than five words is one shingle. Very long texts are compared by all
+of their shingles. Repeated rows and equal texts are linked copies. Of equal doc_ids
+the first row stands for its class. Rows with a null doc_id are compared too; they
+never give a class its name unless all of its rows are null. An empty table gives no
+rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,10 +50,13 @@ MISS = 1e-4
 DEPTH = 3
 #: Of 256 sketch bits: equal ones from which a member joins a leader, and from which it needs no leader of its own.
 LINK_BITS, LEAD_BITS = 164, 200
+#: Equal bits from which two classes of a group stay together. At similarity 0.8 a bit is equal with probability 0.848: 217 of 256 in the mean, 5.7 about it.
+PAIR_BITS = 186
 #: A bucket with more leaders is split further.
 LEADERS = 256
-#: Classes and shingles of a block of an exact comparison.
-BLOCK_CLASSES, BLOCK_SHINGLES = 512, 2_000_000
+#: Classes of a block of sketches; classes and shingles of a block of an exact comparison.
+SKETCH_BLOCK = 4096
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 2_000_000
 #: Documents whose leaves a task holds at once, and combines before they travel.
 LOT = 2_000
 #: A class at a leaf with its sketch; or, with ``to``, a link that is settled already.
@@ -287,26 +295,78 @@ def candidate_groups(texts: DataFrame, members: DataFrame, threshold: float = TH
         split = found.where("split").select(F.col("a").alias("key"), F.col("b").alias("path"))
         if split.isEmpty():
             return components(links)
+        # members that a leader has stood for go on with it, wherever else they were: a partner may be in another lot
+        led = part.select(F.col("a").alias("key"), F.col("b").alias("led")).join(split.withColumnRenamed("key", "led"), "led").select("key", "path")
+        split = split.unionByName(led).distinct()
         paths = _walk_on(split, members, texts, threshold, leaders)
     # what 27 levels could not tell apart is alike: link it to the least of its bucket
     rest = split.groupBy("path").agg(F.min("key").alias("b"))
     return components(links.unionByName(split.join(rest, "path").select(F.col("key").alias("a"), "b")))
 
 
+def _spread(rows: DataFrame, blocks: str = "blocks") -> DataFrame:
+    """Rows once for each pair of blocks of their group that their own block (``own``) is in: columns i <= j."""
+    pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    return pairs.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+
+
+def _in_blocks(rows: DataFrame, blocks: F.Column) -> DataFrame:
+    """Rows of (root, key, ...) with the number of blocks of their group, and their own block by a hash of the key."""
+    sizes = rows.groupBy("root").agg(F.count("*").alias("g"), F.sum("n").alias("total")).select("root", F.greatest(F.ceil(blocks).cast("int"), F.lit(1)).alias("blocks"))
+    return rows.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int"))
+
+
+def _near_groups(texts: DataFrame, grouped: DataFrame, pair_bits: int = PAIR_BITS) -> DataFrame:
+    """(key, root): the groups cut down to classes that near sketches connect; classes that are alone are left out."""
+    with_text = beside_texts(texts, grouped, ["root", "key", "n"], "sketched")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            bits = [_sketch(shingle_set(text_bytes(t))) for t in batch.column(3)]
+            bits = np.stack(bits) if bits else np.zeros((0, 4), np.int64)
+            yield pa.record_batch([*batch.columns[:3], *[pa.array(bits[:, c]) for c in range(4)]], names=["root", "key", "n", "s0", "s1", "s2", "s3"])
+
+    sketches = written(with_text.mapInArrow(releasing(sketch), "root long, key long, n long, s0 long, s1 long, s2 long, s3 long"), "sketches")
+    spread = _spread(_in_blocks(sketches, F.col("g") / SKETCH_BLOCK)).drop("n", "blocks")
+
+    def near(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        keys = table["key"].to_numpy()
+        bits = np.stack([table[f"s{c}"].to_numpy() for c in range(4)], 1).view(np.uint64)
+        root = np.arange(len(keys))
+
+        def top(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for x in range(1, len(keys)):
+            # those of one part need no more than one link
+            alike = np.flatnonzero(256 - np.bitwise_count(bits[:x] ^ bits[x]).sum(1, dtype=np.int64) >= pair_bits)
+            for y in np.unique(root[alike]).tolist():
+                a, b = top(x), top(y)
+                root[max(a, b)] = min(a, b)
+        heads = np.asarray([top(x) for x in range(len(keys))], np.int64)
+        own = heads != np.arange(len(keys))
+        return pa.table({"a": keys[own], "b": keys[heads[own]]})
+
+    return components(spread.groupBy("root", "i", "j").applyInArrow(near, "a long, b long")).withColumnRenamed("node", "key")
+
+
 def _compare(texts: DataFrame, members: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """(key, links, parent, whole): for each class and block, weighted links found there and one class it is linked to."""
     classes = members.where("key is not null").groupBy("key").agg(
         F.min("rid").alias("rid"), F.count("*").alias("copies"), F.max("n").alias("n")
     )
     grouped = classes.join(groups.withColumnRenamed("node", "key"), "key")
-    sizes = grouped.groupBy("root").agg(F.count("*").alias("g"), F.sum("n").alias("total"))
-    blocks = F.ceil(F.greatest(F.col("g") / BLOCK_CLASSES, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    sizes = sizes.select("root", F.greatest(blocks, F.lit(1)).alias("blocks"))
-    placed = grouped.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int"))
+    near = _near_groups(texts, grouped.select("rid", "root", "key", "n"))
+    placed = _in_blocks(classes.join(near, "key"), F.greatest(F.col("g") / BLOCK_CLASSES, F.col("total") / BLOCK_SHINGLES))
     with_text = beside_texts(texts, placed, ["root", "blocks", "own", "key", "copies"], "placed")
-    spread = with_text.select(
-        "root", "blocks", "own", "key", "copies", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    spread = _spread(with_text)
 
     def compare(table: pa.Table) -> pa.Table:
         import numpy as np

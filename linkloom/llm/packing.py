@@ -1,8 +1,10 @@
 """Packing by power-of-two decomposition: a document is cut into binary-length pieces.
 
 A piece is a sequence of its own, so no sequence crosses documents and none needs
-padding; pieces of one length form a bucket, from which batches of equal shape are
-drawn. Documents are tokenized and cut where they are read, without a shuffle.
+padding. Pieces of one length form a bucket: each task fills its buckets as it cuts,
+and hands a bucket over as a batch of equal shape once it holds ``BATCH_TOKENS``; at
+its end it hands over what its buckets still hold. Documents are tokenized and cut
+where they are read, without a shuffle, and a task holds no more than its buckets.
 
 Defined cases: a null text is empty and gives one piece, the end id alone. A very
 long text gives many pieces of the longest length. Repeated rows are packed one by
@@ -23,9 +25,9 @@ from linkloom.llm.encoding import CACHE_ENTRIES, encoder, forget
 
 LONGEST = 1024
 END_ID = 0
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket int"
-#: Bytes of ids that a task hands over at once.
-FLUSH_BYTES = 8_000_000
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket int, batch_id long"
+#: Tokens of a whole batch: so many by the bucket's length gives its sequences, a power of two as well.
+BATCH_TOKENS = 1 << 16
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> Iterator[int]:
@@ -47,7 +49,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, longest: int = L
     without ``keep_encoder`` it drops tokenizer and cache after each task.
 
     ``sequence_id`` is bucket, partition and a count within both, from the highest
-    bits down: unique, and the same when a task is run again.
+    bits down: unique, and the same when a task is run again. Rows of one ``batch_id``
+    follow each other and have one length; all but a task's last batch of a length are
+    full. ``batch_id`` is the first sequence_id of the batch.
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -56,25 +60,37 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, longest: int = L
         import numpy as np
 
         codec, part = encoder(tokenizer, cache_entries), TaskContext.get().partitionId()
-        end, made = np.asarray([end_id], "<u4").tobytes(), {}
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("bucket", pa.int32())])
-        rows, held = [], 0
+        end = np.asarray([end_id], "<u4").tobytes()
+        lengths = [1 << k for k in range(longest.bit_length())]
+        buckets: list[list[tuple]] = [[] for _ in lengths]
+        done = [0] * len(lengths)
+        whole = [max(1, BATCH_TOKENS // n) for n in lengths]
+
+        def batch_of(k: int) -> pa.RecordBatch:
+            """What bucket ``k`` holds, as one batch of equal shape; the bucket is empty then."""
+            rows, buckets[k] = buckets[k], []
+            n, first = len(rows), k << 58 | part << 36 | done[k]
+            done[k] += n
+            docs, starts, ids, sizes = zip(*rows)
+            same = lambda x, t: pa.array(np.full(n, x), t)
+            columns = [pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), same(lengths[k], pa.int64()), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64())]
+            columns += [pa.array(np.arange(first, first + n)), same(0, pa.int64()), same(k, pa.int32()), same(first, pa.int64())]
+            return pa.record_batch(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
+
         for batch in batches:
             texts = (t.as_py() for t in batch.column(1))
             for doc, ids in zip(batch.column(0).to_pylist(), codec.ids(texts), strict=True):
                 ids += end
                 n, start = len(ids) // 4, 0
                 for length in piece_lengths(n, longest):
-                    bucket = length.bit_length() - 1
-                    count = made[bucket] = made.get(bucket, -1) + 1
-                    rows.append((doc, start, length, ids[4 * start : 4 * (start + length)], n, bucket << 58 | part << 36 | count, 0, bucket))
+                    k = length.bit_length() - 1
+                    buckets[k].append((doc, start, ids[4 * start : 4 * (start + length)], n))
                     start += length
-                held += len(ids)
-                if held >= FLUSH_BYTES:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows, held = [], 0
-        if rows:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    if len(buckets[k]) == whole[k]:
+                        yield batch_of(k)
+        for k, rows in enumerate(buckets):
+            if rows:
+                yield batch_of(k)
         if not keep_encoder:
             del codec
             forget()
@@ -83,12 +99,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, longest: int = L
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Sequences as Parquet, a folder for each length."""
+    """Sequences as Parquet, a folder for each length; a file's rows keep the order of their batches."""
     pieces.write.partitionBy("bucket").parquet(path)
 
 
+def batches(spark, path: str, length: int) -> DataFrame:
+    """The batches of one length from written buckets: batch_id, n (its sequences), ids (theirs, one after another: a matrix of n rows)."""
+    rows = spark.read.parquet(path).where(F.col("bucket") == length.bit_length() - 1)
+    ordered = F.array_sort(F.collect_list(F.struct("sequence_id", "ids")))  # BATCH_TOKENS ids
+    whole = rows.groupBy("batch_id").agg(ordered.alias("s"))
+    return whole.select("batch_id", F.size("s").alias("n"), F.aggregate("s.ids", F.lit("").cast("binary"), lambda a, x: F.concat(a, x)).alias("ids"))
+
+
 def digests(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "batch_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

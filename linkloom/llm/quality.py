@@ -4,13 +4,17 @@ Only DataFrame functions are used, and no row leaves its task: counts of a text
 are computed in place, so there is no shuffle and no skew.
 
 Repeated three-word windows are found by sorting: each window's 64-bit hash loses
-its low bits to the window's position (as many bits as the text needs), one
-primitive sort brings equal windows together, and neighbours are compared by the
-full hash. That is O(n log n) in the words of a text, also for very long ones.
+its low bits to the window's position (as many bits as the text needs), and one
+primitive sort brings equal windows together. Where two neighbours agree in what is
+left of their hashes but not in the whole of them, other windows may stand between
+equal ones; such a text's windows are sorted again by (whole hash, position). That
+is O(n log n) in the words of a text, also for very long ones.
 
 Defined cases: a null or empty text has no words, so all counts are 0, the base
 fails and the document is not kept. Repeated rows are judged one by one, an empty
-table gives an empty result, and columns other than id and text are not read.
+table gives an empty result, and columns other than id and text are not read by the
+query. ``with_counts`` passes all columns through; one that has the name of a count
+gives way to it.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ THRESHOLDS = (
     ("stop_word_share", 0.02, None),
     ("duplicate_line_share", None, 0.4),
 )
+#: Bits of a hash that the first sort leaves out besides those that a position needs.
+SPARE_BITS = 0
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -45,9 +51,7 @@ def _columns(text: str) -> list[dict[str, str]]:
     """The projections, one after another, as SQL expressions over the text column."""
     stops = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
     rank = "cast(length(bin(size(g))) as int)"  # bits that a position needs
-    same = "shiftrightunsigned(s[{a}], {r}) = shiftrightunsigned(s[{b}], {r}) AND g[" + "cast(s[{a}] & p as int)] = g[cast(s[{b}] & p as int)]"
-    before = same.format(a="j", b="j - 1", r="r")
-    after = same.format(a="j", b="j + 1", r="r")
+    whole = "g[cast(s[{k}] & p as int)]"
     return [
         {
             "w": rf"filter(split({text}, '[ \\t-\\r]+'), x -> x <> '')",
@@ -62,11 +66,14 @@ def _columns(text: str) -> list[dict[str, str]]:
             "n_stop_words": f"cast(size(filter(w, x -> x IN ({stops}))) as bigint)",
             "g": "CASE WHEN size(w) >= 3 THEN transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) ELSE array() END",
         },
-        {"r": rank, "p": f"shiftleft(1L, {rank}) - 1"},
-        {"s": "sort_array(transform(g, (h, i) -> (h & ~p) | cast(i as bigint)))"},
+        {"p": f"shiftleft(1L, {rank}) - 1", "m": f"shiftleft(1L, {rank} + {SPARE_BITS}) - 1"},
+        {"s": "sort_array(transform(g, (h, i) -> (h & ~m) | cast(i as bigint)))"},
+        {"mixed": f"exists(sequence(1, greatest(size(s) - 1, 1)), j -> j < size(s) AND (s[j] & ~m) = (s[j - 1] & ~m) AND {whole.format(k='j')} <> {whole.format(k='j - 1')})"},
+        # the windows' hashes and positions in an order in which equal hashes are neighbours
+        {"o": "CASE WHEN mixed THEN transform(sort_array(transform(g, (h, i) -> struct(h AS h, i AS i))), x -> x.i) ELSE transform(s, x -> cast(x & p as int)) END"},
         {
-            "at": "sort_array(transform(filter(sequence(0, size(s)), j -> j < size(s) AND ("
-            f"(j > 0 AND {before}) OR (j + 1 < size(s) AND {after}))), j -> cast(s[j] & p as int)))"
+            "at": "sort_array(transform(filter(sequence(0, size(o)), j -> j < size(o) AND ("
+            "(j > 0 AND g[o[j]] = g[o[j - 1]]) OR (j + 1 < size(o) AND g[o[j]] = g[o[j + 1]]))), j -> o[j]))"
         },
         {"n_repeat_words": "aggregate(transform(at, (x, j) -> IF(j = 0, 3, least(3, x - at[j - 1]))), 0L, (a, x) -> a + x)"},
     ]
@@ -83,11 +90,8 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn("__text", F.coalesce(F.col(hidden[text_col]), F.lit("")))
     for step in _columns("__text"):
         out = out.select("*", *[F.expr(v).alias(k) for k, v in step.items()])
-    taken = [n for n in names if n in COUNTS]
-    if taken:
-        raise ValueError(f"columns {taken} of the input clash with the counts; rename them first")
     # a generator of one row: without it a later filter on the counts would be pushed down and multiply their expressions
-    return out.select(*[F.col(hidden[n]).alias(n) for n in names], F.inline(F.array(F.struct(*COUNTS))))
+    return out.select(*[F.col(hidden[n]).alias(n) for n in names if n not in COUNTS], F.inline(F.array(F.struct(*COUNTS))))
 
 
 def verdict(thresholds: Sequence[tuple[str, float | None, float | None]] = THRESHOLDS) -> tuple[Column, Column]:
@@ -131,8 +135,14 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(*RESULT)
 
 
-def sql() -> str:
+def sql(thresholds: Sequence[tuple[str, float | None, float | None]] = THRESHOLDS) -> str:
     stops = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    ratios = {
+        "mean_word_chars": "word_chars / greatest(n_words, 1)", "symbols_per_word": "n_symbols / greatest(n_words, 1)",
+        "stop_word_share": "n_stop / greatest(n_words, 1)", "duplicate_line_share": "n_dup_lines / greatest(n_lines, 1)",
+    }
+    limits = [(name, op, x) for name, least, most in thresholds for op, x in ((">=", least), ("<=", most)) if x is not None]
+    rules = " ".join(f"AND {ratios[name]} {op} {x}" for name, op, x in limits)
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
@@ -159,10 +169,6 @@ WITH d AS (
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed
-         AND word_chars / greatest(n_words, 1) >= 2.0 AND word_chars / greatest(n_words, 1) <= 12.0
-         AND n_symbols / greatest(n_words, 1) <= 0.1
-         AND n_stop / greatest(n_words, 1) >= 0.02
-         AND n_dup_lines / greatest(n_lines, 1) <= 0.4 AS kept
+       NOT base_failed {rules} AS kept
 FROM b
 """

@@ -4,8 +4,10 @@ A shard is two files: ``.ids``, the ids of its documents one after another, as
 unsigned 16- or 32-bit little-endian integers, and ``.mph``, its index. The index
 has n slots for n distinct keys: a key's bucket gives the displacement that sends
 it to its own slot (buckets of one key name the slot itself), and the slot holds a
-32-bit fingerprint of the key and the row of its first document. A lookup reads
-the bucket, the slot and the ids, whatever the shard's size.
+32-bit fingerprint of the key and the row of its first document. A lookup seeks
+the bucket, the slot, the row's offsets and the ids, whatever the shard's size; a
+whole read resolves all keys of a shard by their slots and fails on a slot whose
+fingerprint or row is not its key's.
 
 Documents are dealt by range of doc_id, so shards follow each other in ascending
 order; a small manifest holds each shard's range and the number of ids before it.
@@ -13,9 +15,11 @@ Files are written under a name of the attempt and named only by the manifest, so
 a task that is run again or twice leaves no doubt about what belongs to the store.
 
 Defined cases: a null text is empty, so its document is the end id alone. Rows
-with equal doc_id stand together, ordered by text; a lookup returns all of them.
-Rows with a null doc_id come first and have no key. Shards end after
-``shard_bytes``, so long texts and many rows need no more memory than that.
+with equal doc_id stand together, ordered by a hash of their text, and may fill
+several shards and tasks; a lookup returns all of them. Rows with a null doc_id come
+first and have no key. Shards end after ``shard_bytes``, so long texts and many rows
+need no more memory than that, besides one document's ids. An empty table gives a
+store without shards; other columns are not read.
 """
 
 from __future__ import annotations
@@ -111,9 +115,10 @@ def build_index(keys) -> tuple[int, object, object, object]:
 
 
 def _filesystem(uri: str):
+    """Of a whole URI, as ``scratch_path`` gives it; tasks open files through pyarrow."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    return fs.FileSystem.from_uri(uri)
 
 
 def _write_index(doc_ids: list, starts: list[int], width: int) -> bytes:
@@ -147,31 +152,28 @@ class ShardIndex:
             at += parts[-1].nbytes
         self.shift, self.marks, self.rows, self.starts, self.docs = parts
 
-    def find(self, doc_id: int) -> list[int]:
-        """Rows of the shard with this key; empty where there are none."""
+    def resolve(self, keys):
+        """The row of each distinct key's first document, by displacement, slot and fingerprint; -1 where the shard has no such key."""
         import numpy as np
 
         n = len(self.marks)
         if not n:
-            return []
-        bucket, base, mark = _hashes(np.asarray([doc_id], np.int64), self.seed, len(self.shift))
-        mark, d = mark[0], int(self.shift[bucket[0]])
-        slot = -d - 1 if d < 0 else int(_slot(base, d, n)[0])
-        if self.marks[slot] != mark:
-            return []
-        row = int(self.rows[slot])
-        out = []
-        while row < len(self.docs) and self.docs[row] == doc_id:  # also refuses another key of equal fingerprint
-            out.append(row)
-            row += 1
-        return out
+            return np.full(len(keys), -1, np.int64)
+        bucket, base, mark = _hashes(keys, self.seed, len(self.shift))
+        shift = self.shift[bucket]
+        slot = np.where(shift < 0, -shift - 1, _slot(base, np.maximum(shift, 0), n))
+        rows = self.rows[slot].astype(np.int64)
+        found = (self.marks[slot] == mark) & (self.docs[rows] == keys)  # the key also refuses another one of equal fingerprint
+        return np.where(found, rows, -1)
 
 
 def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes all documents into shards under ``out`` and returns the manifest, read from its file."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id may be many, so their texts' hashes take part in the ranges
+    dealt = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    dealt = dealt.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -223,7 +225,10 @@ def manifest(spark: SparkSession, out: str) -> DataFrame:
 
 
 def read(spark: SparkSession, out: str) -> DataFrame:
-    """All documents from the files: doc_id, start, n_tokens, ids (unsigned 32-bit little-endian)."""
+    """All documents from the files: doc_id, start, n_tokens, ids (unsigned 32-bit little-endian).
+
+    Keys are looked up in their shard's index; what it answers says where ids lie.
+    """
     shards = manifest(spark, out).select("file", "width", "base")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -235,19 +240,28 @@ def read(spark: SparkSession, out: str) -> DataFrame:
             for file, width, base in zip(*(c.to_pylist() for c in batch.columns)):
                 with files.open_input_stream(f"{root}/shards/{file}.mph") as f:
                     index = ShardIndex(f.read())
+                keys, times = np.unique(index.docs[index.unkeyed :], return_counts=True)
+                first = index.resolve(keys)
+                if (first < 0).any():
+                    raise ValueError(f"the index of shard {file} does not lead to {int((first < 0).sum())} of its keys")
+                # rows without a key, then each key's rows from where its slot says
+                rows = np.concatenate([np.arange(index.unkeyed), np.repeat(first - np.cumsum(times) + times, times) + np.arange(int(times.sum()))])
+                owner = np.concatenate([np.zeros(index.unkeyed, np.int64), np.repeat(keys, times)])
+                lo, hi = (index.starts[rows + k].astype(np.int64) for k in (0, 1))
+                if len(rows) and ((lo[1:] != hi[:-1]).any() or lo[0] or hi[-1] != index.starts[-1]):
+                    raise ValueError(f"the rows that the index of shard {file} names do not follow each other")
                 with files.open_input_stream(f"{root}/shards/{file}.ids") as f:
                     row = 0
-                    while row < len(index.docs):
+                    while row < len(rows):
                         # as many documents as fit some MB, one at least
-                        last = max(row + 1, int(np.searchsorted(index.starts, index.starts[row] + 2_000_000, "right")) - 1)
-                        lo, hi = int(index.starts[row]), int(index.starts[last])
-                        ids = np.frombuffer(f.read((hi - lo) * width), f"<u{width}").astype("<u4")
-                        begins = index.starts[row : last + 1].astype(np.int64)
+                        last = max(row + 1, int(np.searchsorted(lo, lo[row] + 2_000_000, "right")))
+                        last = min(last, len(rows))
+                        ids = np.frombuffer(f.read(int(hi[last - 1] - lo[row]) * width), f"<u{width}").astype("<u4")
                         values = pa.py_buffer(ids.tobytes())
-                        docs = pa.array(index.docs[row:last], mask=np.arange(row, last) < index.unkeyed)
-                        offsets = pa.py_buffer(((begins - lo) * 4).astype(np.int32).tobytes())
+                        docs = pa.array(owner[row:last], mask=np.arange(row, last) < index.unkeyed)
+                        ends = np.append(lo[row:last], hi[last - 1]) - lo[row]
                         yield pa.record_batch(
-                            [docs, pa.array(begins[:-1] + base), pa.array(np.diff(begins)), pa.Array.from_buffers(pa.binary(), last - row, [None, offsets, values])],
+                            [docs, pa.array(lo[row:last] + base), pa.array(hi[row:last] - lo[row:last]), pa.Array.from_buffers(pa.large_binary(), last - row, [None, pa.py_buffer((ends * 4).tobytes()), values]).cast(pa.binary())],
                             names=["doc_id", "start", "n_tokens", "ids"],
                         )
                         row = last
@@ -256,17 +270,57 @@ def read(spark: SparkSession, out: str) -> DataFrame:
 
 
 class TokenStore:
-    """Keyed access from the driver or any process that sees the folder."""
+    """Keyed access from the driver or any process that sees the folder.
+
+    A lookup seeks in the shard's files and reads some hundred bytes of its index and
+    the ids; of each shard only the header may be kept, of the last ``HEADERS`` ones.
+    """
+
+    HEADERS = 4096
 
     def __init__(self, spark: SparkSession, out: str):
         import bisect
+        from collections import OrderedDict
 
         self.files, self.root = _filesystem(out)
         keyed = manifest(spark, out).where("first_doc is not null").orderBy("part", "no")
         self.shards = [r.asDict() for r in keyed.toLocalIterator()]  # a row for each shard_bytes of ids
         self._lasts = [s["last_doc"] for s in self.shards]
         self._bisect = bisect.bisect_left
-        self._open: dict[str, ShardIndex] = {}
+        self._headers: OrderedDict[str, tuple] = OrderedDict()
+
+    def _header(self, file: str, source) -> tuple:
+        if file not in self._headers:
+            self._headers[file] = HEADER.unpack(source.read_at(HEADER.size, 0))
+            while len(self._headers) > self.HEADERS:
+                self._headers.popitem(last=False)
+        return self._headers[file]
+
+    def _spans(self, file: str, doc_id: int) -> Iterator[tuple[int, int, int]]:
+        """(first id, end, bytes of an id) of each row with the key, read by seeking bucket, slot and offsets."""
+        import numpy as np
+
+        with self.files.open_input_file(f"{self.root}/shards/{file}.mph") as source:
+            magic, version, width, seed, docs, keys, buckets, _ = self._header(file, source)
+            if magic != MAGIC or version != 1:
+                raise ValueError("not an index file of this format")
+            if not keys:
+                return
+            one = lambda kind, at, k: int(np.frombuffer(source.read_at(np.dtype(kind).itemsize, at + k * np.dtype(kind).itemsize), kind)[0])
+            shifts = HEADER.size
+            marks = shifts + 8 * buckets
+            rows = marks + 4 * keys
+            starts = rows + 8 * keys
+            owners = starts + 8 * (docs + 1)
+            bucket, base, mark = _hashes(np.asarray([doc_id], np.int64), seed, buckets)
+            shift = one("<i8", shifts, int(bucket[0]))
+            slot = -shift - 1 if shift < 0 else int(_slot(base, shift, keys)[0])
+            if one("<u4", marks, slot) != int(mark[0]):
+                return
+            row = one("<u8", rows, slot)
+            while row < docs and one("<i8", owners, row) == doc_id:  # also refuses another key of equal fingerprint
+                yield one("<u8", starts, row), one("<u8", starts, row + 1), width
+                row += 1
 
     def get(self, doc_id: int) -> list[list[int]]:
         """The ids of every row with this key."""
@@ -275,15 +329,9 @@ class TokenStore:
         out, k = [], self._bisect(self._lasts, doc_id)
         while k < len(self.shards) and self.shards[k]["first_doc"] <= doc_id:
             file = self.shards[k]["file"]
-            if file not in self._open:
-                with self.files.open_input_stream(f"{self.root}/shards/{file}.mph") as f:
-                    self._open[file] = ShardIndex(f.read())
-            index = self._open[file]
-            for row in index.find(doc_id):
-                lo, hi = int(index.starts[row]), int(index.starts[row + 1])
+            for lo, hi, width in self._spans(file, doc_id):
                 with self.files.open_input_file(f"{self.root}/shards/{file}.ids") as f:
-                    f.seek(lo * index.width)
-                    out.append(np.frombuffer(f.read((hi - lo) * index.width), f"<u{index.width}").tolist())
+                    out.append(np.frombuffer(f.read_at((hi - lo) * width, lo * width), f"<u{width}").tolist())
             k += 1
         return out
 

@@ -4,21 +4,26 @@ Everything is built from DataFrame functions. The filter is a table of 256-bit
 blocks (four longs); a listed URL sets one bit in each of the eight 32-bit lanes
 of its block. Pages meet the blocks by block number, and only rows whose eight
 bits are all set go on to the exact hash join with the list, which removes the
-false positives.
+false positives. The filter never has more than ``MOST_BLOCKS`` blocks, so it is
+always broadcast and pages that it stops are never shuffled; a list too long for it
+fills it more, and more pages go on to the exact join, with the same result.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no
-rule and no canonical form, and is allowed. Empty tables give empty results.
-Repeated rows are judged one by one. An empty list allows all that no rule
-blocks. Columns other than the id and the URL are not read.
+rule and no canonical form, and is allowed. Very long URLs are judged whole. Of
+rules of equal length the one that stands later in the table wins. Empty tables give
+empty results. Repeated rows are judged one by one. An empty list allows all that
+no rule blocks. Columns other than the id and the URL are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import written
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (host, path prefix, action); a rule holds for its host and every subdomain.
 RULES = (
@@ -30,8 +35,10 @@ RULES = (
 )
 BITS_PER_URL = 16
 BLOCK_BITS = 256
-#: Up to so many blocks (32 bytes each, 2 MB) the filter is broadcast; larger ones are joined by shuffle.
-BROADCAST_BLOCKS = 65_536
+#: Blocks of the filter at most (32 bytes each, 16 MB): 8 million URLs at 16 bits each.
+MOST_BLOCKS = 1 << 19
+#: URLs and bytes of a list up to which it is broadcast to the exact join as well.
+SMALL_LIST, SMALL_BYTES = 100_000, 8_000_000
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
@@ -83,28 +90,31 @@ def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
     return bits.groupBy("block").agg(*[F.bit_or(f"m{j}").alias(f"w{j}") for j in range(4)])
 
 
-def listed_hits(rows: DataFrame, listed: DataFrame, n_listed: int) -> DataFrame:
+def listed_hits(rows: DataFrame, listed: DataFrame, n_listed: int, n_bytes: int | None = None) -> DataFrame:
     """``rows`` (with a column ``canonical``) plus ``listed`` boolean.
 
-    ``listed`` holds distinct non-null canonical URLs, ``n_listed`` of them.
+    ``listed`` holds distinct non-null canonical URLs, ``n_listed`` of them with
+    ``n_bytes`` bytes together. A small list meets the rows in the scan that tests
+    them. Otherwise rows that pass the filter go to the exact join and the others
+    past it, so only the former are shuffled; rows are then scanned for each branch.
     """
     n_blocks = 1
-    while n_blocks * BLOCK_BITS < n_listed * BITS_PER_URL:
+    while n_blocks < MOST_BLOCKS and n_blocks * BLOCK_BITS < n_listed * BITS_PER_URL:
         n_blocks *= 2
-    blocks = bloom_blocks(listed, n_blocks)
-    if n_blocks <= BROADCAST_BLOCKS:
-        blocks = F.broadcast(blocks)
     lanes = _lanes("canonical", n_blocks)
     names = rows.columns
     tested = rows.withColumns({"block": F.when(F.col("canonical").isNotNull(), lanes.pop("block"))})
-    tested = tested.join(blocks, "block", "left")
+    tested = tested.join(F.broadcast(bloom_blocks(listed, n_blocks)), "block", "left")  # MOST_BLOCKS rows at most
     every = F.lit(True)
     for j, (_, mask) in enumerate(lanes.items()):
         every = every & (F.col(f"w{j}").bitwiseAND(mask) == mask)
     tested = tested.select(*names, F.coalesce(every, F.lit(False)).alias("possible"))
-    exact = listed.select("canonical", F.lit(True).alias("listed"))
-    hits = tested.where("possible").drop("possible").join(exact, "canonical", "left")
-    hits = hits.select(*names, F.coalesce("listed", F.lit(False)).alias("listed"))
+    exact = listed.select(F.col("canonical").alias("__listed"))
+    if n_listed <= SMALL_LIST and n_bytes is not None and n_bytes <= SMALL_BYTES:
+        hits = tested.join(F.broadcast(exact), F.col("possible") & (F.col("canonical") == F.col("__listed")), "left")
+        return hits.select(*names, F.col("__listed").isNotNull().alias("listed"))
+    hits = tested.where("possible").join(exact, F.col("canonical") == F.col("__listed"), "left")
+    hits = hits.select(*names, F.col("__listed").isNotNull().alias("listed"))
     rest = tested.where("not possible").select(*names, F.lit(False).alias("listed"))
     return rest.unionByName(hits)
 
@@ -126,7 +136,10 @@ def judge_urls(
 
     ``listed`` has a column ``canonical``; nulls and repeats in it count once or not at all.
     """
+    counted = Observation()
     listed = listed.select("canonical").where("canonical is not null").distinct()
+    # written once: the filter and the exact join read the list, not what it was made from
+    listed = written(listed.observe(counted, F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("canonical")), F.lit(0)).alias("bytes")), "listed")
     url = F.col(url_col)
     parts = pages.select(
         F.col(id_col).alias("page_id"),
@@ -134,7 +147,7 @@ def judge_urls(
         url_path(url).alias("path"),
         canonical_url(url).alias("canonical"),
     )
-    judged = listed_hits(parts, listed, listed.count())
+    judged = listed_hits(parts, listed, counted.get["n"], counted.get["bytes"])
     rule, action = rule_columns(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(action, F.when(F.col("listed"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), "listed", verdict.alias("verdict"))

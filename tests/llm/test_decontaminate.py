@@ -7,9 +7,9 @@ from hypothesis import strategies as st
 from linkloom.llm import decontaminate as d
 
 
-def greedy(text, item, least):
-    """Brute force: the longest unmarked common run, again and again."""
-    free_t, free_i, out = [True] * len(text), [True] * len(item), 0
+def greedy_tiles(text, item, least):
+    """Brute force: the longest unmarked common run, again and again; the first in the text, then in the item, of equal ones."""
+    free_t, free_i, out = [True] * len(text), [True] * len(item), []
     while True:
         best = 0
         for t in range(len(text)):
@@ -21,11 +21,15 @@ def greedy(text, item, least):
                     best, at = n, (t, i)
         if best < least:
             return out
-        out += best
+        out.append((*at, best))
         for k in range(best):
             free_t[at[0] + k] = free_i[at[1] + k] = False
 
 
+def greedy(text, item, least):
+    return sum(n for _, _, n in greedy_tiles(text, item, least))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=25))
 def test_tiles_are_maximal_and_disjoint(text, item):
@@ -37,6 +41,7 @@ def test_tiles_are_maximal_and_disjoint(text, item):
             assert t + k not in seen_t and i + k not in seen_i
             seen_t.add(t + k)
             seen_i.add(i + k)
+    assert found == greedy_tiles(text, item, 3)
     left_t = [x if k not in seen_t else -1 - k for k, x in enumerate(text)]
     left_i = [x if k not in seen_i else -1000 - k for k, x in enumerate(item)]
     assert greedy(left_t, left_i, 3) == 0
@@ -80,11 +85,77 @@ def test_planted_passages(spark):
     assert d.contaminated(table.limit(0), bench).count() == 0
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    items = [(i, prose(30, 700 + i)) for i in range(12)]
+def brute(docs, items, least=5, threshold=0.5):
+    """Every document against every item, whole."""
+    out = []
+    for doc, text in docs:
+        for item_id, item in items:
+            words, own = d.WORD.findall((text or "").lower()), d.WORD.findall((item or "").lower())
+            if not own:
+                continue
+            if len(own) < least:
+                hit = any(d.WORD.findall(line) == own for line in (text or "").lower().split("\n"))
+                found = [(0, 0, len(own))] if hit else []
+            else:
+                found = greedy_tiles(words, own, least)
+            n = sum(x for _, _, x in found)
+            if n and n >= threshold * len(own):
+                out.append((str(doc), str(item_id), len(own), n, len(found), round(n / len(own), 9)))
+    return sorted(out)
+
+
+def cases(seed):
+    r = random.Random(seed)
+    shared = prose(12, 5).split()
+    items = [(i, " ".join([*shared, *prose(r.randrange(6, 30), 900 + i).split()])) for i in range(12)]
+    items += [(3, items[3][1]), (3, prose(20, 444)), (None, prose(15, 555)), (90, "only three words"), (91, None), (92, ""), (93, "one"), (94, "word " * 9)]
+    items += [(95, "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed"), (96, "\u4f60\u597d")]
+    docs = list(AWKWARD)
+    for n in range(40):
+        words = prose(r.randrange(0, 60), 50 + n).split()
+        for _ in range(r.randrange(0, 3)):
+            own = (r.choice(items)[1] or "").split()
+            if own:
+                a, b = sorted((r.randrange(len(own) + 1), r.randrange(len(own) + 1)))
+                at = r.randrange(len(words) + 1)
+                words[at:at] = own[b:] + own[a:b] if r.random() < 0.5 else own[: max(a, b)]
+        docs.append((r.randrange(100, 120), " ".join(words)))
+    docs += [(200, "Only three,\nwords\nonly three words!\nend"), (201, "there are only three words here"), (202, "\u4ed6\u8bf4\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u73a9"), (203, "\u4f60\u597d\uff01\n"), (204, "\u4f60\u597d\u5417"), (205, "one")]
+    return docs, items
+
+
+def test_rows_equal_brute_force(spark):
+    for seed in (1, 2):
+        docs, items = cases(seed)
+        bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+        rows = d.contaminated(documents(spark, docs, extra=True).repartition(4), bench).collect()
+        got = sorted((str(x.doc_id), str(x.item_id), x.item_words, x.matched_words, x.n_tiles, round(x.coverage, 9)) for x in rows)
+        assert got == brute(docs, items) and len(got) > 20
+
+
+def test_a_full_filter_gives_the_same(spark, monkeypatch):
+    docs, items = cases(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    table = documents(spark, [(i, prose(50, i) + " " + items[i % 12][1]) for i in range(40)])
+    table = documents(spark, docs)
     whole = sorted(map(str, d.contaminated(table, bench).collect()))
-    parts = list(d.blocks(bench, chars=500))
-    monkeypatch.setattr(d, "blocks", lambda b, chars=0: iter(parts))
-    assert len(parts) > 3 and sorted(map(str, d.contaminated(table, bench).collect())) == whole
+    monkeypatch.setattr(d, "MOST_FILTER_BITS", 64)
+    assert sorted(map(str, d.contaminated(table, bench).collect())) == whole
+
+
+def test_very_long_text(spark):
+    item = prose(60, 1)
+    host = prose(5000, 2)
+    text = " ".join(f"{host} part{k}" for k in range(60)) + " " + item
+    assert len(text) > 1_500_000
+    rows = d.contaminated(documents(spark, [(1, text), (2, "short")]), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(x.doc_id, x.item_id, x.matched_words) for x in rows] == [(1, 5, 60)]
+
+
+def test_spared_seeds_are_never_needed():
+    """However tiles lie, an item covered enough shares at least the needed number of windows."""
+    for n in range(5, 80):
+        # the fewest windows with which tiles of at least five words cover so many words
+        fewest = {0: 0}
+        for words in range(1, n + 1):
+            fewest[words] = min((fewest[max(0, words - k)] + k - 4 for k in range(5, n + 1)), default=0)
+        assert 1 <= d.needed_seeds(n, 0.5, 5) <= fewest[-(-n // 2)]

@@ -34,6 +34,20 @@ def test_counts_equal_python(spark):
     assert any(r.kept for r in rows)
 
 
+def test_windows_that_share_hash_bits_are_told_apart(spark, monkeypatch):
+    """With two bits of each hash left, nearly all neighbours collide."""
+    monkeypatch.setattr(quality, "SPARE_BITS", 52)
+    docs = [(k, prose(120, k) + " " + prose(20, 3) + " end " + prose(20, 3)) for k in range(6)]
+    rows = quality.judge(documents(spark, docs)).collect()
+    assert {r.doc_id: r.n_repeat_words for r in rows} == {d: counts(t)[4] for d, t in docs}
+
+
+def test_counts_replace_columns_of_their_name(spark):
+    table = documents(spark, [(1, "two words")], extra=True)
+    assert [r.n_words for r in quality.with_counts(table).collect()] == [2]
+    assert quality.keep_good(table).columns == table.columns
+
+
 def test_keep_good_keeps_columns(spark):
     docs = AWKWARD + [(100 + k, prose(80, k)) for k in range(5)] + [(200, prose(80, 1).upper()), (201, "# " * 100 + prose(80, 2))]
     table = documents(spark, docs, extra=True)
@@ -74,7 +88,10 @@ def test_url_filter(spark):
 def test_bloom_filter_misses_nothing(spark):
     listed = spark.range(5000).select(F.concat(F.lit("h.net/"), "id").alias("canonical"))
     rows = spark.range(20_000).select("id", F.concat(F.lit("h.net/"), "id").alias("canonical"))
-    assert url_filter.listed_hits(rows, listed, 5000).where("listed != (id < 5000)").count() == 0
+    for size in (None, 10**5):  # by shuffle, and by broadcast
+        assert url_filter.listed_hits(rows, listed, 5000, size).where("listed != (id < 5000)").count() == 0
+    full = url_filter.listed_hits(rows, listed, 1, None)  # one block for all: it stops nothing, and the result is the same
+    assert full.where("listed != (id < 5000)").count() == 0
     blocks = url_filter.bloom_blocks(listed, 512)
     lanes = url_filter._lanes("canonical", 512)
     hit = rows.where("id >= 5000").withColumn("block", lanes["block"]).join(blocks, "block")

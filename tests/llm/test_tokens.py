@@ -57,6 +57,59 @@ def test_token_store_round_trip(spark):
     assert store.get(-5) == store.get(50) == store.get(10**15) == []
 
 
+def test_a_wrong_index_is_not_read_past(spark):
+    """Rows come through the index: a slot that is not its key's ends the read."""
+    from linkloom.scratch import qualified
+
+    out = qualified(spark, scratch_path(spark, "test-broken"))
+    token_store.write(documents(spark, [(k, f"text {k}") for k in range(50)]), out, WORD)
+    files, root = token_store._filesystem(out)
+    shard = token_store.manifest(spark, out).first()
+    path = f"{root}/shards/{shard.file}.mph"
+    with files.open_input_file(path) as f:
+        data = f.read()
+    head = token_store.HEADER.unpack_from(data)
+    at = token_store.HEADER.size + 8 * head[6]  # the first fingerprint
+    with files.open_output_stream(path) as f:
+        f.write(data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :])
+    with pytest.raises(Exception, match="does not lead to 1 of its keys"):
+        token_store.read(spark, out).collect()
+
+
+def test_many_rows_of_one_key(spark):
+    docs = [(7, f"row {k % 40}") for k in range(300)] + [(8, "other")]
+    out = scratch_path(spark, "test-hot")
+    token_store.write(documents(spark, docs).repartition(6), out, WORD, shard_bytes=200)
+    rows = token_store.read(spark, out).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in rows) == sorted((d, len(plain(WORD, t)) + 1) for d, t in docs)
+    rows.sort(key=lambda r: r.start)
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
+    store = token_store.TokenStore(spark, out)
+    assert sorted(store.get(7)) == sorted([*plain(WORD, t), 2] for d, t in docs if d == 7) and len(store.get(8)) == 1
+
+
+LONG = " ".join(f"{w} line{k}" for k in range(30) for w in prose(5000, 70).split()) + "\n" + "z" * 300_000
+
+
+def test_very_long_text(spark):
+    """More than two MB in one document, in every operator of this file."""
+    assert len(LONG) > 2_000_000
+    docs = documents(spark, [(1, "short"), (2, LONG)])
+    ids = plain(WORD, LONG)
+    out = scratch_path(spark, "test-long")
+    token_store.write(docs, out, WORD)
+    row = token_store.read(spark, out).where("doc_id = 2").first()
+    assert np.frombuffer(row.ids, "<u4").tolist() == [*ids, 2]
+    ids = [*plain(BYTE, LONG), 0]
+    rows = packing.pack(docs, BYTE).where("doc_id = 2").orderBy("start").collect()
+    assert [y for r in rows for y in np.frombuffer(r.ids, "<u4").tolist()] == ids
+    edits = "from_json('[{\"pos\": 5, \"del\": 3, \"ins\": \"new\"}, {\"pos\": 1500000, \"del\": 20, \"ins\": \" words\"}]', 'array<struct<pos:bigint,del:bigint,ins:string>>')"
+    found = edit_counts.edited_counts(docs.selectExpr("*", f"{edits} AS edits"), BYTE).where("doc_id = 2").first()
+    text = LONG[:5] + "new" + LONG[8:]
+    text = text[:1_500_000] + " words" + text[1_500_020:]
+    assert found.tokens_before == len(ids) - 1 and found.tokens_after == len(plain(BYTE, text)) and found.text_crc32 == zlib.crc32(text.encode())
+
+
 def test_minimal_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 20_000))
     seed, shift, slots, marks = token_store.build_index(keys)
@@ -87,11 +140,32 @@ def test_packing(spark):
         pieces = own[::times]
         assert [y for r in pieces for y in np.frombuffer(r.ids, "<u4").tolist()] == ids
         assert sum(r.length for r in own) == times * len(ids)
+    batches = {}
+    for r in rows:
+        batches.setdefault(r.batch_id, []).append(r)
+    assert all(len({r.length for r in own}) == 1 and min(r.sequence_id for r in own) == k for k, own in batches.items())
+    assert all(len(own) * own[0].length <= packing.BATCH_TOKENS for own in batches.values())
     digest = packing.digests(packing.pack(documents(spark, TEXTS), BYTE)).where("doc_id = 9").orderBy("start").collect()
     ids = [*plain(BYTE, "word " * 3000), 0]
     assert [r.ids_crc32 for r in digest] == [crc(ids[r.start : r.start + r.length]) for r in digest]
 
 
+def test_buckets_are_batches_of_equal_shape(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BATCH_TOKENS", 64)
+    docs = [(k, prose(3 + k, k)) for k in range(40)]
+    pieces = packing.pack(documents(spark, docs).coalesce(1), BYTE)
+    path = scratch_path(spark, "test-buckets")
+    packing.write_buckets(pieces, path)
+    total = 0
+    for k in range(11):
+        found = packing.batches(spark, path, 1 << k).collect()
+        assert all(len(b.ids) == 4 * b.n << k for b in found)
+        full = [b for b in found if b.n == max(1, 64 >> k)]
+        assert len(found) - len(full) <= 1  # only the last batch of a length is not full
+        total += sum(len(b.ids) // 4 for b in found)
+    assert total == sum(len(plain(BYTE, t)) + 1 for _, t in docs)
+
+
 @settings(max_examples=150, deadline=None)
 @given(
     st.text(st.sampled_from("ab c\n.'1é "), max_size=400),
@@ -109,6 +183,18 @@ def test_edited_counts_equal_full_counts(text, edits):
         assert tree.tokens[1] == len(plain(BYTE, text))
 
 
+def test_insertions_at_one_place_stay_cheap():
+    count = lambda spans: [len(s.split()) for s in spans]
+    tree = edit_counts.TokenTree(prose(2000, 1), count, least=64)
+    cost = []
+    for k in range(600):
+        before = tree.reencoded
+        tree.edit(5000, 0, f" inserted words number {k}")
+        cost.append(tree.reencoded - before)
+    assert max(cost[300:]) <= 1.2 * max(cost[:300]) and max(cost) < 4000
+    assert tree.tokens[1] == len(tree.text().split())
+
+
 def test_edit_query_reencodes_little(spark):
     from pyspark.sql import functions as F
 
@@ -116,8 +202,14 @@ def test_edit_query_reencodes_little(spark):
     kept = edit_counts.trees(docs, BYTE)
     scripted = docs.select("doc_id", "text", edit_counts.scripted_edits(F.col("doc_id"), F.col("text")).alias("edits"))
     rows = edit_counts.edited_counts(scripted, BYTE).collect()
-    again = edit_counts.edited_counts(scripted.where("doc_id > 100").join(kept, "doc_id"), BYTE).collect()
+    own = scripted.where("doc_id > 100").join(kept, "doc_id")
+    again = edit_counts.edited_counts(own.withColumn("tree", F.struct("leaf_tokens", "signature")), BYTE, kept="tree").collect()
     assert sorted(r for r in rows if (r.doc_id or 0) > 100) == sorted(again)
+    # what was kept for another text, or for other leaves, is not used; a column of that name alone means nothing
+    for stale in ("struct(array(7L, 9L) AS leaf_tokens, signature)", "struct(leaf_tokens, 5L AS signature)", "null"):
+        table = own.withColumn("tree", F.expr(stale).cast("struct<leaf_tokens:array<long>,signature:long>"))
+        assert sorted(edit_counts.edited_counts(table, BYTE, kept="tree").collect()) == sorted(again)
+    assert sorted(edit_counts.edited_counts(own.withColumn("leaf_tokens", F.lit("x")), BYTE).collect()) == sorted(again)
     edits = {(r.doc_id, r.text): r.edits for r in scripted.collect()}
     want = []
     for (d, t), es in edits.items():
