@@ -6,19 +6,29 @@ p(word) = p(symbol | history) * p(word | symbol), the latter by smoothed counts.
 network is a GRU in numpy; a symbol's probability is that of its class times that
 of the symbol in its class.
 
+Texts are encoded once: symbols as 16-bit integers, with what the words' own counts
+add to a score. Words are cut, looked up and counted as whole Arrow columns.
+
 Training is by truncated backpropagation through ``WINDOW`` symbols. Every symbol of
 every training document is learned from once: each document belongs to one of
 ``ROUNDS`` passes, and the state is carried from window to window. A document longer
 than ``PIECE`` symbols goes in pieces, each with the state that the ``WINDOW`` symbols
-before it leave. Tasks train apart from common weights, which are averaged after each
-pass. Scoring runs over whole documents; the state is carried to the end.
+before it leave. In a pass documents are dealt to groups by a hash of id and text,
+as many groups as the corpus has millions of tokens (``MOST_GROUPS`` at most; then
+they grow). Groups train apart from common weights, each in order of id, and are
+averaged after the pass in order of group: the model follows from the documents, not
+from how they are partitioned. Scoring runs over whole documents; the state is
+carried to the end.
 
-Counts of frequent words (``BROADCAST_WORDS`` at most) are broadcast; the others'
-reach the documents by a join on the word.
+Counts of frequent words (``BROADCAST_WORDS`` at most, none longer than
+``WORD_BYTES``) are broadcast; the others' reach the documents by a join on the word.
 
 Defined cases: a null text is empty, its end alone is scored. A null doc_id counts
-as the empty text in the fold. Repeated rows are scored one by one. Without any
-training token every word has the same score. Other columns are not read.
+as the empty text in the fold. Very long texts are encoded, learned from and scored
+whole. Repeated rows are scored one by one, and learned from as often. Words of
+equal counts are ranked by their bytes where not all become symbols. Without any
+training token every word has the same score; an empty table gives no rows. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -26,16 +36,14 @@ from __future__ import annotations
 import heapq
 import math
 import pickle
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import releasing, written
+from linkloom.llm.common import release, releasing, written
 
 FOLDS, HELD_OUT = 5, 1
 SYMBOLS, CLASS = 1024, 32
@@ -47,8 +55,12 @@ BATCH, RATE, CLIP = 128, 0.08, 5.0
 PIECE = 64 * WINDOW
 #: Bound of a logit: far above what training reaches, far below where exp ends.
 TOP = 60.0
-#: Words whose counts each task holds (some MB).
-BROADCAST_WORDS = 60_000
+#: Words whose counts each task holds, and their bytes (10 MB together at most).
+BROADCAST_WORDS, WORD_BYTES = 150_000, 64
+#: Tokens of a group that trains by itself, and groups of a pass.
+GROUP_TOKENS, MOST_GROUPS = 1_000_000, 4096
+#: Bytes of texts whose words are looked up together.
+SLICE_BYTES = 8_000_000
 #: Words of documents that are scored, or learned from, together.
 GROUP_WORDS = 2_500_000
 #: Averages of weights that come to the driver at once.
@@ -77,24 +89,52 @@ def _keep_memory() -> None:
         mallopt(option, 32 << 20)
 
 
-def _words(text) -> list[bytes]:
-    """Words of an Arrow string, A-Z in lower case; bytes split at just the six characters."""
-    return text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with a bounded number of bytes in a text column (or one row)."""
+    import numpy as np
+
+    ends = np.cumsum([0, *(len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(column))])
+    at = 0
+    while at < batch.num_rows:
+        last = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1)
+        yield batch.slice(at, last - at)
+        at = last
+
+
+def _words(texts: pa.Array):
+    """All words of an Arrow column of strings, A-Z in lower case, as one binary column, and the row of each."""
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))  # at just the six characters
+    flat, rows = pc.list_flatten(lists), pc.list_parent_indices(lists)
+    real = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(real).cast(pa.binary()), rows.filter(real).to_numpy()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word binary, c) over all tokens of the given documents, ends included."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        import pyarrow.compute as pc
+
+        held, ends = [], 0
+
+        def together() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
         for batch in batches:
-            for text in batch.column(0):
-                held.update(_words(text))
-                held[END] += 1
-                if len(held) > 400_000:
-                    yield pa.record_batch([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "c"])
-                    held = Counter()
-        yield pa.record_batch([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "c"])
+            ends += batch.num_rows
+            for part in _slices(batch, 0):
+                found = pc.value_counts(_words(part.column(0))[0])
+                held.append(pa.table([found.field(0), found.field(1)], names=["word", "c"]))
+                if sum(map(len, held)) > 800_000:
+                    held = [together()]
+                    if len(held[0]) > 400_000:
+                        yield from held[0].combine_chunks().to_batches()
+                        held = []
+        if ends:
+            held.append(pa.table([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "c"]))
+            yield from together().combine_chunks().to_batches()
 
     return docs.select("text").mapInArrow(releasing(count), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -105,6 +145,7 @@ def frequent_words(counts: DataFrame, most: int = BROADCAST_WORDS) -> list[tuple
     A histogram of counts (sixteen bins for each doubling) says from which count on;
     only words above come to the driver. Words of one bin come together or not at all.
     """
+    counts = counts.where(F.octet_length("word") <= WORD_BYTES)
     bin_of = F.floor(16 * F.log2("c")).cast("int")
     bins = counts.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n")).collect()  # a thousand rows at most
     total, least = 0, None
@@ -115,8 +156,8 @@ def frequent_words(counts: DataFrame, most: int = BROADCAST_WORDS) -> list[tuple
         least = r.b
     if least is None:
         return []
-    found = [(bytes(r.word), r.c) for r in counts.where(bin_of >= least).collect()]
-    return sorted(found, key=lambda x: (-x[1], x[0]))
+    found = counts.where(bin_of >= least).select("word", "c").toArrow()  # ``most`` rows of WORD_BYTES at most
+    return sorted(zip(found["word"].to_pylist(), found["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
 class Vocabulary:
@@ -140,14 +181,36 @@ class Vocabulary:
     def symbol(self, word: bytes) -> int:
         return self.word.get(word) or self.ending.get(word[-ENDING_BYTES:], self.other)
 
-    def symbols(self, words: list[bytes], table: dict[bytes, int]):
-        """The words' symbols; ``table`` holds those of many frequent words."""
+
+class Lookup:
+    """Known words as columns: symbol, logarithm of the count; and the symbols of endings for all others."""
+
+    def __init__(self, vocab: Vocabulary, known: list[tuple[bytes, int]]):
+        import numpy as np
+
+        self.vocab = vocab
+        words = [(w, c) for w, c in known if w != END]
+        self.words = pa.array([w for w, _ in words], pa.binary())
+        self.symbol = np.asarray([vocab.symbol(w) for w, _ in words], np.int16)
+        self.logs = np.log10(np.asarray([c for _, c in words], np.float64) + 0.5)
+        self.endings = pa.array(list(vocab.ending), pa.binary())
+        self.ending_symbol = np.asarray([*vocab.ending.values(), vocab.other], np.int16)
+        #: What log10 of an ending's probability is less, by symbol.
+        self.divisors = np.asarray([0.0] * vocab.first_ending + vocab.divisor)
+
+    def of(self, words: pa.Array):
+        """(symbol, logarithm of the count or 0, whether the word is known) of each word."""
         import numpy as np
+        import pyarrow.compute as pc
 
-        out = np.fromiter(map(table.get, words, repeat(-1)), np.int16, len(words))
-        for k in np.flatnonzero(out < 0).tolist():
-            out[k] = self.symbol(words[k])
-        return out
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        known = at >= 0
+        symbol, logs = np.empty(len(at), np.int16), np.zeros(len(at))
+        symbol[known], logs[known] = self.symbol[at[known]], self.logs[at[known]]
+        rare = words.filter(pa.array(~known))
+        ends = pc.fill_null(pc.index_in(pc.binary_slice(rare, -ENDING_BYTES), value_set=self.endings), len(self.endings)).to_numpy()
+        symbol[~known] = self.ending_symbol[ends]
+        return symbol, logs, known
 
 
 class Network:
@@ -398,37 +461,99 @@ class Trainer:
         self.seen += n
 
 
-def _train(docs: DataFrame, vocab: Vocabulary, weights: dict, turn: int) -> dict:
-    """One pass over the training documents that belong to it; the weights averaged over its tasks."""
-    import numpy as np
+ENCODED = "row long, word binary, times long, doc_id long, held_out boolean, turn int, h long, n_tokens long, n_known long, log_counts double, extra double, ids binary"
+
 
+def encode(docs: DataFrame, training: Column, vocab: Vocabulary, known: list[tuple[bytes, int]], ends: int) -> DataFrame:
+    """Written rows of ENCODED: one per document, with its symbols, and one for each word in it whose count is not broadcast.
+
+    ``ends`` is the count of ends in training texts.
+    """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((vocab, weights))  # SYMBOLS words and fewer than 200,000 numbers
+    sent = spark.sparkContext.broadcast((vocab, known))  # BROADCAST_WORDS words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        lookup = Lookup(*sent.value)
+        first, part, nth = lookup.vocab.first_ending, TaskContext.get().partitionId(), 0
+        names = [c.split()[0] for c in ENCODED.split(", ")]
+        end_log = math.log10(ends + 0.5)
+        for batch in batches:
+            for own in _slices(batch, 4):
+                n = own.num_rows
+                rows = (part << 36) + nth + np.arange(n)
+                nth += n
+                words, row = _words(own.column(4))
+                symbol, logs, found = lookup.of(words)
+                count = np.bincount(row, minlength=n)
+                total = lambda x: np.bincount(row, x, n).astype(np.float64)  # noqa: E731  (of no rows it counts)
+                # what the word's own probability under its ending holds of the score
+                extra = total(np.where(symbol >= first, logs, 0) - lookup.divisors[symbol])
+                sequence = np.zeros(len(symbol) + n, np.int16)
+                sequence[np.arange(len(symbol)) + row] = symbol
+                offsets = np.concatenate([[0], np.cumsum(2 * (count + 1))]).astype(np.int64)
+                ids = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(sequence.tobytes())]).cast(pa.binary())
+                whole = {
+                    "row": pa.array(rows), "word": pa.nulls(n, pa.binary()), "times": pa.nulls(n, pa.int64()), "doc_id": own.column(0), "held_out": own.column(1), "turn": own.column(2), "h": own.column(3),
+                    "n_tokens": pa.array(count + 1), "n_known": pa.array(total(found).astype(np.int64) + int(ends > 0)), "log_counts": pa.array(total(logs) + end_log), "extra": pa.array(extra), "ids": ids,
+                }
+                yield pa.record_batch([whole[c] for c in names], names=names)
+                rare = words.filter(pa.array(~found)).dictionary_encode()
+                if len(rare):
+                    code = rare.indices.to_numpy().astype(np.int64)
+                    pair, times = np.unique(row[~found].astype(np.int64) * len(rare.dictionary) + code, return_counts=True)
+                    m = len(pair)
+                    few = {"row": pa.array(rows[pair // len(rare.dictionary)]), "word": rare.dictionary.take(pa.array(pair % len(rare.dictionary))), "times": pa.array(times.astype(np.int64))}
+                    yield pa.record_batch([few.get(c, pa.nulls(m, whole[c].type)) for c in names], names=names)
+
+    doc = F.col("doc_id").cast("long")
+    rows = docs.select(doc.alias("doc_id"), (~training).alias("held_out"), pass_of(doc).cast("int").alias("turn"), F.xxhash64("doc_id", "text").alias("h"), "text")
+    return written(rows.mapInArrow(releasing(run), ENCODED), "encoded")
+
+
+def _train(encoded: DataFrame, weights: dict, turn: int, groups: int) -> dict:
+    """One pass over the training documents that belong to it; the weights averaged over its groups."""
+    import numpy as np
+
+    spark = encoded.sparkSession
+    sent = spark.sparkContext.broadcast(weights)  # fewer than a million numbers
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _keep_memory()
-        vocab, start = sent.value
-        trainer, table = Trainer(Network(weights={k: v.copy() for k, v in start.items()})), dict(vocab.word)
-        for batch in batches:
-            for text in batch.column(0):
-                trainer.add(np.append(vocab.symbols(_words(text), table), np.int16(0)))
-        trainer.learn()
-        if trainer.seen:
+        now, trainer = None, None
+
+        def finished():
+            trainer.learn()
             blob = pickle.dumps({k: v * np.float64(trainer.seen) for k, v in trainer.net.w.items()})
-            yield pa.record_batch([pa.array([TaskContext.get().partitionId() % SLOTS], pa.int32()), pa.array([trainer.seen], pa.int64()), pa.array([blob], pa.binary())], names=["slot", "seen", "blob"])
+            return pa.record_batch([pa.array([now % SLOTS], pa.int32()), pa.array([now], pa.int32()), pa.array([trainer.seen], pa.int64()), pa.array([blob], pa.binary())], names=["slot", "grp", "seen", "blob"])
+
+        for batch in batches:
+            for grp, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if grp != now:
+                    if trainer is not None:
+                        yield finished()
+                    now, trainer = grp, Trainer(Network(weights={k: v.copy() for k, v in sent.value.items()}))
+                trainer.add(np.frombuffer(ids.as_buffer(), np.int16))
+        if trainer is not None:
+            yield finished()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = None, 0
+        totals: dict[int, list] = {}
         for batch in batches:
-            for n, blob in zip(batch.column(1).to_pylist(), batch.column(2)):
+            for slot, n, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 part = pickle.loads(blob.as_py())
-                seen += n
-                total = part if total is None else {k: total[k] + v for k, v in part.items()}
-        if total is not None:
-            yield pa.record_batch([pa.array([0], pa.int32()), pa.array([seen], pa.int64()), pa.array([pickle.dumps(total)], pa.binary())], names=["slot", "seen", "blob"])
-
-    schema = "slot int, seen long, blob binary"
-    parts = docs.where(pass_of(F.col("doc_id")) == turn).select("text").mapInArrow(releasing(learn), schema).repartition(SLOTS, "slot").mapInArrow(releasing(add_up), schema).collect()
+                had = totals.get(slot)
+                totals[slot] = [n, part] if had is None else [had[0] + n, {k: had[1][k] + v for k, v in part.items()}]
+        for slot, (n, total) in totals.items():
+            yield pa.record_batch([pa.array([slot], pa.int32()), pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([pickle.dumps(total)], pa.binary())], names=["slot", "grp", "seen", "blob"])
+
+    schema = "slot int, grp int, seen long, blob binary"
+    rows = encoded.where((F.col("turn") == turn) & F.col("word").isNull() & ~F.col("held_out"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(F.pmod("h", F.lit(groups)).cast("int").alias("grp"), "doc_id", "h", "ids").repartition(n, "grp").sortWithinPartitions("grp", "doc_id", "h").select("grp", "ids")
+    parts = dealt.mapInArrow(releasing(learn), schema).repartition(SLOTS, "slot").sortWithinPartitions("slot", "grp").mapInArrow(releasing(add_up), schema)
+    parts = sorted(parts.collect(), key=lambda p: p.slot)  # SLOTS rows
     seen = sum(p.seen for p in parts)
     if not seen:
         return weights
@@ -436,8 +561,8 @@ def _train(docs: DataFrame, vocab: Vocabulary, weights: dict, turn: int) -> dict
     return {k: (sum(s[k] for s in sums) / seen).astype(np.float32) for k in Network.NAMES}
 
 
-def fit(training: DataFrame, counts: DataFrame, known: list[tuple[bytes, int]]) -> tuple[Vocabulary, dict]:
-    """Vocabulary and weights from training documents, their word counts and the most frequent words."""
+def vocabulary(counts: DataFrame, known: list[tuple[bytes, int]]) -> Vocabulary:
+    """Symbols from the word counts of the training documents and their most frequent words."""
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     words = [x for x in known if x[0] != END][: SYMBOLS - 1 - ENDINGS]
     spark = counts.sparkSession
@@ -447,12 +572,27 @@ def fit(training: DataFrame, counts: DataFrame, known: list[tuple[bytes, int]])
     by_end = written(by_end, "endings")
     ends = by_end.orderBy(F.desc("n"), "e").limit(ENDINGS - 1).collect()
     n, v = by_end.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    release(by_end)
     endings = [(bytes(r.e), r.n, r.v) for r in ends]
     other = (n - sum(x[1] for x in endings), v - sum(x[2] for x in endings))
-    vocab = Vocabulary(words, endings, other, total or 0, distinct)
+    return Vocabulary(words, endings, other, total or 0, distinct)
+
+
+def train(encoded: DataFrame, vocab: Vocabulary) -> dict:
+    """Weights from the encoded training documents."""
     weights = Network(vocab.counts).w
+    groups = max(1, min(MOST_GROUPS, -(-vocab.total // (ROUNDS * GROUP_TOKENS))))
     for turn in range(ROUNDS):
-        weights = _train(training, vocab, weights, turn)
+        weights = _train(encoded, weights, turn, groups)
+    return weights
+
+
+def fit(training: DataFrame, counts: DataFrame, known: list[tuple[bytes, int]]) -> tuple[Vocabulary, dict]:
+    """Vocabulary and weights from training documents, their word counts and the most frequent words."""
+    vocab = vocabulary(counts, known)
+    encoded = encode(training, F.lit(True), vocab, known, training.count())
+    weights = train(encoded, vocab)
+    release(encoded)
     return vocab, weights
 
 
@@ -493,67 +633,53 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
 
     ``training`` says of each row whether the model learns from it.
     """
-    spark = docs.sparkSession
     taught = docs.where(training)
     counts = written(word_counts(taught), "counts")
     known = frequent_words(counts)
-    vocab, weights = fit(taught, counts, known)
-    known += [(END, r.c) for r in counts.where(F.col("word") == F.lit(END)).collect()]
-    sent = spark.sparkContext.broadcast((vocab, weights, {w: math.log10(c + 0.5) for w, c in known}))
+    vocab = vocabulary(counts, known)
+    ends = [r.c for r in counts.where(F.col("word") == F.lit(END)).collect()]
+    encoded = encode(docs, training, vocab, known, sum(ends))
+    sent = docs.sparkSession.sparkContext.broadcast(train(encoded, vocab))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         _keep_memory()
-        vocab, weights, logs = sent.value
-        net, part, nth = Network(weights=weights), TaskContext.get().partitionId(), 0
-        divisor, first = vocab.divisor, vocab.first_ending
-        names = ["row", "word", "times", "doc_id", "held_out", "n_tokens", "n_known", "log_counts", "model"]
-        def flush(group):
-            model = _document_logs(net, [g[3] for g in group])
-            columns = [[] for _ in names]
-            for (row, doc, out, ids, rare, found, own, extra), m in zip(group, model):
-                values = (row, None, None, doc, out, len(ids), found, own, float(m) / math.log(10) + extra)
-                for c, v in zip(columns, values):
-                    c.append(v)
-                for w, n in rare.items():
-                    for c, v in zip(columns, (row, w, n, None, None, None, None, None, None)):
-                        c.append(v)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-        table = {w: vocab.symbol(w) for w in logs}
-        divisors = np.asarray([0.0] * first + divisor)
-        group, held = [], 0
+        net, group, held = Network(weights=sent.value), [], 0
+
+        def flush():
+            rows = pa.Table.from_batches([g for g, _ in group])
+            model = _document_logs(net, [ids for _, own in group for ids in own]) / math.log(10)
+            model += rows["extra"].to_numpy()
+            return rows.drop_columns(["ids", "extra"]).append_column("model", pa.array(model)).combine_chunks().to_batches()
+
         for batch in batches:
-            for doc, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                words = _words(text)
-                ids = np.append(vocab.symbols(words, table), np.int16(0))
-                words.append(END)
-                own = np.fromiter(map(logs.get, words, repeat(math.nan)), np.float64, len(words))
-                unknown = np.isnan(own)
-                rare = Counter([words[k] for k in np.flatnonzero(unknown).tolist()])
-                own[unknown] = 0
-                shared = ids >= first  # what the word's own probability under its ending holds of the score
-                extra = float(own[shared].sum() - divisors[ids].sum())
-                group.append((part << 36 | nth, doc, out, ids, rare, len(words) - int(unknown.sum()), float(own.sum()), extra))
-                nth += 1
-                held += len(ids)
+            ids = [np.frombuffer(x.as_buffer(), np.int16) for x in batch.column(batch.schema.get_field_index("ids"))]
+            at = 0
+            while at < len(ids):
+                last, own = at, 0
+                while last < len(ids) and held + own < GROUP_WORDS:
+                    own += len(ids[last])
+                    last += 1
+                group.append((batch.slice(at, last - at), ids[at:last]))
+                held += own
                 if held >= GROUP_WORDS:
-                    yield flush(group)
+                    yield from flush()
                     group, held = [], 0
+                at = last
         if group:
-            yield flush(group)
+            yield from flush()
 
-    schema = "row long, word binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, model double"
-    rows = written(docs.select(F.col("doc_id").cast("long"), (~training).alias("held_out"), "text").mapInArrow(releasing(score), schema), "scores")
-    rare = rows.where("word is not null").select("row", "word", "times").join(counts, "word", "left")
+    slim = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double"
+    documents = encoded.where("word is null").select(*[c.split()[0] for c in slim.split(", ")], "extra", "ids")
+    scored = documents.mapInArrow(releasing(score), f"{slim}, model double")
+    rare = encoded.where("word is not null").select("row", "word", "times").join(counts, "word", "left")
     # every rare word has a symbol of an ending, so its count's logarithm belongs to both scores
     rare = rare.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"),
     )
-    whole = rows.where("word is null").join(rare, "row", "left")
+    whole = scored.join(rare, "row", "left")
     divisor = math.log10(vocab.total + 0.5 * (vocab.distinct + 1))
     logs = F.coalesce("logs", F.lit(0.0))
     return whole.select(

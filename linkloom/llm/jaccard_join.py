@@ -13,7 +13,7 @@ The links found this way only say what to compare. They are closed into groups,
 those are cut down before any text moves: within a group all sketches are compared
 in blocks, and only classes whose sketches are as near as those of a pair at the
 threshold stay together (``PAIR_BITS``; such a pair falls below with a probability
-under 1e-7). Within what is left all pairs of classes are compared exactly, in
+under 1e-6). Within what is left all pairs of classes are compared exactly, in
 blocks of bounded size. Pairs are counted where they are found and never become
 rows, so a group of n copies costs n rows.
 
@@ -50,8 +50,9 @@ MISS = 1e-4
 DEPTH = 3
 #: Of 256 sketch bits: equal ones from which a member joins a leader, and from which it needs no leader of its own.
 LINK_BITS, LEAD_BITS = 164, 200
-#: Equal bits from which two classes of a group stay together. At similarity 0.8 a bit is equal with probability 0.848: 217 of 256 in the mean, 5.7 about it.
-PAIR_BITS = 186
+#: Equal bits from which two classes of a group stay together. At similarity 0.8 a bit is equal with probability 0.848, 217 of 256 in the mean and
+#: 5.7 about it; of the smallest sets, 4 and 5 shingles, with 0.8125, 208 in the mean and 6.2 about it.
+PAIR_BITS = 176
 #: A bucket with more leaders is split further.
 LEADERS = 256
 #: Classes of a block of sketches; classes and shingles of a block of an exact comparison.

@@ -10,9 +10,15 @@ ranking the anchors loses nothing.
 Round 1 ranks anchors by their 28 bytes: Spark sorts (rank, position), and what no
 smaller document shares is dropped. With it stands the rank of the whole stretch
 of windows that have this anchor; equal stretches settle all of their windows at
-once. Round 2 pairs the open anchors' ranks with the 11 bytes before or after, so
-ranks cover 39 bytes, and drops again. Round 3 ranks the windows that are left by
-all of their 50 bytes. Ranks are 64-bit hashes of the strings that they name.
+once. Round 2 sorts pairs: the open anchors' ranks with those of the 11 bytes before
+or after, so they cover 39 bytes, and drops again. Round 3 doubles: the windows that
+are left are sorted by the pair of the ranks of their 25 bytes and of the 25 at
+offset 25. The ranks that are paired are 64-bit hashes of the strings that they name
+(of stretches 52 bits, beside the anchor's 64); a byte goes by a pair, never by one.
+
+A rank that very many documents share does not gather them in one task: rows that
+share it within a lot settle there that they stay open, and one of them travels for
+all, so at most one row per lot and rank meets the others.
 
 Positions travel, texts do not: rows are known by file and row number, and what
 belongs to them is written in folders by file, sorted by row, in the shared
@@ -156,6 +162,32 @@ def _settled_here(rank, doc):
     return out
 
 
+def _travellers(ranks: tuple, doc):
+    """Of rows with ranks: which are sent to meet those of other lots, and which are known to share theirs with another document.
+
+    Of rows that share their ranks in this lot only the one with the least document is sent.
+    """
+    import numpy as np
+
+    order = np.lexsort((doc, *ranks[::-1]))
+    d, first = doc[order], np.zeros(len(doc), bool)
+    if len(doc):
+        first[0] = True
+        for r in ranks:
+            first[1:] |= r[order][1:] != r[order][:-1]
+    begins = np.flatnonzero(first)
+    ends = np.append(begins[1:], len(doc))
+    shared = np.repeat(d[ends - 1] > d[begins], ends - begins) if len(doc) else first
+    sent, known = np.ones(len(doc), bool), np.zeros(len(doc), bool)
+    sent[order] = ~shared | first
+    known[order] = shared
+    return sent, known
+
+
+#: Added to a place that stands for others of its lot.
+KNOWN = 1 << 40
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
     for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
         yield rid, LAST_DOC if doc is None else doc, text_bytes(text)
@@ -185,7 +217,7 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
 
 
 def _round_1(texts: DataFrame) -> DataFrame:
-    """Written rows (kind, rid, doc, at, n, after): kind 0 marks n bytes, 1 is an open stretch, 2 one that others may equal."""
+    """Written rows (kind, rid, doc, at, n, after): kind 0 marks n bytes, 1 is an open stretch."""
     names = "rank long, name long, doc long, rid long, at long"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,30 +240,39 @@ def _round_1(texts: DataFrame) -> DataFrame:
             rid, doc, at, rank, name = (np.concatenate(c) for c in zip(*found))
             here = _settled_here(mixed(rank * np.uint64(3) + name), doc)
             mark = _merged(rid[here], at[here], (name[here].astype(np.int64) >> 6 & 63) + LENGTH)
-            rest, n = ~here, len(mark[0])
-            yield _batch(names, rank[rest].view(np.int64), name[rest].view(np.int64), doc[rest], rid[rest], at[rest])
-            # marks go along under any rank, with a negative place
-            yield _batch(names, mixed(mark[0].astype(np.uint64) + np.arange(n, dtype=np.uint64)).view(np.int64), mark[2], np.zeros(n, np.int64), mark[0], -1 - mark[1])
+            rid, doc, at, rank, name = (c[~here] for c in (rid, doc, at, rank, name))
+            sent, known = _travellers((rank,), doc)
+            yield _batch(names, rank[sent].view(np.int64), name[sent].view(np.int64), doc[sent], rid[sent], at[sent] + KNOWN * known[sent])
+            # marks, and what stays open anyway, go along under any rank, with a negative place; only marks have no document
+            rest, n = ~sent, len(mark[0])
+            spread = lambda x: mixed(x.astype(np.uint64) + np.arange(len(x), dtype=np.uint64)).view(np.int64)
+            yield _batch(names, spread(rid[rest]), name[rest].view(np.int64), doc[rest], rid[rest], -1 - at[rest] - KNOWN)
+            yield _batch(names, spread(mark[0]), mark[2], np.zeros(n, np.int64), mark[0], -1 - mark[1])
 
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one exchange and one sort serve both windows
     rows = texts.mapInArrow(releasing(emit), names).repartition(n, "rank").sortWithinPartitions("rank", "name")
     outer, inner = Window.partitionBy("rank"), Window.partitionBy("rank", "name")
-    real = F.col("at") >= 0
+    real, known = F.col("at") >= 0, F.col("at") >= KNOWN
+    passing = F.col("at") < -KNOWN
     doc, name = F.when(real, F.col("doc")), F.when(real, F.col("name"))
     rows = rows.withColumn("least_2", F.min(doc).over(inner)).withColumns(
-        {"least_1": F.min(doc).over(outer), "most": F.max(doc).over(outer), "w0": F.min(name).over(outer), "w1": F.max(name).over(outer)}
-    )
-    copied = F.col("doc") > F.col("least_2")
-    kept = rows.where(~real | ((F.col("least_1") < F.col("most")) & (copied | (F.col("w0") < F.col("w1")))))
+        {
+            "least_1": F.min(doc).over(outer), "most": F.max(doc).over(outer), "w0": F.min(name).over(outer), "w1": F.max(name).over(outer),
+            "more_here": F.max(known).over(outer),
+        }
+    )
+    copied = real & (F.col("doc") > F.col("least_2"))
+    shared = F.col("more_here") | ((F.col("least_1") < F.col("most")) & (copied | (F.col("w0") < F.col("w1"))))
+    kept = rows.where(~real | shared)
     more = F.shiftright("name", 6).bitwiseAND(F.lit(63))
     return written(
         kept.select(
-            F.when(~real | copied, 0).when(F.col("doc") > F.col("least_1"), 1).otherwise(2).alias("kind"),
+            F.when((~real & ~passing) | copied, 0).otherwise(1).alias("kind"),
             "rid",
             "doc",
-            F.when(real, F.col("at")).otherwise(-1 - F.col("at")).alias("at"),
-            F.when(~real, F.col("name")).when(copied, more + LENGTH).otherwise(more).alias("n"),
+            F.when(known, F.col("at") - KNOWN).when(real, F.col("at")).when(passing, -1 - F.col("at") - KNOWN).otherwise(-1 - F.col("at")).alias("at"),
+            F.when(~real & ~passing, F.col("name")).when(copied, more + LENGTH).otherwise(more).alias("n"),
             F.col("name").bitwiseAND(F.lit(63)).alias("after"),
         ),
         "anchors",
@@ -239,61 +280,72 @@ def _round_1(texts: DataFrame) -> DataFrame:
 
 
 def _round_2(texts: DataFrame, open_rows: DataFrame) -> DataFrame:
-    """Written rows (kind, rid, doc, at, n, after): parts of stretches whose 39 bytes a smaller document shares."""
+    """Written rows (rid, doc, at, n): parts of stretches whose 39 bytes another document shares."""
     path = write_beside(open_rows, "open")
-    names = "rank long, kind int, rid long, doc long, at long, n long, after long"
+    names = "rank long, side long, rid long, doc long, at long, n long"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         beside = Beside(path)
         for data, offsets, of, found in _with_beside(batches, beside):
-            kind, doc, at, n, after = (found[c].to_numpy() for c in ("kind", "doc", "at", "n", "after"))
+            rid, doc, at, n, after = (found[c].to_numpy() for c in ("rid", "doc", "at", "n", "after"))
             anchor = offsets[of] + at + after
             # windows whose anchor has at most SIDE bytes before it end beyond the anchor by SIDE; the others start before it by SIDE
             split = np.clip(after - SIDE, 0, n + 1)  # windows of the left part
-            rank, rows = [], []
+            rows = []
             for left in (True, False):
                 has = split > 0 if left else split <= n
-                start = anchor[has] - SIDE * left
-                rank.append(_long_hash(data, start, np.full(len(start), ANCHOR + SIDE)))
-                rows.append((kind[has], found["rid"].to_numpy()[has], doc[has], at[has] + (0 if left else split[has]), (split[has] - 1) if left else (n - split)[has], after[has] - (0 if left else split[has])))
-            yield _batch(names, np.concatenate(rank).view(np.int64), *(np.concatenate(c) for c in zip(*rows)))
+                start = anchor[has]
+                rank = _long_hash(data, start, np.full(len(start), ANCHOR))
+                side = _long_hash(data, start - SIDE if left else start + ANCHOR, np.full(len(start), SIDE)) ^ np.uint64(left)
+                rows.append((rank, side, rid[has], doc[has], at[has] + (0 if left else split[has]), (split[has] - 1) if left else (n - split)[has]))
+            rank, side, rid, doc, at, n = (np.concatenate(c) for c in zip(*rows))
+            sent, known = _travellers((rank, side), doc)
+            yield _batch(names, rank[sent].view(np.int64), side[sent].view(np.int64), rid[sent], doc[sent], at[sent] + KNOWN * known[sent], n[sent])
+            rest = ~sent
+            spread = mixed(rid[rest].astype(np.uint64) + np.arange(int(rest.sum()), dtype=np.uint64)).view(np.int64)
+            yield _batch(names, spread, side[rest].view(np.int64), rid[rest], doc[rest], -1 - at[rest], n[rest])
 
     ranked = texts.mapInArrow(releasing(emit), names)
-    over = Window.partitionBy("rank")
-    ranked = ranked.withColumns({"least": F.min("doc").over(over), "most": F.max("doc").over(over)}).where("least < most")
-    return written(ranked.select(F.when(F.col("doc") > F.col("least"), 1).otherwise(2).alias("kind"), "rid", "doc", "at", "n", "after"), "pairs")
+    over, real, known = Window.partitionBy("rank", "side"), F.col("at") >= 0, F.col("at") >= KNOWN
+    doc = F.when(real, F.col("doc"))
+    ranked = ranked.withColumns({"least": F.min(doc).over(over), "most": F.max(doc).over(over), "more_here": F.max(known).over(over)})
+    ranked = ranked.where(~real | F.col("more_here") | (F.col("least") < F.col("most")))
+    at = F.when(known, F.col("at") - KNOWN).when(real, F.col("at")).otherwise(-1 - F.col("at"))
+    return written(ranked.select("rid", "doc", at.alias("at"), "n"), "pairs")
 
 
 def _round_3(texts: DataFrame, open_rows: DataFrame) -> DataFrame:
-    """Marks (rid, at, n) of the single windows that a smaller document has."""
+    """Marks (rid, at, n) of the single windows that a smaller document has, by the pair of the ranks of their halves."""
     path = write_beside(open_rows, "pairs")
-    names = "rank long, doc long, rid long, at long"
+    names = "rank long, next long, doc long, rid long, at long"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        beside = Beside(path)
+        beside, half = Beside(path), LENGTH // 2
         for data, offsets, of, found in _with_beside(batches, beside):
             n = found["n"].to_numpy() + 1
             nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(found["at"].to_numpy(), n) + nth
             start = np.repeat(offsets[of], n) + at
-            rank = _long_hash(data, start, np.full(len(start), LENGTH))
+            rank, after = (_long_hash(data, start + k, np.full(len(start), half)) for k in (0, half))
             doc, rid = (np.repeat(found[c].to_numpy(), n) for c in ("doc", "rid"))
-            here = _settled_here(rank, doc)
+            here = _settled_here(mixed(rank * np.uint64(3) + after), doc)
             mark = _merged(rid[here], at[here], np.full(int(here.sum()), LENGTH))
+            # of windows that are equal within this lot, one of the least document meets the others, unless one document has several
             rest, m = ~here, len(mark[0])
-            yield _batch(names, rank[rest].view(np.int64), doc[rest], rid[rest], at[rest])
-            yield _batch(names, mixed(mark[0].astype(np.uint64) + np.arange(m, dtype=np.uint64)).view(np.int64), -1 - mark[2], mark[0], mark[1])
+            yield _batch(names, rank[rest].view(np.int64), after[rest].view(np.int64), doc[rest], rid[rest], at[rest])
+            spread = mixed(mark[0].astype(np.uint64) + np.arange(m, dtype=np.uint64)).view(np.int64)
+            yield _batch(names, spread, mark[2], np.zeros(m, np.int64), mark[0], -1 - mark[1])
 
     ranked = texts.mapInArrow(releasing(emit), names)
-    real = F.col("doc_") >= 0
-    # marks carry their length, negative, in place of the document
-    ranked = ranked.withColumnsRenamed({"doc": "doc_"}).withColumn("doc", F.when(real, F.col("doc_")))
-    ranked = ranked.withColumn("least", F.min("doc").over(Window.partitionBy("rank")))
-    return ranked.where(~real | (F.col("doc") > F.col("least"))).select("rid", "at", F.when(real, LENGTH).otherwise(-1 - F.col("doc_")).cast("long").alias("n"))
+    real = F.col("at") >= 0
+    # marks have a negative place, and their length in place of the second rank
+    ranked = ranked.withColumn("least", F.min(F.when(real, F.col("doc"))).over(Window.partitionBy("rank", "next")))
+    ranked = ranked.where(~real | (F.col("doc") > F.col("least")))
+    return ranked.select("rid", F.when(real, F.col("at")).otherwise(-1 - F.col("at")).alias("at"), F.when(real, LENGTH).otherwise(F.col("next")).cast("long").alias("n"))
 
 
 def _long_hash(data, starts, lengths):

@@ -1,10 +1,11 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 from helpers import AWKWARD, documents, prose
 
-from linkloom.llm import jaccard_join, substring_dedup
+from linkloom.llm import beside, jaccard_join, substring_dedup
 from linkloom.llm.components import components
 from linkloom.llm.shingles import shingle_set
 
@@ -124,6 +125,24 @@ def brute_removals(docs, length=50):
     return sorted(out)
 
 
+def brute_kept(docs, length=50):
+    """(doc, text that is left); a character that a cut runs through goes whole."""
+    rank = lambda d: float("inf") if d is None else d
+    first = {}
+    for d, t in docs:
+        b = (t or "").encode()
+        for k in range(len(b) - length + 1):
+            w = b[k : k + length]
+            first[w] = min(first.get(w, float("inf")), rank(d))
+    for d, t in docs:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - length + 1):
+            if first[b[k : k + length]] < rank(d):
+                gone[k : k + length] = True
+        yield str(d), bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")
+
+
 def removal_docs(seed):
     r = random.Random(seed)
     passages = [prose(r.randrange(8, 40), 50 + k) for k in range(8)]
@@ -156,10 +175,11 @@ def test_removals_equal_brute_force(spark):
 
 
 def test_long_texts_in_stretches(spark, monkeypatch):
+    """Stretches, lots and runs of a few rows give what whole texts give; local workers are forked after the change, so they see it."""
     monkeypatch.setattr(substring_dedup, "STRETCH", 257)
     monkeypatch.setattr(substring_dedup, "LOT", 50)
+    monkeypatch.setattr(beside, "RUN", 7)
     docs = removal_docs(3)
-    # local workers are forked after the change, so they see it
     found = [g for g in substring_dedup._stretches(((k, 0, (t or "").encode()) for k, (_, t) in enumerate(docs)), 49)]
     assert max(len(p) for g in found for *_, p in g) <= 257 + 49
     parts = {}
@@ -171,6 +191,24 @@ def test_long_texts_in_stretches(spark, monkeypatch):
         starts = {at + i for at, p in parts[k] for i in range(max(0, len(p) - 49))}
         assert starts == set(range(max(0, len(data) - 49)))
         assert all(data[at : at + len(p)] == p for at, p in parts[k])
+    monkeypatch.setattr(substring_dedup._Hasher, "powers", None)
+    assert digest(substring_dedup.removals(documents(spark, docs).repartition(3)).collect()) == brute_removals(docs)
+
+
+def test_a_phrase_that_most_documents_share(spark, monkeypatch):
+    """The hot rank's rows settle in their lots; one of each lot meets the others."""
+    monkeypatch.setattr(substring_dedup, "LOT", 400)
+    phrase = "a line that stands in nearly every document of the table"
+    docs = [(k % 150, f"{prose(4, k)} {phrase} {prose(4, 1000 + k % 60)}") for k in range(200)]
+    docs += [(500 + k, f"{phrase} {phrase[: 20 + k]}") for k in range(10)] + [(None, phrase)]
+    assert digest(substring_dedup.removals(documents(spark, docs).repartition(5)).collect()) == brute_removals(docs)
+
+
+def test_travellers():
+    rank, doc = np.asarray([5, 5, 5, 7, 7, 9], np.uint64), np.asarray([3, 1, 3, 2, 2, 4])
+    sent, known = substring_dedup._travellers((rank,), doc)
+    assert sent.tolist() == [False, True, False, True, True, True] and known.tolist() == [True, True, True, False, False, False]
+    assert all(len(x) == 0 for x in substring_dedup._travellers((rank[:0],), doc[:0]))
 
 
 def test_remove_repeats_keeps_text_and_columns(spark):
@@ -178,14 +216,37 @@ def test_remove_repeats_keeps_text_and_columns(spark):
     table = documents(spark, docs, extra=True)
     rows = substring_dedup.remove_repeats(table)
     assert rows.columns == table.columns
-    got = sorted(str(r.doc_id) + str(r.text) for r in rows.collect())
-    brute = {}
-    for d, b, n, *_ in brute_removals(docs):
-        brute.setdefault(d, 0)
-        brute[d] += b - n
-    for r in rows.collect():
-        assert r.n_chars is None or r.n_chars == len(r.text)
-    assert len(got) == len(docs)
-    assert sum(len((r.text or "").encode()) for r in rows.collect()) <= sum(brute.values())
+    rows = rows.collect()
+    want = sorted(brute_kept(docs))
+    assert sorted((str(r.doc_id), r.text or "") for r in rows) == want
+    assert all(r.n_chars is None or r.n_chars == len(r.text) for r in rows)
+    assert sum(r.text is None for r in rows) == sum(t is None for _, t in docs)
     assert substring_dedup.remove_repeats(table.limit(0)).count() == 0
     assert substring_dedup.removals(table.limit(0)).count() == 0
+
+
+def test_recall_on_a_real_table(spark):
+    """Documents whose id is divisible by 20 against all rows of the table, by brute force."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: set(shingle_set((r.text or "").encode()).tolist()) for r in table.collect()}
+    where = {}
+    for d, own in sets.items():
+        for x in own:
+            where.setdefault(x, []).append(d)
+    got = {r.doc_id: r for r in jaccard_join.jaccard_classes(table).collect()}
+    wanted = found = 0
+    for q in (d for d in sets if d % 20 == 0):
+        both = Counter(d for x in sets[q] for d in where[x] if d != q)
+        near = [d for d, n in both.items() if n >= 0.8 * (len(sets[d]) + len(sets[q]) - n) - 1e-9]
+        wanted += len(near)
+        found += got[q].n_links
+        assert all(got[d].class_id == got[q].class_id for d in near)
+    assert wanted > 50 and found == wanted
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"{prose(2000, 3)} part{k}" for k in range(120))
+    assert len(text) > 1_000_000
+    near = text.replace("part7 ", "other7 ")
+    docs = documents(spark, [(1, text), (2, near), (3, "short text")])
+    assert {(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(docs).collect()} == {(1, 1, 1), (2, 1, 1), (3, 3, 0)}

@@ -157,3 +157,49 @@ def test_ids_of_seven_digits_lose_no_window(spark):
 def test_short_documents_are_learned_from(spark):
     markers = [f"m{k}x" for k in range(300)]
     assert untaught(spark, [(k, f"of {m} the") for k, m in enumerate(markers)], markers) == []
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(g, "GROUP_TOKENS", 1500)
+    table = documents(spark, corpus(), extra=True)
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for n in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n + 2))
+        rows = g.scores(table.repartition(n, "text"), ~g.held_out(F.col("doc_id"))).collect()
+        found.append(sorted((str(r.doc_id), round(r.score, 2)) for r in rows))
+    spark.conf.set("spark.sql.shuffle.partitions", had)
+    assert found[0] == found[1]
+
+
+def test_score_equals_a_plain_loop(spark):
+    """The score of each text, word by word, from the same vocabulary and weights."""
+    docs = [*corpus(60), (5000, "A0 a1 UNSEEN a2 b3 " + "long " * 40), (5001, "\x1cx \x0by\u2003z")]
+    table = documents(spark, docs)
+    training = ~g.held_out(F.col("doc_id"))
+    rows = {(r.doc_id, r.n_tokens): r.score for r in g.scores(table, training).collect()}
+    taught = table.where(training)
+    counts = g.written(g.word_counts(taught), "counts")
+    c = {bytes(r.word): r.c for r in counts.collect()}
+    vocab, weights = g.fit(taught, counts, g.frequent_words(counts))
+    n = g.Network(weights=weights)
+    for d, t in docs:
+        words = [*(t or "").translate({k: k + 32 for k in range(65, 91)}).encode().split(), b"\n"]
+        state, last, total = np.zeros((1, g.HIDDEN), np.float32), 0, 0.0
+        for w in words:
+            symbol = 0 if w == b"\n" else vocab.symbol(w)
+            states, state = n.steps(np.asarray([[last]]), np.zeros((1, 1), bool), state)
+            total += float(n.log_probabilities(states.reshape(1, -1), np.asarray([symbol]))[0]) / math.log(10)
+            if symbol >= vocab.first_ending:
+                total += math.log10(c.get(w, 0) + 0.5) - vocab.divisor[symbol - vocab.first_ending]
+            last = symbol
+        assert abs(rows[d, len(words)] - total) < 1e-3 * max(1, abs(total)), (d, t)
+
+
+def test_words_are_cut_at_the_six_characters():
+    import pyarrow as pa
+
+    texts = [None, "", " \t", "A b\x0b\x0cC\r\nd", "\u00c9a\x1cb\x85c\u2003d", "x" * 70 + " y"]
+    words, rows = g._words(pa.array(texts))
+    want = [(k, w) for k, t in enumerate(texts) for w in (t or "").translate({x: x + 32 for x in range(65, 91)}).encode().split()]
+    assert list(zip(rows.tolist(), words.to_pylist())) == want
