@@ -48,15 +48,15 @@ from linkloom.llm.common import release, releasing, written
 FOLDS, HELD_OUT = 5, 1
 SYMBOLS, CLASS = 1024, 32
 ENDINGS, ENDING_BYTES = 256, 3
-HIDDEN, WINDOW, LANES = 24, 32, 256
+HIDDEN, WINDOW, LANES = 24, 32, 1024
 ROUNDS = 2
 BATCH, RATE, CLIP = 128, 0.08, 5.0
 #: Symbols of a document that one lane learns from one after another.
 PIECE = 64 * WINDOW
 #: Bound of a logit: far above what training reaches, far below where exp ends.
 TOP = 60.0
-#: Words whose counts each task holds, and their bytes (10 MB together at most).
-BROADCAST_WORDS, WORD_BYTES = 150_000, 64
+#: Words whose counts each task holds, and bytes of such a word (29 MB together at most).
+BROADCAST_WORDS, WORD_BYTES = 400_000, 64
 #: Tokens of a group that trains by itself, and groups of a pass.
 GROUP_TOKENS, MOST_GROUPS = 1_000_000, 4096
 #: Bytes of texts whose words are looked up together.
@@ -185,14 +185,12 @@ class Vocabulary:
 class Lookup:
     """Known words as columns: symbol, logarithm of the count; and the symbols of endings for all others."""
 
-    def __init__(self, vocab: Vocabulary, known: list[tuple[bytes, int]]):
+    def __init__(self, vocab: Vocabulary, words: pa.Array, counts):
         import numpy as np
 
-        self.vocab = vocab
-        words = [(w, c) for w, c in known if w != END]
-        self.words = pa.array([w for w, _ in words], pa.binary())
-        self.symbol = np.asarray([vocab.symbol(w) for w, _ in words], np.int16)
-        self.logs = np.log10(np.asarray([c for _, c in words], np.float64) + 0.5)
+        self.vocab, self.words = vocab, words
+        self.symbol = np.fromiter(map(vocab.symbol, words.to_pylist()), np.int16, len(words))
+        self.logs = np.log10(counts + 0.5)
         self.endings = pa.array(list(vocab.ending), pa.binary())
         self.ending_symbol = np.asarray([*vocab.ending.values(), vocab.other], np.int16)
         #: What log10 of an ending's probability is less, by symbol.
@@ -469,12 +467,14 @@ def encode(docs: DataFrame, training: Column, vocab: Vocabulary, known: list[tup
 
     ``ends`` is the count of ends in training texts.
     """
+    import numpy as np
+
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((vocab, known))  # BROADCAST_WORDS words
+    words = [(w, c) for w, c in known if w != END]
+    columns = pa.array([w for w, _ in words], pa.binary()), np.asarray([c for _, c in words], np.int64)
+    sent = spark.sparkContext.broadcast((vocab, *columns))  # BROADCAST_WORDS words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         lookup = Lookup(*sent.value)
         first, part, nth = lookup.vocab.first_ending, TaskContext.get().partitionId(), 0
         names = [c.split()[0] for c in ENCODED.split(", ")]
@@ -509,7 +509,7 @@ def encode(docs: DataFrame, training: Column, vocab: Vocabulary, known: list[tup
 
     doc = F.col("doc_id").cast("long")
     rows = docs.select(doc.alias("doc_id"), (~training).alias("held_out"), pass_of(doc).cast("int").alias("turn"), F.xxhash64("doc_id", "text").alias("h"), "text")
-    return written(rows.mapInArrow(releasing(run), ENCODED), "encoded")
+    return written(rows.mapInArrow(releasing(run), ENCODED), "encoded", "lz4")
 
 
 def _train(encoded: DataFrame, weights: dict, turn: int, groups: int) -> dict:

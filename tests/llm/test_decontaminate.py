@@ -138,7 +138,14 @@ def test_a_full_filter_gives_the_same(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     table = documents(spark, docs)
     whole = sorted(map(str, d.contaminated(table, bench).collect()))
-    monkeypatch.setattr(d, "MOST_FILTER_BITS", 64)
+    original = d._filter_of
+
+    def full(seeds):
+        out = original(seeds)
+        out.bits[:] = 255
+        return out
+
+    monkeypatch.setattr(d, "_filter_of", full)
     assert sorted(map(str, d.contaminated(table, bench).collect())) == whole
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from helpers import AWKWARD, documents, prose
 
-from linkloom.llm import beside, jaccard_join, substring_dedup
+from linkloom.llm import jaccard_join, substring_dedup
 from linkloom.llm.components import components
 from linkloom.llm.shingles import shingle_set
 
@@ -174,11 +174,8 @@ def test_removals_equal_brute_force(spark):
         assert digest(substring_dedup.removals(table).collect()) == brute_removals(docs)
 
 
-def test_long_texts_in_stretches(spark, monkeypatch):
-    """Stretches, lots and runs of a few rows give what whole texts give; local workers are forked after the change, so they see it."""
+def test_stretches_cover_every_window(monkeypatch):
     monkeypatch.setattr(substring_dedup, "STRETCH", 257)
-    monkeypatch.setattr(substring_dedup, "LOT", 50)
-    monkeypatch.setattr(beside, "RUN", 7)
     docs = removal_docs(3)
     found = [g for g in substring_dedup._stretches(((k, 0, (t or "").encode()) for k, (_, t) in enumerate(docs)), 49)]
     assert max(len(p) for g in found for *_, p in g) <= 257 + 49
@@ -191,12 +188,24 @@ def test_long_texts_in_stretches(spark, monkeypatch):
         starts = {at + i for at, p in parts[k] for i in range(max(0, len(p) - 49))}
         assert starts == set(range(max(0, len(data) - 49)))
         assert all(data[at : at + len(p)] == p for at, p in parts[k])
-    monkeypatch.setattr(substring_dedup._Hasher, "powers", None)
-    assert digest(substring_dedup.removals(documents(spark, docs).repartition(3)).collect()) == brute_removals(docs)
+
+
+def test_texts_of_several_stretches(spark):
+    """Passages that repeat across the borders of stretches, in texts longer than three of them."""
+    r, step = random.Random(8), substring_dedup.STRETCH
+    host = [prose(1200, 900 + k) for k in range(110)]
+    passage = prose(60, 3)
+    long = " ".join(host)
+    for k in (1, 2, 3):
+        at = k * step - r.randrange(1, 200)
+        long = long[:at] + passage + long[at:]
+    assert len(long) > 3 * step
+    docs = [(1, passage[40:]), (2, long), (3, long[step - 30_000 : step + 30_000] + "tail"), (4, long[: step // 2] + passage)]
+    assert digest(substring_dedup.removals(documents(spark, docs)).collect()) == brute_removals(docs)
 
 
 def test_a_phrase_that_most_documents_share(spark, monkeypatch):
-    """The hot rank's rows settle in their lots; one of each lot meets the others."""
+    """The hot rank's rows settle in their lots; one of each lot meets the others (LOT is read where the task is made, so it is as small there)."""
     monkeypatch.setattr(substring_dedup, "LOT", 400)
     phrase = "a line that stands in nearly every document of the table"
     docs = [(k % 150, f"{prose(4, k)} {phrase} {prose(4, 1000 + k % 60)}") for k in range(200)]
