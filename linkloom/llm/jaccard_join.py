@@ -6,7 +6,9 @@ random tree: at a node it follows every shingle whose hash at that node is below
 child in the mean, and unlike ones hardly any. Classes that end at one leaf form a
 bucket. A bucket is compared by brute force over 256-bit sketches against its
 leaders, the members so far that resemble no earlier leader; buckets with too many
-leaders are split further, by walking on from their leaf. Runs are repeated until
+leaders are split further, by walking on from their leaf. A class that a leader has
+stood for in its own lot of rows does not walk on with it, and is found by its other
+leaves. Runs are repeated until
 a pair at the threshold is missed with at most ``miss`` probability.
 
 The links found this way only say what to compare. They are closed into groups, and
@@ -296,9 +298,6 @@ def candidate_groups(texts: DataFrame, members: DataFrame, threshold: float = TH
         split = found.where("split").select(F.col("a").alias("key"), F.col("b").alias("path"))
         if split.isEmpty():
             return components(links)
-        # members that a leader has stood for go on with it, wherever else they were: a partner may be in another lot
-        led = part.select(F.col("a").alias("key"), F.col("b").alias("led")).join(split.withColumnRenamed("key", "led"), "led").select("key", "path")
-        split = split.unionByName(led).distinct()
         paths = _walk_on(split, members, texts, threshold, leaders)
     # what 27 levels could not tell apart is alike: link it to the least of its bucket
     rest = split.groupBy("path").agg(F.min("key").alias("b"))
