@@ -36,6 +36,15 @@ def test_query(spark, name):
     assert rows(got, df.columns) == rows(want.fetchall(), columns)
 
 
+def test_ids_are_dense_with_few_partitions(spark):
+    """Ranges are drawn from a sample here, not from all rows; ids are unique all the same."""
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    ids = [r.unique_id for r in catalog.queries()["page_ids"](spark, "/root/testdata/sf0.01").collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", had)
+    assert sorted(ids) == list(range(100, 100 + len(ids)))
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
