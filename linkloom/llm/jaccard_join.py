@@ -60,6 +60,8 @@ LEADERS = 256
 #: Classes of a block of sketches; classes and shingles of a block of an exact comparison.
 SKETCH_BLOCK = 4096
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 2_000_000
+#: Hashes of nodes and shingles that a walk computes at once, unless one node has more.
+MATRIX = 131_072
 #: Documents whose leaves a task holds at once, and combines before they travel.
 LOT = 2_000
 #: A class at a leaf with its sketch; or, with ``to``, a link that is settled already.
@@ -85,9 +87,9 @@ def _walk(shingles, nodes, threshold: float, depth: int):
             break
         factors = mixed(nodes) | np.uint64(1)
         kept = []
-        step = max(1, 1_000_000 // len(shingles))  # bounds the matrix for very large sets
+        step = max(1, MATRIX // len(shingles))  # bounds the matrix for very large sets
         for lo in range(0, len(nodes), step):
-            at, token = np.nonzero(mixed_rows(shingles, factors[lo : lo + step]) < limit)
+            at, token = np.divmod(np.flatnonzero(mixed_rows(shingles, factors[lo : lo + step]) < limit), len(shingles))
             kept.append(mixed(nodes[lo + at] * np.uint64(0xD1342543DE82EF95) + shingles[token]))
         nodes = np.concatenate(kept)
     return nodes
@@ -96,8 +98,10 @@ def _walk(shingles, nodes, threshold: float, depth: int):
 def mixed_rows(shingles, factors):
     import numpy as np
 
-    x = factors[:, None] * shingles[None, :]
-    return (x ^ (x >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+    x = np.multiply.outer(factors, shingles)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x9FB21C651E98DF25)
+    return x
 
 
 def _sketch(shingles):
@@ -108,7 +112,9 @@ def _sketch(shingles):
     for lo in range(0, len(shingles), 100_000):
         part = shingles[lo : lo + 100_000]
         words = np.stack([mixed(part + np.uint64(c * 0x632BE59BD9B4E019 & (2**64 - 1))) for c in (1, 2, 3, 4)], 1)
-        total += np.unpackbits(words.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+        bits = np.unpackbits(words.view(np.uint8), axis=1)
+        for k in range(0, len(bits), 255):  # sums of so many bits fit a byte
+            total += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
     return np.packbits(2 * total > len(shingles)).view(np.int64)
 
 

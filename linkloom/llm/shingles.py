@@ -7,7 +7,19 @@ from linkloom.llm.common import AT_END
 SHINGLE = 5
 #: Words whose hashes a task keeps at most.
 CACHE_WORDS = 150_000
-_cache: dict[bytes, int] = {}
+
+
+class _Hashes(dict):
+    """Hashes of words; one that is not there yet is computed and kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_cache = _Hashes()
 AT_END.append(_cache.clear)
 
 
@@ -20,6 +32,16 @@ def mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x):
+    """The distinct values of an array, sorted: by a sort and a mask, several times quicker here than by a hash table."""
+    import numpy as np
+
+    x = np.sort(x)
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
 def text_bytes(text) -> bytes:
     """UTF-8 of an Arrow string; null is empty."""
     return text.as_buffer().to_pybytes() if text.is_valid else b""
@@ -31,21 +53,18 @@ def shingle_set(text: bytes, size: int = SHINGLE):
     Words are runs of bytes other than the six that ``bytes.split`` cuts at.
     """
     import numpy as np
-    import xxhash
 
     words = text.split()
     if not words:
         return np.zeros(0, np.uint64)
     if len(_cache) > CACHE_WORDS:
         _cache.clear()
-    for w in set(words).difference(_cache):
-        _cache[w] = xxhash.xxh64_intdigest(w)
     ids = np.fromiter(map(_cache.__getitem__, words), np.uint64, len(words))
     k = min(size, len(ids))
     out = ids[: len(ids) - k + 1].copy()
     for j in range(1, k):
         out = out * np.uint64(0x9E3779B97F4A7C15) + ids[j : len(ids) - k + 1 + j]
-    return np.unique(mixed(out + np.uint64(k)))
+    return distinct(mixed(out + np.uint64(k)))
 
 
 def set_key(shingles) -> int:
