@@ -5,11 +5,14 @@ from __future__ import annotations
 import corpus_pipeline
 from linkloom.llm import (
     chat_collapse,
+    chat_repair,
     decontaminate,
+    discriminant,
     edit_counts,
     gru_lm,
     jaccard_join,
     packing,
+    prefix_trie,
     quality,
     substring_dedup,
     token_store,
@@ -29,6 +32,9 @@ def queries() -> dict:
         "op8_edit_counts": edit_counts.query,
         "op9_url_filter": url_filter.query,
         "op10_gru_lm": gru_lm.query,
+        "op11_discriminant": discriminant.query,
+        "op12_chat_repair": chat_repair.query,
+        "op13_prefix_trie": prefix_trie.query,
         "pipeline": corpus_pipeline.run,
     }
 
