@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.links import normalised_title, page_url, url_path
 from linkloom.operators import crawl as crawling
-from linkloom.operators import graph, report
+from linkloom.operators import report
 from linkloom.operators.paths import path_chain
 from linkloom.operators.services import Links, Pages
 from linkloom.operators.store import GraphStore
@@ -98,7 +98,7 @@ class Shell:
             return
         asked = self.spark.createDataFrame(list(enumerate(given.titles)), "position long, title string")
         asked = asked.select("position", normalised_title(F.col("title")).alias("title"))
-        found = graph.resolve_titles(pages, asked).orderBy("position").collect()  # one row per argument
+        found = self.pages.by_titles(asked).orderBy("position").collect()  # one row per argument
         if not found:
             self.say("A page was not found")
         elif not given.path:

@@ -34,7 +34,7 @@ class CrawlConfig:
     ttl_ms: int = schema.DEFAULT_TTL_MS
     #: Stop once so many pages were created or updated; below 0: never. Exact, in order of (generation, path).
     early_stop: int = -1
-    #: Rows of a frontier that one generation takes; the rest waits. None: all of it.
+    #: Rows of a frontier that one generation takes at most; the rest waits. None: all of it.
     capacity: int | None = None
     #: Generations after which the crawl stops and says so; None: it goes on until nothing is due.
     max_generations: int | None = None
@@ -70,14 +70,12 @@ def admit(links: DataFrame, wanted: DataFrame, now_ms: int, ttl_ms: int) -> Data
     return state.where(changes.is_due(now_ms, ttl_ms)).withColumn("registered", F.lit(True))
 
 
-def _judged(store: GraphStore, good: DataFrame) -> DataFrame:
-    """Written rows of parsed pages with what the store says of each: action, changed, unique_id, is_removed."""
-    paths = good.select("path")
-    pages = graph.pages_in(store.read("pages"), paths)
-    edges = store.read("edges").join(paths.select(F.col("path").alias("src")), "src", "left_semi")
-    links = graph.neighbour_sets(edges).select(F.col("src").alias("path"), F.col("neighbours").alias("links"))
+def _judged(store: GraphStore, good: DataFrame, paths: DataFrame | list) -> DataFrame:
+    """Written rows of parsed pages with what the store says of each: action, changed, unique_id, is_removed, old_title."""
+    pages = store.lookup("pages", paths)
+    links = graph.neighbour_sets(store.lookup("edges", paths)).select(F.col("src").alias("path"), F.col("neighbours").alias("links"))
     judged = changes.page_changes(pages.join(links, "path", "left"), good)
-    return written(judged.join(pages.select("path", "unique_id", "is_removed"), "path", "left"), "judged")
+    return written(judged.join(pages.select("path", "unique_id", "is_removed", F.col("title").alias("old_title")), "path", "left"), "judged")
 
 
 def _page_rows(store: GraphStore, judged: DataFrame, gone: DataFrame, resurrect: bool, creates: int, next_id: int) -> DataFrame:
@@ -91,24 +89,47 @@ def _page_rows(store: GraphStore, judged: DataFrame, gone: DataFrame, resurrect:
     back = F.col("is_removed") if resurrect else F.lit(False)
     kept = judged.where("action = 'update'").where(F.col("changed") | back)
     kept = kept.withColumn("is_removed", F.lit(False)) if resurrect else kept
-    stored = graph.pages_in(store.read("pages"), gone)
-    return made.unionByName(kept.select(*names)).unionByName(changes.tombstones(stored, gone).select(*names))
+    return made.unionByName(kept.select(*names)).unionByName(changes.tombstones(store.lookup("pages", gone), gone).select(*names))
+
+
+def _resolved(store: GraphStore, judged: DataFrame, paths: DataFrame | list) -> DataFrame:
+    """Written (src, dst, now, before, known, fresh): links that parsed pages state now or stated before.
+
+    ``known``: the target has a page now; ``fresh``: the source is new or changed.
+    """
+    stated = judged.select(F.col("path").alias("src"), F.explode("links").alias("dst")).distinct().withColumn("now", F.lit(True))
+    had = store.lookup("raw_links", paths).select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"), F.lit(True).alias("before")).distinct()
+    both = stated.join(had, ["src", "dst"], "full")
+    fresh = judged.select(F.col("path").alias("src"), (F.col("changed") | (F.col("action") == "create")).alias("fresh"))
+    both = both.join(fresh, "src").select("src", "dst", F.coalesce("now", F.lit(False)).alias("now"), F.coalesce("before", F.lit(False)).alias("before"), "fresh")
+    both = written(both, "links")
+    # only the pages that links lead to are looked up
+    known = store.lookup("pages", store.few(both.select("dst"))).select(F.col("path").alias("dst"))
+    known = known.unionByName(judged.where("action = 'create'").select(F.col("path").alias("dst"))).withColumn("known", F.lit(True))
+    out = written(both.join(known, "dst", "left").select(*both.columns, F.coalesce("known", F.lit(False)).alias("known")), "resolved")
+    release(both)
+    return out
+
+
+def _late(store: GraphStore, judged: DataFrame, paths: DataFrame | list) -> DataFrame:
+    """Edges of untouched pages that had been waiting for a page that is here now; the index of waiting links names them."""
+    touched = judged.where("action = 'create' or changed").select(F.col("path").alias("src_path"))
+    waiting = store.lookup("waiting", paths).join(touched, "src_path", "left_anti")
+    return waiting.select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
 
 
-def _resolved(store: GraphStore, judged: DataFrame) -> DataFrame:
-    """Written (src, dst, known, fresh): each link that a parsed page states, whether its target has a page now, whether the page is new or changed."""
-    stated = judged.select(F.col("path").alias("src"), F.explode("links").alias("dst"), (F.col("changed") | (F.col("action") == "create")).alias("fresh")).distinct()
-    known = store.read("pages").select(F.col("path").alias("dst")).unionByName(judged.where("action = 'create'").select(F.col("path").alias("dst")))
-    known = known.withColumn("known", F.lit(True))
-    return written(stated.join(known, "dst", "left").select("src", "dst", F.coalesce("known", F.lit(False)).alias("known"), "fresh"), "resolved")
+def _waiting(resolved: DataFrame, judged: DataFrame) -> Delta:
+    """Links that begin or cease to wait; all of a page that is here now do so."""
+    change = F.when(F.col("now") & ~F.col("before"), 1).when(F.col("before") & ~F.col("now"), -1).cast("long")
+    moved = resolved.where("fresh and not known").select(F.col("dst").alias("dst_path"), F.col("src").alias("src_path"), change.alias("n"))
+    return Delta(moved.where("n is not null"), judged.select(F.col("path").alias("dst_path")), adds=True)
 
 
-def _late(store: GraphStore, judged: DataFrame) -> DataFrame:
-    """Edges of untouched pages that had been waiting for a page that is created now."""
-    made = judged.where("action = 'create'").select(F.col("path").alias("dst_path"))
-    touched = judged.where("action = 'create' or changed").select(F.col("path").alias("src_path"))
-    waiting = store.read("raw_links").join(made, "dst_path", "left_semi").join(touched, "src_path", "left_anti")
-    return waiting.select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
+def _titles(judged: DataFrame) -> Delta:
+    """Titles of created pages; where a title changed, the new one comes and the old one goes."""
+    made = judged.where(~F.col("title").eqNullSafe(F.col("old_title")))
+    rows = made.select("title", "path", F.lit(1).cast("long").alias("n")).unionByName(made.select(F.col("old_title").alias("title"), "path", F.lit(-1).cast("long").alias("n")))
+    return Delta(rows.where("title is not null"), adds=True)
 
 
 def _early(parsed: DataFrame, left: int) -> DataFrame:
@@ -116,6 +137,19 @@ def _early(parsed: DataFrame, left: int) -> DataFrame:
     return written(parsed.where("route = 'index'").orderBy("path").limit(max(left, 0)).unionByName(parsed.where("route <> 'index'")), "parsed")
 
 
+def _quota(frontier: DataFrame, capacity: int) -> DataFrame:
+    """At most ``capacity`` rows: links are dealt to lanes by hash, and each lane takes its share in order of path.
+
+    Lanes are sorted apart from each other, so no task sees the whole frontier. A lane
+    that has less than its share leaves the rest of it unused; every lane takes one row
+    at least, so what waits is reached in the end.
+    """
+    n = max(1, min(int(frontier.sparkSession.conf.get("spark.sql.shuffle.partitions")), capacity))
+    lane = F.pmod(F.xxhash64("path"), F.lit(n))
+    nth = F.row_number().over(Window.partitionBy("__lane").orderBy("path"))
+    return frontier.withColumn("__lane", lane).withColumn("__nth", nth).where(F.col("__nth") <= capacity // n).drop("__lane", "__nth")
+
+
 class Crawler:
     """One crawl: ``run`` it here, or ``start`` it beside the caller and ``stop`` it between two generations."""
 
@@ -157,7 +191,7 @@ class Crawler:
         store, config, done = self.store, self.config, self.report
         unpublished = 0
         self._next_id = store.read("pages").agg(F.coalesce(F.max("unique_id"), F.lit(-1))).first()[0] + 1
-        frontier = written(changes.get_or_make_links(graph.pages_in(store.read("links"), seeds), seeds), "frontier")
+        frontier = written(changes.get_or_make_links(store.lookup("links", seeds.select("path")), seeds), "frontier")
         while True:
             if self._stop.is_set():
                 done.ended = "stopped"
@@ -167,7 +201,7 @@ class Crawler:
                 break
             taken, waiting = frontier, None
             if config.capacity is not None:
-                taken = written(frontier.orderBy("path").limit(config.capacity), "taken")
+                taken = written(_quota(frontier, config.capacity), "taken")
                 waiting = frontier.join(taken.select("path"), "path", "left_anti")
             created, n_ahead, frontier = self._generation(taken, waiting, frontier)
             unpublished += created
@@ -189,7 +223,7 @@ class Crawler:
         if self.config.on_publish is not None:
             last = getattr(self, "_published", -1)
             visits = self.store.read("visits").where((F.col("action") == "create") & (F.col("generation") > last))
-            self.config.on_publish(graph.pages_in(self.store.read("pages"), visits))
+            self.config.on_publish(self.store.lookup("pages", visits.select("path")))
         self._published = done.generations - 1
 
     def _generation(self, taken: DataFrame, waiting: DataFrame | None, frontier: DataFrame) -> tuple[int, int, DataFrame]:
@@ -201,7 +235,9 @@ class Crawler:
         if config.early_stop >= 0:
             parsed = _early(parsed, config.early_stop - done.indexed)
             used.append(parsed)
-        judged = _judged(store, parsed.where("route = 'index'").drop("error", "route"))
+        good = parsed.where("route = 'index'").drop("error", "route")
+        paths = store.few(good.select("path"))
+        judged = _judged(store, good, paths)
         fetched = routed.where("route <> 'parse'").select("path", "route", F.col("status").alias("error"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("int").alias("worker"), F.lit(None).cast("long").alias("took_us"))
         bad = parsed.where("route <> 'index'").select("path", "route", "error", F.lit(None).cast("string").alias("action"), "worker", "took_us")
         seen = judged.select("path", F.lit("index").alias("route"), F.lit(None).cast("string").alias("error"), F.when(F.col("changed") | (F.col("action") == "create"), F.col("action")).otherwise("unchanged").alias("action"), "worker", "took_us")
@@ -212,16 +248,17 @@ class Crawler:
         tally = counted.get
         gone = visits.where("route = 'unlink'").select("path")
         pages = _page_rows(store, judged, gone, config.resurrect, tally["created"], self._next_id)
-        resolved = _resolved(store, judged)
+        resolved = _resolved(store, judged, paths)
         now = config.clock()
         fresh = judged.where("changed or action = 'create'")
-        edges = resolved.where("known and fresh").select("src", "dst").unionByName(_late(store, judged))
+        edges = resolved.where("known and fresh and now").select("src", "dst").unionByName(_late(store, judged, paths))
+        unknown = resolved.where("now and not known").select(F.col("dst").alias("path")).distinct()
         # states of what was visited; what early stop has cut is free again
         states = changes.mark_processed(taken, visits.select("path", (F.col("route") == "index").alias("page_found")), now)
         states = states.join(visits.select("path", F.lit(True).alias("__seen")), "path", "left")
         states = states.withColumn("registered", F.col("registered") & F.col("__seen").isNotNull()).drop("__seen")
-        known = changes.upsert(graph.pages_in(store.read("links"), resolved.where("not known").select(F.col("dst").alias("path"))), states)
-        admitted = admit(known, resolved.where("not known").select(F.col("dst").alias("path")).distinct(), now, config.ttl_ms)
+        known = changes.upsert(store.lookup("links", unknown), states)
+        admitted = admit(known, unknown, now, config.ttl_ms)
         if waiting is not None:
             admitted = admitted.join(waiting.select("path"), "path", "left_anti")
         n_admitted = Observation()
@@ -230,7 +267,9 @@ class Crawler:
         store.commit(
             pages=pages,
             urls=fresh.select("path", "locales"),
-            raw_links=Delta(resolved.where("fresh").select(F.col("src").alias("src_path"), F.col("dst").alias("dst_path")), fresh.select(F.col("path").alias("src_path"))),
+            titles=_titles(judged),
+            waiting=_waiting(resolved, judged),
+            raw_links=Delta(resolved.where("fresh and now").select(F.col("src").alias("src_path"), F.col("dst").alias("dst_path")), fresh.select(F.col("path").alias("src_path"))),
             edges=Delta(edges, fresh.select(F.col("path").alias("src"))),
             links=changes.upsert(states, admitted),
             visits=visits.select("path", F.lit(done.generations).cast("long").alias("generation"), "route", "error", "action", F.lit(now).cast("long").alias("at_ms"), F.col("worker").cast("long").alias("worker"), "took_us"),
@@ -268,9 +307,13 @@ class Recrawler:
     def __init__(self, store: GraphStore, source: Source, config: CrawlConfig | None = None, pause_s: float = 1.0):
         self.store, self.source, self.config, self.pause_s = store, source, config or CrawlConfig(), pause_s
         self._stop, self.cycles = threading.Event(), 0
+        self._crawler: Crawler | None = None
 
     def stop(self) -> None:
+        """Ends the loop, and a crawl that runs after its generation."""
         self._stop.set()
+        if (crawler := self._crawler) is not None:
+            crawler.stop()
 
     def run(self, cycles: int | None = None) -> int:
         """Cycles until ``stop``, or so many; a cycle with nothing due waits. Returns how many crawls ran."""
@@ -281,7 +324,11 @@ class Recrawler:
             if seeds.isEmpty():
                 self._stop.wait(self.pause_s)
             else:
-                Crawler(self.store, self.source, self.config).run(seeds)
+                self._crawler = Crawler(self.store, self.source, self.config)
+                if self._stop.is_set():  # stopped before there was a crawl to stop
+                    self._crawler.stop()
+                self._crawler.run(seeds)
+                self._crawler = None
                 ran += 1
             release(seeds)
         return ran

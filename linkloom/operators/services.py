@@ -22,16 +22,23 @@ class Pages:
         return self.store.read("pages")
 
     def by_title(self, title: str) -> DataFrame:
-        return graph.page_by_title(self.all(), title)
+        """The pages that have a title now, by the index of titles; the pages are not scanned."""
+        paths = self.store.lookup("titles", [title]).select("path")
+        return self.store.lookup("pages", self.store.few(paths))
+
+    def by_titles(self, arguments: DataFrame) -> DataFrame:
+        """(position, title, path) for a table of titles, none if one is unknown; of pages that share a title the last written counts."""
+        paths = self.store.lookup("titles", arguments.select("title")).select("path")
+        return graph.resolve_titles(self.store.lookup("pages", paths), arguments)
 
     def by_id(self, unique_id: int) -> DataFrame:
         return graph.page_by_id(self.all(), unique_id)
 
     def by_path(self, path: str) -> DataFrame:
-        return graph.page_by_path(self.all(), path)
+        return self.store.lookup("pages", [path])
 
     def within(self, paths: DataFrame) -> DataFrame:
-        return graph.pages_in(self.all(), paths)
+        return self.store.lookup("pages", paths.select("path"))
 
     def count(self) -> int:
         return self.all().count()
@@ -40,12 +47,20 @@ class Pages:
         return self.all().agg(F.coalesce(F.max("unique_id"), F.lit(-1))).first()[0] + 1
 
     def neighbours(self, path: str) -> DataFrame:
-        return graph.neighbours(self.store.read("edges"), self.all(), path)
+        return self.store.lookup("pages", self.store.lookup("edges", [path]).select("dst"))
 
     def waiting_for(self, path: str) -> DataFrame:
-        """The pages that state a link to a path."""
+        """The pages that wait for a path to get a page, by the index of waiting links."""
+        return self.store.lookup("pages", self.store.lookup("waiting", [path]).select("src_path"))
+
+    def stating(self, path: str) -> DataFrame:
+        """The pages that state a link to a path, whether or not it has a page; all raw links are read."""
         stated = self.store.read("raw_links").where(F.col("dst_path") == path)
-        return graph.pages_in(self.all(), stated.select(F.col("src_path").alias("path")))
+        return self.within(stated.select(F.col("src_path").alias("path")))
+
+    def pending(self) -> DataFrame:
+        """(dst_path, sources): for each path without a page, the pages that wait for it."""
+        return graph.pending_sources(self.store.read("waiting"))
 
     def insert(self, pages: DataFrame) -> int:
         """Adds pages, or replaces those of their paths."""
@@ -53,7 +68,7 @@ class Pages:
 
     def create_bare(self, pages: DataFrame) -> int:
         """Adds pages without links; those whose path has a page are left out."""
-        new = pages.join(self.all().select("path"), "path", "left_anti")
+        new = pages.join(self.within(pages).select("path"), "path", "left_anti")
         return self.store.commit(pages=Delta(new, adds=True))
 
     def save(self, changed: DataFrame) -> int:
@@ -74,17 +89,18 @@ class Links:
 
     def by_path(self, path: str) -> DataFrame:
         """The state of a link; no row where it has none (nothing is made)."""
-        return self.all().where(F.col("path") == path)
+        return self.store.lookup("links", [path])
 
     def within(self, paths: DataFrame) -> DataFrame:
-        return graph.pages_in(self.all(), paths)
+        return self.store.lookup("links", paths.select("path"))
 
     def get_or_make(self, paths: DataFrame) -> DataFrame:
         return changes.get_or_make_links(self.within(paths), paths)
 
     def create(self, paths: DataFrame) -> int:
         """Adds default states for paths that have none."""
-        new = paths.select("path").distinct().join(self.all().select("path"), "path", "left_anti")
+        wanted = paths.select("path").distinct()
+        new = wanted.join(self.within(wanted).select("path"), "path", "left_anti")
         return self.store.commit(links=Delta(changes.default_links(new), adds=True))
 
     def update(self, states: DataFrame) -> int:

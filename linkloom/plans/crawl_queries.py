@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.html import fixture_analyzer
-from linkloom.operators import crawl, graph
+from linkloom.operators import crawl
+from linkloom.operators.services import Pages
 from linkloom.operators.store import GraphStore
 from linkloom.plans.graph_queries import _EDGES, part_edges
 from linkloom.plans.registry import query
@@ -130,10 +131,9 @@ def crawl_edges(spark, sf_dir):
 
 @query("crawl_dangling", f"{_CRAWL} SELECT dst, count(*) AS n FROM good JOIN c a ON a.v = src WHERE dst NOT IN (SELECT v FROM c WHERE status = 'SUCCESS') GROUP BY dst")
 def crawl_dangling(spark, sf_dir):
-    """How many pages wait for each path without a page."""
+    """How many pages wait for each path without a page, by the index that the crawl has kept up."""
     store, _, _ = crawled(spark, sf_dir)
-    waiting = graph.dangling_links(store.read("raw_links"), store.read("pages"))
-    return graph.pending_sources(waiting).select(_key("dst_path").alias("dst"), F.size("sources").cast("long").alias("n"))
+    return Pages(store).pending().select(_key("dst_path").alias("dst"), F.size("sources").cast("long").alias("n"))
 
 
 @query("crawl_states", f"{_CRAWL} SELECT v, true AS processed, false AS registered, status = 'SUCCESS' AS page_found, true AS was_visited FROM c")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom import cli
@@ -22,8 +22,8 @@ from linkloom.sources.tables import table
 from linkloom.streaming import admission
 
 
-def _store(spark, name: str) -> GraphStore:
-    return GraphStore(spark, new_path(spark, name), parts=3)
+def _store(spark, name: str, **shape) -> GraphStore:
+    return GraphStore(spark, new_path(spark, name), parts=3, **shape)
 
 
 def _pages(orders: DataFrame, title, start: int = 0) -> DataFrame:
@@ -34,9 +34,9 @@ def _pages(orders: DataFrame, title, start: int = 0) -> DataFrame:
     )
 
 
-def _page_store(spark, sf_dir) -> GraphStore:
+def _page_store(spark, sf_dir, **shape) -> GraphStore:
     """All orders as pages, then a delta per priority that renames its orders; the store merges some of them."""
-    store, orders = _store(spark, "pages"), table(spark, sf_dir, "orders")
+    store, orders = _store(spark, "pages", **shape), table(spark, sf_dir, "orders")
     store.commit(pages=_pages(orders, F.col("o_orderstatus")))
     for k, priority in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "1-URGENT")):
         store.commit(pages=_pages(orders.where(F.col("o_orderpriority") == priority), F.concat(F.lit(f"v{k} "), "o_orderstatus")))
@@ -64,6 +64,70 @@ def store_lookups(spark, sf_dir):
     return out
 
 
+@query(
+    "store_bucket_lookups",
+    f"""WITH {_STORED}, l AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS path FROM lineitem WHERE l_returnflag = 'R')
+    SELECT 'listed' AS asked, path, title FROM p WHERE unique_id IN (SELECT min(o_orderkey) FROM orders GROUP BY o_orderpriority)
+    UNION ALL SELECT 'joined', path, title FROM p JOIN l USING (path)""",
+)
+def store_bucket_lookups(spark, sf_dir):
+    """Of a store of 64 buckets: a few pages by a list of paths, which opens their buckets, and many by a table of paths, which shuffles the paths alone."""
+    store, orders = _page_store(spark, sf_dir, buckets=64), table(spark, sf_dir, "orders")
+    first = orders.groupBy("o_orderpriority").agg(F.min("o_orderkey").cast("string").alias("path")).select("path")
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("path")).distinct()
+    listed = store.lookup("pages", store.few(first)).select(F.lit("listed").alias("asked"), "path", "title")
+    return listed.unionByName(store.lookup("pages", returned).select(F.lit("joined").alias("asked"), "path", "title"))
+
+
+@query("title_index", f"WITH {_STORED} SELECT title, path FROM p")
+def title_index(spark, sf_dir):
+    """Which paths have a title, after pages were renamed by four commits: old titles are gone."""
+    return _page_store(spark, sf_dir).read("titles").select("title", "path")
+
+
+@query(
+    "titles_resolved",
+    f"""WITH {_STORED}, last AS (SELECT title, arg_max(path, unique_id) AS path FROM p GROUP BY title),
+    asked AS (SELECT CAST(row_number() OVER (ORDER BY t) AS BIGINT) AS position, t AS title FROM (SELECT DISTINCT o_orderstatus AS t FROM orders UNION SELECT DISTINCT 'v1 ' || o_orderstatus FROM orders))
+    SELECT position, title, path FROM asked JOIN last USING (title)""",
+)
+def titles_resolved(spark, sf_dir):
+    """Titles of both generations by the index; the last page of each counts."""
+    states = table(spark, sf_dir, "orders").select("o_orderstatus").distinct()
+    asked = states.select(F.col("o_orderstatus").alias("title")).unionByName(states.select(F.concat(F.lit("v1 "), "o_orderstatus").alias("title")))
+    asked = asked.withColumn("position", F.row_number().over(Window.orderBy("title")).cast("long"))  # a handful of states
+    return Pages(_page_store(spark, sf_dir)).by_titles(asked)
+
+
+#: Parts have pages from the first commit on (size up to 25), from the second (up to 40), or never.
+_WAITING = f"""WITH {_EDGES}, r AS (SELECT src, dst FROM e JOIN part s ON s.p_partkey = src JOIN part d ON d.p_partkey = dst
+    WHERE s.p_size <= 40 AND NOT (s.p_size <= 10 AND d.p_brand = 'Brand#11'))
+  SELECT CAST(dst AS VARCHAR) AS dst, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(src AS VARCHAR), ',' ORDER BY CAST(src AS VARCHAR)) AS sources
+  FROM r JOIN part d ON d.p_partkey = dst WHERE d.p_size > 40 GROUP BY dst"""
+
+
+def _edited_store(spark, sf_dir) -> GraphStore:
+    """Pages and their links in two commits; then small parts lose their links to one brand."""
+    store, part = _store(spark, "waiting"), table(spark, sf_dir, "part").withColumnsRenamed({"p_partkey": "o_orderkey", "p_type": "o_orderpriority"})
+    sizes = part.select(F.col("o_orderkey").alias("src"), F.col("p_size").alias("size"))
+    edges = written(part_edges(spark, sf_dir).join(sizes, "src"), "edges")
+    links = edges.select("size", F.col("src").cast("string").alias("src_path"), F.col("dst").cast("string").alias("dst_path"))
+    for low, high in ((0, 25), (25, 40)):
+        now = F.col("p_size").between(low + 1, high)
+        store.commit(pages=_pages(part.where(now), F.col("p_name")), raw_links=Delta(links.where(F.col("size").between(low + 1, high)).drop("size"), adds=True))
+    brand = part.where("p_brand = 'Brand#11'").select(F.col("o_orderkey").cast("string").alias("dst_path"))
+    small = links.where("size <= 10").drop("size")
+    store.commit(raw_links=Delta(small.join(brand, "dst_path", "left_anti").select("src_path", "dst_path"), small.select("src_path")))
+    return store
+
+
+@query("waiting_links", _WAITING)
+def waiting_links(spark, sf_dir):
+    """The index of waiting links after pages came and links were taken back: what is left waits for pages that never came."""
+    waiting = Pages(_edited_store(spark, sf_dir)).pending()
+    return waiting.select(F.col("dst_path").alias("dst"), F.size("sources").cast("long").alias("n"), F.array_join("sources", ",").alias("sources"))
+
+
 @query(
     "store_bare_and_saved",
     f"""WITH {_STORED}, m AS (SELECT CAST(max(o_orderkey) AS BIGINT) AS top FROM orders)
@@ -100,7 +164,7 @@ def store_neighbours(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumnsRenamed({"p_partkey": "o_orderkey", "p_type": "o_orderpriority"})
     store.commit(pages=_pages(part, F.col("p_name")), edges=Delta(edges, adds=True), raw_links=Delta(edges.toDF("src_path", "dst_path"), adds=True))
     pages = Pages(store)
-    near = written(pages.neighbours("3").select(F.lit("out").alias("side"), "path").unionByName(pages.waiting_for("3").select(F.lit("in").alias("side"), "path")), "near")
+    near = written(pages.neighbours("3").select(F.lit("out").alias("side"), "path").unionByName(pages.stating("3").select(F.lit("in").alias("side"), "path")), "near")
     pages.clear_out_edges(spark.createDataFrame([("3",)], "path string"))
     left = pages.neighbours("3").unionByName(pages.neighbours("5")).select(F.lit("cleared").alias("side"), "path")
     return near.unionByName(left).select("side", F.col("path").cast("long").alias("v"))

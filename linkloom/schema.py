@@ -21,6 +21,10 @@ RAW_LINKS = _struct(src_path=S, dst_path=S)
 EDGES = _struct(src=S, dst=S)
 #: A link's paths in all languages; of several writers the last counts.
 URLS = _struct(path=S, locales=T.MapType(S, S))
+#: The title index: a path has a title while its ``n`` add up to more than 0.
+TITLES = _struct(title=S, path=S, n=L)
+#: Links that wait for their target's page, by target, counted in the same way.
+WAITING = _struct(dst_path=S, src_path=S, n=L)
 #: The crawl's log: one row per visit of a link.
 VISITS = _struct(path=S, generation=L, route=S, error=S, action=S, at_ms=L, worker=L, took_us=L)
 FETCHES = _struct(path=S, html=S, status=S)

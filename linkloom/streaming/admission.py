@@ -93,9 +93,11 @@ def publish_batch(batch: DataFrame, store) -> None:
     row = F.max_by(F.struct(*names), F.struct("unique_id", "title")).alias("row")
     new = written(batch.groupBy("path").agg(row).select(*[F.col(f"row.{n}").alias(n) for n in names]), "staged")
     own = graph.explode_links(new).distinct()
-    known = store.read("pages").select("path").unionByName(new.select("path")).distinct()
-    late = store.read("raw_links").join(new.select(F.col("path").alias("src_path")), "src_path", "left_anti")
-    late = graph.complete_edges(late, new).join(store.read("edges"), ["src", "dst"], "left_anti")
+    # only pages that links of the batch lead to, and only links that wait for a page of the batch
+    known = store.lookup("pages", own.select("dst_path")).select("path").unionByName(new.select("path")).distinct()
+    late = store.lookup("waiting", new.select("path")).join(new.select(F.col("path").alias("src_path")), "src_path", "left_anti")
+    late = graph.complete_edges(late, new)
+    late = late.join(store.lookup("edges", late.select("src")), ["src", "dst"], "left_anti")
     touched = new.select("path")
     store.commit(
         pages=new,
