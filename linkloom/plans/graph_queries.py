@@ -28,20 +28,31 @@ def _paths_sql(select: str, edges: str = _EDGES, start: str = "(SELECT min(src)
     {select}"""
 
 
-def part_edges(spark, sf_dir: str) -> DataFrame:
+def _steps(spark, sf_dir: str) -> DataFrame:
+    """Edges as the orders state them, some more than once."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     nxt = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
-    return lines.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst").distinct()
+    return lines.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst")
 
 
-def search(edges: DataFrame) -> tuple[int, int, DataFrame]:
-    """The start and end that the queries use, and the layers of the search from the start that found them."""
-    start = edges.agg(F.min("src")).first()[0]
-    layers = paths.bfs_layers(edges, start)
-    came = layers.select(F.col("v").alias("src"), (F.col("dist") + 1).alias("dist"))
-    into = edges.join(came, "src").join(layers.withColumnRenamed("v", "dst"), ["dst", "dist"])
-    tied = into.groupBy("dst", "dist").agg(F.count("*").alias("n")).where("n >= 2")
-    return start, tied.agg(F.min_by("dst", F.struct(-F.col("dist"), "dst"))).first()[0], layers
+def part_edges(spark, sf_dir: str) -> DataFrame:
+    return _steps(spark, sf_dir).distinct()
+
+
+def laid_out(spark, sf_dir: str) -> paths.Adjacency:
+    return paths.adjacency(_steps(spark, sf_dir))
+
+
+def first_source(edges: paths.Adjacency) -> int:
+    return edges.edges.agg(F.min("src")).first()[0]
+
+
+def search(edges: paths.Adjacency) -> tuple[int, int, paths.Dag]:
+    """The start and end that the queries use, and the shortest paths from the start that the search for the end has found."""
+    start = first_source(edges)
+    dag = paths.shortest_path_dag(edges, [start])
+    tied = dag.predecessors().groupBy("v", "dist").agg(F.count("*").alias("n")).where("n >= 2")
+    return start, tied.agg(F.min_by("v", F.struct(-F.col("dist"), "v"))).first()[0], dag
 
 
 def _text(found: DataFrame) -> DataFrame:
@@ -58,16 +69,47 @@ def part_edges_query(spark, sf_dir):
 
 @query("all_shortest_paths", _paths_sql(_TEXT))
 def all_shortest_paths(spark, sf_dir):
-    edges = written(part_edges(spark, sf_dir), "edges")
-    start, end, layers = search(edges)
-    return _text(paths.all_shortest_paths(edges, start, end, layers=layers))
+    edges = laid_out(spark, sf_dir)
+    start, end, dag = search(edges)
+    return _text(paths.all_shortest_paths(edges, start, end, dag=dag))
+
 
+@query("predecessors", f"WITH RECURSIVE {_EDGES}, {_LAYERS.format(start='(SELECT min(src) FROM e)')} SELECT l.v, e.src AS pred, CAST(l.dist AS BIGINT) AS dist FROM layers l JOIN e ON e.dst = l.v JOIN layers p ON p.v = e.src AND p.dist + 1 = l.dist")
+def predecessors(spark, sf_dir):
+    """Each vertex with those before it on shortest paths from the least source."""
+    edges = laid_out(spark, sf_dir)
+    found = paths.shortest_path_dag(edges, [first_source(edges)]).predecessors()
+    return found.select("v", "pred", F.col("dist").cast("long").alias("dist"))
 
-@query("bidirectional_paths", _paths_sql(_TEXT))
+
+@query(
+    "path_counts",
+    f"""WITH RECURSIVE {_EDGES}, {_LAYERS.format(start='(SELECT min(src) FROM e)')},
+    walks AS (SELECT v, 0 AS d FROM layers WHERE dist = 0 UNION ALL SELECT e.dst, d + 1 FROM walks JOIN e ON e.src = walks.v JOIN layers l ON l.v = e.dst AND l.dist = d + 1)
+    SELECT v, CAST(d AS BIGINT) AS dist, CAST(count(*) AS BIGINT) AS n FROM walks GROUP BY v, d""",
+)
+def path_counts(spark, sf_dir):
+    """How many shortest paths lead to each vertex; none of them is made."""
+    edges = laid_out(spark, sf_dir)
+    found = paths.shortest_path_dag(edges, [first_source(edges)]).distances()
+    return found.select("v", F.col("dist").cast("long").alias("dist"), F.col("n").cast("long").alias("n"))
+
+
+@query("path_slice", _paths_sql("SELECT CAST(r - 1 AS BIGINT) AS rank, array_to_string(path, '-') AS path FROM (SELECT path, row_number() OVER (ORDER BY list_reverse(path)) AS r FROM found) WHERE r BETWEEN 3 AND 9"))
+def path_slice(spark, sf_dir):
+    """The third to the ninth of the shortest paths, by their numbers."""
+    _, end, dag = search(laid_out(spark, sf_dir))
+    found = dag.slice(end, 2, 7)
+    return found.select(F.col("rank").cast("long").alias("rank"), F.array_join(F.transform("path", lambda v: v.cast("string")), "-").alias("path"))
+
+
+@query("bidirectional_paths", _paths_sql(_TEXT, ends="ends AS (SELECT max(v) AS b FROM layers WHERE dist = 3)"))
 def bidirectional_paths(spark, sf_dir):
-    edges = written(part_edges(spark, sf_dir), "edges")
-    start, end, _ = search(edges)
-    return _text(paths.bidirectional_paths(edges, start, end))
+    """To the largest part three edges away."""
+    edges = laid_out(spark, sf_dir)
+    start = first_source(edges)
+    near = paths.bfs_layers(edges, start, max_layers=3).where("dist = 3")
+    return _text(paths.bidirectional_paths(edges, start, near.agg(F.max("v")).first()[0]))
 
 
 @query(
@@ -75,8 +117,8 @@ def bidirectional_paths(spark, sf_dir):
     f"WITH RECURSIVE {_EDGES}, {_LAYERS.format(start='(SELECT min(src) FROM e)')} SELECT v, CAST(dist AS BIGINT) AS dist FROM layers",
 )
 def bfs_layers(spark, sf_dir):
-    edges = written(part_edges(spark, sf_dir), "edges")
-    return paths.bfs_layers(edges, edges.agg(F.min("src")).first()[0])
+    edges = laid_out(spark, sf_dir)
+    return paths.bfs_layers(edges, first_source(edges))
 
 
 _NAMED = """SELECT '[' || (SELECT string_agg(p_name, ' -> ' ORDER BY i) FROM (SELECT unnest(path) AS v, unnest(range(1, len(path) + 1)) AS i) JOIN part ON p_partkey = v) || ']' AS line FROM found"""
@@ -85,10 +127,10 @@ _NAMED = """SELECT '[' || (SELECT string_agg(p_name, ' -> ' ORDER BY i) FROM (SE
 @query("path_display", _paths_sql(_NAMED))
 def path_display(spark, sf_dir):
     """Titles along each path; paths of equal titles are a line each."""
-    edges = written(part_edges(spark, sf_dir), "edges")
-    start, end, _ = search(edges)
+    edges = laid_out(spark, sf_dir)
+    start, end, dag = search(edges)
     titles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.col("p_name").alias("title"))
-    return report.path_report(report.titled_paths(paths.all_shortest_paths(edges, start, end), titles), str(start), str(end))
+    return report.path_report(report.titled_paths(paths.all_shortest_paths(edges, start, end, dag=dag), titles), str(start), str(end))
 
 
 @query("shortest_path_same_vertex", f"WITH {_EDGES} SELECT CAST(min(src) AS VARCHAR) AS path, CAST(0 AS BIGINT) AS length FROM e")
@@ -129,7 +171,7 @@ def _leg_sql(k: int, a: str, b: str) -> str:
 
 @query("path_chain", " UNION ALL ".join(_leg_sql(k, a, b) for k, (a, b) in enumerate(_LEGS)))
 def path_chain(spark, sf_dir):
-    edges = written(part_edges(spark, sf_dir), "edges")
+    edges = laid_out(spark, sf_dir)
     chain = paths.path_chain(edges, [0, 1, 7, 5])
     return chain.select("leg", F.array_join(F.transform("path", lambda v: v.cast("string")), "-").alias("path"))
 

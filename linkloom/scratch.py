@@ -42,19 +42,25 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
-def _remove_quietly(spark_ref, path: str) -> None:
-    spark = spark_ref()
-    if spark is not None and spark.sparkContext._jsc is not None:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone when the interpreter ends
-            pass
+#: Folders that are there until the interpreter ends, with the sessions that made them.
+_left: dict[str, weakref.ref] = {}
+
+
+@atexit.register
+def _remove_left() -> None:
+    for path, made_by in _left.items():
+        spark = made_by()
+        if spark is not None and spark.sparkContext._jsc is not None:
+            try:
+                remove(spark, path)
+            except Exception:  # noqa: BLE001  the session may be gone when the interpreter ends
+                pass
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name in the shared folder, deleted when the interpreter ends."""
     path = f"{shared_dir(spark)}/linkloom/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove_quietly, weakref.ref(spark), path)
+    _left[path] = weakref.ref(spark)
     return path
 
 
@@ -73,6 +79,8 @@ def release(*tables: DataFrame | str | None) -> None:
         if isinstance(table, DataFrame):
             path = _folders.pop(table, None)
             if path is not None:
+                _left.pop(path, None)
                 remove(table.sparkSession, path)
         elif table is not None:
+            _left.pop(table, None)
             remove(SparkSession.active(), table)

@@ -87,3 +87,51 @@ def test_chain_and_titles(spark):
 def test_layers(spark):
     edges = spark.createDataFrame(DAG + [(6, 0)], "src long, dst long")
     assert {(r.v, r.dist) for r in paths.bfs_layers(edges, 0).collect()} == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 2)}
+
+
+def laid(spark, edges, buckets=8):
+    return paths.adjacency(spark.createDataFrame(sorted(edges), "src long, dst long"), buckets)
+
+
+def test_dag_counts_and_slices(spark):
+    r = random.Random(5)
+    edges = {(r.randrange(14), r.randrange(14)) for _ in range(60)}
+    adj = laid(spark, edges)
+    dag = paths.shortest_path_dag(adj, [0])
+    every = {v: brute(edges, 0, v) for v in range(14)}
+    assert {(x.v, x.dist, int(x.n)) for x in dag.distances().collect()} == {(v, len(next(iter(p))) - 1, len(p)) for v, p in every.items() if p}
+    want = {(p[k + 1], p[k], k + 1) for paths_ in every.values() for p in paths_ for k in range(len(p) - 1)}
+    assert {(x.v, x.pred, x.dist) for x in dag.predecessors().collect()} == want
+    end = max((v for v in every if every[v]), key=lambda v: len(every[v]))
+    order = sorted(every[end], key=lambda p: p[::-1])
+    for first, count in ((0, 2), (1, 3), (len(order) - 1, 9), (len(order), 5), (0, 0)):
+        got = {int(x.rank): tuple(x.path) for x in dag.slice(end, first, count).collect()}
+        assert got == {first + k: p for k, p in enumerate(order[first : first + count])}
+    assert {tuple(x.path) for x in paths.all_shortest_paths(adj, 0, end, dag=dag).collect()} == every[end]
+    assert {tuple(x.path) for x in paths.bidirectional_paths(adj, 0, end).collect()} == every[end]
+    assert dag.slice(99, 0, 1).count() == 0
+
+
+def test_one_path_of_many(spark):
+    """Twelve diamonds in a row: their 4096 paths are counted, and the one in the middle is found alone."""
+    edges = [e for k in range(12) for e in ((3 * k, 3 * k + 1), (3 * k, 3 * k + 2), (3 * k + 1, 3 * k + 3), (3 * k + 2, 3 * k + 3))]
+    dag = paths.shortest_path_dag(laid(spark, edges, 2), [0], [36])
+    assert int(dag.distances().where("v = 36").first().n) == 2**12
+    got = dag.slice(36, 2**11, 1).first()
+    assert int(got.rank) == 2**11 and len(got.path) == 25 and got.path[-2] == 35 and got.path[1] == 1
+
+
+def test_a_layer_shuffles_no_edges(spark):
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    adj = laid(spark, {(a, (a * 7 + k) % 900) for a in range(900) for k in range(3)}, 16)
+    frontier = spark.createDataFrame([(0, k) for k in range(500)], "leg int, v long")
+    shown = paths._ahead(adj, frontier, 500)._jdf.queryExecution().executedPlan().toString().splitlines()
+    scan = next(k for k, line in enumerate(shown) if "FileScan" in line)
+    join = next(k for k, line in enumerate(shown) if "SortMergeJoin" in line)
+    assert join < scan and not any("Exchange" in line for line in shown[join:scan])
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    few = paths._ahead(adj, frontier.limit(3), 3)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    assert any(f"SelectedBucketsCount: {n} out of 16" in few for n in (1, 2, 3))
