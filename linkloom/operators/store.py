@@ -53,8 +53,8 @@ TABLES = {
 SIGNED = ("titles", "waiting")
 #: Parts of a table from which on the last ones are merged.
 PARTS = 8
-#: Buckets of a part. A store of some TB wants thousands, so that a bucket is a few files of good size.
-BUCKETS = 16
+#: Buckets of a new store's tables: few, as for a small one. One of some TB wants thousands, so that a bucket is a few files of good size.
+BUCKETS = 4
 #: Keys up to which a lookup names them one by one, so that Spark opens their buckets alone.
 LISTED = 1000
 VERSION = "__v"
@@ -87,11 +87,11 @@ class GraphStore:
             return []
         return sorted(int(s.getPath().getName()) for s in files.listStatus(where) if s.getPath().getName().isdigit())
 
-    def _manifest(self, version: int | None = None) -> dict[str, list[dict]]:
-        """Per table its parts, oldest first: number, whether it has rows, what it replaces (keys that are listed, those of its own rows, none), bytes."""
+    def _commit_file(self, version: int | None = None) -> dict:
+        """What a commit (the last by default) has written: how many buckets the store has, and its tables."""
         known = self.versions()
         if not known:
-            return {}
+            return {"buckets": self.buckets, "tables": {}}
         files, where = filesystem(self.spark, f"{self.folder}/commits/{known[-1] if version is None else version}")
         stream = files.open(where)
         try:
@@ -100,6 +100,10 @@ class GraphStore:
             stream.close()
         return json.loads(text)
 
+    def _manifest(self, version: int | None = None) -> dict[str, list[dict]]:
+        """Per table its parts, oldest first: number, whether it has rows, what it replaces (keys that are listed, those of its own rows, none), bytes."""
+        return self._commit_file(version)["tables"]
+
     def _publish(self, version: int, manifest: dict) -> None:
         files, draft = filesystem(self.spark, f"{self.folder}/commits/.{version}")
         out = files.create(draft, True)
@@ -153,7 +157,7 @@ class GraphStore:
 
     def _buckets(self) -> int:
         """As many as the store was made with."""
-        return self._manifest().get("buckets", self.buckets)
+        return self._commit_file()["buckets"]
 
     def _merged(self, table: str, parts: list[dict], narrow: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
         kind, key = TABLES[table]
@@ -229,7 +233,7 @@ class GraphStore:
             parts = dict(zip(changes, pool.map(lambda x: self._write(x[0], 2 * version, x[1]), changes.items())))
         for name, part in parts.items():
             manifest[name] = self._compacted(name, 2 * version + 1, [*manifest.get(name, []), part])
-        self._publish(version, {"buckets": self._buckets(), **manifest})
+        self._publish(version, {"buckets": self._buckets(), "tables": manifest})
         # a delta that was merged at once stands in no commit
         self._drop_parts({name: [part] for name, part in parts.items()}, {(name, p["v"]) for name, p in _parts(manifest)})
         return version
@@ -317,4 +321,4 @@ class GraphStore:
 
 
 def _parts(manifest: dict) -> list[tuple[str, dict]]:
-    return [(name, p) for name, parts in manifest.items() if name != "buckets" for p in parts]
+    return [(name, p) for name, parts in manifest.items() for p in parts]

@@ -90,7 +90,7 @@ def test_another_session_finds_the_tables(spark, tmp_path):
     assert {(r.path, r.title) for r in again.read("pages").collect()} == {("a", "x"), ("b", "z")}
     again.commit(pages=pages(spark, ("c", "w")))
     assert {r.path for r in again.lookup("pages", ["b", "c"]).collect()} == {"b", "c"}
-    assert again._manifest()["buckets"] == 4 and {r.title for r in again.read("pages", version=0).collect()} == {"x", "y"}
+    assert again._buckets() == 4 and {r.title for r in again.read("pages", version=0).collect()} == {"x", "y"}
 
 
 def test_merged_deltas_leave_no_folders(spark, tmp_path):
@@ -98,7 +98,7 @@ def test_merged_deltas_leave_no_folders(spark, tmp_path):
     for n in range(6):
         store.commit(pages=pages(spark, (f"p{n}", "t")), raw_links=Delta(links(spark, (f"p{n}", "x")), links(spark, ("p0", "")).select("src_path")))
     store.vacuum(keep=1)
-    named = {(t, p["v"]) for t, parts in store._manifest().items() if t != "buckets" for p in parts}
+    named = {(t, p["v"]) for t, parts in store._manifest().items() for p in parts}
     there = {(os.path.basename(os.path.dirname(os.path.dirname(f))), int(f.rsplit("=", 1)[1])) for f in glob.glob(f"{tmp_path}/*/*/__v=*")}
     assert there == named
     assert store.read("pages").count() == 6 and {r.src_path for r in store.read("raw_links").collect()} == {f"p{n}" for n in range(1, 6)}
