@@ -223,7 +223,7 @@ class GraphStore:
         version = (self.versions() or [-1])[-1] + 1
         manifest = self._manifest()
         changes = {name: d if isinstance(d, Delta) or d is None else Delta(d) for name, d in deltas.items()}
-        if "titles" not in changes and changes.get("pages") is not None and changes["pages"].rows is not None:
+        if "titles" not in changes and changes.get("pages") is not None:
             changes["titles"] = self._titles(changes["pages"])
         if "waiting" not in changes and changes.get("raw_links") is not None:
             changes["waiting"] = self._waiting(changes["raw_links"], changes.get("pages"))
@@ -238,10 +238,14 @@ class GraphStore:
         self._drop_parts({name: [part] for name, part in parts.items()}, {(name, p["v"]) for name, p in _parts(manifest)})
         return version
 
-    def _titles(self, pages: Delta) -> Delta | None:
+    def _titles(self, pages: Delta) -> Delta:
         """Which titles the pages of a delta gain, and which ones they had before."""
-        new = pages.rows.select("title", "path", F.lit(1).cast("long").alias("n"))
-        old = self.lookup("pages", pages.rows.select("path")).select("title", "path", F.lit(-1).cast("long").alias("n"))
+        rows = pages.rows if pages.rows is not None else self.spark.createDataFrame([], schema.PAGES)
+        new = rows.select("title", "path", F.lit(1).cast("long").alias("n"))
+        touched = rows.select("path") if pages.replaced is None else pages.replaced.select("path")
+        old = self.lookup("pages", touched).select("title", "path", F.lit(-1).cast("long").alias("n"))
+        if pages.adds and pages.replaced is None:
+            old = old.limit(0)  # nothing is replaced
         moved = new.unionByName(old).where("title is not null").groupBy("title", "path").agg(F.sum("n").alias("n"))
         return Delta(moved.where("n <> 0"), adds=True)
 

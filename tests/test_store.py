@@ -116,6 +116,9 @@ def test_titles_move_with_a_rename(spark, tmp_path):
     services.create_bare(pages(spark, ("b", "never"), ("e", "two", 9)))
     services.insert(pages(spark, ("b", "one", 1)))  # the same again changes nothing
     assert titles("one") == ["a", "b"] and titles("two") == ["c", "e"] and titles("never") == []
+    services.insert(pages(spark, ("f", "six", 10)))
+    store.commit(pages=Delta(replaced=spark.createDataFrame([("f",)], "path string")))  # a page that is taken out takes its title along
+    assert titles("six") == [] and services.by_path("f").count() == 0
     asked = spark.createDataFrame([(0, "two"), (1, "one")], "position long, title string")
     assert {(r.position, r.path) for r in services.by_titles(asked).collect()} == {(0, "e"), (1, "b")}
     assert services.by_titles(spark.createDataFrame([(0, "two"), (1, "gone")], asked.schema)).count() == 0
