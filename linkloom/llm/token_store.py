@@ -17,9 +17,10 @@ a task that is run again or twice leaves no doubt about what belongs to the stor
 Defined cases: a null text is empty, so its document is the end id alone. Rows
 with equal doc_id stand together, ordered by a hash of their text, and may fill
 several shards and tasks; a lookup returns all of them. Rows with a null doc_id come
-first and have no key. Shards end after ``shard_bytes``, so long texts and many rows
-need no more memory than that, besides one document's ids. An empty table gives a
-store without shards; other columns are not read.
+first and have no key. Shards end after ``shard_bytes`` of ids or ``shard_docs``
+documents, whichever comes first, so neither long texts nor very many short ones need
+more memory than that, besides one document's ids. An empty table gives a store
+without shards; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from linkloom.llm.encoding import encoder
 
 END_ID = 2
 SHARD_BYTES = 32_000_000
+#: Documents of a shard: its index is built, and its offsets are held, at once.
+SHARD_DOCS = 100_000
 MAGIC = b"LLTS"
 #: magic, version, bytes of an id, seed, documents, keys, buckets, documents without a key
 HEADER = struct.Struct("<4sHHQQQQQ")
@@ -167,7 +170,7 @@ class ShardIndex:
         return np.where(found, rows, -1)
 
 
-def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Encodes all documents into shards under ``out`` and returns the manifest, read from its file."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -196,7 +199,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, shard
 
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), codec.ids(t.as_py() for t in batch.column(1)), strict=True):
-                if sink is not None and starts[-1] * width >= shard_bytes:
+                if sink is not None and (starts[-1] * width >= shard_bytes or len(ids_of) >= shard_docs):
                     close()
                     sink, ids_of, starts = None, [], [0]
                 if sink is None:
@@ -284,7 +287,7 @@ class TokenStore:
 
         self.files, self.root = _filesystem(out)
         keyed = manifest(spark, out).where("first_doc is not null").orderBy("part", "no")
-        self.shards = [r.asDict() for r in keyed.toLocalIterator()]  # a row for each shard_bytes of ids
+        self.shards = [r.asDict() for r in keyed.toLocalIterator()]  # a row for each shard_bytes of ids or shard_docs documents
         self._lasts = [s["last_doc"] for s in self.shards]
         self._bisect = bisect.bisect_left
         self._headers: OrderedDict[str, tuple] = OrderedDict()

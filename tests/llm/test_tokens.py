@@ -110,6 +110,19 @@ def test_very_long_text(spark):
     assert found.tokens_before == len(ids) - 1 and found.tokens_after == len(plain(BYTE, text)) and found.text_crc32 == zlib.crc32(text.encode())
 
 
+def test_shards_end_after_so_many_documents(spark):
+    """Documents of one id each fill shards by their number; every key is found in its own."""
+    docs = [(k, None) for k in range(1000)] + [(None, "")] * 5
+    out = scratch_path(spark, "test-short")
+    token_store.write(documents(spark, docs).coalesce(1), out, WORD, shard_docs=90)
+    shards = token_store.manifest(spark, out).collect()
+    assert max(s.n_docs for s in shards) == 90 and sum(s.n_docs for s in shards) == 1005
+    rows = token_store.read(spark, out).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None] * 5 + list(range(1000)) and {r.n_tokens for r in rows} == {1}
+    store = token_store.TokenStore(spark, out)
+    assert all(store.get(k) == [[2]] for k in (0, 89, 90, 500, 999)) and store.get(1000) == []
+
+
 def test_minimal_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 20_000))
     seed, shift, slots, marks = token_store.build_index(keys)
