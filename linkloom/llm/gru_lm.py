@@ -21,7 +21,8 @@ from how they are partitioned. Scoring runs over whole documents; the state is
 carried to the end.
 
 Counts of frequent words (``BROADCAST_WORDS`` at most, none longer than
-``WORD_BYTES``) are broadcast; the others' reach the documents by a join on the word.
+``WORD_BYTES``) are broadcast, those of symbols always; the others' reach the documents
+by a join on the word. Longer words have the symbols of their endings.
 
 Defined cases: a null text is empty, its end alone is scored. A null doc_id counts
 as the empty text in the fold. Very long texts are encoded, learned from and scored
@@ -143,9 +144,11 @@ def frequent_words(counts: DataFrame, most: int = BROADCAST_WORDS) -> list[tuple
     """The most frequent words with their counts, at most so many, the most frequent first.
 
     A histogram of counts (sixteen bins for each doubling) says from which count on;
-    only words above come to the driver. Words of one bin come together or not at all.
+    only words above come to the driver. Words of one bin come together or not at all,
+    but for those that become symbols: these always come, however many share a bin.
     """
     counts = counts.where(F.octet_length("word") <= WORD_BYTES)
+    symbols = SYMBOLS - ENDINGS  # the end, if it is among them, takes no word's place
     bin_of = F.floor(16 * F.log2("c")).cast("int")
     bins = counts.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n")).collect()  # a thousand rows at most
     total, least = 0, None
@@ -154,10 +157,13 @@ def frequent_words(counts: DataFrame, most: int = BROADCAST_WORDS) -> list[tuple
         if total > most:
             break
         least = r.b
-    if least is None:
-        return []
-    found = counts.where(bin_of >= least).select("word", "c").toArrow()  # ``most`` rows of WORD_BYTES at most
-    return sorted(zip(found["word"].to_pylist(), found["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
+    found = {}
+    if least is not None:
+        rows = counts.where(bin_of >= least).select("word", "c").toArrow()  # ``most`` rows of WORD_BYTES at most
+        found = dict(zip(rows["word"].to_pylist(), rows["c"].to_pylist()))
+    if total > most and len(found) < symbols:
+        found |= {bytes(r.word): r.c for r in counts.orderBy(F.desc("c"), "word").limit(symbols).collect()}
+    return sorted(found.items(), key=lambda x: (-x[1], x[0]))
 
 
 class Vocabulary:

@@ -172,6 +172,19 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     assert found[0] == found[1]
 
 
+def test_symbols_do_not_hang_on_what_is_broadcast(spark):
+    """Where one count has more words than are broadcast, the most frequent ones still come, ties by their bytes."""
+    rows = [(f"w{k:04}".encode(), 1 + (k < 30)) for k in range(3000)] + [(b"x" * 65, 9), (g.END, 40)]
+    counts = spark.createDataFrame(rows, "word binary, c long")
+    want = sorted(((w, c) for w, c in rows if len(w) <= g.WORD_BYTES), key=lambda x: (-x[1], x[0]))
+    assert g.frequent_words(counts, most=4000) == want
+    for most in (2000, 10):
+        assert g.frequent_words(counts, most) == want[: g.SYMBOLS - g.ENDINGS]
+    few, all_words = (g.vocabulary(counts, g.frequent_words(counts, most)) for most in (10, 4000))
+    assert few.word == all_words.word and few.ending == all_words.ending and few.counts == all_words.counts
+    assert len(few.word) == g.SYMBOLS - 1 - g.ENDINGS
+
+
 def test_score_equals_a_plain_loop(spark):
     """The score of each text, word by word, from the same vocabulary and weights."""
     docs = [*corpus(60), (5000, "A0 a1 UNSEEN a2 b3 " + "long " * 40), (5001, "\x1cx \x0by\u2003z")]
