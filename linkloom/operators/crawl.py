@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from linkloom import schema
 from linkloom.functions.html import DocumentAnalyzer, analyzer, parse_documents
+from linkloom.functions.meter import TIMES
 from linkloom.operators import changes, graph, report
 from linkloom.operators.store import Delta, GraphStore
 from linkloom.scratch import release, written
@@ -58,6 +59,8 @@ class CrawlReport:
     publishes: int = 0
     #: Why it ended: drained, early_stop, max_generations or stopped.
     ended: str = ""
+    #: Of each generation the microseconds until all was fetched, all was analysed, and all was created and committed.
+    stages: list[tuple[int, int, int]] = field(default_factory=list)
 
     @property
     def stopped_early(self) -> bool:
@@ -70,6 +73,12 @@ def admit(links: DataFrame, wanted: DataFrame, now_ms: int, ttl_ms: int) -> Data
     return state.where(changes.is_due(now_ms, ttl_ms)).withColumn("registered", F.lit(True))
 
 
+def _fetch_times(fetched: DataFrame) -> DataFrame:
+    """Fetched rows with what the source tells of its times as one column ``fetch``; null where it tells nothing."""
+    told = all(c in fetched.columns for c in TIMES.names)
+    return fetched.select("path", "html", "status", (F.struct(*TIMES.names) if told else F.lit(None).cast(TIMES)).alias("fetch"))
+
+
 def _judged(store: GraphStore, good: DataFrame, paths: DataFrame | list) -> DataFrame:
     """Written rows of parsed pages with what the store says of each: action, changed, unique_id, is_removed, old_title."""
     pages = store.lookup("pages", paths)
@@ -229,8 +238,11 @@ class Crawler:
     def _generation(self, taken: DataFrame, waiting: DataFrame | None, frontier: DataFrame) -> tuple[int, int, DataFrame]:
         """One generation, committed: how many pages it created, and the next frontier with its size."""
         store, config, done = self.store, self.config, self.report
-        routed = written(changes.fetch_routes(self.source(taken)), "fetched")
+        marks = [time.perf_counter_ns()]
+        routed = written(changes.fetch_routes(_fetch_times(self.source(taken))), "fetched")
+        marks.append(time.perf_counter_ns())
         parsed = written(parse_documents(routed.where("route = 'parse'"), config.factory), "parsed")
+        marks.append(time.perf_counter_ns())
         used = [routed, parsed]
         if config.early_stop >= 0:
             parsed = _early(parsed, config.early_stop - done.indexed)
@@ -238,9 +250,12 @@ class Crawler:
         good = parsed.where("route = 'index'").drop("error", "route")
         paths = store.few(good.select("path"))
         judged = _judged(store, good, paths)
-        fetched = routed.where("route <> 'parse'").select("path", "route", F.col("status").alias("error"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("int").alias("worker"), F.lit(None).cast("long").alias("took_us"))
-        bad = parsed.where("route <> 'index'").select("path", "route", "error", F.lit(None).cast("string").alias("action"), "worker", "took_us")
-        seen = judged.select("path", F.lit("index").alias("route"), F.lit(None).cast("string").alias("error"), F.when(F.col("changed") | (F.col("action") == "create"), F.col("action")).otherwise("unchanged").alias("action"), "worker", "took_us")
+        none = F.lit(None).cast("string")
+        no_times = [F.lit(None).cast(f.dataType).alias(f.name) for f in TIMES]
+        fetched = routed.where("route <> 'parse'").select("path", "route", F.col("status").alias("error"), none.alias("action"), *no_times, "fetch")
+        bad = parsed.where("route <> 'index'").select("path", "route", "error", none.alias("action"), *TIMES.names, "fetch")
+        action = F.when(F.col("changed") | (F.col("action") == "create"), F.col("action")).otherwise("unchanged")
+        seen = judged.select("path", F.lit("index").alias("route"), none.alias("error"), action.alias("action"), *TIMES.names, "fetch")
         counted = Observation()
         n_of = lambda name, test: F.count(F.when(F.expr(test), 1)).alias(name)
         visits = fetched.unionByName(bad).unionByName(seen)
@@ -272,8 +287,10 @@ class Crawler:
             raw_links=Delta(resolved.where("fresh and now").select(F.col("src").alias("src_path"), F.col("dst").alias("dst_path")), fresh.select(F.col("path").alias("src_path"))),
             edges=Delta(edges, fresh.select(F.col("path").alias("src"))),
             links=changes.upsert(states, admitted),
-            visits=visits.select("path", F.lit(done.generations).cast("long").alias("generation"), "route", "error", "action", F.lit(now).cast("long").alias("at_ms"), F.col("worker").cast("long").alias("worker"), "took_us"),
+            visits=visits.select("path", F.lit(done.generations).cast("long").alias("generation"), "route", "error", "action", F.lit(now).cast("long").alias("at_ms"), F.col("worker").cast("long").alias("worker"), *TIMES.names[1:], "fetch"),
         )
+        marks.append(time.perf_counter_ns())
+        done.stages.append(tuple((b - a) // 1000 for a, b in zip(marks, marks[1:])))
         done.generations += 1
         self._next_id += tally["created"]
         done.created += tally["created"]
@@ -339,6 +356,19 @@ def worker_report(store: GraphStore) -> DataFrame:
     return report.worker_report(store.read("visits").where("worker is not null"), "worker", "took_us")
 
 
+def consumer_report(store: GraphStore) -> DataFrame:
+    """Of each task number that analysed, and of all in a row named Total: documents consumed, pages created, and totals and means of its times."""
+    log = store.read("visits").where("worker is not null")
+    return report.time_report(log, "worker", TIMES.names[1:], consumed=F.lit(True), created=F.col("action") == "create")
+
+
+def producer_report(store: GraphStore) -> DataFrame:
+    """The same of each task number that fetched: links fetched, documents placed for analysis. Only sources that are ``timed`` have rows."""
+    log = store.read("visits").where("fetch is not null")
+    log = log.select("worker", *[F.col(f"fetch.{n}").alias(f"f_{n}" if n == "worker" else n) for n in TIMES.names])
+    return report.time_report(log, "f_worker", TIMES.names[1:], fetched=F.lit(True), placed=F.col("worker").isNotNull())
+
+
 def counters(store: GraphStore) -> DataFrame:
     """Visits of each route and action, over all crawls that the store has seen."""
     return store.read("visits").groupBy("route", "action").agg(F.count("*").alias("n"))

@@ -62,6 +62,16 @@ def worker_totals(log: DataFrame, worker: str, kind: str, value: str) -> DataFra
     return log.groupBy(worker, kind).agg(F.count("*").alias("items"), F.sum(value).alias("total"))
 
 
+def time_report(log: DataFrame, worker: str, times: list[str], **counted: Column) -> DataFrame:
+    """A row per worker, and one named Total: rows for which each condition holds, and total and mean of each time."""
+    counts = [F.count(F.when(c, 1)).alias(n) for n, c in counted.items()]
+    sums = [f(t).alias(n) for t in times for f, n in ((F.sum, t), (F.avg, f"mean_{t}"))]
+    rolled = log.rollup(worker).agg(F.grouping(worker).alias("__all"), *counts, *sums)
+    name = F.when(F.col("__all") == 1, "Total").otherwise(F.col(worker).cast("string"))
+    # without rows there is nothing to be total of
+    return rolled.select(name.alias("worker"), *counted, *[n for t in times for n in (t, f"mean_{t}")]).where(F.col(next(iter(counted))) > 0)
+
+
 def worker_report(log: DataFrame, worker: str, value: str) -> DataFrame:
     """Items, total and mean of each worker, and of all of them in a row named Total."""
     rolled = log.groupBy(worker).agg(F.count("*").alias("items"), F.sum(value).alias("total"))

@@ -25,6 +25,9 @@ _CRAWL = f"""WITH RECURSIVE {_EDGES}, s AS (SELECT p_partkey AS v, p_name AS tit
 _ALL = f"""WITH RECURSIVE {_EDGES}, s AS (SELECT p_partkey AS v, p_name AS title, {_STATUS} AS status FROM part),
   walk AS (SELECT (SELECT min(v) FROM s WHERE status = 'SUCCESS') AS v, 0 AS g UNION SELECT dst, g + 1 FROM walk JOIN e ON src = v WHERE g < 10),
   c AS (SELECT DISTINCT v, title, status FROM walk JOIN s USING (v))"""
+#: A crawl over files: parts with p_size divisible by 7 have none.
+_STATUS_FILES = "CASE WHEN p_size % 7 = 0 THEN 'DOES_NOT_EXIST' ELSE 'SUCCESS' END"
+_CRAWL_FILES = _CRAWL.replace(_STATUS, _STATUS_FILES)
 TTL = 1_000
 
 
@@ -187,6 +190,39 @@ def crawl_workers(spark, sf_dir):
     return crawl.worker_report(store).where("worker = 'Total' and total >= 0").select("worker", "items")
 
 
+@query(
+    "crawl_worker_times",
+    f"""{_CRAWL_FILES} SELECT 'producers' AS kind, count(*) AS items, count(*) FILTER (status = 'SUCCESS') AS made, true AS timed FROM c
+    UNION ALL SELECT 'consumers', count(*), count(*), true FROM c WHERE status = 'SUCCESS'""",
+)
+def crawl_worker_times(spark, sf_dir):
+    """A crawl over files: what all producers fetched and placed, what all consumers analysed and created.
+
+    ``timed``: there are times of work, starvation and blocking, and the totals are the sums over workers.
+    """
+    name = F.regexp_replace("path", "^/wiki/", "")
+    folder = new_path(spark, "pages")
+    found = recorded(spark, sf_dir).withColumn("status", F.expr(_STATUS_FILES))
+    fixtures.write_pages(found.where("status = 'SUCCESS'").select(name.alias("name"), "html"), folder)
+    store = GraphStore(spark, new_path(spark, "crawl"))
+    crawl.crawl(store, fetch.FileSource(folder, timed=True), _seed(found), crawl.CrawlConfig(ttl_ms=TTL, factory=fixture_analyzer, clock=_Clock()))
+    return _totals(crawl.producer_report(store), "producers", "fetched", "placed").unionByName(_totals(crawl.consumer_report(store), "consumers", "consumed", "created"))
+
+
+def _totals(times: DataFrame, kind: str, items: str, made: str) -> DataFrame:
+    """One row of a report: the counts of its Total, and whether its times are those of all workers."""
+    names = ("took_us", "starved_us", "blocked_us")
+    whole = F.col("worker") == "Total"
+    rows = times.agg(
+        *[F.sum(F.when(whole, F.col(c))).alias(n) for c, n in ((items, "items"), (made, "made"))],
+        F.bool_and(F.expr(" AND ".join(f"{n} >= 0" for n in names))).alias("there"),
+        *[F.sum(F.when(whole, F.col(n)).otherwise(-F.col(n))).alias(n) for n in names],
+        F.sum(F.when(whole, F.col("took_us") * F.col("starved_us"))).alias("some"),
+    )
+    sums = F.expr(" AND ".join(f"{n} = 0" for n in names))
+    return rows.select(F.lit(kind).alias("kind"), "items", "made", (F.col("there") & sums & (F.col("some") > 0)).alias("timed"))
+
+
 @query("tombstones", f"{_ALL} SELECT v, status = 'DOES_NOT_EXIST' AS is_removed FROM c")
 def tombstones(spark, sf_dir):
     """A second crawl of all links finds some pages gone."""

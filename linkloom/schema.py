@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from linkloom.functions.meter import TIMES
+
 S, L, B = T.StringType(), T.LongType(), T.BooleanType()
 
 
@@ -25,13 +27,13 @@ URLS = _struct(path=S, locales=T.MapType(S, S))
 TITLES = _struct(title=S, path=S, n=L)
 #: Links that wait for their target's page, by target, counted in the same way.
 WAITING = _struct(dst_path=S, src_path=S, n=L)
-#: The crawl's log: one row per visit of a link.
-VISITS = _struct(path=S, generation=L, route=S, error=S, action=S, at_ms=L, worker=L, took_us=L)
+#: The crawl's log: one row per visit of a link, with the times of its analysis and, where the source tells them, of its fetch.
+VISITS = _struct(path=S, generation=L, route=S, error=S, action=S, at_ms=L, worker=L, took_us=L, starved_us=L, blocked_us=L, fetch=TIMES)
 FETCHES = _struct(path=S, html=S, status=S)
 FIXTURES = _struct(name=S, title=S, description=S, links=T.ArrayType(S))
 #: What parsing one fetched document yields; ``error`` is null for a page, ``route`` says where the row goes.
 PARSED = _struct(
-    path=S, title=S, description=S, is_redirect=B, article_type=S, locales=T.MapType(S, S), links=T.ArrayType(S), error=S, route=S, worker=T.IntegerType(), took_us=L
+    path=S, title=S, description=S, is_redirect=B, article_type=S, locales=T.MapType(S, S), links=T.ArrayType(S), error=S, route=S, worker=T.IntegerType(), took_us=L, starved_us=L, blocked_us=L
 )
 
 SUCCESS, CONNECTION_ERROR, DOES_NOT_EXIST = "SUCCESS", "CONNECTION_ERROR", "DOES_NOT_EXIST"

@@ -1,6 +1,7 @@
 """Fetching frontiers of links: files, memory, the web; and the routing of what comes back.
 
-A source maps a DataFrame with a column ``path`` to rows (path, html, status).
+A source maps a DataFrame with a column ``path`` to rows (path, html, status). One that
+fetches in tasks of its own gives, if ``timed``, the columns of ``meter.TIMES`` as well.
 """
 
 from __future__ import annotations
@@ -8,14 +9,17 @@ from __future__ import annotations
 import socket
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from time import perf_counter_ns
 from typing import Protocol
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom import schema
 from linkloom.functions.links import page_url
+from linkloom.functions.meter import TIMES, metered
 from linkloom.scratch import qualified
 
 
@@ -35,6 +39,32 @@ def _joined(frontier: DataFrame, known: DataFrame) -> DataFrame:
     return found.select("path", "html", F.when(F.col("html").isNull(), schema.DOES_NOT_EXIST).otherwise(schema.SUCCESS).alias("status"))
 
 
+ROWS = f"path string, html string, status string, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in TIMES)}"
+
+
+def _each(asked: DataFrame, opened: Callable[[], Callable[[str | None], tuple[str | None, str]]], timed: bool) -> DataFrame:
+    """Rows of ``asked`` (path, and what to fetch), each fetched where its partition lies; ``opened`` makes the task's function to (html, status)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fetch, worker = opened(), TaskContext.get().partitionId()
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts, statuses, took = [], [], []
+            for what in batch.column(1).to_pylist():
+                began = perf_counter_ns()
+                text, status = fetch(what)
+                texts.append(text)
+                statuses.append(status)
+                took.append((perf_counter_ns() - began) // 1000)
+            columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(statuses, pa.string()), pa.array([worker] * len(took), pa.int32()), pa.array(took, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["path", "html", "status", "worker", "took_us"])
+
+        yield from metered(batches, work)
+
+    fetched = asked.mapInArrow(run, ROWS)
+    return fetched if timed else fetched.select("path", "html", "status")
+
+
 @dataclass
 class FileSource:
     """Pages in ``<folder>/<name>.txt``: each frontier row opens its own file where its partition lies.
@@ -45,32 +75,30 @@ class FileSource:
     """
 
     folder: str
+    timed: bool = False
 
     def __call__(self, frontier: DataFrame) -> DataFrame:
         folder = qualified(frontier.sparkSession, self.folder)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def opened():
             from pyarrow import fs
 
             files, root = fs.FileSystem.from_uri(folder)
-            for batch in batches:
-                texts, statuses = [], []
-                for name in batch.column(1).to_pylist():
-                    text, status = None, schema.DOES_NOT_EXIST
-                    if name:
-                        try:
-                            with files.open_input_stream(f"{root}/{name}.txt") as f:
-                                text, status = f.read().decode("utf-8", "replace"), schema.SUCCESS
-                        except (FileNotFoundError, ValueError):
-                            pass  # no such file, or no name that a file can have
-                        except OSError:
-                            status = schema.CONNECTION_ERROR
-                    texts.append(text)
-                    statuses.append(status)
-                yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(statuses, pa.string())], names=["path", "html", "status"])
-
-        asked = frontier.select("path").distinct().withColumn("name", page_name(F.col("path")))
-        return asked.mapInArrow(run, "path string, html string, status string")
+
+            def fetch(name: str | None) -> tuple[str | None, str]:
+                if not name:
+                    return None, schema.DOES_NOT_EXIST
+                try:
+                    with files.open_input_stream(f"{root}/{name}.txt") as f:
+                        return f.read().decode("utf-8", "replace"), schema.SUCCESS
+                except (FileNotFoundError, ValueError):  # no such file, or no name that a file can have
+                    return None, schema.DOES_NOT_EXIST
+                except OSError:
+                    return None, schema.CONNECTION_ERROR
+
+            return fetch
+
+        return _each(frontier.select("path").distinct().withColumn("name", page_name(F.col("path"))), opened, self.timed)
 
 
 def text_files(spark, folder: str) -> DataFrame:
@@ -123,26 +151,21 @@ class WebSource:
     transport: Callable[[str], str] = http_get
     lang: str = "en"
     parallelism: int | None = None
+    timed: bool = False
 
     def __call__(self, frontier: DataFrame) -> DataFrame:
         transport = self.transport
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts, statuses = [], []
-                for url in batch.column(1).to_pylist():
-                    try:
-                        texts.append(transport(url))
-                        statuses.append(schema.SUCCESS)
-                    except Exception as e:  # noqa: BLE001  the row says what happened
-                        texts.append(None)
-                        statuses.append(status_of(e))
-                yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(statuses)], names=["path", "html", "status"])
+        def fetch(url: str | None) -> tuple[str | None, str]:
+            try:
+                return transport(url), schema.SUCCESS
+            except Exception as e:  # noqa: BLE001  the row says what happened
+                return None, status_of(e)
 
         asked = frontier.select("path").distinct().withColumn("url", page_url(F.col("path"), self.lang))
         if self.parallelism:
             asked = asked.repartition(self.parallelism, "path")
-        return asked.mapInArrow(run, "path string, html string, status string")
+        return _each(asked, lambda: fetch, self.timed)
 
 
 @dataclass

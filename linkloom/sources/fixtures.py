@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.scratch import qualified
 from linkloom.sources.fetch import text_files
 
 
@@ -31,18 +36,35 @@ def as_pages(fixtures: DataFrame) -> DataFrame:
 
 
 def write_fixtures(fixtures: DataFrame, folder: str) -> None:
-    """One text file per page, named ``<name>.txt``, through the file system of the folder's path.
+    """One text file per page, as ``write_pages`` writes them."""
+    write_pages(as_pages(fixtures), folder)
+
+
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """One text file per row (name, html), named ``<name>.txt``, each written where its row lies.
 
-    Rows come to the driver one at a time: fixtures are small by nature.
+    A file gets its name once it is whole, so a task that runs again, or twice at once,
+    leaves the same files. Of rows of equal name any one stays; a page without
+    text is an empty file.
     """
-    from linkloom.scratch import filesystem
-
-    spark = fixtures.sparkSession
-    for row in as_pages(fixtures).toLocalIterator():
-        files, where = filesystem(spark, f"{folder}/{row.name}.txt")
-        out = files.create(where, True)
-        out.write(bytearray(row.html.encode()))
-        out.close()
+    folder = qualified(pages.sparkSession, folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        n = 0
+        for batch in batches:
+            for name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                part = f"{root}/_{uuid.uuid4().hex}"
+                with files.open_output_stream(part) as out:
+                    out.write((text or "").encode())
+                files.move(part, f"{root}/{name}.txt")
+                n += 1
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    pages.select("name", "html").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
 
 
 def retitled(fixtures: DataFrame, titles: DataFrame) -> DataFrame:

@@ -19,10 +19,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from linkloom import schema
 from linkloom.functions.links import page_url
+from linkloom.functions.meter import handed_over
 from linkloom.scratch import new_path
 
 NAME = "linkloom_web"
-ROWS = "path string, html string, status string, took_us long"
+ROWS = "path string, html string, status string, worker int, took_us long, starved_us long, blocked_us long"
 #: Rows that go to Spark at once.
 BATCH = 100
 
@@ -62,13 +63,14 @@ class WebReader(DataSourceReader):
     def read(self, partition: Lane) -> Iterator[pa.RecordBatch]:
         from linkloom.sources.fetch import status_of
 
-        names = [c.split()[0] for c in ROWS.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
+        names = [c.split()[0] for c in ROWS.split(", ")][:-1]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+        batch = lambda: pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
         rows, before = [], {}
         for path, url, host in _frontier(f"{self.folder}/lane={partition.number}"):
             # hosts of a lane take turns as they stand; each has its own clock
             wait = before.get(host, 0.0) + self.gap_s - time.monotonic()
-            if wait > 0:
+            if wait > 0:  # the host's rate starves the lane
                 time.sleep(wait)
             began = time.monotonic()
             before = {host: began, **{h: t for h, t in before.items() if h != host and began - t < self.gap_s}}
@@ -76,12 +78,12 @@ class WebReader(DataSourceReader):
                 html, status = get(url, self.deadline_s), schema.SUCCESS
             except Exception as e:  # noqa: BLE001  the row says what happened
                 html, status = None, status_of(e)
-            rows.append((path, html, status, int((time.monotonic() - began) * 1e6)))
+            rows.append((path, html, status, partition.number, int((time.monotonic() - began) * 1e6), int(max(wait, 0) * 1e6)))
             if len(rows) >= BATCH:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                yield from handed_over(batch())
                 rows = []
         if rows:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            yield from handed_over(batch())
 
 
 def _frontier(folder: str) -> Iterator[tuple[str, str, str]]:

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from linkloom import cli, schema
 from linkloom.functions.html import fixture_analyzer
+from linkloom.functions.meter import metered
 from linkloom.operators import changes, crawl
 from linkloom.operators.store import GraphStore
+from linkloom.sources import fetch, fixtures
 from linkloom.sources.fetch import ScriptedSource, TableSource
 from linkloom.streaming import admission
 
@@ -144,6 +146,51 @@ def test_publishing_stopping_and_visiting_again(spark, tmp_path):
     assert stopped.wait().ended == "stopped" and not stopped.running
 
 
+def test_times_of_producers_and_consumers(spark, tmp_path):
+    """A crawl over files written by tasks: what each worker did, and how long it worked, starved and was blocked."""
+    folder = f"file://{tmp_path}/pages"
+    pages = html({k: v for k, v in GRAPH.items() if k != "5"})
+    fixtures.write_pages(spark.createDataFrame([*pages, ("empty", None)], "name string, html string"), folder)
+    assert {r.name: r.html for r in fetch.text_files(spark, folder).collect()} == dict(pages)  # Spark reads no row from an empty file
+    store = GraphStore(spark, f"file://{tmp_path}/store", buckets=2)
+    config = crawl.CrawlConfig(ttl_ms=1000, factory=fixture_analyzer, clock=Clock())
+    done = crawl.crawl(store, fetch.FileSource(folder, timed=True), seeds(spark, "/wiki/1"), config)
+    assert (done.created, done.gone) == (6, 1) and len(done.stages) == done.generations and all(len(s) == 3 and min(s) > 0 for s in done.stages)
+    for rows, items, made in ((crawl.producer_report(store), ("fetched", 7), ("placed", 6)), (crawl.consumer_report(store), ("consumed", 6), ("created", 6))):
+        workers = {r.worker: r for r in rows.collect()}
+        whole = workers.pop("Total")
+        assert (whole[items[0]], whole[made[0]]) == (items[1], made[1])
+        for n in ("took_us", "starved_us", "blocked_us"):
+            assert whole[n] == sum(w[n] for w in workers.values()) >= 0
+            assert abs(whole[f"mean_{n}"] * items[1] - whole[n]) < 1e-3
+        assert whole.took_us > 0 and whole.starved_us > 0
+    # a source that tells no times has no producers
+    config.max_generations = 1
+    crawl.crawl(again := GraphStore(spark, f"file://{tmp_path}/again", buckets=2), source(spark, GRAPH), seeds(spark, "/wiki/1"), config)
+    assert crawl.producer_report(again).count() == 0 and crawl.consumer_report(again).where("worker = 'Total'").first().consumed == 1
+
+
+def test_waits_are_borne_by_rows():
+    """The first row of a batch bears the wait for it, the last one the time until the others were taken."""
+    import time
+
+    import pyarrow as pa
+
+    def coming():
+        for k in (3, 0, 1):
+            time.sleep(0.05)
+            yield pa.record_batch([pa.array(range(k), pa.int64())], names=["x"])
+
+    rows = []
+    for out in metered(coming(), lambda b: b):
+        rows += out.to_pylist()
+        time.sleep(0.03)
+    assert [r["x"] for r in rows] == [0, 1, 2, 0]
+    assert [r["starved_us"] >= 50_000 for r in rows] == [True, False, False, True] and rows[1]["starved_us"] == rows[2]["starved_us"] == 0
+    assert rows[3]["starved_us"] >= 100_000  # the empty batch's wait too
+    assert [r["blocked_us"] >= 30_000 for r in rows] == [False, False, True, False]
+
+
 def test_store_merges_deltas(spark, tmp_path):
     from linkloom.operators.services import Links, Pages
     from linkloom.operators.store import Delta
