@@ -42,6 +42,18 @@ def test_windows_that_share_hash_bits_are_told_apart(spark, monkeypatch):
     assert {r.doc_id: r.n_repeat_words for r in rows} == {d: counts(t)[4] for d, t in docs}
 
 
+def test_the_verdict_needs_no_sort_of_texts_that_repeat_little(spark):
+    """A repeat too small to fail the base is not worked out for the verdict; at the rule's edge both forms agree."""
+    phrase = "one two three four"
+    docs = [(k, " ".join([phrase] * k + [f"w{k}x{i}" for i in range(60 - 4 * k)])) for k in range(13)]
+    docs += [(100 + k, " ".join(f"v{i % (60 - k)}" for i in range(60))) for k in range(0, 50, 5)]
+    full = {r.doc_id: r for r in quality.with_counts(documents(spark, docs)).collect()}
+    brief = {r.doc_id: r for r in quality.with_counts(documents(spark, docs), exact=False).collect()}
+    failed = {d for d, r in full.items() if 100 * r.n_repeat_words > 50 * r.n_words}
+    assert failed == {d for d, r in brief.items() if 100 * r.n_repeat_words > 50 * r.n_words} and 3 < len(failed) < len(docs)
+    assert full[2].n_repeat_words == 8 and brief[2].n_repeat_words == 0
+
+
 def test_counts_replace_columns_of_their_name(spark):
     table = documents(spark, [(1, "two words")], extra=True)
     assert [r.n_words for r in quality.with_counts(table).collect()] == [2]
