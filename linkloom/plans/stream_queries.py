@@ -99,6 +99,8 @@ class _Server(ThreadingHTTPServer):
 
 
 DEADLINE_S, SLOW_S = 2.0, 4.0
+#: Fetches that a server answers at once, so that a slow page does not hold up the others.
+CONNECTIONS = 16
 
 
 @query(
@@ -116,7 +118,7 @@ def fetch_http(spark, sf_dir):
         sites = F.array(*[F.lit(f"http://{host}:{server.server_address[1]}") for server in servers])
         url = lambda path: F.concat(F.get(sites, F.pmod(F.xxhash64(path), F.lit(4)).cast("int")), path)
         asked = table(spark, sf_dir, "pages").select(F.concat(F.lit("/wiki/"), F.col("page_id").cast("string")).alias("path"))
-        return written(HttpSource(url, lanes=8, deadline_s=DEADLINE_S)(asked), "fetched")
+        return written(HttpSource(url, lanes=8, deadline_s=DEADLINE_S, connections=CONNECTIONS)(asked), "fetched")
     finally:
         for server in servers:
             server.shutdown()

@@ -9,6 +9,7 @@ from __future__ import annotations
 import socket
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from time import perf_counter_ns
 from typing import Protocol
 
@@ -125,15 +126,21 @@ class TableSource:
         return TableSource(self.pages.join(names.select("name"), "name", "left_anti").select(*self.pages.columns))
 
 
-def http_get(url: str, timeout: float = 10.0) -> str:
-    """The page behind a URL; redirects are not followed."""
+@cache
+def _opener():
+    """One for all fetches of a process; redirects are not followed."""
     import urllib.request
 
     class Stay(urllib.request.HTTPRedirectHandler):
         def redirect_request(self, *args, **kwargs):
             return None
 
-    with urllib.request.build_opener(Stay).open(url, timeout=timeout) as answer:
+    return urllib.request.build_opener(Stay)
+
+
+def http_get(url: str, timeout: float = 10.0) -> str:
+    """The page behind a URL; redirects are not followed."""
+    with _opener().open(url, timeout=timeout) as answer:
         return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
 
 

@@ -2,7 +2,8 @@
 
 The frontier lies as a table in the shared folder, dealt by host: a partition of the
 scan reads the hosts of one lane, so a host is asked by one task alone, at the rate it
-bears, and no more tasks ask at once than there are lanes.
+bears and over no more connections at once than it is granted, and no more tasks ask at
+once than there are lanes.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from __future__ import annotations
 import time
 import urllib.request
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import cache
+from queue import SimpleQueue
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,10 +39,16 @@ class _Stay(urllib.request.HTTPRedirectHandler):
         return None
 
 
+@cache
+def _opener() -> urllib.request.OpenerDirector:
+    """One for all fetches of a process: making one reads the system's certificates, which takes longer than a page."""
+    return urllib.request.build_opener(_Stay)
+
+
 def get(url: str, deadline_s: float) -> str:
     """The page behind a URL within a time that holds for the whole of the fetch, not for each packet."""
     end = time.monotonic() + deadline_s
-    with urllib.request.build_opener(_Stay).open(url, timeout=deadline_s) as answer:
+    with _opener().open(url, timeout=deadline_s) as answer:
         parts = []
         while part := answer.read1(1 << 16):
             parts.append(part)
@@ -56,6 +66,7 @@ class WebReader(DataSourceReader):
     def __init__(self, options):
         self.folder, self.lanes = options["frontier"], int(options["lanes"])
         self.gap_s, self.deadline_s = 1.0 / float(options["rate"]), float(options["deadline"])
+        self.connections = int(options.get("connections", "1"))
 
     def partitions(self) -> list[Lane]:
         return [Lane(k) for k in range(self.lanes)]
@@ -66,22 +77,34 @@ class WebReader(DataSourceReader):
         names = [c.split()[0] for c in ROWS.split(", ")][:-1]
         kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
         batch = lambda: pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-        rows, before = [], {}
-        for path, url, host in _frontier(f"{self.folder}/lane={partition.number}"):
-            # hosts of a lane take turns as they stand; each has its own clock
-            wait = before.get(host, 0.0) + self.gap_s - time.monotonic()
-            if wait > 0:  # the host's rate starves the lane
-                time.sleep(wait)
+        done: SimpleQueue = SimpleQueue()
+
+        def fetch(path: str, url: str, wait: float) -> None:
             began = time.monotonic()
-            before = {host: began, **{h: t for h, t in before.items() if h != host and began - t < self.gap_s}}
             try:
                 html, status = get(url, self.deadline_s), schema.SUCCESS
             except Exception as e:  # noqa: BLE001  the row says what happened
                 html, status = None, status_of(e)
-            rows.append((path, html, status, partition.number, int((time.monotonic() - began) * 1e6), int(max(wait, 0) * 1e6)))
-            if len(rows) >= BATCH:
-                yield from handed_over(batch())
-                rows = []
+            done.put((path, html, status, partition.number, int((time.monotonic() - began) * 1e6), int(max(wait, 0) * 1e6)))
+
+        rows, before, running = [], {}, 0
+        with ThreadPoolExecutor(self.connections) as pool:
+            for path, url, host in _frontier(f"{self.folder}/lane={partition.number}"):
+                if running == self.connections:  # whichever is first makes room
+                    rows.append(done.get())
+                    running -= 1
+                # hosts of a lane take turns as they stand; each has its own clock
+                wait = before.get(host, 0.0) + self.gap_s - time.monotonic()
+                if wait > 0:  # the host's rate starves the lane
+                    time.sleep(wait)
+                began = time.monotonic()
+                before = {host: began, **{h: t for h, t in before.items() if h != host and began - t < self.gap_s}}
+                pool.submit(fetch, path, url, wait)
+                running += 1
+                if len(rows) >= BATCH:
+                    yield from handed_over(batch())
+                    rows = []
+            rows += [done.get() for _ in range(running)]
         if rows:
             yield from handed_over(batch())
 
@@ -100,7 +123,7 @@ def _frontier(folder: str) -> Iterator[tuple[str, str, str]]:
 
 
 class WebPages(DataSource):
-    """Options: ``frontier`` (folder of path, url, host by lane), ``lanes``, ``rate`` (fetches a second and host), ``deadline`` (seconds a fetch)."""
+    """Options: ``frontier`` (folder of path, url, host by lane), ``lanes``, ``rate`` (fetches a second and host), ``deadline`` (seconds a fetch), ``connections`` (fetches of a lane, and so of a host, at once)."""
 
     @classmethod
     def name(cls) -> str:
@@ -126,6 +149,8 @@ class HttpSource:
     rate: float = 1e6
     deadline_s: float = 10.0
     timed: bool = False
+    #: Fetches of a host at once.
+    connections: int = 1
 
     def __call__(self, frontier: DataFrame) -> DataFrame:
         spark = frontier.sparkSession
@@ -137,5 +162,5 @@ class HttpSource:
         asked = asked.withColumn("host", F.regexp_extract("url", r"^[^:]+://([^/?#]*)", 1)).withColumn("lane", F.pmod(F.xxhash64("host"), F.lit(self.lanes)))
         folder = new_path(spark, "frontier")
         asked.repartition("lane").write.partitionBy("lane").parquet(folder)
-        fetched = spark.read.format(NAME).options(frontier=folder, lanes=str(self.lanes), rate=str(self.rate), deadline=str(self.deadline_s)).load()
+        fetched = spark.read.format(NAME).options(frontier=folder, lanes=str(self.lanes), rate=str(self.rate), deadline=str(self.deadline_s), connections=str(self.connections)).load()
         return fetched if self.timed else fetched.select("path", "html", "status")

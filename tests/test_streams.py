@@ -61,6 +61,20 @@ def test_web_rows_tell_what_happened(spark):
     server.server_close()
 
 
+def test_slow_pages_do_not_hold_up_a_host(spark):
+    server = q._Server(("127.0.0.1", 0), q._Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = lambda path: F.concat(F.lit(f"http://127.0.0.1:{server.server_address[1]}"), path)
+    keys = [5 + 97 * k for k in range(8)] + [7 * k for k in range(1, 60)]
+    asked = spark.createDataFrame([(f"/wiki/{k}",) for k in keys], "path string")
+    began = time.monotonic()
+    rows = HttpSource(url, lanes=2, deadline_s=1.5, connections=8)(asked).collect()
+    assert time.monotonic() - began < 8 * 1.5  # one after another the slow ones alone take that long
+    assert {(r.path, r.status) for r in rows} == {(f"/wiki/{k}", "CONNECTION_ERROR" if k % 97 == 5 else "SUCCESS") for k in keys} and len(rows) == len(keys)
+    server.shutdown()
+    server.server_close()
+
+
 def test_a_quota_is_kept_without_an_order_of_all(spark):
     frontier = spark.range(500).selectExpr("concat('/wiki/', id) AS path")
     taken = crawl._quota(frontier, 40)
