@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators import graph, paths, report
@@ -29,10 +29,12 @@ def _paths_sql(select: str, edges: str = _EDGES, start: str = "(SELECT min(src)
 
 
 def _steps(spark, sf_dir: str) -> DataFrame:
-    """Edges as the orders state them, some more than once."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
-    nxt = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
-    return lines.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst")
+    """Edges as the orders state them, some more than once; lines are shuffled once, by order."""
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey is not null and l_linenumber is not null").select("l_orderkey", "l_linenumber", "l_partkey")
+    after = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(1, 1)
+    # as structs, so that a line without a part counts as well
+    found = lines.select(F.col("l_partkey").alias("src"), F.collect_set(F.struct("l_partkey")).over(after).alias("next"))
+    return found.select("src", F.explode("next").alias("next")).select("src", F.col("next.l_partkey").alias("dst"))
 
 
 def part_edges(spark, sf_dir: str) -> DataFrame:

@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from linkloom.plans.graph_queries import _EDGES, part_edges
 from linkloom.plans.registry import query
 from linkloom.plans.state_queries import _TTL, _span
-from linkloom.scratch import new_path, written
+from linkloom.scratch import filesystem, new_path, written
 from linkloom.sources.tables import table
 from linkloom.sources.web import HttpSource
 from linkloom.streaming import stateful
 
 
+#: Files of a micro-batch, so that as many tasks write and read it.
+FILES = 12
+
+
 def _drained(spark, stream: DataFrame, name: str) -> DataFrame:
     """All that a stream gives over what is there now."""
     out = new_path(spark, name)
@@ -27,12 +31,17 @@ def _drained(spark, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def _arriving(spark, batches: list[DataFrame], name: str) -> DataFrame:
-    """Tables as one stream, each a micro-batch, in their order."""
+def _arriving(spark, batches: list[DataFrame], name: str, files: int = 1) -> DataFrame:
+    """Tables as one stream, each a micro-batch of so many files, in their order."""
     folder = new_path(spark, name)
     for k, batch in enumerate(batches):
-        batch.coalesce(1).write.parquet(f"{folder}/{k:03}")  # a file each: the source takes files one by one, as they were written
-    return spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+        part = f"{folder}/{k:03}"
+        # the source takes files one by one, as they were written
+        (batch.coalesce(1) if files == 1 else batch.repartition(files)).write.parquet(part)
+        store, where = filesystem(spark, part)
+        for _ in range(files - sum(f.getPath().getName().endswith(".parquet") for f in store.listStatus(where))):
+            batch.limit(0).coalesce(1).write.mode("append").parquet(part)  # few rows: empty files keep the batches apart
+    return spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/*")
 
 
 def _by_hash(rows: DataFrame, n: int) -> list[DataFrame]:
@@ -53,7 +62,7 @@ def due_links(spark, sf_dir):
     high, _ = _span(spark, sf_dir)
     at_ms = F.unix_millis("at")
     # all but the last six spans of the ttl, then three, then the rest
-    visits = _arriving(spark, [log.where(at_ms < high - 6 * ttl), log.where((at_ms >= high - 6 * ttl) & (at_ms < high - 3 * ttl)), log.where(at_ms >= high - 3 * ttl)], "log")
+    visits = _arriving(spark, [log.where(at_ms < high - 6 * ttl), log.where((at_ms >= high - 6 * ttl) & (at_ms < high - 3 * ttl)), log.where(at_ms >= high - 3 * ttl)], "log", FILES)
     return _drained(spark, stateful.due_links(visits, ttl), "due")
 
 
@@ -62,7 +71,8 @@ def stream_late_edges(spark, sf_dir):
     """Links and pages as two streams of several micro-batches each; a link becomes an edge when both are there, whichever came first."""
     edges = part_edges(spark, sf_dir).select(F.col("src").cast("string").alias("src_path"), F.col("dst").cast("string").alias("dst_path"))
     pages = table(spark, sf_dir, "part").where("p_size <= 40").select(F.col("p_partkey").cast("string").alias("path"))
-    both = stateful.late_edges(_arriving(spark, _by_hash(edges, 2), "links"), _arriving(spark, _by_hash(pages, 3), "pages"))
+    edges = written(edges, "edges")  # each batch is a part of them
+    both = stateful.late_edges(_arriving(spark, _by_hash(edges, 2), "links", FILES), _arriving(spark, _by_hash(pages, 3), "pages", FILES))
     return _drained(spark, both, "late")
 
 

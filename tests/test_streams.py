@@ -75,6 +75,14 @@ def test_slow_pages_do_not_hold_up_a_host(spark):
     server.server_close()
 
 
+def test_late_edges_stay_within_spark(spark):
+    links = q._arriving(spark, [spark.createDataFrame([("a", "x")], "src_path string, dst_path string")] * 2, "links", 3)
+    pages = q._arriving(spark, [spark.createDataFrame([("x",)], "path string")], "pages", 3)
+    shown = stateful.late_edges(links, pages)._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in shown and "Pandas" not in shown
+    assert [tuple(r) for r in q._drained(spark, stateful.late_edges(links, pages), "late").collect()] == [("a", "x")]
+
+
 def test_a_quota_is_kept_without_an_order_of_all(spark):
     frontier = spark.range(500).selectExpr("concat('/wiki/', id) AS path")
     taken = crawl._quota(frontier, 40)
