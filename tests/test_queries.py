@@ -45,6 +45,11 @@ def test_ids_are_dense_with_few_partitions(spark):
     assert sorted(ids) == list(range(100, 100 + len(ids)))
 
 
+def test_both_searches_answer_for_the_same_ends(spark):
+    found = [sorted(map(tuple, catalog.queries()[name](spark, "/root/testdata/sf0.001").collect())) for name in ("bidirectional_paths", "all_shortest_paths")]
+    assert found[0] == found[1] and found[0]
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
