@@ -1,3 +1,4 @@
+import random
 import socket
 import urllib.error
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from linkloom import schema
 from linkloom.functions import html as parsing
 from linkloom.functions import links as fn
+from linkloom.operators import graph
 from linkloom.sources import fetch, fixtures
 
 HREFS = {
@@ -142,3 +144,18 @@ def test_web_source(spark):
         "/wiki/lost": (schema.CONNECTION_ERROR, None),
         "/wiki/slow": (schema.CONNECTION_ERROR, None),
     }
+
+
+def _sets(spark, side: int):
+    r = random.Random(side)
+    rows = [(k, sorted(r.sample("abcdefghij", r.randrange(4)))) for k in range(300)] + [(None, ["a", "b"])]
+    return {k: set(w) for k, w in rows}, spark.createDataFrame(rows, "page_id long, words array<string>")
+
+
+def test_pages_that_share_words_are_paired_without_a_shuffle_of_pairs(spark):
+    (a, left), (b, right) = _sets(spark, 1), _sets(spark, 2)
+    pairs = graph.sharing_pairs(left, right, "page_id", "words")
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(x, y) for x in a for y in b if a[x] & b[y]}
+    shown = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in shown[: shown.index("Join")]
