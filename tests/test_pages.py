@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from linkloom import schema
 from linkloom.functions import html as parsing
 from linkloom.functions import links as fn
-from linkloom.operators import graph
+from linkloom.operators import graph, report
 from linkloom.sources import fetch, fixtures
 
 HREFS = {
@@ -159,3 +159,19 @@ def test_pages_that_share_words_are_paired_without_a_shuffle_of_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == {(x, y) for x in a for y in b if a[x] & b[y]}
     shown = pairs._jdf.queryExecution().sparkPlan().toString()
     assert "Aggregate" not in shown[: shown.index("Join")]
+
+
+def _groups(spark):
+    """Pages of three groups, some of equal titles, and edges that are those of the groups."""
+    pages = [(str(k), f"t{k % 7}" if k % 5 else None, f"g{k % 3}" if k else None) for k in range(20)]
+    near = {"g0": ["1", "8", "3"], "g1": ["15", "2"], "g2": []}
+    edges = [(p, d) for p, _, g in pages if g for d in near[g]]
+    title = {p: t for p, t, _ in pages}
+    shared = [(g, title[d], 1) for g in near for d in near[g]]
+    return [spark.createDataFrame(rows, kind) for rows, kind in ((pages, "path string, title string, group string"), (edges, "src string, dst string"), (shared, "group string, name string, n long"))]
+
+
+def test_a_listing_of_groups_is_that_of_pages(spark):
+    pages, edges, near = _groups(spark)
+    got = report.shared_listing(pages, report.lines_of(near, "group"), "group").collect()
+    assert sorted(map(str, got)) == sorted(map(str, report.adjacency_listing(pages.drop("group"), edges).collect())) and len(got) == 20
