@@ -175,3 +175,11 @@ def test_a_listing_of_groups_is_that_of_pages(spark):
     pages, edges, near = _groups(spark)
     got = report.shared_listing(pages, report.lines_of(near, "group"), "group").collect()
     assert sorted(map(str, got)) == sorted(map(str, report.adjacency_listing(pages.drop("group"), edges).collect())) and len(got) == 20
+
+
+def test_a_card_of_groups_is_that_of_pages(spark):
+    pages, edges, near = _groups(spark)
+    more = ["'' AS description", "'Article' AS article_type", "1L AS unique_id", "true AS is_removed", "false AS is_redirect"]
+    pages = pages.selectExpr("*", *more)
+    got = report.shared_card(pages, report.lines_of(near, "group"), "group", F.col("path")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, report.page_card(pages.drop("group"), edges, F.col("path")).collect())) and len(got) == 20
