@@ -36,7 +36,8 @@ def page_name(path: Column) -> Column:
 def _joined(frontier: DataFrame, known: DataFrame) -> DataFrame:
     """``known`` has name and html; a name that is not there does not exist."""
     asked = frontier.select("path").distinct().withColumn("name", page_name(F.col("path")))
-    found = asked.join(known.select("name", "html"), "name", "left")
+    known = known.select("name", "html").join(asked.select("name"), "name", "left_semi")
+    found = asked.join(known, "name", "left")
     return found.select("path", "html", F.when(F.col("html").isNull(), schema.DOES_NOT_EXIST).otherwise(schema.SUCCESS).alias("status"))
 
 
@@ -183,7 +184,9 @@ class RecordedSource:
 
     def __call__(self, frontier: DataFrame) -> DataFrame:
         asked = frontier.select("path").distinct()
-        found = asked.join(self.fetches.select("path", "html", "status"), "path", "left")
+        # a small frontier goes to the records; the records would all be shuffled to meet it from the left
+        known = self.fetches.select("path", "html", "status").join(asked, "path", "left_semi")
+        found = asked.join(known, "path", "left")
         return found.select("path", "html", F.coalesce("status", F.lit(schema.DOES_NOT_EXIST)).alias("status"))
 
 

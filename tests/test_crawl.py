@@ -305,3 +305,14 @@ def test_change_detection(spark):
     new = spark.createDataFrame([("a", "t", "d", False, "Article"), ("b", "t", "x", False, "Article"), ("c", "t", "d", True, "")], old.schema)
     got = {r.path: (r.action, r.changed) for r in changes.page_changes(old, new).collect()}
     assert got == {"a": ("update", False), "b": ("update", True), "c": ("create", True)}
+
+
+def test_records_meet_a_small_frontier_without_a_shuffle_of_them(spark, tmp_path):
+    from linkloom.sources.fetch import RecordedSource
+
+    spark.range(5000).selectExpr("concat('/wiki/', id) AS path", "repeat(sha2(string(id), 512), 60) AS html", "'SUCCESS' AS status").write.parquet(f"{tmp_path}/records")
+    records = spark.read.parquet(f"{tmp_path}/records")
+    asked = spark.createDataFrame([("/wiki/3",), ("/wiki/x",)], "path string")
+    found = RecordedSource(records)(asked)
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.path, r.status, len(r.html or "")) for r in found.collect()) == [("/wiki/3", "SUCCESS", 128 * 60), ("/wiki/x", "DOES_NOT_EXIST", 0)]
