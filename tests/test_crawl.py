@@ -307,6 +307,20 @@ def test_change_detection(spark):
     assert got == {"a": ("update", False), "b": ("update", True), "c": ("create", True)}
 
 
+def test_a_crawl_broadcasts_by_rows_and_not_by_files(spark, tmp_path):
+    spark.range(1_500_000).selectExpr("concat('/wiki/', lpad(string(id), 12, '0')) AS path").write.option("compression", "zstd").parquet(f"{tmp_path}/paths")
+
+    def planned():
+        joined = spark.range(10**7).selectExpr("string(id) AS path").join(spark.read.parquet(f"{tmp_path}/paths"), "path")
+        return joined._jdf.queryExecution().sparkPlan().toString()
+
+    had = spark.conf.get(crawl.FACTOR)
+    assert "BroadcastHashJoin" in planned()
+    with crawl.sized_rows(spark):
+        assert "BroadcastHashJoin" not in planned()
+    assert spark.conf.get(crawl.FACTOR) == had
+
+
 def test_records_meet_a_small_frontier_without_a_shuffle_of_them(spark, tmp_path):
     from linkloom.sources.fetch import RecordedSource
 
