@@ -6,7 +6,8 @@ least ``LEAF_CHARS`` characters together. Inner nodes hold the sums of character
 and tokens below them. An edit finds the leaves it touches by descending the tree,
 joins them with one leaf on either side as context, cuts and encodes that region
 again, and updates the sums on the way up; the rest of the text is never encoded
-again. A slot may come to hold several leaves, or none; once one holds more than
+again. The first edits of a group of documents are counted in one go, then the second
+ones, and so on; words of a region that were counted with the text are looked up. A slot may come to hold several leaves, or none; once one holds more than
 ``MOST_LEAVES``, the leaves are dealt anew to a tree of their own number, by the
 counts that they have, so edits at one place stay as cheap as any.
 
@@ -20,13 +21,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import releasing
-from linkloom.llm.encoding import encoder
+from linkloom.llm.encoding import counter, grouped
 
 #: Characters of a leaf at least; it ends at the next certain cut.
 LEAF_CHARS = 512
@@ -104,6 +106,12 @@ class TokenTree:
             k //= 2
 
     def edit(self, pos: int, delete: int, insert: str) -> None:
+        lo, hi, made = self.region(pos, delete, insert)
+        todo = [s for s, n in made if n is None]
+        self.put(lo, hi, made, iter(self.count(todo) if todo else []))
+
+    def region(self, pos: int, delete: int, insert: str) -> tuple[int, int, list[tuple[str, int | None]]]:
+        """The first and last slot that an edit changes, context included, and the leaves that they are to hold, with the tokens of those that were there before."""
         total = self.chars[1]
         pos = min(max(pos, 0), total)
         delete = min(max(delete, 0), total - pos)
@@ -114,9 +122,13 @@ class TokenTree:
         old = "".join(s for slot in self.slots[lo : hi + 1] for s, _ in slot)
         at = pos - start
         new = old[:at] + insert + old[at + delete :]
-        spans = leaves(new, self.least)
-        made = list(zip(spans, self.count(spans), strict=True)) if spans else []
-        self.reencoded += len(new)
+        had = dict(x for slot in self.slots[lo : hi + 1] for x in slot)
+        return lo, hi, [(s, had.get(s)) for s in leaves(new, self.least)]
+
+    def put(self, lo: int, hi: int, made: list[tuple[str, int | None]], counts: Iterator[int]) -> None:
+        """Sets the leaves of a region; ``counts`` gives the tokens of those that have none yet."""
+        made = [(s, next(counts) if n is None else n) for s, n in made]
+        self.reencoded += sum(len(s) for s, _ in made)
         # the leaves are dealt over the slots of the region, the rest to its last slot
         width = hi - lo + 1
         for k in range(width):
@@ -148,27 +160,50 @@ def edited_counts(docs: DataFrame, tokenizer: str, least: int = LEAF_CHARS, kept
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        codec = encoder(tokenizer)
-        count = lambda spans: [len(x) // 4 for x in codec.ids(spans)]
+        count = counter(tokenizer)
         for batch in batches:
             out = []
-            for doc, text, edits, was in zip(*(batch.column(i) for i in range(4))):
-                whole, was = text.as_py() or "", was.as_py()
-                counts = was["leaf_tokens"] if was else None
-                if counts is not None and was["signature"] != signature(whole, counts, least):
-                    counts = None
-                tree = TokenTree(whole, count, least, counts)
-                before, todo = tree.tokens[1], [e for e in edits.as_py() or [] if e is not None]
-                for e in todo:
-                    tree.edit(e["pos"] or 0, e["del"] or 0, e["ins"] or "")
-                after = tree.text()
-                out.append((doc.as_py(), len(todo), before, tree.tokens[1], tree.chars[1], tree.reencoded, zlib.crc32(after.encode())))
+            for group in grouped(_read(batch), lambda row: len(row[1]) + sum(len(ins) for _, _, ins in row[2])):
+                for (doc, _, todo, _), (tree, before) in zip(group, _edited(group, count, least), strict=True):
+                    out.append((doc, len(todo), before, tree.tokens[1], tree.chars[1], tree.reencoded, zlib.crc32(tree.text().encode())))
             columns = zip(*out) if out else [[]] * 7
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return rows.mapInArrow(releasing(apply), SCHEMA)
 
 
+def _read(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """doc_id, text, edits and what is kept of the tree, for each row."""
+    for doc, text, edits, was in zip(*(batch.column(i) for i in range(4))):
+        todo = [(e["pos"] or 0, e["del"] or 0, e["ins"] or "") for e in edits.as_py() or [] if e is not None]
+        yield doc.as_py(), text.as_py() or "", todo, was.as_py()
+
+
+def _edited(rows: list[tuple], count, least: int) -> list[tuple[TokenTree, int]]:
+    """The tree of each row after its edits, and its tokens before them."""
+    kept = [was["leaf_tokens"] if was else None for *_, was in rows]
+    for k, (_, text, _, was) in enumerate(rows):
+        if kept[k] is not None and was["signature"] != signature(text, kept[k], least):
+            kept[k] = None
+    fresh = iter(_leaf_counts([text for (_, text, _, _), own in zip(rows, kept) if own is None], count, least))
+    trees_ = [TokenTree(text, count, least, next(fresh) if own is None else own) for (_, text, _, _), own in zip(rows, kept)]
+    found, k = [(tree, tree.tokens[1]) for tree in trees_], 0
+    live = [(tree, todo) for tree, (_, _, todo, _) in zip(trees_, rows)]
+    while live := [(tree, todo) for tree, todo in live if k < len(todo)]:
+        regions = [tree.region(*todo[k]) for tree, todo in live]
+        counts = iter(count([s for _, _, made in regions for s, n in made if n is None]))
+        for (tree, _), (lo, hi, made) in zip(live, regions):
+            tree.put(lo, hi, made, counts)
+        k += 1
+    return found
+
+
+def _leaf_counts(texts: list[str], count, least: int) -> list[list[int]]:
+    spans = [leaves(t, least) or [""] for t in texts]
+    counts = iter(count([s for own in spans for s in own]))
+    return [list(islice(counts, len(own))) for own in spans]
+
+
 def signature(text: str, counts: list[int], least: int) -> int:
     """Tells whether counts were made for this text and these leaves."""
     import zlib
@@ -180,10 +215,10 @@ def trees(docs: DataFrame, tokenizer: str, least: int = LEAF_CHARS) -> DataFrame
     """doc_id, ``leaf_tokens`` and ``signature``: what has to be kept of a document's tree; the leaves follow from the text."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = encoder(tokenizer)
+        count = counter(tokenizer)
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(1)]
-            counts = [[len(x) // 4 for x in codec.ids(leaves(t, least) or [""])] for t in texts]
+            counts = [own for group in grouped(texts, len) for own in _leaf_counts(group, count, least)]
             signed = [signature(t, c, least) for t, c in zip(texts, counts)]
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.list_(pa.int64())), pa.array(signed, pa.int64())], names=["doc_id", "leaf_tokens", "signature"])
 

@@ -12,7 +12,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 #: Entries of the cache, some 200 MB; when it is full it stays as it is, and other pieces are encoded each time.
 CACHE_ENTRIES = 700_000
@@ -22,12 +23,33 @@ CACHED_CHARS = 48
 GROUP_CHARS = 2_000_000
 #: Pieces that are encoded in one call.
 JOINED = 2_000
+#: Pieces whose counts a half of a counter's cache holds, their characters together, and the characters of one; some 65 MB.
+COUNTED_PIECES, COUNTED_CHARS, COUNTED_PIECE_CHARS = 600_000, 16_000_000, 100_000
 #: Characters that Python and the tokenizers library may not both take for white space.
 DOUBTFUL = "\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 RUNS = re.compile(r"\s*\S+|\s+")
+#: A word of Latin letters and the ASCII punctuation after it, between which the byte-level pre-tokenizer always cuts, and nowhere else.
+LATIN = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u02af]+)([!-/:-@\[-`{-~]*)")
+_shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+#: The characters by which byte-level tokenizers show bytes.
+BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in _shown)}
+
+
+def grouped(items: Iterable, size: Callable, most: int = GROUP_CHARS) -> Iterator[list]:
+    """Lists of items one after another; each ends once its sizes sum to ``most`` or more."""
+    group, held = [], 0
+    for item in items:
+        group.append(item)
+        held += size(item)
+        if held >= most:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
+_counters: dict[str, Counter] = {}
 
 
 def encoder(path: str, entries: int = CACHE_ENTRIES) -> Encoder:
@@ -38,8 +60,9 @@ def encoder(path: str, entries: int = CACHE_ENTRIES) -> Encoder:
 
 
 def forget() -> None:
-    """Drops the process's encoders."""
+    """Drops the process's encoders and counters."""
     _encoders.clear()
+    _counters.clear()
 
 
 class Encoder:
@@ -143,3 +166,74 @@ class Encoder:
                 group, held = [], 0
         if group:
             yield from self._group(group)
+
+
+class Counter:
+    """``counter(spans)``: how many ids each span has, as many as ``Encoder`` gives.
+
+    What was counted stays in two halves: when the newer one is full it takes the
+    place of the older one. So a piece is encoded again only after many others, and
+    what a text costs does not depend on how many were counted before it.
+    """
+
+    def __init__(self, path: str, pieces: int = COUNTED_PIECES, chars: int = COUNTED_CHARS):
+        self.codec, self.pieces, self.chars = encoder(path), pieces, chars
+        self.newer: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+        self.held = 0
+        self.model = self.codec.tokenizer.model if self.codec.pieces == RUNS.findall and self.codec.tokenizer.normalizer is None else None
+        self.tails = {"": 0}
+
+    def _encoded(self, pieces: list[str]) -> dict[str, int]:
+        """Most pieces are single words: the model alone counts them, the others pass the whole tokenizer."""
+        made, others, tokenize = {}, [], self.model and self.model.tokenize
+        for p in pieces:
+            if tokenize and (m := LATIN.fullmatch(p)):
+                word, tail = m.groups()
+                if tail not in self.tails:
+                    if len(self.tails) >= JOINED:
+                        self.tails = {"": 0}
+                    self.tails[tail] = len(tokenize(tail))
+                made[p] = len(tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))) + self.tails[tail]
+            else:
+                others.append(p)
+        made.update(zip(others, map(len, self.codec.tokenizer.encode_batch_fast(others, add_special_tokens=False)), strict=True))
+        return made
+
+    def _learned(self, pieces: set[str]) -> dict[str, int]:
+        """The counts of pieces that the newer half does not hold."""
+        made = {p: n for p in pieces if (n := self.older.get(p)) is not None}
+        new = [p for p in pieces if p not in made]
+        for group in grouped(new, lambda p: max(len(p), GROUP_CHARS // JOINED)):
+            made |= self._encoded(group)
+        kept = {p: n for p, n in made.items() if len(p) <= COUNTED_PIECE_CHARS}
+        self.newer |= kept
+        self.held += sum(map(len, kept))
+        if len(self.newer) >= self.pieces or self.held >= self.chars:
+            self.older, self.newer, self.held = self.newer, {}, 0
+        return made
+
+    def _group(self, spans: list[str]) -> list[int]:
+        codec, flat, ends = self.codec, [], [0]
+        for s in spans:
+            if codec.pieces is None or codec._is_doubtful(s):
+                flat.append(s)
+            else:
+                flat += codec.pieces(s)
+            ends.append(len(flat))
+        found = list(map(self.newer.get, flat))
+        holes = [k for k, n in enumerate(found) if n is None]
+        made = self._learned({flat[k] for k in holes})
+        for k in holes:
+            found[k] = made[flat[k]]
+        return [sum(found[b:e]) for b, e in pairwise(ends)]
+
+    def __call__(self, spans: Iterable[str]) -> list[int]:
+        return [n for group in grouped(spans, len) for n in self._group(group)]
+
+
+def counter(path: str) -> Counter:
+    """The process's counter for a tokenizer."""
+    if path not in _counters:
+        _counters[path] = Counter(path)
+    return _counters[path]

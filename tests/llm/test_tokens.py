@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from linkloom.llm import edit_counts, packing, token_store
 from linkloom.llm.common import scratch_path
-from linkloom.llm.encoding import Encoder
+from linkloom.llm.encoding import Counter, Encoder
 
 BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 PLAIN = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
@@ -39,6 +39,34 @@ def test_cached_encoding_of_prose(path):
     assert [np.frombuffer(b, "<u4").tolist() for b in CACHED[path].ids(texts)] == [plain(path, t) for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab '\n\t .1Aé́Σs\x1c\x85 ​<|>") | st.characters(codec="utf-8"), max_size=40), max_size=4))
+def test_counts_are_the_librarys(path, texts):
+    assert Counter(path, pieces=3)(texts) == [len(plain(path, t)) for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" 's,._`~é×÷ªºǄ") | st.characters(max_codepoint=0x2FF), max_size=12), max_size=4))
+def test_counts_of_words_by_the_model_alone(texts):
+    assert Counter(BYTE)(texts) == [len(plain(BYTE, t)) for t in texts]
+
+
+def test_counts_of_every_latin_character():
+    texts = [f"{before}{chr(c)}{after}" for c in range(0x300) for before in ("", " ", "a") for after in ("", "b", "!", "'s")]
+    assert Counter(BYTE)(texts) == [len(plain(BYTE, t)) for t in texts]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_counts_of_prose(path, monkeypatch):
+    monkeypatch.setattr("linkloom.llm.encoding.COUNTED_PIECE_CHARS", 1000)
+    texts = [t or "" for _, t in TEXTS]
+    for count in (Counter(path), Counter(path, pieces=40), Counter(path, chars=60)):
+        for _ in range(2):
+            assert count(texts) == [len(plain(path, t)) for t in texts]
+            assert len(count.newer) < count.pieces and count.held < count.chars
+
+
 def test_token_store_round_trip(spark):
     out = scratch_path(spark, "test-store")
     token_store.write(documents(spark, TEXTS, extra=True), out, WORD, shard_bytes=2000)
@@ -208,6 +236,38 @@ def test_insertions_at_one_place_stay_cheap():
     assert tree.tokens[1] == len(tree.text().split())
 
 
+def test_edits_encode_no_word_of_their_text_again():
+    """A cache that earlier texts have filled makes neither a text nor its edits dearer."""
+
+    class Told:
+        def __init__(self, own):
+            self.own, self.pieces = own, 0
+
+        def encode_batch_fast(self, pieces, **options):
+            self.pieces += len(pieces)
+            return self.own.encode_batch_fast(pieces, **options)
+
+    def rows(k):
+        """Twenty documents of a thousand words that no other document has."""
+        texts = [" ".join(f"w{d}x{i}" for i in range(1000)) for d in range(20 * k, 20 * k + 20)]
+        edits = [(100, 0, " and more words,\nthen"), (3000, 40, ""), (5500, 7, "edited")]
+        return [(None, t, edits, None) for t in texts]
+
+    count = Counter(BYTE, pieces=30_000)
+    count.codec = Encoder(BYTE)
+    told = count.codec.tokenizer = Told(count.codec.tokenizer)
+    cost = []
+    for k in range(4):
+        before = told.pieces
+        for (_, text, edits, _), (tree, tokens) in zip(rows(k), edit_counts._edited(rows(k), count, 512)):
+            assert tokens == len(plain(BYTE, text))
+            for pos, cut, ins in edits:
+                text = text[:pos] + ins + text[pos + cut :]
+            assert tree.text() == text and tree.tokens[1] == len(plain(BYTE, text))
+        cost.append(told.pieces - before)
+    assert all(20_000 <= c <= 20_000 + 20 * 3 * 8 for c in cost)
+
+
 def test_edit_query_reencodes_little(spark):
     from pyspark.sql import functions as F
 
