@@ -2,7 +2,8 @@
 
 Both public pre-tokenizers in use never join characters across the start of a run
 of white space, so a text's ids are those of its pieces one after another. Pieces
-repeat, so each is encoded once. Texts for which that is not certain (special
+repeat, so what was encoded is kept for a while, and so are their words: the
+pieces that have not come before are mostly words with other punctuation. Texts for which that is not certain (special
 tokens' strings, separators that libraries class differently) and tokenizers of
 other kinds are encoded whole.
 """
@@ -12,16 +13,19 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise
 
-#: Entries of the cache, some 200 MB; when it is full it stays as it is, and other pieces are encoded each time.
+#: Entries of both halves of the cache, some 200 MB.
 CACHE_ENTRIES = 700_000
 #: Longer pieces are not kept.
 CACHED_CHARS = 48
-#: Characters of text whose missing pieces are encoded together.
+#: Ids as bytes, by their number; characters that are kept have three bytes at most.
+PACKED = [struct.Struct(f"<{n}I").pack for n in range(3 * CACHED_CHARS + 1)]
+#: Characters of spans whose pieces are counted together.
 GROUP_CHARS = 2_000_000
-#: Pieces that are encoded in one call.
+#: Pieces that are counted in one call, and runs of other characters beside words that are kept.
 JOINED = 2_000
 #: Pieces whose counts a half of a counter's cache holds, their characters together, and the characters of one; some 65 MB.
 COUNTED_PIECES, COUNTED_CHARS, COUNTED_PIECE_CHARS = 600_000, 16_000_000, 100_000
@@ -30,9 +34,18 @@ DOUBTFUL = "\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u
 RUNS = re.compile(r"\s*\S+|\s+")
 #: A word of Latin letters and the ASCII punctuation after it, between which the byte-level pre-tokenizer always cuts, and nowhere else.
 LATIN = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u02af]+)([!-/:-@\[-`{-~]*)")
+#: The same as a piece, with the line's end before it.
+LATIN_PIECE = re.compile(rf"(\n?){LATIN.pattern}")
+#: White space of two characters, which is cut between them if a word follows, and longer runs or those at a text's end, which may not be.
+PAIRS, LONG_RUN = ("  ", "\n\n", " \n", "\n "), re.compile(r"\s\s(?:\s|\Z)")
+#: The pattern by which a tokenizer that drops white space cuts words; letters and punctuation stand apart in it as well.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 #: The characters by which byte-level tokenizers show bytes.
 BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in _shown)}
+SPACE = chr(BYTE_CHARS[0x20])
+#: The same for the characters of ``LATIN``, as they are and lowered.
+SHOWN, LOWERED = ({c: how(chr(c)).encode().decode("latin-1").translate(BYTE_CHARS) for c in range(0x20, 0x2B0)} for how in (str, str.lower))
 
 
 def grouped(items: Iterable, size: Callable, most: int = GROUP_CHARS) -> Iterator[list]:
@@ -65,11 +78,23 @@ def forget() -> None:
     _counters.clear()
 
 
+def _keeps_words(spec: dict) -> bool:
+    """Whether the model alone gives a Latin word's ids: the word is cut from what stands beside it, and its letters are at most lowered."""
+    model, pre, norm = spec["model"], spec["pre_tokenizer"], spec.get("normalizer") or {}
+    if model.get("type") != "BPE" or model.get("dropout"):
+        return False
+    if pre["type"] == "ByteLevel":
+        return not norm
+    cut, shown = pre["pretokenizers"]
+    steps = [(n["type"], n.get("pattern")) for n in norm.get("normalizers", [])]
+    lowered = steps == [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)]
+    return lowered and cut["pattern"] == {"Regex": WORD_SPLIT} and not (shown.get("add_prefix_space") or shown.get("use_regex"))
+
+
 class Encoder:
     """``ids(texts)`` yields each text's ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        self.entries = entries
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -88,84 +113,92 @@ class Encoder:
         special = "|".join(re.escape(t["content"]) for t in spec.get("added_tokens", []))
         self.whole = re.compile(f"[{DOUBTFUL}]" + (f"|{special}" if special else ""))
         self.ascii_doubts = ["\x1c", "\x1d", "\x1e", "\x1f", *(t["content"] for t in spec.get("added_tokens", []))]
-        self.cache: dict[str, bytes] = {}
-        # a special token cuts a text before anything else happens to it, so pieces between such tokens are encoded apart
-        marks = [t for t in spec.get("added_tokens", []) if t.get("special") and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized"))]
-        self.mark = (marks[0]["content"], marks[0]["id"]) if marks else None
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
-
-    def _encoded_pieces(self, pieces: list[str]) -> list[bytes]:
-        """As ``_encoded``, for short pieces without special tokens: many at a time, joined by one."""
-        import numpy as np
-
-        if self.mark is None:
-            return self._encoded(pieces)
-        out: list[bytes] = []
-        for at in range(0, len(pieces), JOINED):
-            own = pieces[at : at + JOINED]
-            ids = np.asarray(self.tokenizer.encode(self.mark[0].join(own), add_special_tokens=False).ids, "<u4")
-            ends = [*(4 * np.flatnonzero(ids == self.mark[1])).tolist(), ids.nbytes]
-            data, begin = ids.tobytes(), 0
-            if len(ends) != len(own):
-                raise ValueError("the tokenizer does not keep pieces apart")
-            for end in ends:
-                out.append(data[begin:end])
-                begin = end + 4
-        return out
+        self.model = self.tokenizer.model if self.pieces and _keeps_words(spec) else None
+        self.lowers = self.pieces is str.split
+        self.known = Known(self, entries)
+
+    def _encoded(self, text: str) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word of Latin letters, by the model alone."""
+        if not word.isascii():
+            shown = word.translate(LOWERED if self.lowers else SHOWN)
+        else:
+            shown = word.lower() if self.lowers else word.replace(" ", SPACE)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return PACKED[len(ids)](*ids)
 
     def _is_doubtful(self, text: str) -> bool:
         if text.isascii():
             return any(c in text for c in self.ascii_doubts)
         return self.whole.search(text) is not None
 
-    def _group(self, texts: list[str]) -> list[bytes]:
-        if self.pieces is None:
-            return self._encoded(texts)
-        cache, flat, ends = self.cache, [], []
-        for t in texts:
-            if self._is_doubtful(t):
-                ends.append(None)
-            else:
-                flat += self.pieces(t)
-                ends.append(len(flat))
-        found, holes, at = list(map(cache.get, flat)), [], -1
-        try:
-            while True:
-                at = found.index(None, at + 1)
-                holes.append(at)
-        except ValueError:
-            pass
-        new = list({flat[k] for k in holes})
-        made = dict(zip(new, self._encoded_pieces(new), strict=True))
-        for k in holes:
-            found[k] = made[flat[k]]
-        if len(cache) < self.entries:
-            cache.update((p, ids) for p, ids in made.items() if len(p) <= CACHED_CHARS)
-        out, begin = [], 0
-        for t, end in zip(texts, ends, strict=True):
-            if end is None:
-                out += self._encoded([t])
-            else:
-                out.append(b"".join(found[begin:end]))
-                begin = end
-        return out
+    def _split(self, text: str) -> list[str]:
+        """The pieces; of a text that is not doubtful, so ``\x1c`` is free to mark where they begin."""
+        if self.pieces is str.split or any(c in text for c in "\t\r\x0b\x0c") or (any(c in text for c in PAIRS) and LONG_RUN.search(text)):
+            return self.pieces(text)
+        found = text.replace(" ", "\x1c ").replace("\n", "\x1c\n").split("\x1c")
+        return found if found[0] else found[1:]
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Null counts as empty."""
-        group, held = [], 0
         for text in texts:
-            group.append(text or "")
-            held += len(group[-1])
-            if held >= GROUP_CHARS:
-                yield from self._group(group)
-                group, held = [], 0
-        if group:
-            yield from self._group(group)
+            text = text or ""
+            if self.pieces is None or self._is_doubtful(text):
+                yield self._encoded(text)
+            else:
+                yield b"".join(map(self.known.__getitem__, self._split(text)))
+
+
+class Known(dict):
+    """The ids of pieces: what is missing is encoded when it is asked for.
+
+    It stays in two halves: when the newer one, this dictionary, is full it takes the
+    place of the older one. So what a text costs does not depend on how many were
+    encoded before it. Of a word with other characters about it the word is kept,
+    and all of it only once the word has come before.
+    """
+
+    def __init__(self, codec: Encoder, entries: int):
+        self.codec, self.half = codec, entries // 2
+        self.older: dict[str, bytes] = {}
+        self.others = {"": b""}
+
+    def _keep(self, piece: str, ids: bytes) -> bytes:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+    def _other(self, chars: str) -> bytes:
+        if (ids := self.others.get(chars)) is None:
+            if len(self.others) >= JOINED:
+                self.others = {"": b""}
+            ids = self.others[chars] = self.codec._encoded(chars)
+        return ids
+
+    def __missing__(self, piece: str) -> bytes:
+        codec = self.codec
+        if (ids := self.older.get(piece)) is not None:
+            return self._keep(piece, ids)
+        if len(piece) > CACHED_CHARS:
+            return codec._encoded(piece)
+        if codec.model is None:
+            return self._keep(piece, codec._encoded(piece))
+        if piece.isascii() and (piece[1:] if piece[0] == " " else piece).isalpha():
+            return self._keep(piece, codec._word(piece))
+        if not (m := LATIN_PIECE.fullmatch(piece)) or (codec.lowers and "\u0130" in piece):
+            return self._keep(piece, codec._encoded(piece))
+        before, word, after = m.groups()
+        if word == piece:
+            return self._keep(piece, codec._word(piece))
+        ids = self.get(word)
+        if ids is not None or (ids := self.older.get(word)) is not None:
+            return self._keep(piece, self._other(before) + ids + self._other(after))
+        return self._other(before) + self._keep(word, codec._word(word)) + self._other(after)
 
 
 class Counter:

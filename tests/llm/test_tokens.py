@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -39,6 +40,59 @@ def test_cached_encoding_of_prose(path):
     assert [np.frombuffer(b, "<u4").tolist() for b in CACHED[path].ids(texts)] == [plain(path, t) for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_cached_encoding_of_every_latin_character(path):
+    texts = [f"{before}{chr(c)}{after}" for c in range(0x300) for before in ("", " ", "a", "x\n") for after in ("", "b", "!", "'s", "...")]
+    for codec in (Encoder(path), Encoder(path, 40)):
+        for _ in range(2):
+            assert [np.frombuffer(b, "<u4").tolist() for b in codec.ids(texts)] == [plain(path, t) for t in texts]
+            assert len(codec.known) <= max(1, codec.known.half) and len(codec.known.older) <= max(1, codec.known.half)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_cached_encoding_of_white_space(path):
+    texts = ["".join(t) for n in range(8) for t in itertools.product("a \n", repeat=n)]
+    texts += ["".join(t) for n in range(6) for t in itertools.product("a. \n\t", repeat=n)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in CACHED[path].ids(texts)] == [plain(path, t) for t in texts]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_a_full_cache_makes_no_text_dearer(path):
+    """What earlier texts have filled takes up new words, and a word is not encoded again for each mark beside it."""
+    told = []
+
+    class Told:
+        def __init__(self, own):
+            self.own = own
+
+        def encode(self, text, **options):
+            told.append(len(text))
+            return self.own.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            told.extend(map(len, texts))
+            return self.own.encode_batch_fast(texts, **options)
+
+        def tokenize(self, text):
+            told.append(len(text))
+            return self.own.tokenize(text)
+
+    def words(first, n):
+        return ["".join(chr(97 + int(d)) for d in str(k)) for k in range(first, first + n)]
+
+    def cost(text):
+        told.clear()
+        assert [np.frombuffer(b, "<u4").tolist() for b in codec.ids([text])] == [plain(path, text)]
+        return sum(told)
+
+    codec = Encoder(path, 4000)
+    codec.model, codec.tokenizer = Told(codec.tokenizer.model), Told(codec.tokenizer)
+    cost(" ".join(words(100_000, 5000)))
+    own = words(200_000, 500)
+    assert cost(" ".join(own)) >= 3000
+    assert [cost(mark.join(own)) < 100 for mark in (" ", ", ", "; ", " ")] == [True] * 4
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab '\n\t .1Aé́Σs\x1c\x85 ​<|>") | st.characters(codec="utf-8"), max_size=40), max_size=4))
