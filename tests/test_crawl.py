@@ -146,6 +146,17 @@ def test_publishing_stopping_and_visiting_again(spark, tmp_path):
     assert stopped.wait().ended == "stopped" and not stopped.running
 
 
+def test_documents_are_analysed_by_several_tasks(spark, tmp_path, monkeypatch):
+    """Documents of one small file are dealt to tasks by their number."""
+    monkeypatch.setattr(crawl, "ANALYSED", 4, raising=False)
+    graph = {"1": ("1", "", [str(k) for k in range(2, 42)])} | {str(k): (str(k), "", ["1"]) for k in range(2, 42)}
+    pages = spark.createDataFrame(html(graph), "name string, html string").coalesce(1)
+    store = GraphStore(spark, f"file://{tmp_path}")
+    crawl.crawl(store, TableSource(pages), seeds(spark, "/wiki/1"), crawl.CrawlConfig(ttl_ms=1000, factory=fixture_analyzer, clock=Clock()))
+    assert store.read("visits").where("generation = 1").select("worker").distinct().count() > 1
+    assert len(edges(store)) == 80 and store.read("pages").count() == 41
+
+
 def test_times_of_producers_and_consumers(spark, tmp_path):
     """A crawl over files written by tasks: what each worker did, and how long it worked, starved and was blocked."""
     folder = f"file://{tmp_path}/pages"
